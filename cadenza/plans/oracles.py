@@ -110,3 +110,124 @@ SELECT request_id, query_idx, hit_rank, track_id FROM dedup""")
 
 oracle("k1_top_n", with_(HITS, CRITERIA, CAPPED, TOPN) + """
 SELECT request_id, position, track_id, popularity, query_idx, hit_rank FROM topn""")
+
+
+# --------------------------------------------------------------------------
+# G2 profile build and its parts
+# --------------------------------------------------------------------------
+
+TOP_RAW = """
+top_ev AS (
+  SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS term_ord,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_key
+  FROM events),
+top_raw AS (
+  SELECT user_id, term_ord, ['short_term', 'medium_term', 'long_term'][term_ord] AS time_range,
+         CAST(row_number() OVER (PARTITION BY user_id, term_ord ORDER BY value DESC, event_id) AS INTEGER) AS rank,
+         item_key
+  FROM top_ev WHERE term_ord IS NOT NULL)"""
+
+ARTIST_ITEMS = """
+artist_items AS (
+  SELECT p_partkey AS item_key, p_brand AS id, p_brand AS name,
+         CASE WHEN p_size % 10 = 0 THEN [lower(p_type), split_part(p_name, ' ', 1), lower(p_type)]
+              ELSE [lower(p_type), split_part(p_name, ' ', 1)] END AS genres,
+         'artist:' || p_brand AS uri
+  FROM part)"""
+
+W1 = """
+w1 AS (
+  SELECT r.user_id, CAST(c.track_id AS VARCHAR) AS id, c.name,
+         array_to_string(c.artist_names, ', ') AS artists, c.uri, r.time_range, r.term_ord, r.rank
+  FROM top_raw r JOIN catalogue c ON c.track_id = r.item_key
+  WHERE r.rank <= 50
+  QUALIFY row_number() OVER (PARTITION BY r.user_id, c.track_id ORDER BY r.term_ord, r.rank) = 1)"""
+
+W2 = """
+w2 AS (
+  SELECT r.user_id, a.id, a.name, a.genres, a.uri, r.time_range, r.term_ord, r.rank
+  FROM top_raw r JOIN artist_items a ON a.item_key = r.item_key
+  WHERE r.rank <= 50
+  QUALIFY row_number() OVER (PARTITION BY r.user_id, a.id ORDER BY r.term_ord, r.rank) = 1)"""
+
+GENRES = """
+g_exp AS (
+  SELECT user_id, term_ord, rank, unnest(genres) AS genre, generate_subscripts(genres, 1) AS pos FROM w2),
+g_cnt AS (
+  SELECT user_id, genre, count(*) AS n_artists, min(term_ord * 100000 + rank * 100 + pos) AS first_seen
+  FROM g_exp GROUP BY user_id, genre),
+genres AS (
+  SELECT user_id, genre, n_artists,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY n_artists DESC, first_seen) AS INTEGER) AS genre_rank
+  FROM g_cnt)"""
+
+
+def _mean3(x: str) -> str:
+    return (f"CAST(round(CAST(CAST(sum(CAST({x} AS DECIMAL(18,4))) AS DOUBLE) / count({x}) "
+            f"AS DECIMAL(18,9)), 3) AS DOUBLE)")
+
+
+FEATURES = f"""
+lf AS (
+  SELECT o_custkey AS user_id, NULLIF(l_discount, 0) * 10 AS energy, NULLIF(l_tax, 0) * 12.5 AS valence,
+         CAST(NULL AS DOUBLE) AS danceability, CAST(NULL AS DOUBLE) AS acousticness,
+         NULLIF(l_quantity, 1) AS tempo
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+lf_agg AS (
+  SELECT user_id, {_mean3('energy')} AS energy, {_mean3('valence')} AS valence,
+         {_mean3('danceability')} AS danceability, {_mean3('acousticness')} AS acousticness,
+         {_mean3('tempo')} AS tempo
+  FROM lf GROUP BY user_id),
+feat AS (
+  SELECT c_custkey AS user_id, coalesce(a.energy, 0.5) AS energy, coalesce(a.valence, 0.5) AS valence,
+         coalesce(a.danceability, 0.5) AS danceability, coalesce(a.acousticness, 0.5) AS acousticness,
+         coalesce(a.tempo, 120.0) AS tempo
+  FROM customer LEFT JOIN lf_agg a ON a.user_id = c_custkey)"""
+
+PROFILE = """
+gl AS (SELECT user_id, string_agg(genre, ',' ORDER BY genre_rank) AS top_genres FROM genres GROUP BY user_id),
+al AS (SELECT user_id, string_agg(name, ',' ORDER BY term_ord, rank) AS top_artists, count(*) AS n_a
+       FROM w2 GROUP BY user_id),
+tl AS (SELECT user_id, string_agg(id, ',' ORDER BY term_ord, rank) AS top_tracks, count(*) AS n_t
+       FROM w1 GROUP BY user_id),
+prof AS (
+  SELECT f.user_id, coalesce(gl.top_genres, '') AS top_genres, coalesce(al.top_artists, '') AS top_artists,
+         coalesce(tl.top_tracks, '') AS top_tracks, CAST(coalesce(al.n_a, 0) AS INTEGER) AS artists_count,
+         CAST(coalesce(tl.n_t, 0) AS INTEGER) AS tracks_count,
+         f.energy, f.valence, f.danceability, f.acousticness, f.tempo
+  FROM feat f LEFT JOIN gl USING (user_id) LEFT JOIN al USING (user_id) LEFT JOIN tl USING (user_id))"""
+
+oracle("w1_top_tracks", with_(CATALOGUE, TOP_RAW, W1) + """
+SELECT * FROM w1""")
+
+oracle("w2_top_artists", with_(ARTIST_ITEMS, TOP_RAW, W2) + """
+SELECT user_id, id, name, array_to_string(genres, ',') AS genres, uri, time_range, term_ord, rank FROM w2""")
+
+oracle("w3_recent_plays", """
+WITH pl AS (
+  SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id, ts AS played_at, event_id
+  FROM events),
+top100 AS (
+  SELECT * FROM pl
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY played_at DESC, event_id DESC) <= 100)
+SELECT * FROM top100
+QUALIFY row_number() OVER (PARTITION BY user_id, track_id ORDER BY played_at DESC, event_id DESC) = 1""")
+
+oracle("a1_k3_genres", with_(ARTIST_ITEMS, TOP_RAW, W2, GENRES) + """
+SELECT user_id, genre, n_artists, genre_rank FROM genres""")
+
+oracle("a2_feature_avg", with_(FEATURES) + """
+SELECT * FROM feat""")
+
+oracle("a4_collect_tracks", with_(CATALOGUE, TOP_RAW, W1) + """
+SELECT user_id, CAST(count(*) AS INTEGER) AS n_tracks, string_agg(id, ',' ORDER BY term_ord, rank) AS track_ids
+FROM w1 GROUP BY user_id""")
+
+oracle("g2_profile", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GENRES, FEATURES, PROFILE) + """
+SELECT user_id, top_genres, top_artists, top_tracks, energy, valence, danceability, acousticness, tempo
+FROM prof""")
+
+oracle("p10_profile_summary", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GENRES, FEATURES, PROFILE) + """
+SELECT user_id, array_to_string(list_slice(string_split(top_genres, ','), 1, 10), ',') AS genres,
+       artists_count, tracks_count, energy, valence, danceability, acousticness, tempo
+FROM prof""")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import year_of, year_in_range
 from cadenza.operators import candidates as G1
+from cadenza.operators import profile as P
 from cadenza.sources import standins as S
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +69,79 @@ def k1_top_n(spark, d):
     kept = G1.filter_years(G1.by_request(_capped(spark, d)), S.criteria(spark, d))
     top = G1.top_n(G1.dedupe_hits(kept))
     return top.select("request_id", "position", "track_id", "popularity", "query_idx", "hit_rank")
+
+
+# --------------------------------------------------------------------------
+# G2 profile build and its parts
+# --------------------------------------------------------------------------
+
+def _tracks(spark, d):
+    return P.top_tracks(S.top_items_raw(spark, d), S.track_items(spark, d))
+
+
+def _artists(spark, d):
+    return P.top_artists(S.top_items_raw(spark, d), S.artist_items(spark, d))
+
+
+@register("w1_top_tracks")
+def w1_top_tracks(spark, d):
+    t = _tracks(spark, d)
+    return t.select("user_id", "id", "name", F.array_join("artists", ", ").alias("artists"),
+                    "uri", "time_range", "term_ord", "rank")
+
+
+@register("w2_top_artists")
+def w2_top_artists(spark, d):
+    a = _artists(spark, d)
+    return a.select("user_id", "id", "name", F.array_join("genres", ",").alias("genres"),
+                    "uri", "time_range", "term_ord", "rank")
+
+
+@register("w3_recent_plays")
+def w3_recent_plays(spark, d):
+    return P.recent_plays(S.plays(spark, d)).select("user_id", "track_id", "played_at", "event_id")
+
+
+@register("a1_k3_genres")
+def a1_k3_genres(spark, d):
+    return P.genre_ranking(_artists(spark, d)).select("user_id", "genre", "n_artists", "genre_rank")
+
+
+@register("a2_feature_avg")
+def a2_feature_avg(spark, d):
+    return P.feature_means(S.line_features(spark, d), S.users(spark, d))
+
+
+@register("a4_collect_tracks")
+def a4_collect_tracks(spark, d):
+    lists = P.collect_ordered(_tracks(spark, d), "user_id", ["term_ord", "rank"], F.col("id"))
+    return lists.select("user_id", F.size("items").alias("n_tracks"),
+                        F.array_join("items", ",").alias("track_ids"))
+
+
+def _profiles(spark, d):
+    return P.build_profiles(S.top_items_raw(spark, d), S.track_items(spark, d),
+                            S.artist_items(spark, d), S.line_features(spark, d),
+                            S.users(spark, d), F.current_timestamp())
+
+
+def _flat_features(col="audio_features_avg"):
+    return [F.col(f"{col}.{c}").alias(c) for c in P.FEATURES]
+
+
+@register("g2_profile")
+def g2_profile(spark, d):
+    p = _profiles(spark, d)
+    return p.select(
+        "user_id",
+        F.array_join("top_genres", ",").alias("top_genres"),
+        F.array_join(F.transform("top_artists", lambda a: a["name"]), ",").alias("top_artists"),
+        F.array_join(F.transform("top_tracks", lambda t: t["id"]), ",").alias("top_tracks"),
+        *_flat_features())
+
+
+@register("p10_profile_summary")
+def p10_profile_summary(spark, d):
+    s = P.profile_summary(_profiles(spark, d))
+    return s.select("user_id", F.array_join("genres", ",").alias("genres"),
+                    "artists_count", "tracks_count", *_flat_features())
