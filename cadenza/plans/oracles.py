@@ -231,3 +231,147 @@ oracle("p10_profile_summary", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GE
 SELECT user_id, array_to_string(list_slice(string_split(top_genres, ','), 1, 10), ',') AS genres,
        artists_count, tracks_count, energy, valence, danceability, acousticness, tempo
 FROM prof""")
+
+
+# --------------------------------------------------------------------------
+# Model replies
+# --------------------------------------------------------------------------
+
+from cadenza.functions.replies import CRITERIA_FIELDS, INT_RE, NUM_RE  # noqa: E402
+from cadenza.sources.replies import llm_attempts_sql  # noqa: E402
+
+_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+
+def _unfence(x: str) -> str:
+    t = f"trim({x}, {_WS})"
+    return (f"trim(CASE WHEN starts_with({t}, '```') THEN regexp_replace(regexp_replace({t}, "
+            f"'^```[a-z]*\\n?', ''), '\\n?```$', '') ELSE {t} END, {_WS})")
+
+
+def _field_sql(name, kind, nullable, lo, hi):
+    p = f"'$.{name}'"
+    t = f"json_type(j, {p})"
+    s = f"json_extract_string(j, {p})"
+    if kind == "list":
+        ok = (f"({t} IS NULL OR ({t} = 'ARRAY' AND coalesce(list_bool_and(list_transform("
+              f"json_extract(j, '$.{name}[*]'), lambda x: json_type(x) = 'VARCHAR')), true)))")
+        val = f"CASE WHEN {t} IS NULL THEN []::VARCHAR[] ELSE json_extract_string(j, '$.{name}[*]') END"
+    elif kind == "str":
+        ok = f"({t} IS NULL OR {t} = 'VARCHAR')"
+        val = f"CASE WHEN {t} IS NULL THEN 'FR' ELSE {s} END"
+    else:
+        num = f"{t} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+        if kind == "int":
+            good = (f"(({num} AND CAST({s} AS DOUBLE) = floor(CAST({s} AS DOUBLE))) OR {t} = 'BOOLEAN' "
+                    f"OR ({t} = 'VARCHAR' AND regexp_full_match({s}, '{INT_RE}')))")
+            raw = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST({s} = 'true' AS INTEGER) "
+                   f"WHEN {t} = 'VARCHAR' THEN TRY_CAST(trim({s}) AS INTEGER) "
+                   f"ELSE TRY_CAST(trunc(CAST({s} AS DOUBLE)) AS INTEGER) END")
+        else:
+            good = (f"({num} OR {t} = 'BOOLEAN' OR ({t} = 'VARCHAR' AND regexp_full_match({s}, '{NUM_RE}')))")
+            raw = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST(CAST({s} = 'true' AS INTEGER) AS DOUBLE) "
+                   f"ELSE TRY_CAST(trim({s}) AS DOUBLE) END")
+        rng = []
+        if lo is not None:
+            rng.append(f"{raw} >= {lo}")
+        if hi is not None:
+            rng.append(f"{raw} <= {hi}")
+        rng_sql = " AND ".join(rng) if rng else "true"
+        null_ok = f" OR {t} = 'NULL'" if nullable else ""
+        ok = f"({t} IS NULL{null_ok} OR ({good} AND coalesce({rng_sql}, false)))"
+        default = "30" if name == "limit" else "NULL"
+        val = f"CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN {default} ELSE {raw} END"
+    return ok, val
+
+
+def _typed_sql() -> str:
+    cols, oks, errs = [], [], []
+    for name, kind, nullable, lo, hi in CRITERIA_FIELDS:
+        ok, val = _field_sql(name, kind, nullable, lo, hi)
+        out = "track_limit" if name == "limit" else name
+        cols.append(f"CASE WHEN {ok} THEN {val} END AS {out}")
+        oks.append(ok)
+        errs.append(f"WHEN NOT {ok} THEN 'invalid:{name}'")
+    all_ok = " AND ".join(["is_obj"] + oks)
+    return f"""
+ca AS (
+  SELECT request_id, attempt, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS j
+  FROM (SELECT request_id, attempt, {_unfence('raw_text')} AS body FROM attempts WHERE kind = 'criteria')),
+cb AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS is_obj FROM ca),
+typed0 AS (
+  SELECT request_id, attempt, {", ".join(cols)}, ({all_ok}) AS ok,
+         CASE WHEN j IS NULL THEN 'not_json' WHEN NOT is_obj THEN 'not_object' {" ".join(errs)} END AS err0
+  FROM cb),
+typed AS (
+  SELECT request_id, attempt,
+         list_slice(seed_genres, 1, 5) AS seed_genres,
+         list_slice(seed_artists, 1, greatest(0, 5 - len(list_slice(seed_genres, 1, 5)))) AS seed_artists,
+         year_min, year_max, target_energy, target_valence, target_tempo, target_danceability,
+         target_acousticness, market, track_limit, ok, CASE WHEN NOT ok THEN err0 END AS error
+  FROM typed0)"""
+
+
+TYPED = _typed_sql()
+ATTEMPTS = llm_attempts_sql()
+CRIT_COLS = ("array_to_string(seed_genres, ',') AS seed_genres, array_to_string(seed_artists, ',') AS seed_artists, "
+             "year_min, year_max, target_energy, target_valence, target_tempo, target_danceability, "
+             "target_acousticness, market, track_limit")
+FIRST_VALID = """
+w7 AS (
+  SELECT request_id,
+         min(attempt) FILTER (WHERE ok AND attempt <= 3) AS chosen,
+         arg_max(error, attempt) FILTER (WHERE attempt <= 3) AS last_error
+  FROM typed GROUP BY request_id),
+crit_table AS (
+  SELECT w.request_id, CASE WHEN w.chosen IS NULL THEN 'failed' ELSE 'ok' END AS status,
+         CAST(w.chosen AS INTEGER) AS attempt, t.seed_genres, t.seed_artists, t.year_min, t.year_max,
+         t.target_energy, t.target_valence, t.target_tempo, t.target_danceability, t.target_acousticness,
+         t.market, t.track_limit, CASE WHEN w.chosen IS NULL THEN w.last_error END AS error
+  FROM w7 w LEFT JOIN typed t ON t.request_id = w.request_id AND t.attempt = w.chosen)"""
+
+QUERY_ROWS = f"""
+qa AS (
+  SELECT request_id, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS j
+  FROM (SELECT request_id, {_unfence('raw_text')} AS body FROM attempts WHERE kind = 'queries')),
+ql AS (
+  SELECT request_id,
+         CASE WHEN coalesce(json_type(j) = 'ARRAY' AND coalesce(list_bool_and(list_transform(
+                   json_extract(j, '$[*]'), lambda x: json_type(x) = 'VARCHAR')), true), false)
+              THEN list_slice(json_extract_string(j, '$[*]'), 1, 6)
+              ELSE ['genre:indie year:2010-2024'] END AS qs
+  FROM qa),
+query_rows AS (
+  SELECT request_id, CAST(generate_subscripts(qs, 1) AS INTEGER) AS query_idx, unnest(qs) AS query FROM ql)"""
+
+TITLES = f"""
+ta AS (
+  SELECT request_id, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS j
+  FROM (SELECT request_id, {_unfence('raw_text')} AS body FROM attempts WHERE kind = 'title')),
+title_rows AS (
+  SELECT request_id, coalesce(json_extract_string(j, '$.title'), 'My Playlist') AS title,
+         coalesce(json_extract_string(j, '$.description'), 'Generated playlist') AS description
+  FROM ta)"""
+
+oracle("f1_f2_criteria", with_(ATTEMPTS, TYPED) + f"""
+SELECT request_id, CAST(attempt AS INTEGER) AS attempt, {CRIT_COLS}, ok, error FROM typed""")
+
+oracle("w7_first_valid", with_(ATTEMPTS, TYPED, FIRST_VALID) + """
+SELECT request_id, status, attempt, error FROM crit_table""")
+
+oracle("l4_criteria", with_(ATTEMPTS, TYPED, FIRST_VALID) + f"""
+SELECT request_id, status, attempt, {CRIT_COLS}, error FROM crit_table""")
+
+oracle("l4_quarantine", with_(ATTEMPTS, TYPED) + """
+SELECT request_id, CAST(attempt AS INTEGER) AS attempt, error FROM typed WHERE NOT ok""")
+
+oracle("f3_seed_clamp", with_(ATTEMPTS, TYPED, FIRST_VALID) + """
+SELECT request_id, CAST(len(seed_genres) AS INTEGER) AS n_genres, CAST(len(seed_artists) AS INTEGER) AS n_artists,
+       array_to_string(seed_genres, ',') AS seed_genres, array_to_string(seed_artists, ',') AS seed_artists
+FROM crit_table WHERE status = 'ok'""")
+
+oracle("f4_queries", with_(ATTEMPTS, QUERY_ROWS) + """
+SELECT request_id, query_idx, query FROM query_rows""")
+
+oracle("f5_titles", with_(ATTEMPTS, TITLES) + """
+SELECT request_id, title, description FROM title_rows""")

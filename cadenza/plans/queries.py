@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import year_of, year_in_range
 from cadenza.operators import candidates as G1
 from cadenza.operators import profile as P
+from cadenza.operators import responses as R
+from cadenza.sources import replies as SR
 from cadenza.sources import standins as S
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +147,52 @@ def p10_profile_summary(spark, d):
     s = P.profile_summary(_profiles(spark, d))
     return s.select("user_id", F.array_join("genres", ",").alias("genres"),
                     "artists_count", "tracks_count", *_flat_features())
+
+
+# --------------------------------------------------------------------------
+# Model replies -> criteria, queries, titles
+# --------------------------------------------------------------------------
+
+def _criteria_text(df):
+    return df.withColumn("seed_genres", F.array_join("seed_genres", ",")) \
+             .withColumn("seed_artists", F.array_join("seed_artists", ","))
+
+
+@register("f1_f2_criteria")
+def f1_f2_criteria(spark, d):
+    return _criteria_text(R.typed_attempts(SR.llm_attempts(spark, d)))
+
+
+@register("w7_first_valid")
+def w7_first_valid(spark, d):
+    t = R.criteria_table(SR.llm_attempts(spark, d))
+    return t.select("request_id", "status", "attempt", "error")
+
+
+@register("l4_criteria")
+def l4_criteria(spark, d):
+    return _criteria_text(R.criteria_table(SR.llm_attempts(spark, d)))
+
+
+@register("l4_quarantine")
+def l4_quarantine(spark, d):
+    return R.quarantine(SR.llm_attempts(spark, d))
+
+
+@register("f3_seed_clamp")
+def f3_seed_clamp(spark, d):
+    t = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    return t.select("request_id", F.size("seed_genres").alias("n_genres"),
+                    F.size("seed_artists").alias("n_artists"),
+                    F.array_join("seed_genres", ",").alias("seed_genres"),
+                    F.array_join("seed_artists", ",").alias("seed_artists"))
+
+
+@register("f4_queries")
+def f4_queries(spark, d):
+    return R.query_rows(SR.llm_attempts(spark, d))
+
+
+@register("f5_titles")
+def f5_titles(spark, d):
+    return R.titles(SR.llm_attempts(spark, d))
