@@ -375,3 +375,85 @@ SELECT request_id, query_idx, query FROM query_rows""")
 
 oracle("f5_titles", with_(ATTEMPTS, TITLES) + """
 SELECT request_id, title, description FROM title_rows""")
+
+
+# --------------------------------------------------------------------------
+# Store jobs
+# --------------------------------------------------------------------------
+
+PLAYLISTS = """
+playlists AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS user_id, o_orderdate AS created_at,
+         'music for ' || lower(substr(o_orderpriority, 3, 20)) AS user_prompt,
+         'Mix ' || o_orderkey AS title, CAST(o_orderkey % 60 + 1 AS INTEGER) AS track_count,
+         CASE WHEN o_orderstatus = 'F' THEN 'ext' || o_orderkey END AS external_id,
+         CASE WHEN o_orderstatus = 'F' THEN 'https://lists.example/p/' || o_orderkey
+              WHEN o_orderstatus = 'P' THEN '' END AS external_url
+  FROM orders)"""
+
+DELETIONS = """
+deletions AS (
+  SELECT l_suppkey AS requester_id,
+         CAST(CASE WHEN l_linenumber = 1 THEN l_orderkey ELSE l_orderkey + 1000000000 END AS VARCHAR) AS playlist_id
+  FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 2)"""
+
+oracle("s2_schema_evolution", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, PLAYLISTS) + """,
+lists AS (SELECT request_id, count(*) AS n, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY position) AS ids
+          FROM topn GROUP BY request_id)
+SELECT p.id,
+       CAST(CASE WHEN p.created_at < TIMESTAMP '1998-01-01' THEN 0 ELSE coalesce(l.n, 0) END AS INTEGER) AS n_tracks,
+       CASE WHEN p.created_at < TIMESTAMP '1998-01-01' THEN '' ELSE coalesce(l.ids, '') END AS track_ids
+FROM playlists p LEFT JOIN lists l ON p.id = CAST(l.request_id AS VARCHAR)""")
+
+oracle("s3_upsert", """
+WITH s0 AS (SELECT user_id, count(*) AS n_events, max(ts) AS synced_at, -1 AS seq
+            FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
+s1 AS (SELECT user_id, count(*), max(ts), 1 FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id),
+s2 AS (SELECT user_id, count(*), max(ts), 2 FROM events WHERE event_type = 'error' GROUP BY user_id),
+allw AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)
+SELECT user_id, n_events, synced_at FROM allw
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1""")
+
+oracle("s6_history", with_(PLAYLISTS) + """
+SELECT user_id, id, created_at,
+       row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position
+FROM playlists""")
+
+oracle("s7_update", with_(PLAYLISTS) + """,
+upd AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS playlist_id, 'ext2-' || o_orderkey AS external_id,
+         'https://lists.example/p2/' || o_orderkey AS external_url, 1 AS seq
+  FROM orders WHERE o_orderpriority = '1-URGENT'
+  UNION ALL
+  SELECT CAST(o_orderkey AS VARCHAR), 'ext3-' || o_orderkey, 'https://lists.example/p3/' || o_orderkey, 2
+  FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'
+  UNION ALL
+  SELECT CAST(o_orderkey + 1000000000 AS VARCHAR), 'ext-x', 'https://lists.example/x', 1
+  FROM orders WHERE o_orderpriority = '2-HIGH'),
+last AS (SELECT * FROM upd QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY seq DESC) = 1)
+SELECT p.id, CASE WHEN l.playlist_id IS NULL THEN p.external_id ELSE l.external_id END AS external_id,
+       CASE WHEN l.playlist_id IS NULL THEN p.external_url ELSE l.external_url END AS external_url
+FROM playlists p LEFT JOIN last l ON l.playlist_id = p.id""")
+
+oracle("s8_delete", with_(PLAYLISTS, DELETIONS) + """
+SELECT id, user_id FROM playlists WHERE id NOT IN (SELECT playlist_id FROM deletions)""")
+
+oracle("g6_delete_counts", with_(PLAYLISTS, DELETIONS) + """
+SELECT requester_id, count(*) AS requested,
+       count(DISTINCT CASE WHEN playlist_id IN (SELECT id FROM playlists) THEN playlist_id END) AS deleted
+FROM deletions GROUP BY requester_id""")
+
+oracle("j2_relaunch", with_(PLAYLISTS) + """
+SELECT o_orderkey AS request_id, p.title AS prior_title, coalesce(p.track_count, 0) AS prior_track_count
+FROM orders LEFT JOIN playlists p
+  ON p.id = CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_orderkey - 3 AS VARCHAR) END""")
+
+oracle("s14_batches", """
+WITH t AS (
+  SELECT l_suppkey, 'track:' || l_partkey AS uri,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+                            l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS pos
+  FROM lineitem)
+SELECT l_suppkey, (pos - 1) // 100 AS batch_no, CAST(count(*) AS INTEGER) AS batch_size,
+       min(pos) AS first_pos, max(pos) AS last_pos, string_agg(uri, ',' ORDER BY pos) AS uris
+FROM t GROUP BY l_suppkey, (pos - 1) // 100""")

@@ -19,6 +19,9 @@ from cadenza.operators import profile as P
 from cadenza.operators import responses as R
 from cadenza.sources import replies as SR
 from cadenza.sources import standins as S
+from cadenza.sources.tables import read_table
+from cadenza.operators import store as ST
+from cadenza import schemas as SC
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -196,3 +199,75 @@ def f4_queries(spark, d):
 @register("f5_titles")
 def f5_titles(spark, d):
     return R.titles(SR.llm_attempts(spark, d))
+
+
+# --------------------------------------------------------------------------
+# Store jobs: S2 S3 S6 S7 S8 S9/J2 S14 G6
+# --------------------------------------------------------------------------
+
+def _candidate_lists(spark, d):
+    sel = G1.select_candidates(S.search_hits(spark, d), S.criteria(spark, d), S.catalogue(spark, d))
+    return P.collect_ordered(sel, "request_id", ["position"], F.struct(*SC.SELECTED_TRACK.names)) \
+        .withColumnRenamed("items", "tracks")
+
+
+@register("s2_schema_evolution")
+def s2_schema_evolution(spark, d):
+    pl = S.playlists(spark, d)
+    cut = F.col("created_at") < F.lit("1998-01-01 00:00:00").cast("timestamp")
+    old = pl.where(cut)
+    lists = _candidate_lists(spark, d)
+    new = pl.where(~cut).join(lists, F.col("id") == F.col("request_id").cast("string"), "left") \
+        .drop("request_id")
+    ev = ST.evolve_tracks(old, new)
+    return ev.select("id", F.size("tracks").alias("n_tracks"),
+                     F.array_join(F.transform("tracks", lambda t: t["id"]), ",").alias("track_ids"))
+
+
+@register("s3_upsert")
+def s3_upsert(spark, d):
+    existing, writes = S.profile_writes(spark, d)
+    return ST.upsert_latest(existing, writes, "user_id").select("user_id", "n_events", "synced_at")
+
+
+@register("s6_history")
+def s6_history(spark, d):
+    h = ST.history(S.playlists(spark, d))
+    return h.select("user_id", "id", "created_at", "position")
+
+
+@register("s7_update")
+def s7_update(spark, d):
+    out = ST.apply_link_updates(S.playlists(spark, d), S.link_updates(spark, d))
+    return out.select("id", "external_id", "external_url")
+
+
+@register("s8_delete")
+def s8_delete(spark, d):
+    return ST.delete_playlists(S.playlists(spark, d), S.deletions(spark, d)).select("id", "user_id")
+
+
+@register("g6_delete_counts")
+def g6_delete_counts(spark, d):
+    return ST.deletion_counts(S.playlists(spark, d), S.deletions(spark, d))
+
+
+@register("j2_relaunch")
+def j2_relaunch(spark, d):
+    req = S.relaunch_requests(spark, d)
+    j = ST.lookup(S.playlists(spark, d), req)
+    return j.select("request_id", F.col("title").alias("prior_title"),
+                    F.coalesce("track_count", F.lit(0)).alias("prior_track_count"))
+
+
+@register("s14_batches")
+def s14_batches(spark, d):
+    li = read_table(spark, d, "lineitem",
+                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])
+    tracks = li.withColumn("uri", F.concat(F.lit("track:"), F.col("l_partkey").cast("string")))
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+                                "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")]
+    b = ST.track_batches(tracks, "l_suppkey", order)
+    return b.select("l_suppkey", "batch_no", "batch_size", "first_pos", "last_pos",
+                    F.array_join("uris", ",").alias("uris"))

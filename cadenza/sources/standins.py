@@ -219,3 +219,61 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "F", F.concat(F.lit("https://lists.example/p/"), key))
          .when(status == "P", F.lit("")).alias("external_url"),
     )
+
+
+UNKNOWN_ID_OFFSET = 1_000_000_000   # ids shifted past every order key never exist
+
+
+def link_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 change set ``(playlist_id, external_id, external_url, update_seq)``:
+    urgent orders get a link; urgent open orders a second, later one; high
+    priority orders name an id that does not exist."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
+    k = F.col("o_orderkey").cast("string")
+    urgent = o.where(F.col("o_orderpriority") == "1-URGENT")
+    first = urgent.select(k.alias("playlist_id"), F.concat(F.lit("ext2-"), k).alias("external_id"),
+                          F.concat(F.lit("https://lists.example/p2/"), k).alias("external_url"),
+                          F.lit(1).alias("update_seq"))
+    second = urgent.where(F.col("o_orderstatus") == "O").select(
+        k.alias("playlist_id"), F.concat(F.lit("ext3-"), k).alias("external_id"),
+        F.concat(F.lit("https://lists.example/p3/"), k).alias("external_url"), F.lit(2).alias("update_seq"))
+    ghost_key = (F.col("o_orderkey") + UNKNOWN_ID_OFFSET).cast("string")
+    ghost = o.where(F.col("o_orderpriority") == "2-HIGH").select(
+        ghost_key.alias("playlist_id"), F.lit("ext-x").alias("external_id"),
+        F.lit("https://lists.example/x").alias("external_url"), F.lit(1).alias("update_seq"))
+    return first.unionByName(second).unionByName(ghost)
+
+
+def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 change set ``(requester_id, playlist_id)``: returned first lines
+    ask to delete their order's playlist (repeats arise from repeated
+    lines), returned second lines name an id that does not exist."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag"])
+    r = li.where(F.col("l_returnflag") == "R")
+    key = F.when(F.col("l_linenumber") == 1, F.col("l_orderkey")) \
+        .otherwise(F.col("l_orderkey") + UNKNOWN_ID_OFFSET)
+    return r.where(F.col("l_linenumber") <= 2).select(
+        F.col("l_suppkey").alias("requester_id"), key.cast("string").alias("playlist_id"))
+
+
+def relaunch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 input ``(request_id, playlist_id)``: high-priority orders relaunch
+    the playlist three orders back (absent for the first keys)."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
+    pid = F.when(F.col("o_orderpriority") == "2-HIGH", (F.col("o_orderkey") - 3).cast("string"))
+    return o.select(F.col("o_orderkey").alias("request_id"), pid.alias("playlist_id"))
+
+
+def profile_writes(spark: SparkSession, sf_dir: str):
+    """S3 input: the stored summary per user (first half of the log) and
+    two later writes in order: second-half summaries (seq 1), then
+    error-only summaries over the whole log (seq 2)."""
+    ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_type"])
+
+    def summary(df):
+        return df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("synced_at"))
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    existing = summary(ev.where(F.col("ts") < cut))
+    w1 = summary(ev.where(F.col("ts") >= cut)).withColumn("load_seq", F.lit(1))
+    w2 = summary(ev.where(F.col("event_type") == "error")).withColumn("load_seq", F.lit(2))
+    return existing, w1.unionByName(w2)
