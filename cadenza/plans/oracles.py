@@ -457,3 +457,139 @@ WITH t AS (
 SELECT l_suppkey, (pos - 1) // 100 AS batch_no, CAST(count(*) AS INTEGER) AS batch_size,
        min(pos) AS first_pos, max(pos) AS last_pos, string_agg(uri, ',' ORDER BY pos) AS uris
 FROM t GROUP BY l_suppkey, (pos - 1) // 100""")
+
+
+# --------------------------------------------------------------------------
+# Requests, prompt contexts, playlist build and reports
+# --------------------------------------------------------------------------
+
+NL = "chr(10)"
+REQUESTS = f"""
+requests AS (
+  SELECT o_orderkey AS request_id, o_custkey AS user_id,
+         CASE o_orderkey % 5
+           WHEN 0 THEN '  ' || chr(9) || {NL} || ' '
+           WHEN 1 THEN ' ab' || (o_orderkey % 10) || ' '
+           WHEN 2 THEN '  music for ' || lower(substr(o_orderpriority, 3, 20)) || {NL}
+           WHEN 3 THEN 'songs like order ' || o_orderkey
+           ELSE repeat('la ', 200) END AS prompt
+  FROM orders)"""
+
+SYNCED = f"""
+al AS (SELECT user_id, list(name ORDER BY term_ord, rank) AS names FROM w2 GROUP BY user_id),
+tl AS (SELECT user_id, list(name || ' — ' || split_part(artists, ', ', 1) ORDER BY term_ord, rank) AS lines,
+              count(*) AS n FROM w1 GROUP BY user_id),
+synced AS (SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer)),
+reqp AS (
+  SELECT r.request_id, r.user_id, r.prompt, s.user_id IS NOT NULL AS has_profile,
+         CASE WHEN s.user_id IS NOT NULL THEN coalesce(al.names, []) END AS names,
+         CASE WHEN s.user_id IS NOT NULL THEN coalesce(tl.lines, []) END AS lines
+  FROM requests r LEFT JOIN synced s ON s.user_id = r.user_id
+  LEFT JOIN al ON al.user_id = r.user_id LEFT JOIN tl ON tl.user_id = r.user_id)"""
+
+oracle("p9_request_check", with_(REQUESTS) + f""",
+t AS (SELECT request_id, prompt, trim(prompt, {_WS}) AS p FROM requests)
+SELECT request_id,
+       CASE WHEN prompt IS NULL OR length(p) = 0 THEN 'empty' WHEN length(p) < 5 THEN 'too_short'
+            WHEN length(p) > 500 THEN 'too_long' ELSE 'accepted' END AS "check",
+       p AS prompt_clean
+FROM t""")
+
+oracle("j1_request_profile", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, REQUESTS, SYNCED) + """
+SELECT request_id, user_id, has_profile, CAST(coalesce(len(names), 0) AS INTEGER) AS n_artists,
+       CAST(coalesce(len(lines), 0) AS INTEGER) AS n_tracks
+FROM reqp""")
+
+oracle("l1_context", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, REQUESTS, SYNCED) + f"""
+SELECT request_id,
+       CASE WHEN has_profile
+            THEN 'Top artists: ' || coalesce(nullif(array_to_string(list_slice(names, 1, 20), ', '), ''), 'not available')
+                 || {NL} || 'Top tracks: ' || coalesce(nullif(array_to_string(list_slice(lines, 1, 20), ', '), ''), 'not available')
+            ELSE 'No listening profile.' END || {NL} || 'Request: ' || prompt AS context
+FROM reqp""")
+
+
+def _num(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), '')"
+
+
+oracle("l2_query_context", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, REQUESTS, SYNCED, ATTEMPTS,
+                                 TYPED, FIRST_VALID) + f"""
+SELECT c.request_id,
+       CASE WHEN p.has_profile AND len(p.names) > 0
+            THEN 'Similar to: ' || array_to_string(list_slice(p.names, 1, 15), ', ') || {NL} ELSE '' END
+       || 'Criteria: ' || concat_ws('; ',
+            'genres=' || array_to_string(c.seed_genres, ','), 'artists=' || array_to_string(c.seed_artists, ','),
+            'years=' || {_num('c.year_min')} || '-' || {_num('c.year_max')},
+            'energy=' || {_num('c.target_energy')}, 'tempo=' || {_num('c.target_tempo')},
+            'market=' || c.market, 'limit=' || {_num('c.track_limit')}) AS context
+FROM crit_table c JOIN reqp p USING (request_id)
+WHERE c.status = 'ok'""")
+
+oracle("l3_title_context", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, REQUESTS) + f""",
+lines AS (
+  SELECT t.request_id,
+         list('- ' || c.name || ' — ' || array_to_string(c.artist_names, ', ') ORDER BY t.position) AS ls
+  FROM topn t JOIN catalogue c USING (track_id) GROUP BY t.request_id)
+SELECT l.request_id, array_to_string(list_slice(l.ls, 1, 10), {NL}) || {NL} || 'Request: ' || r.prompt AS context
+FROM lines l JOIN requests r USING (request_id)""")
+
+G3 = f"""
+g3_capped AS (
+  SELECT h.*, c.year_min, c.year_max, c.track_limit,
+         CASE WHEN length(h.release_date) >= 4 THEN TRY_CAST(substr(h.release_date, 1, 4) AS INTEGER) END AS year
+  FROM hits h JOIN crit_table c ON c.request_id = h.request_id AND c.status = 'ok'
+  WHERE h.hit_rank <= 10 AND h.query_idx <= 6 AND h.status = 'ok' AND h.track_id IS NOT NULL
+    AND EXISTS (SELECT 1 FROM query_rows q WHERE q.request_id = h.request_id AND q.query_idx = h.query_idx)),
+g3_kept AS (SELECT * FROM g3_capped WHERE {YEAR_OK}),
+g3_dedup AS (
+  SELECT * FROM g3_kept
+  QUALIFY row_number() OVER (PARTITION BY request_id, track_id ORDER BY query_idx, hit_rank) = 1),
+g3_top AS (
+  SELECT * FROM g3_dedup
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY coalesce(popularity, 0) DESC, query_idx, hit_rank)
+          <= track_limit),
+g3_rank AS (
+  SELECT request_id, track_id,
+         row_number() OVER (PARTITION BY request_id ORDER BY coalesce(popularity, 0) DESC, query_idx, hit_rank) AS pos
+  FROM g3_top),
+g3_lists AS (
+  SELECT request_id, count(*) AS n, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY pos) AS ids
+  FROM g3_rank GROUP BY request_id),
+g3 AS (
+  SELECT c.request_id,
+         CASE WHEN c.status <> 'ok' THEN 'failed' WHEN coalesce(l.n, 0) = 0 THEN 'no_tracks' ELSE 'ok' END AS status,
+         c.error, t.title, t.description, CAST(coalesce(l.n, 0) AS INTEGER) AS track_count,
+         coalesce(l.ids, '') AS track_ids
+  FROM crit_table c LEFT JOIN g3_lists l USING (request_id) LEFT JOIN title_rows t USING (request_id))"""
+
+oracle("g3_playlists", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, G3) + """
+SELECT * FROM g3""")
+
+oracle("p12_status", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, G3) + """
+SELECT request_id, status FROM g3""")
+
+oracle("p11_saved_split", with_(PLAYLISTS) + """
+SELECT user_id, count(*) FILTER (WHERE external_url IS NOT NULL AND external_url <> '') AS saved,
+       count(*) FILTER (WHERE NOT (external_url IS NOT NULL AND external_url <> '')) AS unsaved
+FROM playlists GROUP BY user_id""")
+
+_FR = "['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre', 'décembre']"
+
+oracle("g4_history_report", with_(PLAYLISTS) + f"""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position,
+       strftime(created_at, '%-d %B %Y') AS date_text,
+       day(created_at) || ' ' || {_FR}[month(created_at)] || ' ' || year(created_at) AS date_fr,
+       user_prompt, title, track_count,
+       coalesce(external_url IS NOT NULL AND external_url <> '', false) AS saved, id AS relaunch_id
+FROM playlists""")
+
+oracle("g5_track_report", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN) + """
+SELECT t.request_id, t.position, c.name, array_to_string(c.artist_names, ' · ') AS artists,
+       CASE WHEN c.duration_ms > 0
+            THEN CAST(floor(floor(c.duration_ms / 1000) / 60) AS BIGINT) || ':' ||
+                 lpad(CAST(CAST(floor(c.duration_ms / 1000) AS BIGINT) % 60 AS VARCHAR), 2, '0')
+            ELSE '-' END AS duration,
+       coalesce(nullif(c.external_url, ''), 'https://open.example.com/track/' || t.track_id) AS link,
+       c.image_url
+FROM topn t JOIN catalogue c USING (track_id)""")

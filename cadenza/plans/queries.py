@@ -22,6 +22,8 @@ from cadenza.sources import standins as S
 from cadenza.sources.tables import read_table
 from cadenza.operators import store as ST
 from cadenza import schemas as SC
+from cadenza.operators import prompts as PR
+from cadenza.operators import reports as RP
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -271,3 +273,84 @@ def s14_batches(spark, d):
     b = ST.track_batches(tracks, "l_suppkey", order)
     return b.select("l_suppkey", "batch_no", "batch_size", "first_pos", "last_pos",
                     F.array_join("uris", ",").alias("uris"))
+
+
+# --------------------------------------------------------------------------
+# Requests, prompt contexts, playlist build and reports
+# --------------------------------------------------------------------------
+
+def _synced_profiles(spark, d):
+    return _profiles(spark, d).join(S.synced_users(spark, d), "user_id", "left_semi")
+
+
+def _req_profiles(spark, d):
+    return PR.with_profile(S.requests(spark, d), _synced_profiles(spark, d))
+
+
+@register("p9_request_check")
+def p9_request_check(spark, d):
+    return PR.check_requests(S.requests(spark, d)).select("request_id", "check", "prompt_clean")
+
+
+@register("j1_request_profile")
+def j1_request_profile(spark, d):
+    j = _req_profiles(spark, d)
+    return j.select("request_id", "user_id", "has_profile",
+                    F.coalesce(F.size("top_artists"), F.lit(0)).alias("n_artists"),
+                    F.coalesce(F.size("top_tracks"), F.lit(0)).alias("n_tracks"))
+
+
+@register("l1_context")
+def l1_context(spark, d):
+    return PR.criteria_context(_req_profiles(spark, d))
+
+
+@register("l2_query_context")
+def l2_query_context(spark, d):
+    crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    return PR.query_context(crit, _req_profiles(spark, d))
+
+
+def _g1_lists(spark, d):
+    sel = G1.select_candidates(S.search_hits(spark, d), S.criteria(spark, d), S.catalogue(spark, d))
+    return P.collect_ordered(sel, "request_id", ["position"], F.struct("name", "artists")) \
+        .withColumnRenamed("items", "tracks")
+
+
+@register("l3_title_context")
+def l3_title_context(spark, d):
+    return PR.title_context(_g1_lists(spark, d), S.requests(spark, d))
+
+
+def _g3(spark, d):
+    att = SR.llm_attempts(spark, d)
+    return RP.build_playlists(S.search_hits(spark, d), R.criteria_table(att), R.query_rows(att),
+                              R.titles(att), S.catalogue(spark, d))
+
+
+@register("g3_playlists")
+def g3_playlists(spark, d):
+    g = _g3(spark, d)
+    return g.select("request_id", "status", "error", "title", "description", "track_count",
+                    F.array_join(F.transform("tracks", lambda t: t["id"]), ",").alias("track_ids"))
+
+
+@register("p12_status")
+def p12_status(spark, d):
+    return _g3(spark, d).select("request_id", "status")
+
+
+@register("p11_saved_split")
+def p11_saved_split(spark, d):
+    return RP.saved_split(S.playlists(spark, d))
+
+
+@register("g4_history_report")
+def g4_history_report(spark, d):
+    return RP.history_report(S.playlists(spark, d))
+
+
+@register("g5_track_report")
+def g5_track_report(spark, d):
+    sel = G1.select_candidates(S.search_hits(spark, d), S.criteria(spark, d), S.catalogue(spark, d))
+    return RP.track_report(sel)

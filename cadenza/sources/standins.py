@@ -277,3 +277,23 @@ def profile_writes(spark: SparkSession, sf_dir: str):
     w1 = summary(ev.where(F.col("ts") >= cut)).withColumn("load_seq", F.lit(1))
     w2 = summary(ev.where(F.col("event_type") == "error")).withColumn("load_seq", F.lit(2))
     return existing, w1.unionByName(w2)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming requests ``(request_id, user_id, prompt)``, one per order.
+    The prompt cycles through blank, too short, padded, plain and
+    over-long texts (key % 5)."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
+    k = F.col("o_orderkey")
+    sel = k % 5
+    prompt = (F.when(sel == 0, F.lit("  \t\n "))
+              .when(sel == 1, F.concat(F.lit(" ab"), (k % 10).cast("string"), F.lit(" ")))
+              .when(sel == 2, F.concat(F.lit("  music for "), F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("\n")))
+              .when(sel == 3, F.concat(F.lit("songs like order "), k.cast("string")))
+              .otherwise(F.repeat(F.lit("la "), 200)))
+    return o.select(k.alias("request_id"), F.col("o_custkey").alias("user_id"), prompt.alias("prompt"))
+
+
+def synced_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who ever synced a profile: those present in the event log."""
+    return read_table(spark, sf_dir, "events", ["user_id"]).distinct()
