@@ -593,3 +593,71 @@ SELECT t.request_id, t.position, c.name, array_to_string(c.artist_names, ' · ')
        coalesce(nullif(c.external_url, ''), 'https://open.example.com/track/' || t.track_id) AS link,
        c.image_url
 FROM topn t JOIN catalogue c USING (track_id)""")
+
+
+# --------------------------------------------------------------------------
+# C1 catalogue search, G7, P8
+# --------------------------------------------------------------------------
+
+_YR = "year:[0-9]{4}(-[0-9]{4})?"
+C1_SQL = f"""
+c1_q AS (
+  SELECT request_id, query_idx,
+         list_filter(string_split_regex(trim(lower(query)), '\\s+'), lambda t: length(t) > 0) AS toks
+  FROM query_rows),
+c1_qp AS (
+  SELECT request_id, query_idx, len(toks) AS nt,
+         list_transform(list_filter(toks, lambda t: starts_with(t, 'genre:')), lambda t: substr(t, 7)) AS qg,
+         list_transform(list_filter(toks, lambda t: starts_with(t, 'artist:')), lambda t: substr(t, 8)) AS qa,
+         list_filter(toks, lambda t: regexp_full_match(t, '{_YR}')) AS qy,
+         list_filter(toks, lambda t: NOT (starts_with(t, 'genre:') OR starts_with(t, 'artist:')
+                                          OR regexp_full_match(t, '{_YR}'))) AS qw
+  FROM c1_q),
+c1_cat AS (
+  SELECT p_partkey AS track_id, CAST(floor(p_retailprice) % 100 AS INTEGER) AS popularity,
+         [lower(p_type), split_part(p_name, ' ', 1)] AS tg,
+         CASE WHEN p_size % 5 = 0 THEN [lower(p_brand), 'guest ' || p_size] ELSE [lower(p_brand)] END AS ta,
+         string_split_regex(lower(p_name || ' ' || p_type), '\\s+') AS tw,
+         p_size + 1975 AS ty
+  FROM part),
+c1_m AS (
+  SELECT q.request_id, q.query_idx, c.track_id, c.popularity
+  FROM c1_qp q, c1_cat c
+  WHERE q.nt > 0 AND list_has_all(c.tg, q.qg) AND list_has_all(c.ta, q.qa) AND list_has_all(c.tw, q.qw)
+    AND coalesce(list_bool_and(list_transform(q.qy, lambda y:
+          c.ty BETWEEN CAST(substr(y, 6, 4) AS INTEGER)
+                   AND CAST(coalesce(nullif(substr(y, 11, 4), ''), substr(y, 6, 4)) AS INTEGER))), true)),
+c1 AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id, query_idx ORDER BY popularity DESC, track_id)
+                 AS INTEGER) AS hit_rank
+  FROM c1_m QUALIFY hit_rank <= 10)"""
+
+oracle("c1_search", with_(ATTEMPTS, QUERY_ROWS, C1_SQL) + """
+SELECT request_id, query_idx, hit_rank, track_id, popularity FROM c1""")
+
+oracle("g7_recommend_post", with_(ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, CATALOGUE, C1_SQL) + f""",
+g7 AS (
+  SELECT h.request_id, h.query_idx, h.hit_rank, h.track_id, k.year_min, k.year_max,
+         CAST(substr(c.album_release_date, 1, 4) AS INTEGER) AS year, c.*
+  FROM c1 h JOIN crit_table k ON k.request_id = h.request_id AND k.status = 'ok'
+  JOIN catalogue c ON c.track_id = h.track_id)
+SELECT request_id, query_idx, hit_rank, CAST(track_id AS VARCHAR) AS id, uri, name,
+       array_to_string(artist_names, ', ') AS artists, album, album_release_date AS release_date,
+       duration_ms, preview_url, external_url, image_url
+FROM g7 WHERE {YEAR_OK}""")
+
+
+def _opt(key: str, col: str) -> str:
+    return f"CASE WHEN {col} IS NOT NULL THEN '{key}=' || CAST({col} AS VARCHAR) END"
+
+
+oracle("p8_f3b_params", with_(ATTEMPTS, TYPED, FIRST_VALID) + f"""
+SELECT request_id, concat_ws('&',
+         CASE WHEN len(seed_genres) > 0 THEN 'seed_genres=' || array_to_string(seed_genres, ',') END,
+         CASE WHEN len(list_slice(seed_artists, 1, greatest(0, 5 - len(seed_genres)))) > 0
+              THEN 'seed_artists=' || array_to_string(list_slice(seed_artists, 1, greatest(0, 5 - len(seed_genres))), ',') END,
+         {_opt('limit', 'track_limit')}, {_opt('country', 'market')},
+         {_opt('target_energy', 'target_energy')}, {_opt('target_valence', 'target_valence')},
+         {_opt('target_tempo', 'target_tempo')}, {_opt('target_danceability', 'target_danceability')},
+         {_opt('target_acousticness', 'target_acousticness')}) AS params
+FROM crit_table WHERE status = 'ok'""")

@@ -24,6 +24,8 @@ from cadenza.operators import store as ST
 from cadenza import schemas as SC
 from cadenza.operators import prompts as PR
 from cadenza.operators import reports as RP
+from cadenza.operators import search as C1
+from cadenza.operators import recommend as RC
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -354,3 +356,29 @@ def g4_history_report(spark, d):
 def g5_track_report(spark, d):
     sel = G1.select_candidates(S.search_hits(spark, d), S.criteria(spark, d), S.catalogue(spark, d))
     return RP.track_report(sel)
+
+
+# --------------------------------------------------------------------------
+# C1 catalogue search, G7 recommendation post-processing, P8 parameters
+# --------------------------------------------------------------------------
+
+def _c1(spark, d):
+    return C1.search(R.query_rows(SR.llm_attempts(spark, d)), S.catalogue(spark, d))
+
+
+@register("c1_search")
+def c1_search(spark, d):
+    return _c1(spark, d).select("request_id", "query_idx", "hit_rank", "track_id", "popularity")
+
+
+@register("g7_recommend_post")
+def g7_recommend_post(spark, d):
+    crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    out = RC.recommend_post(_c1(spark, d), crit, S.catalogue(spark, d))
+    return out.withColumn("artists", F.array_join("artists", ", "))
+
+
+@register("p8_f3b_params")
+def p8_f3b_params(spark, d):
+    crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    return RC.call_params(crit)

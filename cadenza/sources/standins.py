@@ -78,7 +78,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     artist = brand (plus a guest artist for sizes divisible by 5), album =
     type, genres = lower-case type and the first word of the name, release
-    year = 1975 + size, duration from the retail price.  Some tracks lack a
+    year = 1975 + size, duration and popularity from the retail price.  Some tracks lack a
     preview, an external URL or cover images.
     """
     p = read_table(spark, sf_dir, "part",
@@ -102,6 +102,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
                  images.alias("images")).alias("album"),
         F.array(F.lower("p_type"), F.split("p_name", " ").getItem(0)).alias("genres"),
         F.floor(F.col("p_retailprice") * 200).cast("bigint").alias("duration_ms"),
+        (F.floor("p_retailprice") % 100).cast("int").alias("popularity"),
         F.when(size % 4 != 0, F.concat(F.lit("preview:"), key)).alias("preview_url"),
         F.when(size % 7 != 0, F.concat(F.lit("https://tracks.example/t/"), key)).alias("external_url"),
     )
