@@ -661,3 +661,101 @@ SELECT request_id, concat_ws('&',
          {_opt('target_tempo', 'target_tempo')}, {_opt('target_danceability', 'target_danceability')},
          {_opt('target_acousticness', 'target_acousticness')}) AS params
 FROM crit_table WHERE status = 'ok'""")
+
+
+# --------------------------------------------------------------------------
+# R1-R7 analytics marts
+# --------------------------------------------------------------------------
+
+TRACK_FEATURES = """
+tfeat AS (
+  SELECT p_partkey AS track_id, lower(p_type) AS genre, CAST(p_size AS DOUBLE) / 50.0 AS energy,
+         CAST(p_partkey % 100 AS DOUBLE) / 100.0 AS valence, p_retailprice / 10.0 AS tempo
+  FROM part)"""
+
+oracle("r1_profile_by_month", f"""
+WITH lf AS (
+  SELECT o_custkey AS user_id, strftime(o_orderdate, '%Y-%m') AS month,
+         NULLIF(l_discount, 0) * 10 AS energy, NULLIF(l_tax, 0) * 12.5 AS valence,
+         CAST(NULL AS DOUBLE) AS danceability, CAST(NULL AS DOUBLE) AS acousticness, NULLIF(l_quantity, 1) AS tempo
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT user_id, month, count(*) AS n_lines,
+       coalesce({_mean3('energy')}, 0.5) AS energy, coalesce({_mean3('valence')}, 0.5) AS valence,
+       coalesce({_mean3('danceability')}, 0.5) AS danceability,
+       coalesce({_mean3('acousticness')}, 0.5) AS acousticness, coalesce({_mean3('tempo')}, 120.0) AS tempo
+FROM lf GROUP BY user_id, month""")
+
+oracle("r2_genre_evolution", with_(TRACK_FEATURES) + """,
+g AS (
+  SELECT strftime(l_shipdate, '%Y-%m') AS month, t.genre, count(*) AS plays
+  FROM lineitem JOIN tfeat t ON t.track_id = l_partkey GROUP BY 1, 2),
+s AS (SELECT *, plays / sum(plays) OVER (PARTITION BY month) AS share FROM g)
+SELECT month, genre, plays, share, lag(share) OVER (PARTITION BY genre ORDER BY month) AS prev_share,
+       share - lag(share) OVER (PARTITION BY genre ORDER BY month) AS delta
+FROM s""")
+
+oracle("r3_mood", """
+WITH e AS (
+  SELECT CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) IN (3, 4, 5) THEN 'spring'
+              WHEN month(ts) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season,
+         CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, value
+  FROM events)
+SELECT season, weekday, hour, GROUPING(season, weekday, hour) AS level, count(*) AS n_events,
+       CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean_value
+FROM e GROUP BY ROLLUP (season, weekday, hour)""")
+
+oracle("r4_silver", with_(TRACK_FEATURES) + """,
+st AS (SELECT min(energy) AS e0, max(energy) AS e1, min(valence) AS v0, max(valence) AS v1,
+              min(tempo) AS t0, max(tempo) AS t1 FROM tfeat),
+fam AS (SELECT * FROM (VALUES ('economy', 'value'), ('promo', 'value'), ('small', 'compact'),
+                              ('medium', 'compact'), ('large', 'full'), ('standard', 'full')) v(genre, family))
+SELECT f.genre, f.track_id, (f.energy - st.e0) / (st.e1 - st.e0) AS energy_n,
+       (f.valence - st.v0) / (st.v1 - st.v0) AS valence_n, (f.tempo - st.t0) / (st.t1 - st.t0) AS tempo_n,
+       coalesce(fam.family, 'other') AS family
+FROM tfeat f CROSS JOIN st LEFT JOIN fam ON fam.genre = f.genre""")
+
+oracle("r5_quality", with_(PLAYLISTS, TRACK_FEATURES) + """
+SELECT 'playlists.id unique' AS "check", coalesce((SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM playlists GROUP BY id) WHERE c > 1), 0) AS failed
+UNION ALL SELECT 'playlists.user_id not null', count(*) FILTER (WHERE user_id IS NULL) FROM playlists
+UNION ALL SELECT 'tracks.energy in [0,1]', count(*) FILTER (WHERE NOT (energy BETWEEN 0.0 AND 1.0)) FROM tfeat
+UNION ALL SELECT 'lineitem.partkey -> part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'orders.custkey -> customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+
+oracle("r6_score", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, TRACK_FEATURES) + f""",
+r6_capped AS (
+  SELECT h.*, c.year_min, c.year_max, c.track_limit, c.target_energy, c.target_valence, c.target_tempo,
+         CASE WHEN length(h.release_date) >= 4 THEN TRY_CAST(substr(h.release_date, 1, 4) AS INTEGER) END AS year
+  FROM hits h JOIN crit_table c ON c.request_id = h.request_id AND c.status = 'ok'
+  WHERE h.hit_rank <= 10 AND h.query_idx <= 6 AND h.status = 'ok' AND h.track_id IS NOT NULL),
+r6_dedup AS (
+  SELECT * FROM r6_capped WHERE {YEAR_OK}
+  QUALIFY row_number() OVER (PARTITION BY request_id, track_id ORDER BY query_idx, hit_rank) = 1),
+r6_terms AS (
+  SELECT d.*, (d.target_energy - f.energy) * (d.target_energy - f.energy) AS te,
+         (d.target_valence - f.valence) * (d.target_valence - f.valence) AS tv,
+         ((d.target_tempo - f.tempo) / 200.0) * ((d.target_tempo - f.tempo) / 200.0) AS tt
+  FROM r6_dedup d JOIN tfeat f ON f.track_id = d.track_id),
+r6_s AS (
+  SELECT *, CASE WHEN (CASE WHEN te IS NULL THEN 0 ELSE 1 END + CASE WHEN tv IS NULL THEN 0 ELSE 1 END
+                       + CASE WHEN tt IS NULL THEN 0 ELSE 1 END) > 0
+                 THEN (coalesce(te, 0.0) + coalesce(tv, 0.0) + coalesce(tt, 0.0))
+                      / (CASE WHEN te IS NULL THEN 0 ELSE 1 END + CASE WHEN tv IS NULL THEN 0 ELSE 1 END
+                         + CASE WHEN tt IS NULL THEN 0 ELSE 1 END)
+                 ELSE 0.0 END AS score
+  FROM r6_terms),
+r6_r AS (
+  SELECT request_id, track_id, score, track_limit,
+         CAST(row_number() OVER (PARTITION BY request_id ORDER BY score, coalesce(popularity, 0) DESC,
+                                 query_idx, hit_rank) AS INTEGER) AS position
+  FROM r6_s)
+SELECT request_id, track_id, score, position FROM r6_r WHERE position <= track_limit""")
+
+oracle("r7_dna", with_(ARTIST_ITEMS, TOP_RAW, W2, GENRES, FEATURES) + """,
+ph AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
+fav AS (SELECT user_id, hour AS fav_hour FROM ph
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, hour) = 1),
+tot AS (SELECT user_id, sum(n) AS n_events FROM ph GROUP BY user_id)
+SELECT t.user_id, t.n_events, f.fav_hour, g.genre AS top_genre, ft.energy, ft.valence, ft.tempo
+FROM tot t JOIN fav f USING (user_id)
+LEFT JOIN (SELECT user_id, genre FROM genres WHERE genre_rank = 1) g USING (user_id)
+LEFT JOIN feat ft USING (user_id)""")

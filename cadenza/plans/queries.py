@@ -26,6 +26,7 @@ from cadenza.operators import prompts as PR
 from cadenza.operators import reports as RP
 from cadenza.operators import search as C1
 from cadenza.operators import recommend as RC
+from cadenza.operators import marts as M
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -382,3 +383,54 @@ def g7_recommend_post(spark, d):
 def p8_f3b_params(spark, d):
     crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
     return RC.call_params(crit)
+
+
+# --------------------------------------------------------------------------
+# R1-R7 analytics marts
+# --------------------------------------------------------------------------
+
+@register("r1_profile_by_month")
+def r1_profile_by_month(spark, d):
+    return M.profile_by_month(S.line_features(spark, d))
+
+
+@register("r2_genre_evolution")
+def r2_genre_evolution(spark, d):
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_shipdate"])
+    plays = li.select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_partkey").alias("track_id"))
+    genres = S.track_features(spark, d).select("track_id", "genre")
+    return M.genre_evolution(plays, genres)
+
+
+@register("r3_mood")
+def r3_mood(spark, d):
+    return M.mood_patterns(read_table(spark, d, "events", ["ts", "value"]))
+
+
+@register("r4_silver")
+def r4_silver(spark, d):
+    return M.silver_tracks(S.track_features(spark, d), M.genre_lookup(spark))
+
+
+@register("r5_quality")
+def r5_quality(spark, d):
+    return M.quality_checks(S.playlists(spark, d), S.track_features(spark, d),
+                            read_table(spark, d, "lineitem", ["l_partkey"]),
+                            read_table(spark, d, "part", ["p_partkey"]),
+                            read_table(spark, d, "orders", ["o_custkey"]),
+                            read_table(spark, d, "customer", ["c_custkey"]))
+
+
+@register("r6_score")
+def r6_score(spark, d):
+    crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    kept = G1.filter_years(G1.by_request(_capped(spark, d)), crit)
+    out = M.score_candidates(G1.dedupe_hits(kept), crit, S.track_features(spark, d))
+    return out.select("request_id", "track_id", "score", "position")
+
+
+@register("r7_dna")
+def r7_dna(spark, d):
+    return M.music_dna(P.genre_ranking(_artists(spark, d)),
+                       P.feature_means(S.line_features(spark, d), S.users(spark, d)),
+                       read_table(spark, d, "events", ["user_id", "ts"]))

@@ -167,14 +167,15 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-listen audio features ``(user_id, energy, valence, danceability,
-    acousticness, tempo)`` from line items joined to their order's customer.
+    """Per-listen audio features ``(user_id, played_at, energy, valence,
+    danceability, acousticness, tempo)`` from line items joined to their order's customer.
     Zero discount / zero tax / quantity one stand for a missing value."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_discount", "l_tax", "l_quantity"])
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
         F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("played_at"),
         (F.nullif("l_discount", F.lit(0.0)) * 10).alias("energy"),
         (F.nullif("l_tax", F.lit(0.0)) * 12.5).alias("valence"),
         F.lit(None).cast("double").alias("danceability"),
