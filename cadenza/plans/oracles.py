@@ -759,3 +759,37 @@ SELECT t.user_id, t.n_events, f.fav_hour, g.genre AS top_genre, ft.energy, ft.va
 FROM tot t JOIN fav f USING (user_id)
 LEFT JOIN (SELECT user_id, genre FROM genres WHERE genre_rank = 1) g USING (user_id)
 LEFT JOIN feat ft USING (user_id)""")
+
+
+# --------------------------------------------------------------------------
+# X1-X4 streaming: batch equivalents (closed windows only)
+# --------------------------------------------------------------------------
+
+oracle("x1_ingest", """
+SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id, ts AS played_at
+FROM events""")
+
+oracle("x2_refresh", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GENRES, FEATURES, PROFILE) + """
+SELECT user_id, top_genres, top_artists, top_tracks, energy, valence, danceability, acousticness, tempo
+FROM prof WHERE user_id IN (SELECT user_id FROM events)""")
+
+oracle("x3_daily", """
+WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
+d AS (
+  SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+         event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total_value
+  FROM events GROUP BY 1, 2, 3)
+SELECT * FROM d WHERE window_end <= (SELECT wm FROM wm)""")
+
+oracle("x4_sessions", """
+WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
+e AS (
+  SELECT user_id, ts,
+         CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE
+              THEN 1 ELSE 0 END AS starts
+  FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
+g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
+      FROM s GROUP BY user_id, sid)
+SELECT * FROM g WHERE session_end <= (SELECT wm FROM wm)""")

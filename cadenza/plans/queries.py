@@ -27,6 +27,7 @@ from cadenza.operators import reports as RP
 from cadenza.operators import search as C1
 from cadenza.operators import recommend as RC
 from cadenza.operators import marts as M
+from cadenza.streaming import streams as X
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -434,3 +435,44 @@ def r7_dna(spark, d):
     return M.music_dna(P.genre_ranking(_artists(spark, d)),
                        P.feature_means(S.line_features(spark, d), S.users(spark, d)),
                        read_table(spark, d, "events", ["user_id", "ts"]))
+
+
+# --------------------------------------------------------------------------
+# X1-X4 streaming (run with availableNow into a sink, then read back)
+# --------------------------------------------------------------------------
+
+@register("x1_ingest")
+def x1_ingest(spark, d):
+    out = X.run_available(X.ingest_plays(X.event_stream(spark, d)), "x1_ingest")
+    return spark.read.parquet(out)
+
+
+def _g2_flat(p):
+    return p.select(
+        "user_id",
+        F.array_join("top_genres", ",").alias("top_genres"),
+        F.array_join(F.transform("top_artists", lambda a: a["name"]), ",").alias("top_artists"),
+        F.array_join(F.transform("top_tracks", lambda t: t["id"]), ",").alias("top_tracks"),
+        *_flat_features())
+
+
+@register("x2_refresh")
+def x2_refresh(spark, d):
+    def build(touched):
+        return _g2_flat(_profiles(spark, d).join(touched, "user_id", "left_semi"))
+    out = X.refresh_profiles(X.event_stream(spark, d), build)
+    written = spark.read.parquet(out).drop("batch")
+    latest = ST.upsert_latest(written.limit(0).drop("load_seq"), written, "user_id")
+    return latest.drop("load_seq")
+
+
+@register("x3_daily")
+def x3_daily(spark, d):
+    out = X.run_available(X.daily_counts(X.event_stream(spark, d)), "x3_daily")
+    return spark.read.parquet(out).withColumn("total_value", F.col("total_value").cast("double"))
+
+
+@register("x4_sessions")
+def x4_sessions(spark, d):
+    out = X.run_available(X.sessions(X.event_stream(spark, d)), "x4_sessions")
+    return spark.read.parquet(out)
