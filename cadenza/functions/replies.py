@@ -20,7 +20,7 @@ original parser took them), and whitespace trimming is ASCII-only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import (DEFAULT_DESCRIPTION, DEFAULT_LIMIT, DEFAULT_MARKET,
@@ -67,10 +67,11 @@ def _all_strings(v: Column, path: str) -> Column:
     return F.coalesce(F.forall(elems, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
 
 
-def typed_field(v: Column, name: str, kind: str, nullable: bool, lo, hi):
-    """(value, ok) for one criteria field."""
+def typed_field(v: Column, name: str, kind: str, nullable: bool, lo, hi, t: Column | None = None):
+    """(value, ok) for one criteria field; ``t`` is its type name if
+    already computed."""
     path = f"$.{name}"
-    t = _vtype(v, path)
+    t = _vtype(v, path) if t is None else t
     absent, void = t.isNull(), t == "VOID"
     default = DEFAULTS.get(name)
     if kind == "list":
@@ -100,19 +101,28 @@ def typed_field(v: Column, name: str, kind: str, nullable: bool, lo, hi):
     return F.when(ok, value), ok
 
 
-def criteria_attempt(raw_text: Column) -> Column:
-    """F1 + F2 + F3 for one attempt: a struct with every typed field, the
-    seed clamp applied, ``ok`` and the first ``error``."""
-    v = parse_reply(raw_text)
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+def typed_criteria(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """F1 + F2 + F3 for each reply row: adds struct column ``c`` with every
+    typed field (seed clamp applied), ``ok`` and the first ``error``.
+
+    The parse and each field's type name are computed once, each in its own
+    projection: the typing rules reference them many times from inside
+    CASE branches, where Spark does not share common sub-expressions, and
+    the optimizer keeps a non-trivial expression in its own projection
+    when it is used more than once."""
+    parsed = df.withColumn("_v", parse_reply(F.col(text_col)))
+    v = F.col("_v")
+    typed = parsed.select("*", *[_vtype(v, f"$.{name}").alias(f"_t_{name}") for name, *_ in CRITERIA_FIELDS],
+                          F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_obj"))
     values, errors, oks = {}, [], []
     for name, kind, nullable, lo, hi in CRITERIA_FIELDS:
-        value, ok = typed_field(v, name, kind, nullable, lo, hi)
+        value, ok = typed_field(v, name, kind, nullable, lo, hi, F.col(f"_t_{name}"))
         values[name] = value
         oks.append(ok)
         errors.append(F.when(~ok, F.lit(f"invalid:{name}")))
     genres, artists = clamp_seeds(values["seed_genres"], values["seed_artists"])
     values["seed_genres"], values["seed_artists"] = genres, artists
+    is_obj = F.col("_obj")
     all_ok = is_obj
     for ok in oks:
         all_ok = all_ok & ok
@@ -120,24 +130,23 @@ def criteria_attempt(raw_text: Column) -> Column:
              .when(~is_obj, F.lit("not_object"))
              .otherwise(F.coalesce(*errors)))
     fields = [values[n].alias("track_limit" if n == "limit" else n) for n, *_ in CRITERIA_FIELDS]
-    return F.struct(*fields, all_ok.alias("ok"), F.when(~all_ok, error).alias("error"))
+    out = typed.withColumn("c", F.struct(*fields, all_ok.alias("ok"), F.when(~all_ok, error).alias("error")))
+    return out.drop("_v", "_obj", *[f"_t_{name}" for name, *_ in CRITERIA_FIELDS])
 
 
-def query_list(raw_text: Column) -> Column:
-    """a list of strings keeps its first 6; anything else is the one
-    fallback query.  An empty list stays empty (the request then has no
-    tracks, P12)."""
-    v = parse_reply(raw_text)
+def query_list(v: Column) -> Column:
+    """F4 on a parsed reply ``v``: a list of strings keeps its first 6;
+    anything else is the one fallback query.  An empty list stays empty
+    (the request then has no tracks, P12)."""
     is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
     ok = is_list & _all_strings(v, "$")
     return F.when(ok, F.slice(F.try_variant_get(v, "$", "array<string>"), 1, MAX_QUERIES)) \
         .otherwise(F.array(F.lit(FALLBACK_QUERY)))
 
 
-def title_pair(raw_text: Column) -> Column:
-    """title and description of the parsed object, a default for an
-    absent key; an unparsable reply gives both defaults."""
-    v = parse_reply(raw_text)
+def title_pair(v: Column) -> Column:
+    """F5 on a parsed reply ``v``: title and description of the object, a
+    default for an absent key; an unparsable reply gives both defaults."""
     title = F.coalesce(F.try_variant_get(v, "$.title", "string"), F.lit(DEFAULT_TITLE))
     desc = F.coalesce(F.try_variant_get(v, "$.description", "string"), F.lit(DEFAULT_DESCRIPTION))
     return F.struct(title.alias("title"), desc.alias("description"))

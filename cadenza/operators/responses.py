@@ -12,16 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.replies import criteria_attempt, query_list, title_pair
+from cadenza.functions.replies import parse_reply, query_list, title_pair, typed_criteria
 
 MAX_ATTEMPTS = 3          # first try + two retries
 
 
 def typed_attempts(attempts: DataFrame) -> DataFrame:
     """F1 + F2 + F3 per criteria attempt: every field typed, ``ok``, ``error``."""
-    c = attempts.where(F.col("kind") == "criteria")
-    return c.select("request_id", "attempt", criteria_attempt(F.col("raw_text")).alias("c")) \
-        .select("request_id", "attempt", "c.*")
+    c = attempts.where(F.col("kind") == "criteria").select("request_id", "attempt", "raw_text")
+    return typed_criteria(c).select("request_id", "attempt", "c.*")
 
 
 def first_valid(typed: DataFrame) -> DataFrame:
@@ -55,13 +54,13 @@ def quarantine(attempts: DataFrame) -> DataFrame:
 
 def query_rows(attempts: DataFrame) -> DataFrame:
     """``(request_id, query_idx, query)``, query_idx 1-based, at most 6."""
-    q = attempts.where(F.col("kind") == "queries")
-    return q.select("request_id", F.posexplode(query_list(F.col("raw_text"))).alias("pos", "query")) \
+    q = attempts.where(F.col("kind") == "queries").select("request_id", parse_reply(F.col("raw_text")).alias("_v"))
+    return q.select("request_id", F.posexplode(query_list(F.col("_v"))).alias("pos", "query")) \
         .select("request_id", (F.col("pos") + 1).alias("query_idx"), "query")
 
 
 def titles(attempts: DataFrame) -> DataFrame:
     """``(request_id, title, description)``."""
-    t = attempts.where(F.col("kind") == "title")
-    return t.select("request_id", title_pair(F.col("raw_text")).alias("t")) \
+    t = attempts.where(F.col("kind") == "title").select("request_id", parse_reply(F.col("raw_text")).alias("_v"))
+    return t.select("request_id", title_pair(F.col("_v")).alias("t")) \
         .select("request_id", "t.title", "t.description")

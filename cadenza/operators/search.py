@@ -6,21 +6,30 @@ is therefore ours and stated here.  A query is split on whitespace
 
 - ``genre:X``   the track's genres contain X (all such tokens must hold);
 - ``artist:Y``  one of the track's artists is named Y (case-insensitive);
-- ``year:A-B`` / ``year:A``  the release year lies in [A, B];
+- ``year:A-B`` / ``year:A``  the release year lies in [A, B] (all must hold);
 - any other token is a free word that must occur among the words of the
   track name or album name.
 
 Hits are ordered by popularity descending, then track id; the first 10 are
 kept (W5).  A query without any token finds nothing.
 
-Plan: no cross join.  Each query picks one *anchor* token (first genre,
-else first artist, else first free word, else each year of its first year
-range); the catalogue is exploded into the same ``kind:token`` postings;
-an equi-join on the anchor gives candidate pairs and the remaining
-conditions are a residual filter.  A popular token (a genre held by a
-large share of the catalogue) is a skewed join key: AQE's skew-join
-splitting handles it without any cap on candidates.  The top-10 filter is
-planned as a WindowGroupLimit.
+Plan (no cross join, no cap on candidates):
+
+1. The catalogue becomes postings ``(token, track)`` with prefixed tokens
+   ``g:``/``a:``/``w:``/``y:``; token sizes come from a partial aggregate.
+2. Each query's *anchor* is its required token with the fewest postings
+   (every match must contain it).  Year-only queries anchor on each year
+   of their range.
+3. Pass 1 joins each anchored query with the 256 most popular postings of
+   its anchor only (``row_number() <= 256`` per token, a map-side
+   WindowGroupLimit, so a huge token costs 256 rows per map task).  Matches
+   are in posting order, so if pass 1 finds 10 matches they are the exact
+   top 10; it is also exact when the anchor has at most 256 postings.
+4. Pass 2 joins only the remaining queries with the full posting list of
+   their anchor (AQE splits a skewed token).
+
+The residual test is ``size(array_except(required, track_tokens)) = 0`` plus
+a year range, all codegen-able expressions (no lambdas per pair).
 """
 
 from __future__ import annotations
@@ -31,64 +40,88 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import HITS_PER_QUERY
 
 YEAR_RE = r"^year:([0-9]{4})(-([0-9]{4}))?$"
+FIRST_PASS = 256
+QKEY = ["request_id", "query_idx"]
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """Split ``(request_id, query_idx, query)`` into filter arrays."""
+    """``(request_id, query_idx, query)`` -> required tokens and year range."""
     toks = F.filter(F.split(F.trim(F.lower(F.col("query"))), r"\s+"), lambda t: F.length(t) > 0)
     is_year = lambda t: t.rlike(YEAR_RE)
-    genres = F.transform(F.filter(toks, lambda t: t.startswith("genre:")), lambda t: F.substring(t, 7, 1000))
-    artists = F.transform(F.filter(toks, lambda t: t.startswith("artist:")), lambda t: F.substring(t, 8, 1000))
-    years = F.transform(F.filter(toks, is_year), lambda t: F.struct(
-        F.regexp_extract(t, YEAR_RE, 1).cast("int").alias("lo"),
-        F.coalesce(F.nullif(F.regexp_extract(t, YEAR_RE, 3), F.lit("")), F.regexp_extract(t, YEAR_RE, 1))
-         .cast("int").alias("hi")))
-    words = F.filter(toks, lambda t: ~(t.startswith("genre:") | t.startswith("artist:") | is_year(t)))
-    return queries.select("request_id", "query_idx", genres.alias("q_genres"), artists.alias("q_artists"),
-                          years.alias("q_years"), words.alias("q_words"))
-
-
-def _anchors(parsed: DataFrame) -> DataFrame:
-    first_year = F.get(F.col("q_years"), 0)
-    year_keys = F.when(first_year.isNotNull(), F.transform(
-        F.sequence(first_year["lo"], F.greatest(first_year["lo"], first_year["hi"])),
-        lambda y: F.concat(F.lit("y:"), y.cast("string"))))
-    anchor = F.coalesce(
-        F.when(F.size("q_genres") > 0, F.array(F.concat(F.lit("g:"), F.get(F.col("q_genres"), 0)))),
-        F.when(F.size("q_artists") > 0, F.array(F.concat(F.lit("a:"), F.get(F.col("q_artists"), 0)))),
-        F.when(F.size("q_words") > 0, F.array(F.concat(F.lit("w:"), F.get(F.col("q_words"), 0)))),
-        year_keys)
-    return parsed.select("*", F.explode(anchor).alias("token"))
-
-
-def _postings(catalogue: DataFrame) -> DataFrame:
-    names = F.transform("artists", lambda a: F.lower(a["name"]))
-    words = F.array_distinct(F.filter(
-        F.split(F.lower(F.concat_ws(" ", F.col("name"), F.col("album.name"))), r"\s+"),
-        lambda w: F.length(w) > 0))
+    genres = F.transform(F.filter(toks, lambda t: t.startswith("genre:")),
+                         lambda t: F.concat(F.lit("g:"), F.substring(t, 7, 1000)))
+    artists = F.transform(F.filter(toks, lambda t: t.startswith("artist:")),
+                          lambda t: F.concat(F.lit("a:"), F.substring(t, 8, 1000)))
+    words = F.transform(F.filter(toks, lambda t: ~(t.startswith("genre:") | t.startswith("artist:") | is_year(t))),
+                        lambda t: F.concat(F.lit("w:"), t))
+    years = F.filter(toks, is_year)
+    lo = F.transform(years, lambda t: F.regexp_extract(t, YEAR_RE, 1).cast("int"))
+    hi = F.transform(years, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, YEAR_RE, 3), F.lit("")),
+                                                 F.regexp_extract(t, YEAR_RE, 1)).cast("int"))
+    return queries.select(*QKEY, F.array_distinct(F.concat(genres, artists, words)).alias("required"),
+                          F.array_max(lo).alias("y_lo"), F.array_min(hi).alias("y_hi"),
+                          F.size(toks).alias("n_tokens"))
+
+
+def postings(catalogue: DataFrame) -> DataFrame:
+    """``(token, track_id, popularity, t_tokens, t_year)``, one row per
+    distinct token of a track."""
+    names = F.transform("artists", lambda a: F.concat(F.lit("a:"), F.lower(a["name"])))
+    words = F.transform(F.filter(F.split(F.lower(F.concat_ws(" ", F.col("name"), F.col("album.name"))), r"\s+"),
+                                 lambda w: F.length(w) > 0), lambda w: F.concat(F.lit("w:"), w))
+    genres = F.transform("genres", lambda g: F.concat(F.lit("g:"), F.lower(g)))
     year = F.col("album.release_date").substr(1, 4).try_cast("int")
-    tracks = catalogue.select("track_id", "popularity", names.alias("t_artists"), words.alias("t_words"),
-                              F.transform("genres", lambda g: F.lower(g)).alias("t_genres"), year.alias("t_year"))
-    tokens = F.array_distinct(F.concat(
-        F.transform("t_genres", lambda g: F.concat(F.lit("g:"), g)),
-        F.transform("t_artists", lambda a: F.concat(F.lit("a:"), a)),
-        F.transform("t_words", lambda w: F.concat(F.lit("w:"), w)),
-        F.array(F.concat(F.lit("y:"), F.col("t_year").cast("string")))))
-    return tracks.select("*", F.explode(tokens).alias("token"))
-
-
-def matches(parsed: DataFrame, postings: DataFrame) -> DataFrame:
-    """Candidate (query, track) pairs that satisfy every condition."""
-    j = _anchors(parsed).join(postings, "token")
-    ok = (F.forall("q_genres", lambda g: F.array_contains("t_genres", g))
-          & F.forall("q_artists", lambda a: F.array_contains("t_artists", a))
-          & F.forall("q_words", lambda w: F.array_contains("t_words", w))
-          & F.forall("q_years", lambda r: (F.col("t_year") >= r["lo"]) & (F.col("t_year") <= r["hi"])))
-    return j.where(ok).select("request_id", "query_idx", "track_id", "popularity")
+    t = catalogue.select("track_id", "popularity", F.array_distinct(F.concat(genres, names, words)).alias("t_tokens"),
+                         year.alias("t_year"))
+    keys = F.concat("t_tokens", F.array(F.concat(F.lit("y:"), F.col("t_year").cast("string"))))
+    return t.select("*", F.explode(keys).alias("token"))
+
+
+def _anchor(parsed: DataFrame, stats: DataFrame) -> DataFrame:
+    """Token queries: the required token with the fewest postings.
+    Year-only queries: every year of the range (``anchor_n`` NULL)."""
+    tok = parsed.where(F.size("required") > 0).select(*QKEY, F.explode("required").alias("token"))
+    sized = tok.join(stats, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = sized.groupBy(*QKEY).agg(F.min_by(F.struct("token", "n"), F.struct("n", "token")).alias("_a")) \
+        .select(*QKEY, F.col("_a.token").alias("token"), F.col("_a.n").alias("anchor_n"))
+    token_q = parsed.join(best, QKEY)
+    year_q = parsed.where((F.size("required") == 0) & F.col("y_lo").isNotNull() & (F.col("y_lo") <= F.col("y_hi"))) \
+        .select("*", F.explode(F.transform(F.sequence("y_lo", "y_hi"),
+                                           lambda y: F.concat(F.lit("y:"), y.cast("string")))).alias("token"),
+                F.lit(None).cast("long").alias("anchor_n"))
+    return token_q.unionByName(year_q)
+
+
+def _match(anchored: DataFrame, post: DataFrame) -> DataFrame:
+    j = anchored.join(post, "token")
+    ok = (F.size(F.array_except("required", "t_tokens")) == 0) \
+        & (F.col("y_lo").isNull() | (F.col("t_year") >= F.col("y_lo"))) \
+        & (F.col("y_hi").isNull() | (F.col("t_year") <= F.col("y_hi")))
+    return j.where(ok).select(*QKEY, "anchor_n", "track_id", "popularity")
+
+
+def _top(matches: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*QKEY).orderBy(F.desc("popularity"), "track_id")
+    return matches.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= HITS_PER_QUERY)
 
 
 def search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``(request_id, query_idx, hit_rank, track_id, popularity)``."""
-    m = matches(parse_queries(queries), _postings(catalogue))
-    w = Window.partitionBy("request_id", "query_idx").orderBy(F.desc("popularity"), "track_id")
-    return m.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= HITS_PER_QUERY)
+    post = postings(catalogue)
+    stats = post.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    anchored = _anchor(parse_queries(queries), stats)
+    # Pass 1: token-anchored queries against the head of their anchor's list.
+    head = post.withColumn("_r", F.row_number().over(
+        Window.partitionBy("token").orderBy(F.desc("popularity"), "track_id"))).where(F.col("_r") <= FIRST_PASS)
+    first = _match(anchored.where(F.col("anchor_n").isNotNull()), head.drop("_r"))
+    counted = first.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*QKEY)))
+    done = counted.where((F.col("_found") >= HITS_PER_QUERY) | (F.col("anchor_n") <= FIRST_PASS))
+    exact_first = _top(done.drop("_found"))
+    # Pass 2: the rest (long anchor lists with < 10 matches in the head, and
+    # year-only queries) against the full list.
+    settled = done.select(*QKEY).distinct()
+    rest = anchored.where(F.col("anchor_n").isNull() | (F.col("anchor_n") > FIRST_PASS)) \
+        .join(settled, QKEY, "left_anti")
+    second = _top(_match(rest, post))
+    cols = [*QKEY, "hit_rank", "track_id", "popularity"]
+    return exact_first.select(*cols).unionByName(second.select(*cols))
