@@ -30,12 +30,12 @@ TRACK_LINK_BASE = "https://open.example.com/track/"
 
 # Characters Python's str.strip() removes in ASCII text; Spark's one-argument
 # trim only removes spaces.
-_WS = "[ \\t\\n\\r\\f\\x0B]"
+WHITESPACE = " \t\n\r\f\x0b"
 
 
 def strip_ws(c: Column) -> Column:
     """Trim leading/trailing whitespace the way ``str.strip()`` does (ASCII)."""
-    return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def year_of(release_date: Column) -> Column:

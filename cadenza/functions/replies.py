@@ -29,7 +29,7 @@ from cadenza.functions.columns import (DEFAULT_DESCRIPTION, DEFAULT_LIMIT, DEFAU
 
 INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 NUM_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-_NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
+_NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 # (field, kind, nullable, lower bound, upper bound) in the model's order.
 CRITERIA_FIELDS = [
@@ -59,12 +59,18 @@ def _vtype(v: Column, path: str) -> Column:
 
 
 def _is_numeric(t: Column) -> Column:
-    return F.regexp_extract(t, r"^([A-Z]+)", 1).isin(*_NUMERIC)
+    return t.isin(*_NUMERIC) | t.startswith("DECIMAL")
 
 
-def _all_strings(v: Column, path: str) -> Column:
-    elems = F.try_variant_get(v, path, "array<variant>")
-    return F.coalesce(F.forall(elems, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
+def _string_list(v: Column, path: str, t: Column) -> Column:
+    """True when the value is an array whose elements are all strings.
+    The array's own type name says so (``ARRAY<STRING>``; ``ARRAY<VOID>``
+    when empty) except for null elements, which merge into either type, so
+    those are checked on the cast list."""
+    arr = F.try_variant_get(v, path, "array<string>")
+    no_nulls = F.size(arr) == F.size(F.array_compact(arr))
+    return F.coalesce(((t == "ARRAY<STRING>") & no_nulls) | ((t == "ARRAY<VOID>") & (F.size(arr) == 0)),
+                      F.lit(False))
 
 
 def typed_field(v: Column, name: str, kind: str, nullable: bool, lo, hi, t: Column | None = None):
@@ -77,7 +83,7 @@ def typed_field(v: Column, name: str, kind: str, nullable: bool, lo, hi, t: Colu
     if kind == "list":
         value = F.when(absent, F.array().cast("array<string>")).otherwise(
             F.try_variant_get(v, path, "array<string>"))
-        ok = absent | (t.startswith("ARRAY") & _all_strings(v, path))
+        ok = absent | _string_list(v, path, t)
     elif kind == "str":
         value = F.when(absent, F.lit(default)).otherwise(F.try_variant_get(v, path, "string"))
         ok = absent | (t == "STRING")
@@ -138,8 +144,7 @@ def query_list(v: Column) -> Column:
     """F4 on a parsed reply ``v``: a list of strings keeps its first 6;
     anything else is the one fallback query.  An empty list stays empty
     (the request then has no tracks, P12)."""
-    is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-    ok = is_list & _all_strings(v, "$")
+    ok = _string_list(v, "$", F.schema_of_variant(v))
     return F.when(ok, F.slice(F.try_variant_get(v, "$", "array<string>"), 1, MAX_QUERIES)) \
         .otherwise(F.array(F.lit(FALLBACK_QUERY)))
 
