@@ -37,18 +37,22 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                      "l_linestatus", "l_shipdate"])
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    return li.select(
+    named = li.select(
         F.col("l_orderkey").alias("request_id"),
         F.col("l_linenumber").alias("query_idx"),
-        F.row_number().over(order).alias("hit_rank"),
         F.lit("ok").alias("status"),
         F.col("l_partkey").alias("track_id"),
         F.col("l_quantity").cast("int").alias("popularity"),
         _release_text(F.col("l_shipdate"), F.col("l_suppkey")).alias("release_date"),
-    )
+        "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus")
+    # Keyed by the output names, so filters on request/query push through
+    # the window down to the scan.
+    order = Window.partitionBy("request_id", "query_idx").orderBy(
+        F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    return named.select("request_id", "query_idx", F.row_number().over(order).alias("hit_rank"), "status",
+                        "track_id", "popularity", "release_date")
 
 
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
