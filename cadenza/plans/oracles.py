@@ -793,3 +793,17 @@ s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDE
 g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
       FROM s GROUP BY user_id, sid)
 SELECT * FROM g WHERE session_end <= (SELECT wm FROM wm)""")
+
+
+# --------------------------------------------------------------------------
+# S5 append rows, S13 JSON edge
+# --------------------------------------------------------------------------
+
+oracle("s5_append", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, G3) + """,
+h AS (SELECT *, sha256('playlist:' || request_id) AS hx FROM g3 WHERE status = 'ok')
+SELECT substr(hx, 1, 8) || '-' || substr(hx, 9, 4) || '-' || substr(hx, 13, 4) || '-' || substr(hx, 17, 4)
+       || '-' || substr(hx, 21, 12) AS id, request_id, title, track_count
+FROM h""")
+
+oracle("s13_json_edge", with_(HITS, CRITERIA, CAPPED, TOPN) + """
+SELECT request_id, CAST(count(*) AS INTEGER) AS n_tracks, true AS roundtrip_ok FROM topn GROUP BY request_id""")

@@ -28,6 +28,7 @@ from cadenza.operators import search as C1
 from cadenza.operators import recommend as RC
 from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
+from cadenza.sources import bronze as BZ
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -462,7 +463,8 @@ def x2_refresh(spark, d):
         return _g2_flat(_profiles(spark, d).join(touched, "user_id", "left_semi"))
     out = X.refresh_profiles(X.event_stream(spark, d), build)
     written = spark.read.parquet(out).drop("batch")
-    latest = ST.upsert_latest(written.limit(0).drop("load_seq"), written, "user_id")
+    stored = spark.createDataFrame([], written.drop("load_seq").schema)
+    latest = ST.upsert_latest(stored, written, "user_id")
     return latest.drop("load_seq")
 
 
@@ -476,3 +478,24 @@ def x3_daily(spark, d):
 def x4_sessions(spark, d):
     out = X.run_available(X.sessions(X.event_stream(spark, d)), "x4_sessions")
     return spark.read.parquet(out)
+
+
+# --------------------------------------------------------------------------
+# S5 append rows, S13 JSON edge
+# --------------------------------------------------------------------------
+
+@register("s5_append")
+def s5_append(spark, d):
+    built = _g3(spark, d).where(F.col("status") == "ok")
+    rows = ST.new_playlist_rows(built)
+    return rows.select("id", "request_id", "title", "track_count")
+
+
+@register("s13_json_edge")
+def s13_json_edge(spark, d):
+    lists = _candidate_lists(spark, d)
+    encoded = BZ.to_bronze(lists)
+    decoded = BZ.from_bronze(encoded, lists.schema)
+    j = decoded.join(lists.withColumnRenamed("tracks", "orig"), "request_id")
+    return j.select("request_id", F.size("tracks").alias("n_tracks"),
+                    (F.col("tracks") == F.col("orig")).alias("roundtrip_ok"))
