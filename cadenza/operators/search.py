@@ -15,6 +15,8 @@ kept (W5).  A query without any token finds nothing.
 
 Plan (no cross join, no cap on candidates):
 
+0. Hits depend on the query text only: each distinct text is searched
+   once and its <= 10 hits are joined back to the query rows.
 1. The catalogue becomes postings ``(token, track)`` with prefixed tokens
    ``g:``/``a:``/``w:``/``y:``; token sizes come from a partial aggregate.
 2. Each query's *anchor* is its required token with the fewest postings
@@ -41,11 +43,11 @@ from cadenza.functions.columns import HITS_PER_QUERY
 
 YEAR_RE = r"^year:([0-9]{4})(-([0-9]{4}))?$"
 FIRST_PASS = 256
-QKEY = ["request_id", "query_idx"]
+QKEY = ["query"]   # results depend on the query text only
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """``(request_id, query_idx, query)`` -> required tokens and year range."""
+    """``(query)`` -> required tokens and year range."""
     toks = F.filter(F.split(F.trim(F.lower(F.col("query"))), r"\s+"), lambda t: F.length(t) > 0)
     is_year = lambda t: t.rlike(YEAR_RE)
     genres = F.transform(F.filter(toks, lambda t: t.startswith("genre:")),
@@ -106,10 +108,22 @@ def _top(matches: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``(request_id, query_idx, hit_rank, track_id, popularity)``."""
+    """``(request_id, query_idx, hit_rank, track_id, popularity)``.
+
+    The hits of a query depend on its text only, and texts repeat (popular
+    searches), so each distinct text is searched once and its <= 10 hits
+    are joined back to the query rows."""
+    texts = queries.select("query").distinct()
+    hits = search_texts(texts, catalogue)
+    return queries.select("request_id", "query_idx", "query").join(hits, "query") \
+        .select("request_id", "query_idx", "hit_rank", "track_id", "popularity")
+
+
+def search_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Top-10 hits per distinct query text ``(query, hit_rank, track_id, popularity)``."""
     post = postings(catalogue)
     stats = post.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    anchored = _anchor(parse_queries(queries), stats)
+    anchored = _anchor(parse_queries(texts), stats)
     # Pass 1: token-anchored queries against the head of their anchor's list.
     head = post.withColumn("_r", F.row_number().over(
         Window.partitionBy("token").orderBy(F.desc("popularity"), "track_id"))).where(F.col("_r") <= FIRST_PASS)
