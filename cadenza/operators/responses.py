@@ -42,8 +42,9 @@ def first_valid(typed: DataFrame) -> DataFrame:
 
 
 def criteria_table(attempts: DataFrame) -> DataFrame:
-    """L4: one row per request, ``status`` ok/failed."""
-    return first_valid(typed_attempts(attempts))
+    """L4: one row per request, ``status`` ok/failed.  Attempts past the
+    third are never made, so they are dropped before the typing work."""
+    return first_valid(typed_attempts(attempts.where(F.col("attempt") <= MAX_ATTEMPTS)))
 
 
 def quarantine(attempts: DataFrame) -> DataFrame:
