@@ -807,3 +807,14 @@ FROM h""")
 
 oracle("s13_json_edge", with_(HITS, CRITERIA, CAPPED, TOPN) + """
 SELECT request_id, CAST(count(*) AS INTEGER) AS n_tracks, true AS roundtrip_ok FROM topn GROUP BY request_id""")
+
+oracle("x4_sessions_batch", """
+WITH e AS (
+  SELECT user_id, ts,
+         CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE
+              THEN 1 ELSE 0 END AS starts, event_id
+  FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
+FROM s GROUP BY user_id, sid""")

@@ -29,6 +29,7 @@ from cadenza.operators import recommend as RC
 from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
 from cadenza.sources import bronze as BZ
+from cadenza.operators import sessions as SE
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -499,3 +500,9 @@ def s13_json_edge(spark, d):
     j = decoded.join(lists.withColumnRenamed("tracks", "orig"), "request_id")
     return j.select("request_id", F.size("tracks").alias("n_tracks"),
                     (F.col("tracks") == F.col("orig")).alias("roundtrip_ok"))
+
+
+@register("x4_sessions_batch")
+def x4_sessions_batch(spark, d):
+    ev = read_table(spark, d, "events", ["user_id", "ts", "event_id"])
+    return SE.sessions(ev)
