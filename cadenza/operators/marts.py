@@ -67,19 +67,19 @@ def silver_tracks(track_features: DataFrame, spark_lookup: DataFrame) -> DataFra
     """One row per track (latest wins on repeated ids), min-max
     normalised features, genre family from the taxonomy lookup.
 
-    The min/max statistics are a one-row aggregate; it is joined on a
-    constant key, so the broadcast side has exactly one row.  The taxonomy
-    is a fixed table of a few rows, also broadcast."""
+    The minima and maxima are scalar subqueries (Spark merges them into one
+    global aggregate, partial per task, and uses the values as constants);
+    the taxonomy is a fixed table of a few rows, broadcast."""
     cols = [c for c in track_features.columns if c != "track_id"]
     one = track_features.groupBy("track_id").agg(F.max_by(F.struct(*cols), F.struct(*cols)).alias("_t")) \
         .select("track_id", "_t.*")
     feats = ["energy", "valence", "tempo"]
-    stats = one.agg(*[F.min(c).alias(f"{c}_min") for c in feats], *[F.max(c).alias(f"{c}_max") for c in feats]) \
-        .withColumn("_k", F.lit(1))
-    j = one.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")
-    normed = [F.try_divide(F.col(c) - F.col(f"{c}_min"), F.col(f"{c}_max") - F.col(f"{c}_min")).alias(f"{c}_n")
-              for c in feats]
-    out = j.select("track_id", "genre", *normed)
+    normed = []
+    for c in feats:
+        lo = one.select(F.min(c)).scalar()
+        hi = one.select(F.max(c)).scalar()
+        normed.append(F.try_divide(F.col(c) - lo, hi - lo).alias(f"{c}_n"))
+    out = one.select("track_id", "genre", *normed)
     return out.join(F.broadcast(spark_lookup), "genre", "left") \
         .withColumn("family", F.coalesce("family", F.lit("other")))
 
