@@ -461,7 +461,13 @@ def _g2_flat(p):
 @register("x2_refresh")
 def x2_refresh(spark, d):
     def build(touched):
-        return _g2_flat(_profiles(spark, d).join(touched, "user_id", "left_semi"))
+        # Only the touched users' inputs are read into the rebuild.
+        def only(df):
+            return df.join(touched, "user_id", "left_semi")
+        prof = P.build_profiles(only(S.top_items_raw(spark, d)), S.track_items(spark, d),
+                                S.artist_items(spark, d), only(S.line_features(spark, d)),
+                                only(S.users(spark, d)), F.current_timestamp())
+        return _g2_flat(prof)
     out = X.refresh_profiles(X.event_stream(spark, d), build)
     written = spark.read.parquet(out).drop("batch")
     stored = spark.createDataFrame([], written.drop("load_seq").schema)
