@@ -38,10 +38,8 @@ def test_filters_reach_the_scan(spark, sf_small):
     assert "LessThanOrEqual(l_linenumber,6)" in text
 
 
-@pytest.mark.parametrize("name", ["c1_search", "g3_playlists", "r6_score", "s6_history", "x3_daily"])
+@pytest.mark.parametrize("name", ["c1_search", "g3_playlists", "r4_silver", "r6_score", "s6_history"])
 def test_no_cross_joins(spark, sf_small, name):
-    if name == "x3_daily":
-        pytest.skip("streaming query runs eagerly; covered by the oracle check")
     text = inspect.plan_text(REGISTRY[name](spark, sf_small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
@@ -49,3 +47,13 @@ def test_no_cross_joins(spark, sf_small, name):
 def test_profile_caps_are_map_side(spark, sf_small):
     assert inspect.has_partial_group_limit(REGISTRY["w1_top_tracks"](spark, sf_small))
     assert inspect.has_partial_group_limit(REGISTRY["w3_recent_plays"](spark, sf_small))
+
+
+def test_search_head_pass_is_map_side(spark, sf_small):
+    assert inspect.has_partial_group_limit(REGISTRY["c1_search"](spark, sf_small))
+
+
+def test_batch_sessions_never_cluster_a_user(spark, sf_small):
+    text = inspect.plan_text(REGISTRY["x4_sessions_batch"](spark, sf_small))
+    assert "rangepartitioning(user_id" in text
+    assert "hashpartitioning(user_id" not in text
