@@ -715,7 +715,7 @@ SELECT f.genre, f.track_id, (f.energy - st.e0) / (st.e1 - st.e0) AS energy_n,
 FROM tfeat f CROSS JOIN st LEFT JOIN fam ON fam.genre = f.genre""")
 
 oracle("r5_quality", with_(PLAYLISTS, TRACK_FEATURES) + """
-SELECT 'playlists.id unique' AS "check", coalesce((SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM playlists GROUP BY id) WHERE c > 1), 0) AS failed
+SELECT 'playlists.id unique' AS "check", CAST(coalesce((SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM playlists GROUP BY id) WHERE c > 1), 0) AS BIGINT) AS failed
 UNION ALL SELECT 'playlists.user_id not null', count(*) FILTER (WHERE user_id IS NULL) FROM playlists
 UNION ALL SELECT 'tracks.energy in [0,1]', count(*) FILTER (WHERE NOT (energy BETWEEN 0.0 AND 1.0)) FROM tfeat
 UNION ALL SELECT 'lineitem.partkey -> part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
@@ -754,7 +754,7 @@ oracle("r7_dna", with_(ARTIST_ITEMS, TOP_RAW, W2, GENRES, FEATURES) + """,
 ph AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
 fav AS (SELECT user_id, hour AS fav_hour FROM ph
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, hour) = 1),
-tot AS (SELECT user_id, sum(n) AS n_events FROM ph GROUP BY user_id)
+tot AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n_events FROM ph GROUP BY user_id)
 SELECT t.user_id, t.n_events, f.fav_hour, g.genre AS top_genre, ft.energy, ft.valence, ft.tempo
 FROM tot t JOIN fav f USING (user_id)
 LEFT JOIN (SELECT user_id, genre FROM genres WHERE genre_rank = 1) g USING (user_id)
