@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import DEFAULT_TITLE, strip_ws  # noqa: F401
+from cadenza.functions.columns import strip_ws
 
 MIN_PROMPT, MAX_PROMPT = 5, 500
 NOT_AVAILABLE = "not available"

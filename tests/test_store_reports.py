@@ -101,3 +101,15 @@ def test_criteria_context(spark):
     assert ctx[1].startswith("No listening profile.")
     assert "Top artists: not available" in ctx[2] and "Top tracks: song\n" in ctx[2]
     assert "a19" in ctx[3] and "a20" not in ctx[3]
+
+
+def test_tables_created_once_and_snapshots_never_overwrite(spark):
+    import os
+    import tempfile
+    root = tempfile.mkdtemp(prefix="cadenza-test-store-", dir="/tmp")
+    first = store.ensure_tables(spark, root)
+    again = store.ensure_tables(spark, root)
+    assert first == again and spark.read.parquet(first["playlists"]).count() == 0
+    a = store.write_snapshot(_playlists(spark), "playlists", root)
+    b = store.write_snapshot(_playlists(spark), "playlists", root)
+    assert a != b and os.path.isdir(a) and spark.read.parquet(b).count() == 2
