@@ -34,6 +34,7 @@ HEADLINE = [
     "r3_mood",
     "r6_score",
     "x3_daily",             # streaming, availableNow
+    "x4_sessions_batch",    # range-partitioned sessionization
 ]
 
 
