@@ -7,7 +7,26 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import simhash
+from . import bpe, records, simhash
+from .common import shared_path
+
+#: Rows and bytes of an Arrow batch: what a Python worker holds at a time.
+ARROW_ROWS, ARROW_BYTES = "2000", str(32 << 20)
+
+
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    # ids of this vocabulary (50,257) fit into two bytes
+    manifest = records.write_texts(spark, docs, shared_path(spark, "records"), width=2)
+    rows = records.with_start(records.read_records(manifest), manifest)
+    return rows.select(F.col("id").alias("doc_id"), "start",
+                       (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return bpe.digests(bpe.encode_decode(docs))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +36,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def _with_batches(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return query(spark, sf_dir)
+    return run
+
+
 QUERIES = {
+    "op8_records": op8_records,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 
-
-
+QUERIES = {name: _with_batches(query) for name, query in QUERIES.items()}
