@@ -1,3 +1,51 @@
 """DuckDB SQL for the queries of this folder that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"[ \t\n\v\f\r]"
+
+LINES = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+), pos AS (
+  SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5
+), win AS (
+  SELECT rid, i, ws[i:i + 4] AS g FROM pos
+), twice AS (
+  SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
+), rep AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid
+), firsts AS (
+  SELECT DISTINCT rid, unnest(ls) AS line FROM w
+), bare AS (
+  SELECT rid, line, regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS b FROM firsts
+), good AS (
+  SELECT rid, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM bare
+  WHERE right(b, 1) IN ('.', '!', '?', '…', ':', ';', '"', '''', '”', '’', '»', ')', '。', '！', '？')
+    AND len(regexp_extract_all(b, '[#*$%&|<>]')) * 20 <= length(b)
+    AND NOT (len(regexp_extract_all(b, '!')) >= 3 AND len(regexp_extract_all(b, '!')) * 20 > length(b))
+    AND len(regexp_extract_all(b, '[|»›•]')) < 2
+    AND NOT (length(b) <= 24 AND regexp_matches(b, '(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|contact( us)?|about( us)?|sitemap|next|previous|back|top|more|read more|share|print|help|faq|accueil|connexion|startseite|anmelden|inicio|buscar)\W*$'))
+    AND NOT regexp_matches(b, '(?i)(licensed under|all rights reserved|copyright|terms of (use|service)|privacy policy|cookies? policy|uses? cookies|creative commons|general public license|subscribe to our|powered by|tous droits réservés|alle rechte vorbehalten|todos los derechos)')
+  GROUP BY rid
+), c AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, coalesce(good.n, 0) AS n_kept_words
+  FROM w LEFT JOIN rep USING (rid) LEFT JOIN good USING (rid)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND n_kept_words >= 10 AND 100 * n_kept_words >= 50 * n_words AS kept
+FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_lines": LINES,
+}

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import bpe, records, simhash
+from . import bpe, lines, records, simhash
 from .common import shared_path
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds at a time.
 ARROW_ROWS, ARROW_BYTES = "2000", str(32 << 20)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return lines.clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                          "n_repeat_words", "base_failed", "kept")
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     # ids of this vocabulary (50,257) fit into two bytes
@@ -45,6 +51,7 @@ def _with_batches(query):
 
 
 QUERIES = {
+    "op5_lines": op5_lines,
     "op8_records": op8_records,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
