@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import bpe, lines, records, simhash
+from . import bpe, lines, quality, records, simhash
 from .common import shared_path
+from .learn import fold
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds at a time.
 ARROW_ROWS, ARROW_BYTES = "2000", str(32 << 20)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).filter(fold(F.col("doc_id"), 3) != 1)
+    return quality.quality(docs, labels).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return lines.clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -51,6 +59,7 @@ def _with_batches(query):
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op5_lines": op5_lines,
     "op8_records": op8_records,
     "op9_bpe": op9_bpe,
