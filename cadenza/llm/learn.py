@@ -19,8 +19,9 @@ def fold(id_col: Column, folds: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str,
                     per_class: int = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES):
-    """(texts as bytes, labels) of at most ``per_class`` documents of either
-    class, the first by a hash of doc_id.
+    """(texts as bytes, labels, weights) of at most ``per_class`` documents of
+    either class, the first by a hash of doc_id.  A weight is the number of
+    labelled documents that one of its class stands for.
 
     ``labels`` holds doc_id and ``label_col``; null labels are left out, and so
     are ids whose labels disagree and texts over ``max_bytes``.
@@ -29,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str,
              .groupBy(F.col("doc_id").alias("__id"))
              .agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__high"))
              .filter("__label = __high").select("__id", "__label", F.xxhash64("__id").alias("__h")))
-    rows = []
+    rows, total = [], dict(clear.groupBy("__label").count().collect())
     for label in (0, 1):
         chosen = clear.filter(F.col("__label") == label).orderBy("__h", "__id").limit(per_class)
         found = (docs.filter(F.octet_length("text") <= max_bytes)
@@ -37,7 +38,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str,
                  .groupBy("__id", "__label").agg(F.min("text").alias("text")))
         rows += [(r["__id"], r["text"].encode(), label) for r in found.collect()]
     rows.sort()
-    return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+    y = np.array([r[2] for r in rows], np.int64)
+    weight = np.array([total.get(k, 0) for k in (0, 1)]) / np.maximum(1, np.bincount(y, minlength=2))
+    return [r[1] for r in rows], y, weight[y]
 
 
 class Adam:
@@ -59,12 +62,12 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+def fit_temperature(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
     """The temperature of lowest log loss on held-back rows, by golden section
     over its logarithm."""
     def loss(t):
         z = logits / np.exp(t)
-        return float(np.mean(np.logaddexp(0, z) - labels * z))
+        return float(np.mean(weight * (np.logaddexp(0, z) - labels * z)))
     lo, hi, g = -3.0, 3.0, (np.sqrt(5) - 1) / 2
     for _ in range(60):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)

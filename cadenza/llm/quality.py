@@ -112,7 +112,7 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     return np.hstack([mean, np.sqrt(np.maximum(square / size - mean ** 2, 0))])
 
 
-def train(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray] | None:
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray] | None:
     """Network on pooled vectors; every fifth row is held back for the
     temperature.  None without both classes."""
     if len(set(y.tolist())) < 2:
@@ -122,18 +122,19 @@ def train(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray] | None:
     held, use = order[::5], np.setdiff1d(order, order[::5])
     mean, scale = x[use].mean(0), x[use].std(0) + 1e-6
     z = (x - mean) / scale
+    weight = weight / weight.mean()
     p = {"a": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN),
          "c": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "d": np.zeros(1)}
     adam = Adam(p, 0.005)
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(use), max(1, len(use) // 64)):
             h = np.tanh(z[rows] @ p["a"] + p["b"])
-            err = (sigmoid(h @ p["c"] + p["d"]) - y[rows]) / len(rows)
+            err = weight[rows] * (sigmoid(h @ p["c"] + p["d"]) - y[rows]) / len(rows)
             back = np.outer(err, p["c"]) * (1 - h * h)
             adam.update({"a": z[rows].T @ back, "b": back.sum(0), "c": h.T @ err, "d": err.sum(keepdims=True)}, 1e-3)
     model = {**p, "mean": mean, "scale": scale, "t": np.ones(1)}
     if len(set(y[held].tolist())) == 2:
-        model["t"] = np.array([fit_temperature(logits(model, x[held]), y[held])])
+        model["t"] = np.array([fit_temperature(logits(model, x[held]), y[held], weight[held])])
     return model
 
 
@@ -164,7 +165,7 @@ def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataF
     """
     plain = docs.select("doc_id", F.col(text_col).alias("text"))
     vectors = word_vectors(context_table(plain, "text"))
-    texts, y = labelled_sample(plain, labels, "quality")
-    model = train(pooled(texts, vectors), y) if len(texts) else None
+    texts, y, weight = labelled_sample(plain, labels, "quality")
+    model = train(pooled(texts, vectors), y, weight) if len(texts) else None
     return docs.withColumn("score", score(F.col(text_col), vectors, model)).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
