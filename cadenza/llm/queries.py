@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import bpe, lines, quality, records, simhash, toxicity
+from . import bpe, langid, lines, quality, records, simhash, toxicity
 from .common import shared_path
 from .learn import fold
 
@@ -28,6 +28,13 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "n_repeat_words", "base_failed", "kept")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    learn = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).filter(fold(F.col("doc_id"), 5) != 0)
+    return langid.identify(docs, learn).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).filter(fold(F.col("doc_id"), 3) != 1)
@@ -68,6 +75,7 @@ def _with_batches(query):
 QUERIES = {
     "op3_quality": op3_quality,
     "op5_lines": op5_lines,
+    "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_records": op8_records,
     "op9_bpe": op9_bpe,
