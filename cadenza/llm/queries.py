@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import bpe, langid, lines, quality, records, simhash, toxicity
+from . import ann, bpe, langid, lines, quality, records, simhash, toxicity
 from .common import shared_path
 from .learn import fold
 
@@ -22,6 +22,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    found = ann.nearest(vectors, F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return lines.clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -74,6 +80,7 @@ def _with_batches(query):
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_neighbours": op4_neighbours,
     "op5_lines": op5_lines,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
