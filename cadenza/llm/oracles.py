@@ -46,6 +46,64 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM c
 """
 
+
+def _share(source: str, parent: str, name: str) -> str:
+    """A parent's budget shared among its children by weight, within their caps."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY CASE WHEN w > 0 THEN CAST(cap AS DOUBLE) / w ELSE 'infinity'::DOUBLE END, {name}"
+    return f"""
+      SELECT *, CASE WHEN filled THEN cap WHEN uw > 0 THEN (rest * w) // uw ELSE 0 END AS budget FROM (
+        SELECT *, given - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({by}) AS rest,
+               sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({by}) AS uw FROM (
+          SELECT *, cap * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                    <= (given - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w
+                    AS filled FROM ({source})))"""
+
+
+MIXING = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source,
+         CASE WHEN regexp_matches(source, '[0-9]$') THEN
+           list_extract(['web', 'books', 'forum', 'reference'],
+                        least(CAST(regexp_extract(source, '([0-9]{{1,6}})$', 1) AS INTEGER) // 5, 3) + 1)
+         ELSE 'other' END AS l0,
+         coalesce(lang, '') AS l1, coalesce(source, '') AS l2,
+         len(regexp_extract_all(text, '[^ 	-]+')) AS n, md5(coalesce(text, '')) AS digest
+  FROM documents
+), leaf AS (
+  SELECT l0, l1, l2, sum(n) AS tokens, 4 * sum(n) AS cap,
+         CASE l0 WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'forum' THEN 2 ELSE 1 END AS w0,
+         CASE l1 WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w1, 1 AS w2
+  FROM d WHERE n > 0 GROUP BY ALL
+), n0 AS (
+  SELECT l0, budget FROM ({_share(
+    "SELECT l0, sum(cap) AS cap, max(w0) AS w, (SELECT least(sum(tokens) * 3 // 5, sum(cap)) FROM leaf) AS given FROM leaf GROUP BY l0",
+    "", "l0")})
+), n1 AS (
+  SELECT l0, l1, budget FROM ({_share(
+    "SELECT l0, l1, sum(cap) AS cap, max(w1) AS w, max(n0.budget) AS given FROM leaf JOIN n0 USING (l0) GROUP BY l0, l1",
+    "l0", "l1")})
+), n2 AS (
+  SELECT l0, l1, l2, budget FROM ({_share(
+    "SELECT l0, l1, l2, cap, w2 AS w, n1.budget AS given FROM leaf JOIN n1 USING (l0, l1)", "l0, l1", "l2")})
+), plan AS (
+  SELECT l0, l1, l2, budget // tokens AS whole, budget % tokens AS rest FROM n2 JOIN leaf USING (l0, l1, l2)
+), k AS (
+  SELECT d.*, whole, rest, md5(concat_ws(':', '2', whole, coalesce(CAST(doc_id AS VARCHAR), ''), digest)) AS key
+  FROM d JOIN plan USING (l0, l1, l2) WHERE n > 0
+), p AS (
+  SELECT *, rest - coalesce(sum(n) OVER (PARTITION BY l0, l1, l2 ORDER BY key, rid
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM k
+), out AS (
+  SELECT *, unnest(range(0, CAST(whole AS BIGINT))) AS epoch, n AS take FROM k
+  UNION ALL BY NAME
+  SELECT * EXCLUDE (room), CAST(whole AS BIGINT) AS epoch, least(n, room) AS take FROM p WHERE room > 0
+)
+SELECT doc_id, l0 AS domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens,
+       CAST(take AS BIGINT) AS take_tokens FROM out
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_mixing": MIXING,
     "op5_lines": LINES,
 }

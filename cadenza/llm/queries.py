@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import ann, bpe, langid, lines, quality, records, simhash, toxicity
+from . import ann, bpe, langid, lines, mixing, pii, quality, records, simhash, toxicity
 from .common import shared_path
 from .learn import fold
 
@@ -15,6 +15,49 @@ from .learn import fold
 ARROW_ROWS, ARROW_BYTES = "2000", str(32 << 20)
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+#: The key of the surrogates; a deployment passes its own secret.
+PII_KEY = "cadenza"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return pii.surrogates(docs, PII_KEY).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
+def domain_of(source: Column) -> Column:
+    """Sources are dealt to four domains by their number."""
+    number = F.regexp_extract(source, "([0-9]{1,6})$", 1).try_cast("int")
+    last = len(DOMAINS) - 1
+    return F.when(number.isNull(), F.lit("other")).otherwise(
+        F.get(F.array(*map(F.lit, DOMAINS)), F.least(F.floor(number / 5), F.lit(last)).cast("int")))
+
+
+DOMAINS = ("web", "books", "forum", "reference")
+DOMAIN_WEIGHTS = {"web": 4, "books": 3, "forum": 2, "reference": 1}
+LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
+
+
+def weight_of(name: Column, weights: dict[str, int], other: int = 1) -> Column:
+    out = F.lit(other)
+    for key, weight in weights.items():
+        out = F.when(name == key, weight).otherwise(out)
+    return out
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    domain, lang = domain_of(F.col("source")), F.col("lang")
+    mixed = mixing.mix(docs, {"domain": domain, "lang": lang, "source": F.col("source")},
+                       [weight_of(domain, DOMAIN_WEIGHTS), weight_of(lang, LANG_WEIGHTS), F.lit(1)],
+                       portion=(3, 5), max_epochs=4, seed=2)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).filter(fold(F.col("doc_id"), 3) != 1)
@@ -72,13 +115,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_batches(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        arrow_batches(spark)
         return query(spark, sf_dir)
     return run
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
+    "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_neighbours": op4_neighbours,
     "op5_lines": op5_lines,
