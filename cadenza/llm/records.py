@@ -22,6 +22,7 @@ and repeated tasks leave nothing wrong behind.
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,16 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 # --- tokens ---------------------------------------------------------------------
 
+def _byte_letters() -> str:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1
+    characters stand for themselves, the other bytes in order for U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return "".join(chr(b if b in plain else 0x100 + others.index(b)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
 def _default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -113,8 +124,8 @@ def _default_path() -> str:
 def tokenize(text: F.Column, path: str | None = None, end_id: int | None = END_ID) -> F.Column:
     """Column of token ids (little-endian uint32 bytes) of a text column by a
     byte-level BPE file of the tokenizers library, without special tokens but
-    for ``end_id`` after each text.  The library encodes each distinct piece of
-    a worker's texts once; a text that holds the string of an added token goes
+    for ``end_id`` after each text.  The library merges each distinct piece of a
+    worker's texts once; a text that holds the string of an added token goes
     to it whole.  A null text counts as empty."""
     path = path or _default_path()
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
@@ -130,9 +141,11 @@ def tokenize(text: F.Column, path: str | None = None, end_id: int | None = END_I
             if len(known) + len(missing) > CACHE_ENTRIES:
                 known.clear()
                 missing = new
-            todo = list(missing)
-            for piece, e in zip(todo, tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
+            # a piece in the file's byte letters goes right to the library's merges
+            merge = tokenizer.model.tokenize
+            for piece in missing:
+                letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                known[piece] = array("I", [t.id for t in merge(letters)]).tobytes()
             for text, pieces in zip(group, split):
                 if text and any(a in text for a in added):
                     ids = tokenizer.encode(text, add_special_tokens=False).ids
