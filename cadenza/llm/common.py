@@ -34,6 +34,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, added: list[str]) -> list[str]:
+    """Columns of a table but those that an operator adds: these it replaces."""
+    return [c for c in df.columns if c not in added]
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     store = sys.modules.setdefault("_cadenza_worker", types.ModuleType("_cadenza_worker"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bpe import groups
-from .common import worker_cache
+from .common import others, worker_cache
 from .pretokens import _LETTER, _classes
 
 UNKNOWN = "und"
@@ -198,7 +198,8 @@ def language(text: Column, texts: dict[str, str]) -> Column:
 
 
 def identify(docs: DataFrame, learn: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to each row.
+    """Add ``lang_pred`` and ``score`` to each row (columns of these names are
+    replaced).
 
     ``learn`` (doc_id, text, lang) are the rows to learn from.  A text that is
     null or has no letter, and every text if nothing was learned, is ``und``
@@ -207,4 +208,4 @@ def identify(docs: DataFrame, learn: DataFrame, text_col: str = "text") -> DataF
     """
     texts = learned_texts(learn)
     return docs.withColumn("__lang", language(F.col(text_col), texts)).select(
-        *docs.columns, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"))
+        *others(docs, ["lang_pred", "score"]), F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"))

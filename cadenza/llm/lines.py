@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
+
 WHITE = " \t\n\x0b\x0c\r"
 SPLIT = r"[ \t-\r]+"
 WINDOW = 5
@@ -73,10 +75,11 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_kept_words
     (long); base_failed, kept (boolean).  A null text counts as empty: no
     words, base_failed, clean_text ''.  Each row is judged alone, so repeated
-    rows and an empty table need no care; all columns stay (names that begin
-    with ``__`` are used in between).
+    rows and an empty table need no care.  Columns of the names added are
+    replaced, all others stay (names that begin with ``__`` are used in between).
     """
-    columns = docs.columns
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words"]
+    columns = others(docs, ["clean_text", *added, "base_failed", "kept"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.withColumns({
         "__words": _words(text),
@@ -119,5 +122,4 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_kept_words") >= MIN_WORDS)
         & (100 * F.col("n_kept_words") >= KEEP_PERCENT * F.col("n_words"))).select(
-        *columns, "clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "n_kept_words", "base_failed", "kept")
+        *columns, "clean_text", *added, "base_failed", "kept")

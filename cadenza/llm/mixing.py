@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, others
 from .lines import SPLIT, WHITE
 
 #: Leading hex digits of the order's key that make a slice.
@@ -79,16 +79,18 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
 
     ``levels`` names the tree's levels (root first) with their columns,
     ``weights`` has a weight (whole number, null or less than 1: takes nothing)
-    for each; the budget is ``portion`` of all tokens.  Adds the levels,
-    ``epoch`` (from 0), ``n_tokens`` and ``take_tokens`` (fewer for the one
-    document that a leaf's cut falls into).
+    for each; the budget is ``portion`` of all tokens.  Adds the levels (those
+    that are no columns already), ``epoch`` (from 0), ``n_tokens`` and
+    ``take_tokens`` (fewer for the one document that a leaf's cut falls into);
+    columns of the last three names are replaced.
 
     A null level is the node ''.  Texts without a token (null, empty) are never
     selected.  Rows that repeat id and text are each a document of their own;
     which of them a cut falls between makes no difference.  An empty table, or
     no budget, gives an empty result.
     """
-    columns, names = docs.columns, list(levels)
+    names = list(levels)
+    columns = others(docs, [*names, "epoch", "n_tokens", "take_tokens"])
     inner = [f"__l{i}" for i in range(len(names))]
     based = docs.withColumns({
         **{c: F.coalesce(levels[n].cast("string"), F.lit("")) for c, n in zip(inner, names)},
@@ -122,10 +124,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
     rules = materialize(plan.join(cuts, inner, "left"), "rules")
 
     ruled = based.join(rules, inner).withColumn("__key", _key(seed, F.col("whole")))
-    extra = [F.col(c).alias(n) for c, n in zip(inner, names) if n not in columns]
+    tree = [F.col(n) if n in docs.columns else F.col(c).alias(n) for c, n in zip(inner, names)]
 
     def out(rows: DataFrame, epoch: Column, take: Column) -> DataFrame:
-        return rows.select(*columns, *extra, epoch.cast("int").alias("epoch"), F.col("__n").alias("n_tokens"),
+        return rows.select(*columns, *tree, epoch.cast("int").alias("epoch"), F.col("__n").alias("n_tokens"),
                            take.cast("long").alias("take_tokens"))
     # whole epochs, and the documents before the cut, need no neighbour
     last = F.col("whole") - F.when(F.coalesce(F.col("__key") < F.col("__cut"), F.lit(False)), 0).otherwise(1)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialize
+from .common import materialize, others
 
 #: After so many draws a surrogate may equal some entity of the corpus (never
 #: its own, nor another's surrogate): formats with few values run out.
@@ -292,10 +292,10 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     Null and empty texts and texts without entities stay as they are, with no
     entities.  Replacement depends on the text and the corpus's entities alone:
     repeated rows get the same text, ids play no part.  An empty table gives an
-    empty result.  All columns stay (names that begin with ``__`` are used in
-    between).
+    empty result.  A column named entities is replaced, all others stay (names
+    that begin with ``__`` are used in between).
     """
-    secret, columns, text = key.encode(), docs.columns, F.col(text_col)
+    secret, columns, text = key.encode(), others(docs, ["entities"]), F.col(text_col)
     may = F.coalesce(text.rlike(_MAY_HAVE), F.lit(False))
     digest = F.sha2(text.cast("binary"), 256)
     found = materialize(docs.filter(may).select(digest.alias("__digest"), _entities(text).alias("found"))

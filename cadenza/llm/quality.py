@@ -155,7 +155,8 @@ def score(text: Column, vectors: np.ndarray, model: dict[str, np.ndarray] | None
 
 
 def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` to each row.
+    """Add ``score`` (0 to 1) and ``predicted`` to each row (columns of these
+    names are replaced).
 
     ``labels`` (doc_id, quality) are the rows to learn from; word vectors come
     from all texts.  Null and empty texts are scored as texts without words.

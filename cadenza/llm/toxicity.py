@@ -355,7 +355,7 @@ def score(text: Column, model: dict | None) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from
-    0.7) to each row.
+    0.7) to each row (columns of these names are replaced).
 
     ``labels`` (doc_id, toxic) are the rows to learn from.  Null and empty
     texts have no window and score near 0.  Without labels of both classes
