@@ -7,7 +7,8 @@ numbers, strings, booleans and arrays apart.  The rules reproduce the
 validator's lax mode for the criteria object:
 
 - int fields: integers; fractional-typed numbers equal to their floor;
-  strings holding an integer literal; booleans (0/1).
+  strings holding an integer literal, a zero fraction included; booleans
+  (0/1).  An integer beyond 64 bits, number or string, is invalid.
 - float fields: any number; strings holding a number; booleans.
 - str fields: strings only.
 - list[str] fields: arrays whose elements are all strings.
@@ -27,7 +28,7 @@ from cadenza.functions.columns import (DEFAULT_DESCRIPTION, DEFAULT_LIMIT, DEFAU
                                        DEFAULT_TITLE, FALLBACK_QUERY, MAX_QUERIES, clamp_seeds,
                                        strip_fence)
 
-INT_RE = r"^\s*[+-]?[0-9]+\s*$"
+INT_RE = r"^\s*[+-]?[0-9]+(\.0+)?\s*$"
 NUM_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
@@ -92,9 +93,10 @@ def typed_field(v: Column, name: str, kind: str, nullable: bool, lo, hi, t: Colu
         as_double = F.try_variant_get(v, path, "double")
         as_text = F.try_variant_get(v, path, "string")
         if kind == "int":
-            good = (_is_numeric(t) & (as_double == F.floor(as_double))) | (t == "BOOLEAN") | \
-                   ((t == "STRING") & as_text.rlike(INT_RE))
-            value = F.try_variant_get(v, path, "bigint").cast("int")
+            whole = F.regexp_extract(as_text, r"[+-]?[0-9]+", 0).try_cast("bigint")
+            value = F.when(t == "STRING", whole).otherwise(F.try_variant_get(v, path, "bigint"))
+            good = ((_is_numeric(t) & (as_double == F.floor(as_double))) | (t == "BOOLEAN") |
+                    ((t == "STRING") & as_text.rlike(INT_RE))) & value.isNotNull()
         else:
             good = _is_numeric(t) | (t == "BOOLEAN") | ((t == "STRING") & as_text.rlike(NUM_RE))
             value = as_double
@@ -142,7 +144,9 @@ def typed_criteria(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     error = (F.when(v.isNull(), F.lit("not_json"))
              .when(~is_obj, F.lit("not_object"))
              .otherwise(F.coalesce(*errors)))
-    fields = [values[n].alias("track_limit" if n == "limit" else n) for n, *_ in CRITERIA_FIELDS]
+    # the limit lies in 1..100 where it is valid, and is NULL elsewhere
+    fields = [values[n].cast("int").alias("track_limit") if n == "limit" else values[n].alias(n)
+              for n, *_ in CRITERIA_FIELDS]
     out = typed.withColumn("c", F.struct(*fields, all_ok.alias("ok"), F.when(~all_ok, error).alias("error")))
     return out.drop("_v", "_f", "_obj", *[f"_t_{name}" for name, *_ in CRITERIA_FIELDS])
 
@@ -158,7 +162,9 @@ def query_list(v: Column) -> Column:
 
 def title_pair(v: Column) -> Column:
     """F5 on a parsed reply ``v``: title and description of the object, a
-    default for an absent key; an unparsable reply gives both defaults."""
-    title = F.coalesce(F.try_variant_get(v, "$.title", "string"), F.lit(DEFAULT_TITLE))
-    desc = F.coalesce(F.try_variant_get(v, "$.description", "string"), F.lit(DEFAULT_DESCRIPTION))
+    default for an absent key, an explicit null or a value that is no text; a
+    reply that does not parse or is no object gives both defaults."""
+    def text(path: str, default: str) -> Column:
+        return F.when(_vtype(v, path) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.lit(default))
+    title, desc = text("$.title", DEFAULT_TITLE), text("$.description", DEFAULT_DESCRIPTION)
     return F.struct(title.alias("title"), desc.alias("description"))

@@ -118,14 +118,15 @@ SELECT request_id, position, track_id, popularity, query_idx, hit_rank FROM topn
 
 TOP_RAW = """
 top_ev AS (
-  SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS term_ord,
+  SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 1 WHEN event_type IN ('click', 'error') THEN 2
+                 ELSE 3 END AS term_ord,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_key
   FROM events),
 top_raw AS (
   SELECT user_id, term_ord, ['short_term', 'medium_term', 'long_term'][term_ord] AS time_range,
          CAST(row_number() OVER (PARTITION BY user_id, term_ord ORDER BY value DESC, event_id) AS INTEGER) AS rank,
          item_key
-  FROM top_ev WHERE term_ord IS NOT NULL)"""
+  FROM top_ev)"""
 
 ARTIST_ITEMS = """
 artist_items AS (
@@ -237,7 +238,6 @@ FROM prof""")
 # Model replies
 # --------------------------------------------------------------------------
 
-from cadenza.functions.replies import CRITERIA_FIELDS, INT_RE, NUM_RE  # noqa: E402
 from cadenza.sources.replies import llm_attempts_sql  # noqa: E402
 
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -249,6 +249,17 @@ def _unfence(x: str) -> str:
             f"'^```[a-z]*\\n?', ''), '\\n?```$', '') ELSE {t} END, {_WS})")
 
 
+# The criteria record as the check sees it, apart from the code under check:
+# (key, kind, whether null is allowed, bounds).
+_RECORD = [
+    ("seed_genres", "list", False, None, None), ("seed_artists", "list", False, None, None),
+    ("year_min", "int", True, None, None), ("year_max", "int", True, None, None),
+    ("target_energy", "float", True, 0, 1), ("target_valence", "float", True, 0, 1),
+    ("target_tempo", "float", True, 0, None), ("target_danceability", "float", True, 0, 1),
+    ("target_acousticness", "float", True, 0, 1), ("market", "str", False, None, None),
+    ("limit", "int", False, 1, 100)]
+
+
 def _field_sql(name, kind, nullable, lo, hi):
     p = f"'$.{name}'"
     t = f"json_type(j, {p})"
@@ -263,13 +274,16 @@ def _field_sql(name, kind, nullable, lo, hi):
     else:
         num = f"{t} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
         if kind == "int":
-            good = (f"(({num} AND CAST({s} AS DOUBLE) = floor(CAST({s} AS DOUBLE))) OR {t} = 'BOOLEAN' "
-                    f"OR ({t} = 'VARCHAR' AND regexp_full_match({s}, '{INT_RE}')))")
-            raw = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST({s} = 'true' AS INTEGER) "
-                   f"WHEN {t} = 'VARCHAR' THEN TRY_CAST(trim({s}) AS INTEGER) "
-                   f"ELSE TRY_CAST(trunc(CAST({s} AS DOUBLE)) AS INTEGER) END")
+            good = (f"(({num} AND TRY_CAST({s} AS DOUBLE) = floor(TRY_CAST({s} AS DOUBLE))) OR {t} = 'BOOLEAN' "
+                    f"OR ({t} = 'VARCHAR' AND regexp_full_match({s}, '\\s*[-+]?\\d+(\\.0+)?\\s*')))")
+            raw = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST({s} = 'true' AS BIGINT) "
+                   f"WHEN {t} = 'VARCHAR' THEN TRY_CAST(split_part(trim({s}), '.', 1) AS BIGINT) "
+                   f"WHEN {t} = 'DOUBLE' THEN TRY_CAST(trunc(TRY_CAST({s} AS DOUBLE)) AS BIGINT) "
+                   f"ELSE TRY_CAST({s} AS BIGINT) END")
+            good = f"({good} AND {raw} IS NOT NULL)"
         else:
-            good = (f"({num} OR {t} = 'BOOLEAN' OR ({t} = 'VARCHAR' AND regexp_full_match({s}, '{NUM_RE}')))")
+            good = (f"({num} OR {t} = 'BOOLEAN' OR ({t} = 'VARCHAR' AND regexp_full_match({s}, "
+                    f"'\\s*[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?\\s*')))")
             raw = (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST(CAST({s} = 'true' AS INTEGER) AS DOUBLE) "
                    f"ELSE TRY_CAST(trim({s}) AS DOUBLE) END")
         rng = []
@@ -287,10 +301,11 @@ def _field_sql(name, kind, nullable, lo, hi):
 
 def _typed_sql() -> str:
     cols, oks, errs = [], [], []
-    for name, kind, nullable, lo, hi in CRITERIA_FIELDS:
+    for name, kind, nullable, lo, hi in _RECORD:
         ok, val = _field_sql(name, kind, nullable, lo, hi)
         out = "track_limit" if name == "limit" else name
-        cols.append(f"CASE WHEN {ok} THEN {val} END AS {out}")
+        kept = f"CASE WHEN {ok} THEN {val} END"
+        cols.append(f"CAST({kept} AS INTEGER) AS {out}" if name == "limit" else f"{kept} AS {out}")
         oks.append(ok)
         errs.append(f"WHEN NOT {ok} THEN 'invalid:{name}'")
     all_ok = " AND ".join(["is_obj"] + oks)
@@ -349,8 +364,11 @@ ta AS (
   SELECT request_id, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS j
   FROM (SELECT request_id, {_unfence('raw_text')} AS body FROM attempts WHERE kind = 'title')),
 title_rows AS (
-  SELECT request_id, coalesce(json_extract_string(j, '$.title'), 'My Playlist') AS title,
-         coalesce(json_extract_string(j, '$.description'), 'Generated playlist') AS description
+  SELECT request_id,
+         CASE WHEN json_type(j, '$.title') = 'VARCHAR' THEN json_extract_string(j, '$.title')
+              ELSE 'My Playlist' END AS title,
+         CASE WHEN json_type(j, '$.description') = 'VARCHAR' THEN json_extract_string(j, '$.description')
+              ELSE 'Generated playlist' END AS description
   FROM ta)"""
 
 oracle("f1_f2_criteria", with_(ATTEMPTS, TYPED) + f"""
@@ -395,7 +413,7 @@ DELETIONS = """
 deletions AS (
   SELECT l_suppkey AS requester_id,
          CAST(CASE WHEN l_linenumber = 1 THEN l_orderkey ELSE l_orderkey + 1000000000 END AS VARCHAR) AS playlist_id
-  FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 2)"""
+  FROM lineitem WHERE l_returnflag = 'R')"""
 
 oracle("s2_schema_evolution", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, PLAYLISTS) + """,
 lists AS (SELECT request_id, count(*) AS n, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY position) AS ids

@@ -19,7 +19,7 @@ from cadenza.sources.tables import read_table
 
 FENCE = "```"
 
-# Valid criteria replies, chosen by key % 5.
+# Valid criteria replies, chosen by key % 7.
 GOOD_CRITERIA = [
     '{"seed_genres": ["{g1}", "{g2}"], "seed_artists": ["{a1}"], "year_min": {ymin}, '
     '"year_max": {ymax}, "target_energy": 0.{e2}, "market": "{mk}", "limit": {lim}}',
@@ -29,8 +29,10 @@ GOOD_CRITERIA = [
     '  {"seed_genres": ["a", "b", "c", "d", "e", "f", "{g1}"], "seed_artists": ["{a1}", "x"], '
     '"year_min": {y}.0, "notes": "with `live` cuts", "target_valence": null}  ',
     '{}',
+    '{"year_min": "{y}.0", "year_max": 3000000000, "limit": {lim}}',
+    '{"year_min": true, "year_max": "3000000000", "limit": "{lim}"}',
 ]
-# Invalid criteria replies, chosen by (key + attempt) % 7.
+# Invalid criteria replies, chosen by (key + attempt) % 11.
 BAD_CRITERIA = [
     'Sorry, no playlist for {prio}',
     '{"limit": 0}',
@@ -39,6 +41,10 @@ BAD_CRITERIA = [
     '{"year_min": {y}.5}',
     '{"limit": null}',
     '{"seed_genres": ["{g1}", 1]}',
+    '{"limit": 3000000000}',
+    '{"year_min": "99999999999999999999"}',
+    '{"year_max": 99999999999999999999}',
+    '{"year_min": "{y}.5"}',
 ]
 # Search-query replies, chosen by key % 6.
 QUERY_REPLIES = [
@@ -50,12 +56,15 @@ QUERY_REPLIES = [
     '[]',
     'Here are some queries: genre:{t}',
 ]
-# Title replies, chosen by key % 4.
+# Title replies, chosen by key % 7.
 TITLE_REPLIES = [
     '{"title": "Mix {k}", "description": "Songs picked for request {k}"}',
     '{"title": "Only a title {k}"}',
     'Title: Mix {k}',
     FENCE + 'json\n{"description": "Evening set {k}"}\n' + FENCE,
+    '["Mix {k}", "a list"]',
+    '{"title": null, "description": "Null title {k}"}',
+    '{"title": {k}, "description": ["x"]}',
 ]
 
 # Catalogue vocabulary the query replies draw on.
@@ -147,22 +156,22 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_attempts = (k % 4 + 1).cast("int")
     crit = o.select("*", F.explode(F.sequence(F.lit(1), n_attempts)).alias("attempt"))
     crit_text = F.when(F.col("attempt") < n_attempts,
-                       _pick_spark(BAD_CRITERIA, (k + F.col("attempt")) % 7, cols)) \
-        .otherwise(_pick_spark(GOOD_CRITERIA, k % 5, cols))
+                       _pick_spark(BAD_CRITERIA, (k + F.col("attempt")) % len(BAD_CRITERIA), cols)) \
+        .otherwise(_pick_spark(GOOD_CRITERIA, k % len(GOOD_CRITERIA), cols))
     crit = crit.select(k.alias("request_id"), F.lit("criteria").alias("kind"), "attempt",
                        crit_text.alias("raw_text"))
     queries = o.select(k.alias("request_id"), F.lit("queries").alias("kind"), F.lit(1).alias("attempt"),
                        _pick_spark(QUERY_REPLIES, k % 6, cols).alias("raw_text"))
     titles = o.select(k.alias("request_id"), F.lit("title").alias("kind"), F.lit(1).alias("attempt"),
-                      _pick_spark(TITLE_REPLIES, k % 4, cols).alias("raw_text"))
+                      _pick_spark(TITLE_REPLIES, k % len(TITLE_REPLIES), cols).alias("raw_text"))
     return crit.unionByName(queries).unionByName(titles)
 
 
 def llm_attempts_sql() -> str:
     """The same table as a DuckDB CTE named ``attempts``."""
     e = sql_columns()
-    bad = pick_sql(BAD_CRITERIA, "(o_orderkey + attempt) % 7", e)
-    good = pick_sql(GOOD_CRITERIA, "o_orderkey % 5", e)
+    bad = pick_sql(BAD_CRITERIA, f"(o_orderkey + attempt) % {len(BAD_CRITERIA)}", e)
+    good = pick_sql(GOOD_CRITERIA, f"o_orderkey % {len(GOOD_CRITERIA)}", e)
     return f"""
 attempts AS (
   SELECT o_orderkey AS request_id, 'criteria' AS kind, CAST(attempt AS INTEGER) AS attempt,
@@ -171,4 +180,4 @@ attempts AS (
   UNION ALL
   SELECT o_orderkey, 'queries', 1, {pick_sql(QUERY_REPLIES, "o_orderkey % 6", e)} FROM orders
   UNION ALL
-  SELECT o_orderkey, 'title', 1, {pick_sql(TITLE_REPLIES, "o_orderkey % 4", e)} FROM orders)"""
+  SELECT o_orderkey, 'title', 1, {pick_sql(TITLE_REPLIES, f"o_orderkey % {len(TITLE_REPLIES)}", e)} FROM orders)"""

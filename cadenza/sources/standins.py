@@ -123,15 +123,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_items_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze ranked lists ``(user_id, term_ord, time_range, rank, item_key)``.
 
-    view/click/purchase events are the short/medium/long-term lists; the
-    rank within a (user, range) list is by value descending, then event id.
-    Other event types carry no ranking.  Ranks are not capped here; the
-    50-per-range read (S10) is the job's filter.
+    view and signup events are the short-term list, click and error events
+    the medium-term list, all others the long-term list; the rank within a
+    (user, range) list is by value descending, then event id.  Ranks are not
+    capped here; the 50-per-range read (S10) is the job's filter.
     """
     ev = _events(spark, sf_dir)
-    term = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2) \
-        .when(F.col("event_type") == "purchase", 3)
-    ev = ev.withColumn("term_ord", term).where(F.col("term_ord").isNotNull())
+    term = F.when(F.col("event_type").isin("view", "signup"), 1) \
+        .when(F.col("event_type").isin("click", "error"), 2).otherwise(3)
+    ev = ev.withColumn("term_ord", term)
     w = Window.partitionBy("user_id", "term_ord").orderBy(F.desc("value"), "event_id")
     names = F.array(*[F.lit(t) for t in ("short_term", "medium_term", "long_term")])
     return ev.select(
@@ -253,12 +253,12 @@ def link_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 change set ``(requester_id, playlist_id)``: returned first lines
     ask to delete their order's playlist (repeats arise from repeated
-    lines), returned second lines name an id that does not exist."""
+    lines), all other returned lines name an id that does not exist."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag"])
     r = li.where(F.col("l_returnflag") == "R")
     key = F.when(F.col("l_linenumber") == 1, F.col("l_orderkey")) \
         .otherwise(F.col("l_orderkey") + UNKNOWN_ID_OFFSET)
-    return r.where(F.col("l_linenumber") <= 2).select(
+    return r.select(
         F.col("l_suppkey").alias("requester_id"), key.cast("string").alias("playlist_id"))
 
 
