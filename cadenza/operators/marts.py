@@ -91,34 +91,39 @@ def genre_lookup(spark) -> DataFrame:
 def quality_checks(playlists: DataFrame, track_features: DataFrame, lineitem: DataFrame,
                    part: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Failing-row counts per check: duplicate keys, NULL keys, values
-    out of range, and dangling references (anti joins)."""
-    dup = playlists.groupBy("id").count().where("count > 1") \
-        .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("failed")) \
-        .select(F.lit("playlists.id unique").alias("check"), "failed")
-    nulls = playlists.agg(F.count_if(F.col("user_id").isNull()).alias("failed")) \
-        .select(F.lit("playlists.user_id not null").alias("check"), "failed")
+    out of range, and dangling references (anti joins).  Each table is read
+    once."""
+    per_id = playlists.groupBy("id").agg(F.count(F.lit(1)).alias("n"),
+                                         F.count_if(F.col("user_id").isNull()).alias("nulls"))
+    stored = per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"),
+                        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls")) \
+        .select(F.inline(F.array(F.struct(F.lit("playlists.id unique").alias("check"), F.col("repeats").alias("failed")),
+                                 F.struct(F.lit("playlists.user_id not null").alias("check"),
+                                          F.col("nulls").alias("failed")))))
     rng = track_features.agg(F.count_if(~F.col("energy").between(0.0, 1.0)).alias("failed")) \
         .select(F.lit("tracks.energy in [0,1]").alias("check"), "failed")
     ref1 = lineitem.join(part, lineitem.l_partkey == part.p_partkey, "left_anti") \
         .agg(F.count(F.lit(1)).alias("failed")).select(F.lit("lineitem.partkey -> part").alias("check"), "failed")
     ref2 = orders.join(customer, orders.o_custkey == customer.c_custkey, "left_anti") \
         .agg(F.count(F.lit(1)).alias("failed")).select(F.lit("orders.custkey -> customer").alias("check"), "failed")
-    return dup.unionByName(nulls).unionByName(rng).unionByName(ref1).unionByName(ref2)
+    return stored.unionByName(rng).unionByName(ref1).unionByName(ref2)
 
 
 def score_candidates(hits: DataFrame, crit: DataFrame, track_features: DataFrame) -> DataFrame:
     """Distance of each candidate to the request's target features,
-    over the targets that are set (tempo difference in units of 200 BPM);
+    over the five targets that are set (tempo difference in units of 200 BPM);
     no target -> score 0.  Ranked by score, then popularity, then the hit
     order, cut to the request's limit."""
-    tf = track_features.select("track_id", "energy", "valence", "tempo")
-    t = crit.select("request_id", "target_energy", "target_valence", "target_tempo")
+    names = ["energy", "valence", "tempo", "danceability", "acousticness"]
+    tf = track_features.select("track_id", *names)
+    t = crit.select("request_id", *[f"target_{x}" for x in names])
     j = hits.join(t, "request_id").join(tf, "track_id")
-    terms = [((F.col("target_energy") - F.col("energy")) * (F.col("target_energy") - F.col("energy"))),
-             ((F.col("target_valence") - F.col("valence")) * (F.col("target_valence") - F.col("valence"))),
-             (((F.col("target_tempo") - F.col("tempo")) / 200.0) * ((F.col("target_tempo") - F.col("tempo")) / 200.0))]
+    off = [(F.col(f"target_{x}") - F.col(x)) / (200.0 if x == "tempo" else 1.0) for x in names]
+    terms = [x * x for x in off]
     n = sum(F.when(x.isNotNull(), 1).otherwise(0) for x in terms)
-    total = F.coalesce(terms[0], F.lit(0.0)) + F.coalesce(terms[1], F.lit(0.0)) + F.coalesce(terms[2], F.lit(0.0))
+    total = F.coalesce(terms[0], F.lit(0.0))
+    for x in terms[1:]:
+        total = total + F.coalesce(x, F.lit(0.0))
     score = F.when(n > 0, total / n).otherwise(F.lit(0.0))
     w = Window.partitionBy("request_id").orderBy("score", F.desc(F.coalesce("popularity", F.lit(0))),
                                                   "query_idx", "hit_rank")

@@ -25,27 +25,25 @@ then positions do not depend on partitioning.
 Both the row tags and the (key, partition) table must come from the *same*
 range exchange: Spark seeds the range sample with the shuffle id, so two
 separately planned exchanges may cut the data at different bounds.  The
-tagged rows are therefore persisted (memory, spilling to disk) and both
-branches read them.  A lost block is recomputed from that one shuffle
-dependency, whose bounds are fixed, so a re-run after a lost executor
-gives the same numbers.
+tagged rows are therefore written once to the shared folder and both branches
+read the files; no executor's memory or disk holds anything they need.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import written
+
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "position",
               num_partitions: int | None = None) -> DataFrame:
     sort_cols = [F.col(k) for k in keys] + order
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    tagged = ranged.withColumn("_pid", F.spark_partition_id()) \
-                   .withColumn("_idx", F.monotonically_increasing_id()) \
-                   .persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = written(ranged.withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_idx", F.monotonically_increasing_id()), "positions")
     stats = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))

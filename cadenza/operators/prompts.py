@@ -16,6 +16,7 @@ from cadenza.functions.columns import strip_ws
 
 MIN_PROMPT, MAX_PROMPT = 5, 500
 NOT_AVAILABLE = "not available"
+TARGETS = ("energy", "valence", "tempo", "danceability", "acousticness")
 
 
 def check_requests(requests: DataFrame) -> DataFrame:
@@ -33,6 +34,13 @@ def check_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("prompt_clean", t).withColumn("check", status)
 
 
+def accepted(requests: DataFrame) -> DataFrame:
+    """The requests that pass P9, with the trimmed text as their prompt: only
+    these get a profile and a context."""
+    return check_requests(requests).where(F.col("check") == "accepted") \
+        .withColumn("prompt", F.col("prompt_clean")).drop("check", "prompt_clean")
+
+
 def with_profile(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """Request left-joined to the user's stored profile."""
     p = profiles.select("user_id", "top_artists", "top_tracks", F.lit(True).alias("has_profile"))
@@ -69,8 +77,7 @@ def criteria_text(c) -> F.Column:
         F.concat(F.lit("genres="), F.array_join(c["seed_genres"], ",")),
         F.concat(F.lit("artists="), F.array_join(c["seed_artists"], ",")),
         F.concat(F.lit("years="), num(c["year_min"]), F.lit("-"), num(c["year_max"])),
-        F.concat(F.lit("energy="), num(c["target_energy"])),
-        F.concat(F.lit("tempo="), num(c["target_tempo"])),
+        *[F.concat(F.lit(f"{x}="), num(c[f"target_{x}"])) for x in TARGETS],
         F.concat(F.lit("market="), c["market"]),
         F.concat(F.lit("limit="), num(c["track_limit"])))
 
@@ -83,8 +90,8 @@ def query_context(crit: DataFrame, req_profiles: DataFrame) -> DataFrame:
                      F.concat(F.lit("Similar to: "), names, F.lit("\n"))).otherwise(F.lit(""))
     j = crit.join(req_profiles.select("request_id", "has_profile", "top_artists"), "request_id")
     return j.select("request_id", F.concat(section, F.lit("Criteria: "), criteria_text(F.struct(*[
-        F.col(c) for c in ("seed_genres", "seed_artists", "year_min", "year_max", "target_energy",
-                           "target_tempo", "market", "track_limit")]))).alias("context"))
+        F.col(c) for c in ("seed_genres", "seed_artists", "year_min", "year_max", *[f"target_{x}" for x in TARGETS],
+                           "market", "track_limit")]))).alias("context"))
 
 
 def title_context(track_lists: DataFrame, requests: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ many partitions, and sessions are stitched across partition boundaries
 with tables that have one row per partition:
 
 1. range-partition and sort; tag rows with partition id and a
-   within-partition index; persist, so every branch reads the same cut;
+   within-partition index; write them to the shared folder, so every
+   branch reads the same cut;
 2. per partition, its last row; each partition learns the last row of
    the nearest non-empty partition before it (one-row-per-partition
    table, broadcast: its size is the partition count);
@@ -26,10 +27,11 @@ a session ends 30 minutes after its last event.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import written
+
 GAP = "INTERVAL 30 MINUTES"
 
 
@@ -39,11 +41,10 @@ def sessions(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
     spark = events.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("user_id"), F.col("ts"), F.col("event_id")]
-    tagged = (events.select("user_id", "ts", "event_id")
-              .repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    tagged = written(events.select("user_id", "ts", "event_id")
+                     .repartitionByRange(n, *order).sortWithinPartitions(*order)
+                     .withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()), "sessions")
 
     # 2. last row of the nearest earlier non-empty partition
     lasts = tagged.groupBy("_pid").agg(F.max_by(F.struct("user_id", "ts"), F.col("_mid")).alias("_last"))

@@ -171,7 +171,7 @@ def _mean3(x: str) -> str:
 FEATURES = f"""
 lf AS (
   SELECT o_custkey AS user_id, NULLIF(l_discount, 0) * 10 AS energy, NULLIF(l_tax, 0) * 12.5 AS valence,
-         CAST(NULL AS DOUBLE) AS danceability, CAST(NULL AS DOUBLE) AS acousticness,
+         NULLIF(l_partkey % 11, 0) / 10.0::DOUBLE AS danceability, NULLIF(l_suppkey % 6, 0) / 5.0::DOUBLE AS acousticness,
          NULLIF(l_quantity, 1) AS tempo
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 lf_agg AS (
@@ -314,7 +314,7 @@ ca AS (
   SELECT request_id, attempt, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS j
   FROM (SELECT request_id, attempt, {_unfence('raw_text')} AS body FROM attempts WHERE kind = 'criteria')),
 cb AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS is_obj FROM ca),
-typed0 AS (
+typed0 AS MATERIALIZED (
   SELECT request_id, attempt, {", ".join(cols)}, ({all_ok}) AS ok,
          CASE WHEN j IS NULL THEN 'not_json' WHEN NOT is_obj THEN 'not_object' {" ".join(errs)} END AS err0
   FROM cb),
@@ -338,7 +338,7 @@ w7 AS (
          min(attempt) FILTER (WHERE ok AND attempt <= 3) AS chosen,
          arg_max(error, attempt) FILTER (WHERE attempt <= 3) AS last_error
   FROM typed GROUP BY request_id),
-crit_table AS (
+crit_table AS MATERIALIZED (
   SELECT w.request_id, CASE WHEN w.chosen IS NULL THEN 'failed' ELSE 'ok' END AS status,
          CAST(w.chosen AS INTEGER) AS attempt, t.seed_genres, t.seed_artists, t.year_min, t.year_max,
          t.target_energy, t.target_valence, t.target_tempo, t.target_danceability, t.target_acousticness,
@@ -356,7 +356,7 @@ ql AS (
               THEN list_slice(json_extract_string(j, '$[*]'), 1, 6)
               ELSE ['genre:indie year:2010-2024'] END AS qs
   FROM qa),
-query_rows AS (
+query_rows AS MATERIALIZED (
   SELECT request_id, CAST(generate_subscripts(qs, 1) AS INTEGER) AS query_idx, unnest(qs) AS query FROM ql)"""
 
 TITLES = f"""
@@ -497,12 +497,14 @@ SYNCED = f"""
 al AS (SELECT user_id, list(name ORDER BY term_ord, rank) AS names FROM w2 GROUP BY user_id),
 tl AS (SELECT user_id, list(name || ' — ' || split_part(artists, ', ', 1) ORDER BY term_ord, rank) AS lines,
               count(*) AS n FROM w1 GROUP BY user_id),
+accepted AS (SELECT request_id, user_id, trim(prompt, {_WS}) AS prompt FROM requests
+             WHERE length(trim(prompt, {_WS})) BETWEEN 5 AND 500),
 synced AS (SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer)),
 reqp AS (
   SELECT r.request_id, r.user_id, r.prompt, s.user_id IS NOT NULL AS has_profile,
          CASE WHEN s.user_id IS NOT NULL THEN coalesce(al.names, []) END AS names,
          CASE WHEN s.user_id IS NOT NULL THEN coalesce(tl.lines, []) END AS lines
-  FROM requests r LEFT JOIN synced s ON s.user_id = r.user_id
+  FROM accepted r LEFT JOIN synced s ON s.user_id = r.user_id
   LEFT JOIN al ON al.user_id = r.user_id LEFT JOIN tl ON tl.user_id = r.user_id)"""
 
 oracle("p9_request_check", with_(REQUESTS) + f""",
@@ -539,7 +541,9 @@ SELECT c.request_id,
        || 'Criteria: ' || concat_ws('; ',
             'genres=' || array_to_string(c.seed_genres, ','), 'artists=' || array_to_string(c.seed_artists, ','),
             'years=' || {_num('c.year_min')} || '-' || {_num('c.year_max')},
-            'energy=' || {_num('c.target_energy')}, 'tempo=' || {_num('c.target_tempo')},
+            'energy=' || {_num('c.target_energy')}, 'valence=' || {_num('c.target_valence')},
+            'tempo=' || {_num('c.target_tempo')}, 'danceability=' || {_num('c.target_danceability')},
+            'acousticness=' || {_num('c.target_acousticness')},
             'market=' || c.market, 'limit=' || {_num('c.track_limit')}) AS context
 FROM crit_table c JOIN reqp p USING (request_id)
 WHERE c.status = 'ok'""")
@@ -549,11 +553,12 @@ lines AS (
   SELECT t.request_id,
          list('- ' || c.name || ' — ' || array_to_string(c.artist_names, ', ') ORDER BY t.position) AS ls
   FROM topn t JOIN catalogue c USING (track_id) GROUP BY t.request_id)
-SELECT l.request_id, array_to_string(list_slice(l.ls, 1, 10), {NL}) || {NL} || 'Request: ' || r.prompt AS context
-FROM lines l JOIN requests r USING (request_id)""")
+SELECT l.request_id,
+       array_to_string(list_slice(l.ls, 1, 10), {NL}) || {NL} || 'Request: ' || trim(r.prompt, {_WS}) AS context
+FROM lines l JOIN requests r USING (request_id) WHERE length(trim(r.prompt, {_WS})) BETWEEN 5 AND 500""")
 
 G3 = f"""
-g3_capped AS (
+g3_capped AS MATERIALIZED (
   SELECT h.*, c.year_min, c.year_max, c.track_limit,
          CASE WHEN length(h.release_date) >= 4 THEN TRY_CAST(substr(h.release_date, 1, 4) AS INTEGER) END AS year
   FROM hits h JOIN crit_table c ON c.request_id = h.request_id AND c.status = 'ok'
@@ -688,14 +693,17 @@ FROM crit_table WHERE status = 'ok'""")
 TRACK_FEATURES = """
 tfeat AS (
   SELECT p_partkey AS track_id, lower(p_type) AS genre, CAST(p_size AS DOUBLE) / 50.0 AS energy,
-         CAST(p_partkey % 100 AS DOUBLE) / 100.0 AS valence, p_retailprice / 10.0 AS tempo
+         CAST(p_partkey % 100 AS DOUBLE) / 100.0 AS valence, p_retailprice / 10.0 AS tempo,
+         CAST(p_partkey * 7 % 100 AS DOUBLE) / 100.0 AS danceability,
+         CAST(p_partkey * 3 % 100 AS DOUBLE) / 100.0 AS acousticness
   FROM part)"""
 
 oracle("r1_profile_by_month", f"""
 WITH lf AS (
   SELECT o_custkey AS user_id, strftime(o_orderdate, '%Y-%m') AS month,
          NULLIF(l_discount, 0) * 10 AS energy, NULLIF(l_tax, 0) * 12.5 AS valence,
-         CAST(NULL AS DOUBLE) AS danceability, CAST(NULL AS DOUBLE) AS acousticness, NULLIF(l_quantity, 1) AS tempo
+         NULLIF(l_partkey % 11, 0) / 10.0::DOUBLE AS danceability,
+         NULLIF(l_suppkey % 6, 0) / 5.0::DOUBLE AS acousticness, NULLIF(l_quantity, 1) AS tempo
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT user_id, month, count(*) AS n_lines,
        coalesce({_mean3('energy')}, 0.5) AS energy, coalesce({_mean3('valence')}, 0.5) AS valence,
@@ -742,6 +750,7 @@ UNION ALL SELECT 'orders.custkey -> customer', count(*) FROM orders WHERE o_cust
 oracle("r6_score", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, TRACK_FEATURES) + f""",
 r6_capped AS (
   SELECT h.*, c.year_min, c.year_max, c.track_limit, c.target_energy, c.target_valence, c.target_tempo,
+         c.target_danceability, c.target_acousticness,
          CASE WHEN length(h.release_date) >= 4 THEN TRY_CAST(substr(h.release_date, 1, 4) AS INTEGER) END AS year
   FROM hits h JOIN crit_table c ON c.request_id = h.request_id AND c.status = 'ok'
   WHERE h.hit_rank <= 10 AND h.query_idx <= 6 AND h.status = 'ok' AND h.track_id IS NOT NULL),
@@ -751,16 +760,14 @@ r6_dedup AS (
 r6_terms AS (
   SELECT d.*, (d.target_energy - f.energy) * (d.target_energy - f.energy) AS te,
          (d.target_valence - f.valence) * (d.target_valence - f.valence) AS tv,
-         ((d.target_tempo - f.tempo) / 200.0) * ((d.target_tempo - f.tempo) / 200.0) AS tt
+         ((d.target_tempo - f.tempo) / 200.0) * ((d.target_tempo - f.tempo) / 200.0) AS tt,
+         (d.target_danceability - f.danceability) * (d.target_danceability - f.danceability) AS td,
+         (d.target_acousticness - f.acousticness) * (d.target_acousticness - f.acousticness) AS ta
   FROM r6_dedup d JOIN tfeat f ON f.track_id = d.track_id),
 r6_s AS (
-  SELECT *, CASE WHEN (CASE WHEN te IS NULL THEN 0 ELSE 1 END + CASE WHEN tv IS NULL THEN 0 ELSE 1 END
-                       + CASE WHEN tt IS NULL THEN 0 ELSE 1 END) > 0
-                 THEN (coalesce(te, 0.0) + coalesce(tv, 0.0) + coalesce(tt, 0.0))
-                      / (CASE WHEN te IS NULL THEN 0 ELSE 1 END + CASE WHEN tv IS NULL THEN 0 ELSE 1 END
-                         + CASE WHEN tt IS NULL THEN 0 ELSE 1 END)
-                 ELSE 0.0 END AS score
-  FROM r6_terms),
+  SELECT *, CASE WHEN n > 0 THEN (coalesce(te, 0.0) + coalesce(tv, 0.0) + coalesce(tt, 0.0) + coalesce(td, 0.0)
+                                  + coalesce(ta, 0.0)) / n ELSE 0.0 END AS score
+  FROM (SELECT *, len(list_filter([te, tv, tt, td, ta], lambda x: x IS NOT NULL)) AS n FROM r6_terms)),
 r6_r AS (
   SELECT request_id, track_id, score, track_limit,
          CAST(row_number() OVER (PARTITION BY request_id ORDER BY score, coalesce(popularity, 0) DESC,

@@ -290,7 +290,7 @@ def _synced_profiles(spark, d):
 
 
 def _req_profiles(spark, d):
-    return PR.with_profile(S.requests(spark, d), _synced_profiles(spark, d))
+    return PR.with_profile(PR.accepted(S.requests(spark, d)), _synced_profiles(spark, d))
 
 
 @register("p9_request_check")
@@ -325,7 +325,7 @@ def _g1_lists(spark, d):
 
 @register("l3_title_context")
 def l3_title_context(spark, d):
-    return PR.title_context(_g1_lists(spark, d), S.requests(spark, d))
+    return PR.title_context(_g1_lists(spark, d), PR.accepted(S.requests(spark, d)))
 
 
 def _g3(spark, d):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  UTC because stored timestamps are zone-less
 # UTC values; AQE so that join strategy, partition count and skew splitting
@@ -55,3 +56,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     # setCheckpointDir adds a unique sub-folder; report what Spark uses.
     return sc.getCheckpointDir() or path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The table written once to the shared folder and read back: every later
+    branch sees the same rows, also after a lost executor."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

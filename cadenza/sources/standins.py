@@ -173,8 +173,10 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-listen audio features ``(user_id, played_at, energy, valence,
     danceability, acousticness, tempo)`` from line items joined to their order's customer.
-    Zero discount / zero tax / quantity one stand for a missing value."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_discount", "l_tax", "l_quantity"])
+    Zero discount / zero tax / quantity one / part keys divisible by 11 /
+    supplier keys divisible by 6 stand for a missing value."""
+    li = read_table(spark, sf_dir, "lineitem",
+                    ["l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_quantity"])
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
@@ -182,8 +184,8 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("played_at"),
         (F.nullif("l_discount", F.lit(0.0)) * 10).alias("energy"),
         (F.nullif("l_tax", F.lit(0.0)) * 12.5).alias("valence"),
-        F.lit(None).cast("double").alias("danceability"),
-        F.lit(None).cast("double").alias("acousticness"),
+        (F.nullif(F.col("l_partkey") % 11, F.lit(0)) / 10.0).alias("danceability"),
+        (F.nullif(F.col("l_suppkey") % 6, F.lit(0)) / 5.0).alias("acousticness"),
         F.nullif("l_quantity", F.lit(1.0)).alias("tempo"),
     )
 
@@ -195,7 +197,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio features per catalogue track (R4, R6): energy = size/50,
-    valence from the retail price cents, tempo = price/10."""
+    valence, danceability and acousticness from the key, tempo = price/10."""
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice", "p_type"])
     return p.select(
         F.col("p_partkey").alias("track_id"),
@@ -203,6 +205,8 @@ def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") / 50.0).alias("energy"),
         ((F.col("p_partkey") % 100) / 100.0).alias("valence"),
         (F.col("p_retailprice") / 10.0).alias("tempo"),
+        ((F.col("p_partkey") * 7 % 100) / 100.0).alias("danceability"),
+        ((F.col("p_partkey") * 3 % 100) / 100.0).alias("acousticness"),
     )
 
 
