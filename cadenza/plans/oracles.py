@@ -795,8 +795,15 @@ SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tr
 FROM events""")
 
 oracle("x2_refresh", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GENRES, FEATURES, PROFILE) + """
-SELECT user_id, top_genres, top_artists, top_tracks, energy, valence, danceability, acousticness, tempo
-FROM prof WHERE user_id IN (SELECT user_id FROM events)""")
+SELECT user_id, CASE WHEN t THEN top_genres ELSE '' END AS top_genres,
+       CASE WHEN t THEN top_artists ELSE '' END AS top_artists, CASE WHEN t THEN top_tracks ELSE '' END AS top_tracks,
+       CASE WHEN t THEN energy ELSE 0.5 END AS energy, CASE WHEN t THEN valence ELSE 0.5 END AS valence,
+       CASE WHEN t THEN danceability ELSE 0.5 END AS danceability,
+       CASE WHEN t THEN acousticness ELSE 0.5 END AS acousticness, CASE WHEN t THEN tempo ELSE 120.0 END AS tempo
+FROM (SELECT e.user_id AS user_id, p.* EXCLUDE (user_id), e.t AND p.user_id IS NOT NULL AS t FROM (
+        SELECT user_id, bool_or((ts < TIMESTAMP '2024-01-16' AND user_id % 2 = 0)
+                                OR (ts >= TIMESTAMP '2024-01-16' AND user_id % 3 = 0)) AS t
+        FROM events GROUP BY user_id) e LEFT JOIN prof p ON p.user_id = e.user_id)""")
 
 oracle("x3_daily", """
 WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
@@ -804,7 +811,7 @@ d AS (
   SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
          event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total_value
   FROM events GROUP BY 1, 2, 3)
-SELECT * FROM d WHERE window_end <= (SELECT wm FROM wm)""")
+SELECT *, window_end <= (SELECT wm FROM wm) AS closed FROM d""")
 
 oracle("x4_sessions", """
 WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
@@ -817,7 +824,7 @@ e AS (
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
 g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
       FROM s GROUP BY user_id, sid)
-SELECT * FROM g WHERE session_end <= (SELECT wm FROM wm)""")
+SELECT *, session_end <= (SELECT wm FROM wm) AS closed FROM g""")
 
 
 # --------------------------------------------------------------------------

@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import year_of, year_in_range
+from cadenza.functions.columns import FEATURE_DEFAULTS, year_in_range, year_of
 from cadenza.operators import candidates as G1
 from cadenza.operators import profile as P
 from cadenza.operators import responses as R
 from cadenza.sources import replies as SR
 from cadenza.sources import standins as S
-from cadenza.sources.tables import read_table
+from cadenza.sources.tables import read_table, table_path
 from cadenza.operators import store as ST
 from cadenza import schemas as SC
 from cadenza.operators import prompts as PR
@@ -445,10 +445,26 @@ def r7_dna(spark, d):
 
 @register("x1_ingest")
 def x1_ingest(spark, d):
-    out = X.run_available(X.ingest_plays(X.event_stream(spark, d)), "x1_ingest")
+    # Two deliveries: the first half of the log with some rows twice; then the
+    # second half likewise with some rows of the first again.  The second run
+    # goes on from the first one's offsets and state.
+    root = X.new_root(spark)
+    first, second = _halves(spark, d)
+    again = F.col("event_id") % 10 == 0
+    for part in (first.unionByName(first.where(again)),
+                 second.unionByName(second.where(again)).unionByName(first.where(F.col("event_id") % 10 == 1))):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = X.run_available(X.ingest_plays(X.event_stream(spark, f"{root}/in", "*.parquet")), "x1_ingest", root)
     return spark.read.parquet(out)
 
 
+def _halves(spark, d):
+    """The event log before and from the middle of its month, as delivered."""
+    ev = spark.read.schema(X.EVENTS_SCHEMA).parquet(table_path(d, "events"))
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    return ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
+
+
 def _g2_flat(p):
     return p.select(
         "user_id",
@@ -468,23 +484,38 @@ def x2_refresh(spark, d):
                                 S.artist_items(spark, d), only(S.line_features(spark, d)),
                                 only(S.users(spark, d)), F.current_timestamp())
         return _g2_flat(prof)
-    out = X.refresh_profiles(X.event_stream(spark, d), build)
+    # The store has a bare profile of every user of the log; two deliveries
+    # touch some users each, the others keep theirs.
+    root = X.new_root(spark)
+    first, second = _halves(spark, d)
+    for part in (first.where(F.col("user_id") % 2 == 0), second.where(F.col("user_id") % 3 == 0)):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = X.refresh_profiles(X.event_stream(spark, f"{root}/in", "*.parquet"), build, root)
     written = spark.read.parquet(out).drop("batch")
-    stored = spark.createDataFrame([], written.drop("load_seq").schema)
-    latest = ST.upsert_latest(stored, written, "user_id")
+    stored = S.synced_users(spark, d).select(
+        "user_id", *[F.lit("").alias(c) for c in ("top_genres", "top_artists", "top_tracks")],
+        *[F.lit(v).cast("double").alias(c) for c, v in FEATURE_DEFAULTS.items()])
+    latest = ST.upsert_latest(stored.select(*[c for c in written.columns if c != "load_seq"]), written, "user_id")
     return latest.drop("load_seq")
 
 
 @register("x3_daily")
 def x3_daily(spark, d):
-    out = X.run_available(X.daily_counts(X.event_stream(spark, d)), "x3_daily")
-    return spark.read.parquet(out).withColumn("total_value", F.col("total_value").cast("double"))
+    out = X.run_available(X.daily_counts(X.event_stream(spark, d)), "x3_daily", X.new_root(spark))
+    ev = read_table(spark, d, "events", ["ts", "event_type", "value"])
+    rest = X.still_open(X.daily_counts(ev), "window_end", ev)
+    both = spark.read.parquet(out).withColumn("closed", F.lit(True)) \
+        .unionByName(rest.withColumn("closed", F.lit(False)))
+    return both.withColumn("total_value", F.col("total_value").cast("double"))
 
 
 @register("x4_sessions")
 def x4_sessions(spark, d):
-    out = X.run_available(X.sessions(X.event_stream(spark, d)), "x4_sessions")
-    return spark.read.parquet(out)
+    out = X.run_available(X.sessions(X.event_stream(spark, d)), "x4_sessions", X.new_root(spark))
+    ev = read_table(spark, d, "events", ["user_id", "ts", "event_id"])
+    rest = X.still_open(SE.sessions(ev), "session_end", ev)
+    return spark.read.parquet(out).withColumn("closed", F.lit(True)) \
+        .unionByName(rest.withColumn("closed", F.lit(False)))
 
 
 # --------------------------------------------------------------------------

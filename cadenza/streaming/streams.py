@@ -1,14 +1,15 @@
 """Structured Streaming jobs over the play/event log.
 
-The source is the parquet file source over the table folder; each job
-writes to a sink folder under the shared checkpoint directory with its own
-checkpoint location, so a restarted job resumes where it stopped and a
-re-run micro-batch overwrites instead of duplicating.
+The source is the parquet file source over a folder.  The caller names a
+``root`` for each stream; the job's sink and checkpoint are ``root/<job>/out``
+and ``root/<job>/checkpoint``, so running the job again under the same root
+goes on where it stopped, with its offsets and state, and reads new files only.
 
 ``run_available`` drives a query with ``trigger(availableNow=True)``: every
 file present at start is processed, then the query stops.  Append-mode
-outputs contain only what the watermark has closed; the rest stays in
-state until later data moves the watermark.
+outputs contain only what the watermark has closed; ``still_open`` gives the
+rest of a table's windows from the table itself, so that a reader of both has
+every window.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.session import checkpoint_dir
+from cadenza.session import checkpoint_dir, written
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -31,23 +32,30 @@ WATERMARK = "1 hour"
 SESSION_GAP = "30 minutes"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """Streaming read of the events table; ``ts`` as TIMESTAMP (T4)."""
-    s = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-         .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-    return s.withColumn("ts", F.col("ts").cast("timestamp")) \
-            .withColumn("track_id", F.get_json_object("props", "$.k").cast("bigint"))
+def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet",
+                 max_files: int | None = None) -> DataFrame:
+    """Streaming read of the events files of a folder (and below); ``ts`` as
+    TIMESTAMP (T4).  ``max_files`` bounds the files of a micro-batch."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", files).option("recursiveFileLookup", "true")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")) \
+        .withColumn("track_id", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
-    return os.path.join(base, "out"), os.path.join(base, "checkpoint")
+def new_root(spark: SparkSession) -> str:
+    """A root of its own below the shared folder, for a stream that starts anew."""
+    return os.path.join(checkpoint_dir(spark), "streams", uuid.uuid4().hex)
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet") -> str:
-    """Run a streaming DataFrame over all available input into a parquet
-    sink; returns the sink path."""
-    out, ckpt = _paths(df.sparkSession, name)
+def _paths(root: str, name: str) -> tuple[str, str]:
+    return os.path.join(root, name, "out"), os.path.join(root, name, "checkpoint")
+
+
+def run_available(df: DataFrame, name: str, root: str, mode: str = "append", fmt: str = "parquet") -> str:
+    """Run a streaming DataFrame over all input that ``root`` has not seen yet
+    into a parquet sink; returns the sink path."""
+    out, ckpt = _paths(root, name)
     q = (df.writeStream.format(fmt).outputMode(mode).option("path", out)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -80,17 +88,23 @@ def sessions(stream: DataFrame) -> DataFrame:
                     F.col("session_window.end").alias("session_end"), "n_events")
 
 
-def refresh_profiles(stream: DataFrame, build, name: str = "x2_refresh") -> str:
+def still_open(windows: DataFrame, end: str, events: DataFrame) -> DataFrame:
+    """Of a table's windows (in batch) those that the watermark of its events
+    has not closed: the complement of an append-mode sink."""
+    mark = events.select(F.max("ts") - F.expr(f"INTERVAL {WATERMARK}")).scalar()
+    return windows.where(F.col(end) > mark)
+
+
+def refresh_profiles(stream: DataFrame, build, root: str, name: str = "x2_refresh") -> str:
     """For each micro-batch, rebuild the profiles of the users it
     touched (``build(touched_users)`` -> profile rows) and write them to
     ``out/batch=<id>``, overwriting on a re-run of the same batch id, so a
-    retried batch is idempotent.  Readers take the latest batch per user
-    (S3 last-write-wins)."""
-    spark = stream.sparkSession
-    out, ckpt = _paths(spark, name)
+    retried batch is idempotent.  The touched users are found once a batch.
+    Readers take the latest batch per user (S3 last-write-wins)."""
+    out, ckpt = _paths(root, name)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("user_id").distinct()
+        touched = written(batch.select("user_id").distinct(), "touched")
         rows = build(touched).withColumn("load_seq", F.lit(batch_id))
         rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 

@@ -88,3 +88,20 @@ def test_titles(spark):
     got = {r.request_id: r for r in R.titles(_attempts(spark, rows)).collect()}
     assert got[1].title == "t" and got[1].description == "Generated playlist"
     assert (got[2].title, got[2].description) == ("My Playlist", "Generated playlist")
+
+
+def test_integers_beyond_32_and_64_bits(spark):
+    got = _typed(spark, ['{"year_min": 3000000000}', '{"year_min": "3000000000"}', '{"limit": 3000000000}',
+                         '{"year_min": 99999999999999999999}', '{"year_min": "99999999999999999999"}',
+                         '{"year_min": "2010.0"}', '{"year_min": "2010.5"}', '{"limit": "7"}'])
+    assert [got[i].ok for i in range(8)] == [True, True, False, False, False, True, False, True]
+    assert got[0].year_min == got[1].year_min == 3000000000 and got[5].year_min == 2010
+    assert got[2].error == "invalid:limit" and got[3].error == got[4].error == "invalid:year_min"
+    assert got[7].track_limit == 7
+
+
+def test_titles_of_other_types(spark):
+    rows = [(i, "title", 1, t) for i, t in enumerate(
+        ['{"title": "a", "description": "b"}', '["a"]', '{"title": null}', '{"title": 42, "description": ["x"]}', "no"])]
+    got = {r.request_id: (r.title, r.description) for r in R.titles(_attempts(spark, rows)).collect()}
+    assert got[0] == ("a", "b") and len({got[i] for i in range(1, 5)}) == 1
