@@ -13,25 +13,25 @@ is therefore ours and stated here.  A query is split on whitespace
 Hits are ordered by popularity descending, then track id; the first 10 are
 kept (W5).  A query without any token finds nothing.
 
-Plan (no cross join, no cap on candidates):
+A value with spaces is quoted: ``artist:"b c"``, ``genre:"b c"``.
+
+Plan (no cross join, no cap on candidates, no switch by size):
 
 0. Hits depend on the query text only: each distinct text is searched
    once and its <= 10 hits are joined back to the query rows.
-1. The catalogue becomes postings ``(token, track)`` with prefixed tokens
-   ``g:``/``a:``/``w:``/``y:``; token sizes come from a partial aggregate.
-2. Each query's *anchor* is its required token with the fewest postings
-   (every match must contain it).  Year-only queries anchor on each year
-   of their range.
-3. Pass 1 joins each anchored query with the 256 most popular postings of
-   its anchor only (``row_number() <= 256`` per token, a map-side
-   WindowGroupLimit, so a huge token costs 256 rows per map task).  Matches
-   are in posting order, so if pass 1 finds 10 matches they are the exact
-   top 10; it is also exact when the anchor has at most 256 postings.
-4. Pass 2 joins only the remaining queries with the full posting list of
-   their anchor (AQE splits a skewed token).
-
-The residual test is ``size(array_except(required, track_tokens)) = 0`` plus
-a year range, all codegen-able expressions (no lambdas per pair).
+1. A track is posted under *keys*: the empty key, each of its tokens
+   (``g:``/``a:``/``w:``) and each pair of its tokens; only keys that some
+   query asks for are kept.
+2. A query of at most two tokens is one key.  Its hits are the first ten of
+   the key's tracks, or with a year range the first ten of each year of the
+   range, merged: exact from heads of ten rows, which a map-side
+   WindowGroupLimit cuts before the exchange, however popular the key is.
+3. A query of more tokens is anchored on its rarest pair; the pair's tracks
+   are joined to their token lists and tested for the other tokens and the
+   year.  Postings carry no token list, so a popular pair costs two numbers a
+   track.
+
+Every test is a codegen-able expression (no lambdas per pair of rows).
 """
 
 from __future__ import annotations
@@ -42,69 +42,59 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import HITS_PER_QUERY
 
 YEAR_RE = r"^year:([0-9]{4})(-([0-9]{4}))?$"
-FIRST_PASS = 256
+TOKEN_RE = r'((?:genre|artist):"[^"]*"|\S+)'
+SEP = "\u0001"
 QKEY = ["query"]   # results depend on the query text only
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """``(query)`` -> required tokens and year range."""
-    toks = F.filter(F.split(F.trim(F.lower(F.col("query"))), r"\s+"), lambda t: F.length(t) > 0)
+    """``(query)`` -> required tokens in order and year range."""
+    toks = F.regexp_extract_all(F.lower(F.col("query")), F.lit(TOKEN_RE), F.lit(1))
     is_year = lambda t: t.rlike(YEAR_RE)
-    genres = F.transform(F.filter(toks, lambda t: t.startswith("genre:")),
-                         lambda t: F.concat(F.lit("g:"), F.substring(t, 7, 1000)))
-    artists = F.transform(F.filter(toks, lambda t: t.startswith("artist:")),
-                          lambda t: F.concat(F.lit("a:"), F.substring(t, 8, 1000)))
+
+    def values(kind: str, prefix: str):
+        return F.transform(F.filter(toks, lambda t: t.startswith(kind)), lambda t: F.concat(
+            F.lit(prefix), F.replace(F.substr(t, F.lit(len(kind) + 1)), F.lit('"'), F.lit(""))))
     words = F.transform(F.filter(toks, lambda t: ~(t.startswith("genre:") | t.startswith("artist:") | is_year(t))),
                         lambda t: F.concat(F.lit("w:"), t))
     years = F.filter(toks, is_year)
     lo = F.transform(years, lambda t: F.regexp_extract(t, YEAR_RE, 1).cast("int"))
     hi = F.transform(years, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, YEAR_RE, 3), F.lit("")),
                                                  F.regexp_extract(t, YEAR_RE, 1)).cast("int"))
-    return queries.select(*QKEY, F.array_distinct(F.concat(genres, artists, words)).alias("required"),
+    required = F.concat(values("genre:", "g:"), values("artist:", "a:"), words)
+    return queries.select(*QKEY, F.array_sort(F.array_distinct(required)).alias("required"),
                           F.array_max(lo).alias("y_lo"), F.array_min(hi).alias("y_hi"),
                           F.size(toks).alias("n_tokens"))
 
 
-def postings(catalogue: DataFrame) -> DataFrame:
-    """``(token, track_id, popularity, t_tokens, t_year)``, one row per
-    distinct token of a track."""
+def track_tokens(catalogue: DataFrame) -> DataFrame:
+    """``(track_id, popularity, t_tokens, t_year)``: the distinct tokens of a
+    track in order."""
     names = F.transform("artists", lambda a: F.concat(F.lit("a:"), F.lower(a["name"])))
     words = F.transform(F.filter(F.split(F.lower(F.concat_ws(" ", F.col("name"), F.col("album.name"))), r"\s+"),
                                  lambda w: F.length(w) > 0), lambda w: F.concat(F.lit("w:"), w))
     genres = F.transform("genres", lambda g: F.concat(F.lit("g:"), F.lower(g)))
     year = F.col("album.release_date").substr(1, 4).try_cast("int")
-    t = catalogue.select("track_id", "popularity", F.array_distinct(F.concat(genres, names, words)).alias("t_tokens"),
-                         year.alias("t_year"))
-    keys = F.concat("t_tokens", F.array(F.concat(F.lit("y:"), F.col("t_year").cast("string"))))
-    return t.select("*", F.explode(keys).alias("token"))
-
-
-def _anchor(parsed: DataFrame, stats: DataFrame) -> DataFrame:
-    """Token queries: the required token with the fewest postings.
-    Year-only queries: every year of the range (``anchor_n`` NULL)."""
-    tok = parsed.where(F.size("required") > 0).select(*QKEY, F.explode("required").alias("token"))
-    sized = tok.join(stats, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = sized.groupBy(*QKEY).agg(F.min_by(F.struct("token", "n"), F.struct("n", "token")).alias("_a")) \
-        .select(*QKEY, F.col("_a.token").alias("token"), F.col("_a.n").alias("anchor_n"))
-    token_q = parsed.join(best, QKEY)
-    year_q = parsed.where((F.size("required") == 0) & F.col("y_lo").isNotNull() & (F.col("y_lo") <= F.col("y_hi"))) \
-        .select("*", F.explode(F.transform(F.sequence("y_lo", "y_hi"),
-                                           lambda y: F.concat(F.lit("y:"), y.cast("string")))).alias("token"),
-                F.lit(None).cast("long").alias("anchor_n"))
-    return token_q.unionByName(year_q)
-
-
-def _match(anchored: DataFrame, post: DataFrame) -> DataFrame:
-    j = anchored.join(post, "token")
-    ok = (F.size(F.array_except("required", "t_tokens")) == 0) \
-        & (F.col("y_lo").isNull() | (F.col("t_year") >= F.col("y_lo"))) \
-        & (F.col("y_hi").isNull() | (F.col("t_year") <= F.col("y_hi")))
-    return j.where(ok).select(*QKEY, "anchor_n", "track_id", "popularity")
+    return catalogue.select("track_id", "popularity",
+                            F.array_sort(F.array_distinct(F.concat(genres, names, words))).alias("t_tokens"),
+                            year.alias("t_year"))
+
+
+def _pairs(tokens):
+    """Keys of the pairs of an ordered token list."""
+    return F.flatten(F.transform(tokens, lambda a, i: F.transform(
+        F.slice(tokens, i + 2, F.size(tokens)), lambda b: F.concat(a, F.lit(SEP), b))))
 
 
 def _top(matches: DataFrame) -> DataFrame:
     w = Window.partitionBy(*QKEY).orderBy(F.desc("popularity"), "track_id")
-    return matches.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= HITS_PER_QUERY)
+    return matches.select(*QKEY, "track_id", "popularity") \
+        .withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= HITS_PER_QUERY)
+
+
+def _heads(posted: DataFrame, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc("popularity"), "track_id")
+    return posted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= HITS_PER_QUERY).drop("_r")
 
 
 def search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -121,21 +111,32 @@ def search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def search_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Top-10 hits per distinct query text ``(query, hit_rank, track_id, popularity)``."""
-    post = postings(catalogue)
-    stats = post.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    anchored = _anchor(parse_queries(texts), stats)
-    # Pass 1: token-anchored queries against the head of their anchor's list.
-    head = post.withColumn("_r", F.row_number().over(
-        Window.partitionBy("token").orderBy(F.desc("popularity"), "track_id"))).where(F.col("_r") <= FIRST_PASS)
-    first = _match(anchored.where(F.col("anchor_n").isNotNull()), head.drop("_r"))
-    counted = first.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*QKEY)))
-    done = counted.where((F.col("_found") >= HITS_PER_QUERY) | (F.col("anchor_n") <= FIRST_PASS))
-    exact_first = _top(done.drop("_found"))
-    # Pass 2: the rest (long anchor lists with < 10 matches in the head, and
-    # year-only queries) against the full list.
-    settled = done.select(*QKEY).distinct()
-    rest = anchored.where(F.col("anchor_n").isNull() | (F.col("anchor_n") > FIRST_PASS)) \
-        .join(settled, QKEY, "left_anti")
-    second = _top(_match(rest, post))
-    cols = [*QKEY, "hit_rank", "track_id", "popularity"]
-    return exact_first.select(*cols).unionByName(second.select(*cols))
+    tracks = track_tokens(catalogue)
+    parsed = parse_queries(texts).where("n_tokens > 0")
+    few = parsed.where(F.size("required") <= 2).withColumn("key", F.array_join("required", SEP))
+    many = parsed.where(F.size("required") > 2).withColumn("key", F.explode(_pairs(F.col("required"))))
+    asked = few.select("key").unionByName(many.select("key")).distinct()
+    keys = F.concat(F.array(F.lit("")), F.col("t_tokens"), _pairs(F.col("t_tokens")))
+    posted = tracks.select("track_id", "popularity", "t_year", F.explode(keys).alias("key")) \
+        .join(asked, "key", "left_semi")
+
+    # at most two tokens: heads of the key, or of the key in each year
+    open_years = few.where(F.col("y_lo").isNull()).select(*QKEY, "key").join(_heads(posted, "key"), "key")
+    span = tracks.agg(F.min("t_year").alias("first"), F.max("t_year").alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    dated = few.where(F.col("y_lo").isNotNull()).withColumns(
+        {"_lo": F.greatest("y_lo", first), "_hi": F.least("y_hi", last)}).where("_lo <= _hi")
+    by_year = dated.select(*QKEY, "key", F.explode(F.sequence("_lo", "_hi")).alias("t_year")) \
+        .join(_heads(posted.where(F.col("t_year").isNotNull()), "key", "t_year"), ["key", "t_year"])
+
+    # more tokens: the rarest pair's tracks, tested for the rest
+    stats = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    anchor = many.join(stats, "key", "left").groupBy(*QKEY).agg(
+        F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("key"))
+    found = many.select(*QKEY, "required", "y_lo", "y_hi").distinct().join(anchor, QKEY) \
+        .join(posted.select("key", "track_id"), "key").join(tracks, "track_id")
+    rest = found.where((F.size(F.array_except("required", "t_tokens")) == 0)
+                       & (F.col("y_lo").isNull() | ((F.col("t_year") >= F.col("y_lo"))
+                                                    & (F.col("t_year") <= F.col("y_hi")))))
+    cols = [*QKEY, "track_id", "popularity"]
+    return _top(open_years.select(*cols).unionByName(by_year.select(*cols)).unionByName(rest.select(*cols)))

@@ -626,12 +626,12 @@ _YR = "year:[0-9]{4}(-[0-9]{4})?"
 C1_SQL = f"""
 c1_q AS (
   SELECT request_id, query_idx,
-         list_filter(string_split_regex(trim(lower(query)), '\\s+'), lambda t: length(t) > 0) AS toks
+         regexp_extract_all(lower(query), '(genre|artist):"[^"]*"|\\S+') AS toks
   FROM query_rows),
 c1_qp AS (
   SELECT request_id, query_idx, len(toks) AS nt,
-         list_transform(list_filter(toks, lambda t: starts_with(t, 'genre:')), lambda t: substr(t, 7)) AS qg,
-         list_transform(list_filter(toks, lambda t: starts_with(t, 'artist:')), lambda t: substr(t, 8)) AS qa,
+         list_transform(list_filter(toks, lambda t: starts_with(t, 'genre:')), lambda t: replace(substr(t, 7), '"', '')) AS qg,
+         list_transform(list_filter(toks, lambda t: starts_with(t, 'artist:')), lambda t: replace(substr(t, 8), '"', '')) AS qa,
          list_filter(toks, lambda t: regexp_full_match(t, '{_YR}')) AS qy,
          list_filter(toks, lambda t: NOT (starts_with(t, 'genre:') OR starts_with(t, 'artist:')
                                           OR regexp_full_match(t, '{_YR}'))) AS qw

@@ -46,7 +46,7 @@ BAD_CRITERIA = [
     '{"year_max": 99999999999999999999}',
     '{"year_min": "{y}.5"}',
 ]
-# Search-query replies, chosen by key % 6.
+# Search-query replies, chosen by key % 8.
 QUERY_REPLIES = [
     '["genre:{t} year:{ymin}-{ymax}", "artist:Brand#{b} genre:{w}", "genre:{w} {n}", "{w} {n}", '
     '"genre:{t}", "artist:Brand#{b}", "genre:{t} year:1990-2010", "{n}"]',
@@ -55,6 +55,9 @@ QUERY_REPLIES = [
     '{"queries": ["genre:{t}"]}',
     '[]',
     'Here are some queries: genre:{t}',
+    '["artist:\\"Guest {lim}0\\"", "artist:\\"guest {lim}5\\" year:0000-9999", "genre:\\"{t}\\" genre:{w} {n}", '
+    '"year:{ymin}", "year:0000-9999", "genre:{t} genre:{w} {n} year:1980-2020"]',
+    '["genre:' + "x" * 1200 + '", "year:2020-1990", "artist:\\"no such\\" {n}"]',
 ]
 # Title replies, chosen by key % 7.
 TITLE_REPLIES = [
@@ -161,7 +164,7 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     crit = crit.select(k.alias("request_id"), F.lit("criteria").alias("kind"), "attempt",
                        crit_text.alias("raw_text"))
     queries = o.select(k.alias("request_id"), F.lit("queries").alias("kind"), F.lit(1).alias("attempt"),
-                       _pick_spark(QUERY_REPLIES, k % 6, cols).alias("raw_text"))
+                       _pick_spark(QUERY_REPLIES, k % len(QUERY_REPLIES), cols).alias("raw_text"))
     titles = o.select(k.alias("request_id"), F.lit("title").alias("kind"), F.lit(1).alias("attempt"),
                       _pick_spark(TITLE_REPLIES, k % len(TITLE_REPLIES), cols).alias("raw_text"))
     return crit.unionByName(queries).unionByName(titles)
@@ -178,6 +181,6 @@ attempts AS (
          CASE WHEN attempt < o_orderkey % 4 + 1 THEN {bad} ELSE {good} END AS raw_text
   FROM (SELECT *, unnest(range(1, CAST(o_orderkey % 4 + 2 AS BIGINT))) AS attempt FROM orders)
   UNION ALL
-  SELECT o_orderkey, 'queries', 1, {pick_sql(QUERY_REPLIES, "o_orderkey % 6", e)} FROM orders
+  SELECT o_orderkey, 'queries', 1, {pick_sql(QUERY_REPLIES, f"o_orderkey % {len(QUERY_REPLIES)}", e)} FROM orders
   UNION ALL
   SELECT o_orderkey, 'title', 1, {pick_sql(TITLE_REPLIES, f"o_orderkey % {len(TITLE_REPLIES)}", e)} FROM orders)"""

@@ -57,3 +57,23 @@ def test_batch_sessions_never_cluster_a_user(spark, sf_small):
     text = inspect.plan_text(REGISTRY["x4_sessions_batch"](spark, sf_small))
     assert "rangepartitioning(user_id" in text
     assert "hashpartitioning(user_id" not in text
+
+
+def test_search_keeps_ten_rows_of_a_key(spark):
+    """Queries of one or two tokens, with and without years, read heads only."""
+    from cadenza.operators import search
+    cat = spark.range(400).selectExpr(
+        "id AS track_id", "id % 7 AS popularity", "'same name' AS name", "array(named_struct('name', 'b c')) AS artists",
+        "named_struct('name', 'x', 'release_date', cast(1990 + id % 3 AS string)) AS album", "array('g') AS genres")
+    texts = ['genre:g', 'artist:"b c"', 'genre:g year:1991', 'year:0000-9999', 'genre:g same name',
+             'artist:"b c" same year:1990-1991', 'artist:b c', 'genre:none same', 'genre:"g" name x year:1992']
+    hits = search.search_texts(spark.createDataFrame([(t,) for t in texts], "query string"), cat).collect()
+    rows = [(i, i % 7, 1990 + i % 3) for i in range(400)]
+
+    def want(lo, hi):
+        return [i for i, p, y in sorted(rows, key=lambda r: (-r[1], r[0])) if lo <= y <= hi][:10]
+    found = {t: [r.track_id for r in sorted((h for h in hits if h.query == t), key=lambda r: r.hit_rank)] for t in texts}
+    assert found == {'genre:g': want(0, 9999), 'artist:"b c"': want(0, 9999), 'genre:g year:1991': want(1991, 1991),
+                     'year:0000-9999': want(0, 9999), 'genre:g same name': want(0, 9999),
+                     'artist:"b c" same year:1990-1991': want(1990, 1991), 'artist:b c': [], 'genre:none same': [],
+                     'genre:"g" name x year:1992': want(1992, 1992)}
