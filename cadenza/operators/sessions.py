@@ -35,16 +35,21 @@ from cadenza.session import written
 GAP = "INTERVAL 30 MINUTES"
 
 
+def ranged(events: DataFrame, n: int) -> DataFrame:
+    """Step 1: the log cut by (user, time) ranges and sorted, rows tagged."""
+    order = [F.col("user_id"), F.col("ts"), F.col("event_id")]
+    return (events.select("user_id", "ts", "event_id")
+            .repartitionByRange(n, *order).sortWithinPartitions(*order)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id()))
+
+
 def sessions(events: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """``events(user_id, ts, event_id)`` -> ``(user_id, session_start,
     session_end, n_events)``."""
     spark = events.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("user_id"), F.col("ts"), F.col("event_id")]
-    tagged = written(events.select("user_id", "ts", "event_id")
-                     .repartitionByRange(n, *order).sortWithinPartitions(*order)
-                     .withColumn("_pid", F.spark_partition_id())
-                     .withColumn("_mid", F.monotonically_increasing_id()), "sessions")
+    tagged = written(ranged(events, n), "sessions")
 
     # 2. last row of the nearest earlier non-empty partition
     lasts = tagged.groupBy("_pid").agg(F.max_by(F.struct("user_id", "ts"), F.col("_mid")).alias("_last"))
