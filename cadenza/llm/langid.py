@@ -159,7 +159,7 @@ class Parser:
 def learned_texts(docs: DataFrame) -> dict[str, str]:
     """Some labelled text per language, from whole documents, the first by a
     hash of doc_id; bounded by LEARN_DOCS documents a language."""
-    known = docs.filter("lang is not null and doc_id is not null")
+    known = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
     h = F.xxhash64(F.col("doc_id"))
     counts = known.groupBy("lang").count()
     # about 4 * LEARN_DOCS of each language by the hash's size, then the first of them

@@ -68,7 +68,7 @@ WITH d AS MATERIALIZED (
                         least(CAST(regexp_extract(source, '([0-9]{{1,6}})$', 1) AS INTEGER) // 5, 3) + 1)
          ELSE 'other' END AS l0,
          coalesce(lang, '') AS l1, coalesce(source, '') AS l2,
-         len(regexp_extract_all(text, '[^ 	-]+')) AS n, md5(coalesce(text, '')) AS digest
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n, md5(coalesce(text, '')) AS digest
   FROM documents
 ), leaf AS (
   SELECT l0, l1, l2, sum(n) AS tokens, 4 * sum(n) AS cap,
