@@ -32,14 +32,19 @@ GRAM_BITS = 16
 GRAM = 5
 WIDTH = 12
 HIDDEN = 8
+#: Passes over the training documents, at least so many steps, at most so many passes.
 EPOCHS = 8
+STEPS = 300
+#: With fewer toxic documents held back than this the last pass counts.
+FEW = 20
+MOST_EPOCHS = 30
 #: A bucket in RARE documents counts half of its log odds; one in fewer than
 #: SEEN has no vector.  FOLDS of the training documents see each other's odds.
 RARE = 3
-SEEN = 5
+SEEN = 10
 FOLDS = 5
-DECAY = 0.01
-BATCH = 256
+DECAY = 0.03
+BATCH = 64
 CHUNK = 2048
 SEED = 7
 CUT = 0.7
@@ -97,9 +102,10 @@ def inputs(model: dict, words: Words) -> np.ndarray:
     """Input vector of each word."""
     out = np.empty((len(words.word), 2 * WIDTH + 2), np.float32)
     if len(out):
-        out[:, :WIDTH] = model["word"][words.word]
+        out[:, :WIDTH] = model["word"][model["word_row"][words.word]]
         count = np.diff(np.append(words.gram_at, len(words.gram)))
-        out[:, WIDTH:-2] = np.add.reduceat(model["gram"][words.gram], words.gram_at, axis=0) / count[:, None]
+        out[:, WIDTH:-2] = np.add.reduceat(model["gram"][model["gram_row"][words.gram]], words.gram_at,
+                                           axis=0) / count[:, None]
         out[:, -2:] = _odds(model, words) if words.odds is None else words.odds
     return out
 
@@ -166,13 +172,15 @@ def _pool(model: dict, states: np.ndarray, real):
 def window_logits(model: dict, words: Words) -> np.ndarray:
     """Logit of every window."""
     out = np.zeros(len(words.first), np.float32)
-    if not len(out):
-        return out
-    projected = inputs(model, words) @ model["w"] + model["b"]
-    order = np.argsort(words.size, kind="stable")       # windows of one length need no mask
-    for rows in np.array_split(order, max(1, -(-len(order) // CHUNK))):
-        index, real = _index(words.first[rows], words.size[rows])
-        out[rows] = _pool(model, _cells(model, _gather(projected, index), real, None), real)[0]
+    for at in range(0, len(out), CHUNK):
+        near = np.arange(at, min(at + CHUNK, len(out)))
+        lo, hi = int(words.first[near].min()), int((words.first[near] + words.size[near]).max())
+        projected = inputs(model, _some(words, np.arange(lo, hi))) @ model["w"] + model["b"]
+        whole = words.size[near] == WINDOW               # these need no mask
+        for rows in (near[whole], near[~whole]):
+            if len(rows):
+                index, real = _index(words.first[rows] - lo, words.size[rows])
+                out[rows] = _pool(model, _cells(model, _gather(projected, index), real, None), real)[0]
     return out
 
 
@@ -224,8 +232,8 @@ def gradients(model: dict, words: Words, rows: np.ndarray, y: np.ndarray) -> dic
     for name, at, d in (("word", part.word, d_x[:, :WIDTH]),
                         ("gram", part.gram, np.repeat(d_x[:, WIDTH:-2] / count[:, None], count, axis=0))):
         g[name] = np.zeros_like(model[name])
-        np.add.at(g[name], at, d)
-        g[name] *= model[name + "_known"][:, None]
+        np.add.at(g[name], model[name + "_row"][at], d)
+        g[name][0] = 0
     return g
 
 
@@ -256,8 +264,8 @@ def _log_odds(n: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict | None:
-    """A model of labelled texts, the best epoch's by the held-back fifth; None
-    without both classes."""
+    """A model of labelled texts, that of the pass which ranks the held-back
+    fifth best; None without both classes."""
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(SEED)
@@ -265,7 +273,7 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict | None:
     fit = np.setdiff1d(np.arange(len(y)), held)
     words = Words([texts[i] for i in fit])
     of, label = words.owner, y[fit]
-    doc_of_word = np.zeros(len(words.word), np.int64)
+    doc_of_word = np.zeros(len(words.word), np.int32)
     for k in range(WINDOW):
         at = words.first + np.minimum(k, words.size - 1)
         doc_of_word[at] = of
@@ -282,9 +290,9 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict | None:
     for name, at, owner, bits in (("word", words.word, doc_of_word, WORD_BITS),
                                   ("gram", words.gram, doc_of_gram, GRAM_BITS)):
         n = _document_counts(at, owner, label, bits)
-        known = (n.sum(0) >= SEEN).astype(f32)
-        model[name] = rng.normal(0, 0.05, (1 << bits, WIDTH)).astype(f32) * known[:, None]
-        model[name + "_known"] = known
+        known = n.sum(0) >= SEEN
+        model[name + "_row"] = np.where(known, np.cumsum(known), 0).astype(np.int32)    # row 0: no vector
+        model[name] = np.zeros((int(known.sum()) + 1, WIDTH), f32)
         model[name + "_odds"] = _log_odds(n, total)
         odds = np.empty(len(at), f32)
         for k in range(FOLDS):
@@ -292,29 +300,38 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict | None:
             part = _document_counts(at[mine], owner[mine], label, bits)
             odds[mine] = _log_odds(n - part, total - np.bincount(label[k::FOLDS], minlength=2))[at[mine]]
         words.odds[:, 0 if name == "word" else 1] = odds if name == "word" else np.maximum.reduceat(odds, words.gram_at)
-    adam = Adam(model, 0.005)
+    adam = Adam({k: v for k, v in model.items() if not k.endswith(("_row", "_odds"))}, 0.003)
     docs, best = np.unique(of), None
-    for _ in range(EPOCHS):
+    batches = max(1, len(docs) // BATCH)
+    for _ in range(min(max(EPOCHS, STEPS // batches), MOST_EPOCHS)):
         z = window_logits(model, words)
         order = np.lexsort((z, of))
         worst = order[np.flatnonzero(np.append(of[order][1:] != of[order][:-1], True))]
-        for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
+        for part in np.array_split(rng.permutation(len(docs)), batches):
             adam.update(gradients(model, words, worst[part], label[docs[part]].astype(f32)))
             for name in ("word", "gram"):
                 model[name] *= 1 - DECAY
         z = document_logits(model, [texts[i] for i in held])
-        loss = float(np.mean(np.logaddexp(0, z) - y[held] * z))
-        if best is None or loss < best[0]:
-            best = loss, {k: v.copy() for k, v in model.items() if not k.endswith("_known")}, z
+        rank = _ranking(z, y[held])
+        if best is None or rank >= best[0] or y[held].sum() < FEW:
+            best = rank, {k: v.copy() for k, v in model.items()}, z
     model = best[1]
     model["line"] = _calibrated(best[2], y[held], weight[held])
     return model
 
 
+def _ranking(z: np.ndarray, y: np.ndarray) -> float:
+    """Share of pairs of either class in the right order; 0 without both."""
+    a, b = np.sort(z[y == 0]), z[y == 1]
+    below = np.searchsorted(a, b, "left") + np.searchsorted(a, b, "right")
+    return float(below.sum()) / max(1, 2 * len(a) * len(b))
+
+
 def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Slope and offset of the log odds: the slope by logistic regression, the
     offset so that CUT falls on the cut of best F1 (the middle of the widest
-    gap of equally good ones)."""
+    gap of equally good ones); with few toxic documents on the cut that passes
+    as many as there are."""
     if len(set(y.tolist())) < 2:
         return np.array([1.0, 0.0])
     a, b = 1.0, 0.0
@@ -327,6 +344,8 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     f1 = 2 * hit[:, 0] / (hit[:, 1] + (weight * y).sum())
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     cut = cuts[best[np.argmax((s[1:] - s[:-1])[best])]]
+    if y.sum() < FEW:
+        cut = np.quantile(z, 1 - y.mean())
     a = max(a, 0.05)
     return np.array([a, np.log(CUT / (1 - CUT)) - a * cut])
 
