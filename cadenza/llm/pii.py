@@ -34,7 +34,7 @@ STRICT_DRAWS = 16
 
 # Titles with the gender they give, and how names are built.
 _TITLES = {
-    "m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н", "Κύριος", "κ"),
+    "m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н", "Κύριος"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Госпожа", "г-жа", "Κυρία"),
     "n": ("Dr", "Prof"),
 }
@@ -64,8 +64,6 @@ _FINDER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in {
             + _CAPITAL + r"(?:[ \u00a0]" + _CAPITAL + r"){0,2}",
 }.items()))
 _SECRET_VALUE = re.compile(r"[\w/+.-]+$")
-#: What every entity has: a digit, an at sign or a title (for the JVM's regex).
-_MAY_HAVE = r"[0-9@]|(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.?[ \u00a0]\p{Lu}"
 
 
 def _digits(text: str) -> str:
@@ -211,6 +209,15 @@ def render(mention: str, kind: str, chosen: str) -> str:
 
 # --- the table of entities --------------------------------------------------------
 
+def _may_have(text: Column) -> Column:
+    """What every text with an entity has: a digit, an at sign or a title."""
+    out = text.rlike("[0-9@]")
+    for title in _GENDER:
+        if not any(other != title and other in title for other in _GENDER):
+            out = out | text.contains(title)
+    return out
+
+
 def _entities(text: Column) -> Column:
     @arrow_udf("array<struct<kind: string, entity: string>>")
     def run(texts: pa.Array) -> pa.Array:
@@ -296,7 +303,7 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     that begin with ``__`` are used in between).
     """
     secret, columns, text = key.encode(), others(docs, ["entities"]), F.col(text_col)
-    may = F.coalesce(text.rlike(_MAY_HAVE), F.lit(False))
+    may = F.coalesce(_may_have(text), F.lit(False))
     digest = F.sha2(text.cast("binary"), 256)
     found = materialize(docs.filter(may).select(digest.alias("__digest"), _entities(text).alias("found"))
                         .filter(F.size("found") > 0).groupBy("__digest").agg(F.first("found").alias("found")), "found")
