@@ -136,8 +136,13 @@ def deletion_counts(playlists: DataFrame, deletions: DataFrame) -> DataFrame:
 
 def lookup(playlists: DataFrame, ids: DataFrame) -> DataFrame:
     """S9 in batch: ``ids(playlist_id)`` left-joined to the table; an
-    unknown id yields a row of NULLs (the application's "none")."""
-    return ids.join(playlists, ids["playlist_id"] == playlists["id"], "left").drop("id")
+    unknown id yields a row of NULLs (the application's "none").  Rows that
+    name no playlist take no part in the join, so that however many they are,
+    they are not hashed to one partition."""
+    named = ids.where(F.col("playlist_id").isNotNull())
+    found = named.join(playlists, named["playlist_id"] == playlists["id"], "left").drop("id")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in playlists.schema if f.name != "id"]
+    return found.unionByName(ids.where(F.col("playlist_id").isNull()).select("*", *rest))
 
 
 # -- S14 ---------------------------------------------------------------------

@@ -461,9 +461,12 @@ SELECT requester_id, count(*) AS requested,
        count(DISTINCT CASE WHEN playlist_id IN (SELECT id FROM playlists) THEN playlist_id END) AS deleted
 FROM deletions GROUP BY requester_id""")
 
-oracle("j2_relaunch", with_(PLAYLISTS) + """
-SELECT o_orderkey AS request_id, p.title AS prior_title, coalesce(p.track_count, 0) AS prior_track_count
-FROM orders LEFT JOIN playlists p
+oracle("j2_relaunch", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, PLAYLISTS) + """,
+lists AS (SELECT request_id, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY position) AS ids
+          FROM topn GROUP BY request_id)
+SELECT o_orderkey AS request_id, p.title AS prior_title, coalesce(p.track_count, 0) AS prior_track_count,
+       CASE WHEN p.created_at >= TIMESTAMP '1998-01-01' THEN coalesce(l.ids, '') ELSE '' END AS prior_track_ids
+FROM orders LEFT JOIN playlists p LEFT JOIN lists l ON p.id = CAST(l.request_id AS VARCHAR)
   ON p.id = CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(o_orderkey - 3 AS VARCHAR) END""")
 
 oracle("s14_batches", """

@@ -219,15 +219,20 @@ def _candidate_lists(spark, d):
         .withColumnRenamed("items", "tracks")
 
 
-@register("s2_schema_evolution")
-def s2_schema_evolution(spark, d):
+def _stored_playlists(spark, d):
+    """The playlists table after S2: old rows without tracks, new ones with theirs."""
     pl = S.playlists(spark, d)
     cut = F.col("created_at") < F.lit("1998-01-01 00:00:00").cast("timestamp")
     old = pl.where(cut)
     lists = _candidate_lists(spark, d)
     new = pl.where(~cut).join(lists, F.col("id") == F.col("request_id").cast("string"), "left") \
         .drop("request_id")
-    ev = ST.evolve_tracks(old, new)
+    return ST.evolve_tracks(old, new)
+
+
+@register("s2_schema_evolution")
+def s2_schema_evolution(spark, d):
+    ev = _stored_playlists(spark, d)
     return ev.select("id", F.size("tracks").alias("n_tracks"),
                      F.array_join(F.transform("tracks", lambda t: t["id"]), ",").alias("track_ids"))
 
@@ -263,9 +268,11 @@ def g6_delete_counts(spark, d):
 @register("j2_relaunch")
 def j2_relaunch(spark, d):
     req = S.relaunch_requests(spark, d)
-    j = ST.lookup(S.playlists(spark, d), req)
+    j = ST.lookup(_stored_playlists(spark, d).select("id", "title", "track_count", "tracks"), req)
+    ids = F.array_join(F.transform("tracks", lambda t: t["id"]), ",")
     return j.select("request_id", F.col("title").alias("prior_title"),
-                    F.coalesce("track_count", F.lit(0)).alias("prior_track_count"))
+                    F.coalesce("track_count", F.lit(0)).alias("prior_track_count"),
+                    F.coalesce(ids, F.lit("")).alias("prior_track_ids"))
 
 
 @register("s14_batches")

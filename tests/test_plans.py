@@ -79,3 +79,12 @@ def test_search_keeps_ten_rows_of_a_key(spark):
                      'year:0000-9999': want(0, 9999), 'genre:g same name': want(0, 9999),
                      'artist:"b c" same year:1990-1991': want(1990, 1991), 'artist:b c': [], 'genre:none same': [],
                      'genre:"g" name x year:1992': want(1992, 1992)}
+
+
+def test_relaunch_joins_named_playlists_only(spark, sf_small):
+    from cadenza.operators import store
+    ids = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, None)], "request_id long, playlist_id string")
+    stored = spark.createDataFrame([("a", "t")], "id string, title string")
+    found = store.lookup(stored, ids)
+    assert sorted((r.request_id, r.title) for r in found.collect()) == [(1, None), (2, "t"), (3, None), (4, None)]
+    assert "Union" in inspect.plan_text(found) and "isnull(playlist_id" in inspect.plan_text(found)
