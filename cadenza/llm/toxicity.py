@@ -46,6 +46,7 @@ FOLDS = 5
 DECAY = 0.03
 BATCH = 64
 CHUNK = 2048
+DOCS_AT_ONCE = 200
 SEED = 7
 CUT = 0.7
 #: Bytes that a long text's pieces share: more than WINDOW words of usual length.
@@ -250,10 +251,16 @@ def _some(words: Words, used: np.ndarray) -> Words:
 
 
 def _document_counts(buckets: np.ndarray, owner: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    """Documents of class 0 and of class 1 that each bucket is in."""
-    seen = np.unique(owner.astype(np.int64) << bits | buckets)
-    label = y[seen >> bits]
-    return np.stack([np.bincount(seen[label == k] & ((1 << bits) - 1), minlength=1 << bits) for k in (0, 1)])
+    """Documents of class 0 and of class 1 that each bucket is in; ``owner`` is
+    in order, and some documents at a time are looked at."""
+    out = np.zeros((2, 1 << bits), np.int64)
+    cuts = np.searchsorted(owner, np.arange(0, len(y) + DOCS_AT_ONCE, DOCS_AT_ONCE))
+    for a, b in zip(cuts, cuts[1:]):
+        seen = np.unique(owner[a:b].astype(np.int64) << bits | buckets[a:b])
+        label = y[seen >> bits]
+        for k in (0, 1):
+            out[k] += np.bincount(seen[label == k] & ((1 << bits) - 1), minlength=1 << bits)
+    return out
 
 
 def _log_odds(n: np.ndarray, total: np.ndarray) -> np.ndarray:
