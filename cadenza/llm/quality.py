@@ -4,8 +4,9 @@ Every word has an index vector: a few +1 and -1 at places its hash names.  A
 word's context vector sums the index vectors of its neighbours over the whole
 corpus.  Words share 2^14 hash buckets, so the table has a fixed size; tasks
 emit their part of it and Spark sums the parts.  A document is the mean and
-the spread of its words' vectors, scored by a network of two layers whose
-logits are divided by a temperature fitted on held-back labelled rows.
+the spread of its words' vectors, how near those of neighbouring words are to
+each other, and its size, scored by a network of two layers whose logits are
+divided by a temperature fitted on held-back labelled rows.
 """
 
 from __future__ import annotations
@@ -94,14 +95,25 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of each text's word vectors; zeros without words."""
+    """Mean and spread of each text's word vectors, for neighbours at either
+    reach the mean product of their vectors and the share of equal ones, and
+    the logarithm of the word count; zeros without words."""
     n = np.zeros(len(texts))
+    near_sum = np.zeros((2 * REACH, len(texts)))
+    near_n = np.zeros((REACH, len(texts)))
     total, square = np.zeros((2, len(texts), vectors.shape[1]))
     for line, starts, owners in packs(texts):
         h, owner = _tokens(line, starts, owners)
         if not len(h):
             continue
-        v = vectors[bucket(h, BUCKET_BITS)]
+        word = bucket(h, BUCKET_BITS)
+        v = vectors[word]
+        for gap in range(1, REACH + 1):
+            a = np.flatnonzero(owner[gap:] == owner[:-gap])
+            product = np.einsum("ij,ij->i", v[a], v[a + gap])
+            for row, value in ((near_n[gap - 1], None), (near_sum[2 * gap - 2], product),
+                               (near_sum[2 * gap - 1], word[a] == word[a + gap])):
+                row += np.bincount(owner[a], value, minlength=len(texts))
         cut = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
         of = owner[cut]                     # a text has one run of tokens in a pack
         n[of] += np.diff(np.append(cut, len(owner)))
@@ -109,7 +121,8 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         square[of] += np.add.reduceat(v * v, cut, axis=0, dtype=np.float64)
     size = np.maximum(n, 1)[:, None]
     mean = total / size
-    return np.hstack([mean, np.sqrt(np.maximum(square / size - mean ** 2, 0))])
+    near = near_sum / np.maximum(np.repeat(near_n, 2, axis=0), 1)
+    return np.hstack([mean, np.sqrt(np.maximum(square / size - mean ** 2, 0)), near.T, np.log1p(n)[:, None]])
 
 
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray] | None:
