@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize, others
 from .lines import SPLIT, WHITE
 
-#: Leading hex digits of the order's key that make a slice.
-SLICE_DIGITS = 3
+#: Leading hex digits of the order's key that make a slice, and a slice of one:
+#: a task that looks for a leaf's cut reads 256 counts, twice.
+SLICE_DIGITS = (2, 4)
 
 
 def count_tokens(text: Column) -> Column:
@@ -110,13 +111,16 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
     plan = materialize(allocate(leaves, inner, total).select(
         *inner, F.expr("budget div tokens").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")), "plan")
 
-    # the cut: first the slice of keys it is in, then the key
-    keyed = narrow.join(plan.filter("rest > 0"), inner).withColumn("__key", _key(seed, F.col("whole"))) \
-        .withColumn("__slice", F.substring("__key", 1, SLICE_DIGITS))
+    # the cut: the slice of keys it is in, the slice of that, then the key
+    inside = narrow.join(plan.filter("rest > 0"), inner).withColumn("__key", _key(seed, F.col("whole"))) \
+        .select(*inner, "rest", "__key", "__n", F.lit(0).cast("long").alias("base"))
     upto = Window.partitionBy(*inner).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    slices = keyed.groupBy(*inner, "__slice", "rest").agg(F.sum("__n").alias("n")).withColumn(
-        "base", F.sum("n").over(upto) - F.col("n")).filter("base < rest and base + n >= rest")
-    inside = keyed.join(slices.select(*inner, "__slice", "base"), [*inner, "__slice"])
+    for digits in SLICE_DIGITS:
+        cut = inside.withColumn("__slice", F.substring("__key", 1, digits))
+        slices = cut.groupBy(*inner, "__slice", "rest", "base").agg(F.sum("__n").alias("n")).withColumn(
+            "below", F.col("base") + F.sum("n").over(upto) - F.col("n")).filter("below < rest and below + n >= rest")
+        inside = cut.drop("base").join(slices.select(*inner, "__slice", F.col("below").alias("base")),
+                                       [*inner, "__slice"]).drop("__slice")
     peers = Window.partitionBy(*inner).orderBy("__key").rangeBetween(Window.unboundedPreceding, 0)
     cuts = inside.groupBy(*inner, "rest", "base", "__key").agg(F.sum("__n").alias("n")).withColumn(
         "upto", F.col("base") + F.sum("n").over(peers)).filter("upto >= rest").groupBy(*inner).agg(
