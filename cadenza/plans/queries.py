@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import FEATURE_DEFAULTS, year_in_range, year_of
+from cadenza.functions.columns import year_in_range, year_of
 from cadenza.operators import candidates as G1
 from cadenza.operators import profile as P
 from cadenza.operators import responses as R
@@ -30,6 +30,7 @@ from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
 from cadenza.sources import bronze as BZ
 from cadenza.operators import sessions as SE
+from cadenza.session import written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -465,10 +466,13 @@ def x1_ingest(spark, d):
     return spark.read.parquet(out)
 
 
+MID_LOG = "2024-01-16 00:00:00"
+
+
 def _halves(spark, d):
     """The event log before and from the middle of its month, as delivered."""
     ev = spark.read.schema(X.EVENTS_SCHEMA).parquet(table_path(d, "events"))
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    cut = F.lit(MID_LOG).cast("timestamp_ntz")
     return ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
 
 
@@ -483,26 +487,26 @@ def _g2_flat(p):
 
 @register("x2_refresh")
 def x2_refresh(spark, d):
-    def build(touched):
+    def build(touched, until=None):
         # Only the touched users' inputs are read into the rebuild.
         def only(df):
             return df.join(touched, "user_id", "left_semi")
-        prof = P.build_profiles(only(S.top_items_raw(spark, d)), S.track_items(spark, d),
+        prof = P.build_profiles(only(S.top_items_raw(spark, d, until)), S.track_items(spark, d),
                                 S.artist_items(spark, d), only(S.line_features(spark, d)),
                                 only(S.users(spark, d)), F.current_timestamp())
         return _g2_flat(prof)
-    # The store has a bare profile of every user of the log; two deliveries
-    # touch some users each, the others keep theirs.
+    # The store has the profiles as of the first half of the log.  Both halves
+    # are delivered whole, the first again and then the second, which rebuilds
+    # its users from all of the log; users without events in it keep theirs.
     root = X.new_root(spark)
     first, second = _halves(spark, d)
-    for part in (first.where(F.col("user_id") % 2 == 0), second.where(F.col("user_id") % 3 == 0)):
+    stored = written(build(first.select("user_id").distinct(), MID_LOG), "profiles")
+    for part, until in ((first, MID_LOG), (second, None)):
         part.write.mode("append").parquet(f"{root}/in")
-        out = X.refresh_profiles(X.event_stream(spark, f"{root}/in", "*.parquet"), build, root)
-    written = spark.read.parquet(out).drop("batch")
-    stored = S.synced_users(spark, d).select(
-        "user_id", *[F.lit("").alias(c) for c in ("top_genres", "top_artists", "top_tracks")],
-        *[F.lit(v).cast("double").alias(c) for c, v in FEATURE_DEFAULTS.items()])
-    latest = ST.upsert_latest(stored.select(*[c for c in written.columns if c != "load_seq"]), written, "user_id")
+        out = X.refresh_profiles(X.event_stream(spark, f"{root}/in", "*.parquet"),
+                                 lambda touched, until=until: build(touched, until), root)
+    rebuilt = spark.read.parquet(out).drop("batch")
+    latest = ST.upsert_latest(stored.select(*[c for c in rebuilt.columns if c != "load_seq"]), rebuilt, "user_id")
     return latest.drop("load_seq")
 
 

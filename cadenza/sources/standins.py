@@ -120,15 +120,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.withColumn("item_key", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def top_items_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_items_raw(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """Bronze ranked lists ``(user_id, term_ord, time_range, rank, item_key)``.
 
     view and signup events are the short-term list, click and error events
     the medium-term list, all others the long-term list; the rank within a
     (user, range) list is by value descending, then event id.  Ranks are not
-    capped here; the 50-per-range read (S10) is the job's filter.
+    capped here; the 50-per-range read (S10) is the job's filter.  ``until``
+    gives the lists as they were at that time, from the events before it.
     """
     ev = _events(spark, sf_dir)
+    if until is not None:
+        ev = ev.where(F.col("ts") < F.lit(until).cast("timestamp"))
     term = F.when(F.col("event_type").isin("view", "signup"), 1) \
         .when(F.col("event_type").isin("click", "error"), 2).otherwise(3)
     ev = ev.withColumn("term_ord", term)
