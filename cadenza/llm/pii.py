@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -48,20 +49,61 @@ _SCRIPTS = {
               {"m": ("ς", "ων"), "f": ("να", "ρα", "λη"), "n": ("ν",), "s": ("δης", "κος", "λος")}),
 }
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][\w’'-]+"
+
+def _of_category(*categories: str) -> str:
+    """Ranges of a character class: the letters of these Unicode categories."""
+    out, first = [], None
+    for i in range(0x20000):            # planes 0 and 1, which end on no letter
+        if unicodedata.category(chr(i)) in categories:
+            first = i if first is None else first
+        elif first is not None:
+            out.append(f"{chr(first)}-{chr(i - 1)}")
+            first = None
+    return "".join(out)
+
+
+# A name: any number of parts, each a word with a capital, initials or a short
+# form with a dot, with particles before it that stay as they are.
+_UPPER = f"[{_of_category('Lu', 'Lt')}]"
+_GAP = "[ \u00a0]+"
+_TITLE = r"(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\b\.?"
+_PARTICLE = (r"(?:von|vom|van|vander|zu|zum|zur|der|den|dem|des|de|del|della|di|da|do|dos|das|du|la|las|le|les|los|"
+             r"y|e|af|av|ten|ter|bin|ibn|al|el|фон|де|ван)\b")
+_PART = (rf"(?:(?:{_UPPER}[\u0300-\u036f]*\.-?)+|(?:St|Ste|Th|Ph|Ch|Chr|Wm|Jos|Joh|Geo|Fr)\.(?={_GAP}{_UPPER})"
+         rf"|(?:[dlDL]['’]|al-|el-)?{_UPPER}[\w’'\u0300-\u036f-]*)")
+_NAME = rf"(?:{_PARTICLE}{_GAP})*{_PART}"
+_TITLES_OF = re.compile(rf"\b{_TITLE}(?:{_GAP}{_TITLE}(?={_GAP}))*")
+_PARTS_OF = re.compile(rf"{_GAP}(?:{_PARTICLE}{_GAP})*(?P<part>{_PART})")
+#: What may follow a surname and is none.
+_AFTER = {"Jr", "Jr.", "Sr", "Sr.", "II", "III", "IV"}
+
+# Phones have 7 digits or more: with + or 00 and a country code; with an area in
+# brackets; 3-3-4, also after 1; pairs after 0 (fr); an area with 0 and groups
+# (de, en); nine digits from 6 on (es); 0 and at least eight digits; 3-4.
+_PHONE = "|".join((
+    r"(?:(?:\+|00)[0-9]{1,3}[ .-]?|1[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)",
+    r"(?:\+|00(?=[1-9]))[0-9]{1,3}(?:[ .-]?\(0\))?(?:[ ./-]?[0-9]{1,4}){2,6}(?!\w)",
+    r"(?<!-)(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])",
+    r"(?<!-)0[1-9](?:[ .-][0-9]{2}){4}(?![\w-])",
+    r"(?<!-)0[1-9][0-9]{1,3}[ /-][0-9]{2,8}(?:[ -][0-9]{2,6}){0,3}(?![\w-])",
+    r"(?<!-)[6-9][0-9]{2}(?: [0-9]{3} [0-9]{3}|(?: [0-9]{2}){3})(?![\w-])|(?<!-)[89][0-9] [0-9]{3} [0-9]{2} [0-9]{2}(?![\w-])",
+    r"(?<!-)0[1-9][0-9]{7,10}(?![\w-])",
+    r"(?<!-)[0-9]{3}-[0-9]{4}(?![\w-])",
+))
 _FINDER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|passwd|password|bearer)\b[\"']?\s*[:=]?\s*[\"']?"
-              r"(?=[\w/+.-]*[0-9])[\w/+.-]{12,})",
+              r"(?=[\w/+.-]*[0-9])[\w/+.-]{12,}"
+              # after a sign also shorter ones, and those in quotes without a digit
+              r"|\b(?:api[_-]?key|access[_-]?key|token|secret|passwd|password|bearer)\b[\"']?\s*[:=]\s*"
+              r"(?:[\"'](?=[\w/+.-]+[\"'])|[\"']?(?=[\w/+.-]*[0-9]))(?=(?:[_/+.-]*[^\W_]){6})[\w/+.-]{6,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])",
     "card": r"(?<![\w.])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)"
-             r"|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,6}(?!\w)|(?<![\w.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w.])(?=[+(0-9](?:[ ./()-]{0,3}[0-9]){6})(?:" + _PHONE + ")",
     "hex": r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b|\b(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{32,}\b",
-    "name": r"\b(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.?[ \u00a0]"
-            + _CAPITAL + r"(?:[ \u00a0]" + _CAPITAL + r"){0,2}",
+    "name": rf"\b{_TITLE}(?:{_GAP}{_TITLE}(?={_GAP}))*{_GAP}{_NAME}(?:{_GAP}{_NAME})*",
 }.items()))
 _SECRET_VALUE = re.compile(r"[\w/+.-]+$")
 
@@ -83,17 +125,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             at = start + found.rindex(value)
             spans.append((at, at + len(value), "secret", value))
         elif kind == "name":
-            title, *parts = re.split("[ \u00a0]", found)
-            gender = _GENDER[title.rstrip(".")]
-            at = start + len(title)
-            for i, part in enumerate(parts):
-                at += 1
+            titles = _TITLES_OF.match(found)
+            genders = [_GENDER[t.rstrip(".")] for t in re.split(_GAP, titles.group())]
+            gender = next((g for g in genders if g != "n"), "n")
+            parts = [(p.start("part"), p["part"]) for p in _PARTS_OF.finditer(found, titles.end())]
+            while len(parts) > 1 and parts[-1][1] in _AFTER:
+                parts.pop()
+            for i, (at, part) in enumerate(parts):
+                at += start
+                letters = re.sub("[.\u0300-\u036f-]", "", part)
+                if len(letters) == 1 or "." in part:        # each letter of initials; a short form as one
+                    if part[1:2].islower():
+                        spans.append((at, at + len(part) - 1, f"given_{gender}", part[:-1].casefold()))
+                    else:
+                        spans += [(at + j, at + j + 1, "initial", c.casefold()) for j, c in enumerate(part) if c.isalpha()]
+                    continue
                 part = part[:-2] if part[-2:] in ("’s", "'s") else part
                 key = (f"given_{gender}" if i < len(parts) - 1 else "surname", part.casefold())
                 if len(part) >= 3:
                     names.setdefault(part, key)
                 spans.append((at, at + len(part), *key))
-                at = start + len(title) + sum(len(p) + 1 for p in parts[:i + 1])
         elif kind == "iban":
             spans.append((start, end, kind, found.replace(" ", "")))
         elif kind == "ip":
@@ -170,6 +221,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         end = endings["s" if kind == "surname" else kind[-1]]
         size = min(2 + draw.below(2) + attempt // 4, 12)
         return "".join(syllables[draw.below(len(syllables))] for _ in range(size)) + end[draw.below(len(end))]
+    if kind == "initial":       # rendered as its first letter, which is another one
+        while True:
+            out = "".join(syl[draw.below(len(syl))] for syl in [_SCRIPTS[_script(entity)][0]] * (3 + attempt // 4))
+            if unicodedata.normalize("NFD", out[0])[0] != unicodedata.normalize("NFD", entity[0])[0]:
+                return out
     if kind == "email":
         name, _, domain = entity.partition("@")
         body, _, top = domain.rpartition(".")
@@ -181,6 +237,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         if _luhn(entity) % 10 == 0:         # a valid number stays valid
             out = out[:-1] + str(-_luhn(out[:-1] + "0") % 10)
         return out
+    if kind == "phone" and (entity[0] == "0" or len(entity) == 9 and entity[0] in "6789"):
+        # an area's 0 and the digit that makes nine digits a phone stay
+        zeros = len(entity) - len(entity.lstrip("0")) or 1
+        rest = len(entity) - zeros
+        return entity[:zeros] + (str(1 + draw.below(9)) + _alike("0" * (rest - 1), draw) if rest else "")
     if kind == "phone" and len(entity) == 10:
         return str(2 + draw.below(8)) + _alike("0" * 9, draw)
     if kind == "iban":
@@ -202,6 +263,8 @@ def render(mention: str, kind: str, chosen: str) -> str:
         return "".join(c if c == " " else next(chars) for c in mention)
     if kind == "email":
         return chosen.upper() if mention.isupper() else chosen
+    if kind == "initial":
+        return chosen[0].upper()
     if kind.startswith("given") or kind == "surname":
         return chosen.upper() if mention.isupper() else chosen.title()
     return chosen
@@ -210,8 +273,9 @@ def render(mention: str, kind: str, chosen: str) -> str:
 # --- the table of entities --------------------------------------------------------
 
 def _may_have(text: Column) -> Column:
-    """What every text with an entity has: a digit, an at sign or a title."""
-    out = text.rlike("[0-9@]")
+    """What every text with an entity has: a digit, an at sign, a quote after a
+    sign or a title."""
+    out = text.rlike("[0-9@]|[:=]\\s*[\"']")
     for title in _GENDER:
         if not any(other != title and other in title for other in _GENDER):
             out = out | text.contains(title)

@@ -103,3 +103,48 @@ def test_edges(spark, edge_docs, no_docs):
     assert pii.surrogates(no_docs, "k").count() == 0
     assert pii.surrogates(docs, "k").filter("doc_id = 50").select("text").distinct().first() != \
         pii.surrogates(docs, "other").filter("doc_id = 50").select("text").distinct().first()
+
+
+#: Texts with what in them is private, written by hand: no use of find().
+PLANTED = [
+    ("Señor Juan Carlos García López vino.", ["Juan", "Carlos", "García", "López"]),
+    ("Ask Mr John Q. Public today.", ["John", "Q.", "Public"]),
+    ("So Mr. J. Smith left.", ["J.", "Smith"]),
+    ("Dr Łukasz Nowak and Dr Šimić met.", ["Łukasz", "Nowak", "Šimić"]),
+    ("Herr Karl von Müller kam.", ["Karl", "Müller"]),
+    ("Frau Prof. Dr. Anna-Lena zu Wied sprach.", ["Anna-Lena", "Wied"]),
+    ("Mme de la Fontaine et Monsieur J.-P. d’Arcy.", ["Fontaine", "J.", "P.", "Arcy"]),
+    ("Mr. J.R.R. Tolkien Jr. wrote.", ["J.", "R.", "Tolkien"]),
+    ("call 555 123 4567 now", ["555 123 4567", "123 4567"]),
+    ("Tel. 030 1234567.", ["030 1234567", "1234567"]),
+    ("Tel. 030/1234567 oder 0171 2345678", ["1234567", "2345678"]),
+    ("+49 (0)30 1234567", ["30 1234567"]),
+    ("Tél. 01 23 45 67 89, 06.12.34.56.78", ["23 45 67 89", "12.34.56.78"]),
+    ("Tel. 612 345 678 o 91 123 45 67", ["345 678", "123 45 67"]),
+    ("1-800-555-1234 or 555-1234", ["800-555-1234", "555-1234"]),
+    ("UK 020 7946 0958, 0612345678", ["7946 0958", "612345678"]),
+    ("password: hunter2", ["hunter2"]),
+    ('password = "correcthorse"', ["correcthorse"]),
+]
+
+
+@pytest.mark.parametrize("text,private", PLANTED)
+def test_planted_entities_go(text, private):
+    new = swap(text)
+    assert not [p for p in private if p in new], new
+
+
+@pytest.mark.parametrize("text", ["He got +100 points and +2500 units.", "The token: nothing else.", "Room 0123, 01/2020, 12 345.",
+                                  "From 1999-2004, 3 000 of 10 000.", "St. John's Don"])
+def test_clean_text_stays(text):
+    assert swap(text) == text
+
+
+def test_planted_entities_go_from_a_table(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PLANTED)], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.surrogates(docs, "k").collect()}
+    assert [(new[i], p) for i, (_, private) in enumerate(PLANTED) for p in private if p in new[i]] == []
+    # what stands for a phone is one
+    for i, (text, private) in enumerate(PLANTED):
+        kinds = [k for *_, k, _ in pii.find(text) if k == "phone"]
+        assert [k for *_, k, _ in pii.find(new[i]) if k == "phone"] == kinds
