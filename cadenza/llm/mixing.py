@@ -75,7 +75,8 @@ def _key(seed: int, epoch: Column) -> Column:
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], portion: tuple[int, int] = (1, 1),
-        max_epochs: int = 4, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        max_epochs: int = 4, seed: int = 2, id_col: str = "doc_id", text_col: str = "text",
+        natural: bool = False) -> DataFrame:
     """Rows of ``docs`` selected for the mix, once per epoch they are in.
 
     ``levels`` names the tree's levels (root first) with their columns,
@@ -85,6 +86,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
     ``take_tokens`` (fewer for the one document that a leaf's cut falls into);
     columns of the last three names are replaced.
 
+    With ``natural`` a node's weight is its number of tokens in ``docs`` times
+    the weight given, so that equal weights and all tokens as the budget select
+    every document once.
+
     A null level is the node ''.  Texts without a token (null, empty) are never
     selected.  Rows that repeat id and text are each a document of their own;
     which of them a cut falls between makes no difference.  An empty table, or
@@ -106,6 +111,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
         F.sum("__n").alias("tokens"), *[F.max(f"__w{i}").alias(f"__w{i}") for i in range(len(names))],
         usable.alias("usable")).withColumn("cap", F.when(F.col("usable"), F.col("tokens") * max_epochs).otherwise(0)),
         "leaves")
+    if natural:
+        leaves = leaves.withColumns({f"__w{i}": F.col(f"__w{i}") * F.sum("tokens").over(Window.partitionBy(*inner[:i + 1]))
+                                     for i in range(len(names))})
     all_tokens, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("cap"), F.lit(0))).first()
     total = min(all_tokens * portion[0] // portion[1], most)
     plan = materialize(allocate(leaves, inner, total).select(

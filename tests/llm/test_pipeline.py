@@ -78,3 +78,26 @@ def test_edges(spark, sf_small, edge_docs, stage):
     out.collect()
     assert name == "bpe" or out.columns == docs.columns
     assert run(spark, docs.limit(0), sf_small).count() == 0
+
+
+@pytest.mark.parametrize("hot", ["src0", "src7", None])
+def test_mixing_keeps_every_document(spark, hot):
+    # 20 sources in three languages; the hot one has ten times the documents
+    docs = spark.range(20 * 3 * 12).selectExpr(
+        "id AS doc_id", "concat('src', id % 20) AS source", "element_at(array('en', 'de', 'xx'), int(id div 20 % 3) + 1) AS lang",
+        "array_join(transform(sequence(0, int(id % 7)), i -> concat('w', i)), ' ') AS text")
+    if hot:
+        more = docs.filter(docs.source == hot)
+        docs = docs.unionByName(more.crossJoin(spark.range(1, 10)
+                                             .withColumnRenamed("id", "n")).selectExpr(
+            "n * 1000 + doc_id AS doc_id", "source", "lang", "text"))
+    docs = docs.selectExpr("*", "length(text) AS n_chars")
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.count() == docs.count() and out.select(*docs.columns).exceptAll(
+        docs.withColumn("n_chars", docs.n_chars.cast("long"))).count() == 0
+
+
+def test_mixing_keeps_every_leaf_whole(steps):
+    before, after = steps["mixing"]
+    with_words = {r.doc_id for r in before.collect() if (r.text or "").split()}
+    assert sorted(r.doc_id for r in after.collect()) == sorted(with_words)
