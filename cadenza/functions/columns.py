@@ -106,6 +106,13 @@ def long_date(ts: Column, french: bool = False) -> Column:
     return F.concat_ws(" ", F.dayofmonth(ts).cast("string"), month, F.year(ts).cast("string"))
 
 
+def long_date_of(value: Column, french: bool = False) -> Column:
+    """F7 of a text: its long date if it is an ISO date (and time), else the
+    text as it is."""
+    ts = F.when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].+)?$"), F.try_to_timestamp(value))
+    return F.when(ts.isNull(), value).otherwise(long_date(ts, french))
+
+
 def join_artists(names: Column, sep: str = ", ") -> Column:
     """F8: artist names joined by ``sep`` (", " in text context, " · " in lists)."""
     return F.array_join(names, sep)

@@ -38,6 +38,20 @@ def usable_hits(hits: DataFrame) -> DataFrame:
     return hits.where((F.col("status") == "ok") & F.col("track_id").isNotNull())
 
 
+def skipped_hits(hits: DataFrame) -> DataFrame:
+    """S12, P6 and P4's quarantine: per request, of the capped hits, the failed
+    queries, the null items and the usable hits whose year is no number."""
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    bad_year = (F.length("release_date") >= 4) & year_of(F.col("release_date")).isNull()
+    per_query = hits.groupBy("request_id", "query_idx").agg(
+        F.max((~ok).cast("int")).alias("failed"),
+        F.count_if(ok & F.col("track_id").isNull()).alias("null_items"),
+        F.count_if(ok & F.col("track_id").isNotNull() & bad_year).alias("bad_years"))
+    return per_query.groupBy("request_id").agg(
+        F.sum("failed").alias("failed_queries"), F.sum("null_items").alias("null_items"),
+        F.sum("bad_years").alias("bad_years"))
+
+
 def filter_years(hits: DataFrame, crit: DataFrame) -> DataFrame:
     """J4 + P4 + P5: equi-join on the request, year range as the residual."""
     c = crit.select("request_id", "year_min", "year_max", "track_limit")

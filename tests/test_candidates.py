@@ -60,3 +60,13 @@ def test_top_n_cuts_to_limit(spark):
     crit = spark.createDataFrame([(1, None, None, 3)], CRIT)
     top = G1.top_n(G1.filter_years(_hits(spark, rows), crit))
     assert sorted(r.track_id for r in top.collect()) == [6, 7, 8]
+
+
+def test_skipped_hits_are_counted(spark):
+    rows = [(1, 1, 1, "ok", 5, "2010"), (1, 1, 2, "ok", None, "2010"), (1, 1, 3, "ok", 6, "abcd-01"),
+            (1, 1, 4, "ok", 7, "20"), (1, 1, 5, "ok", 8, None), (1, 2, 1, "error", None, None),
+            (1, 2, 2, "error", None, None), (1, 3, 1, None, None, None), (2, 1, 1, "ok", 5, "2010")]
+    hits = spark.createDataFrame(rows, "request_id long, query_idx int, hit_rank int, status string, "
+                                       "track_id long, release_date string")
+    got = sorted(tuple(r) for r in G1.skipped_hits(G1.cap_hits(hits)).collect())
+    assert got == [(1, 2, 1, 1), (2, 0, 0, 0)]

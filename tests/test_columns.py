@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import (TRACK_LINK_BASE, first_image_url, is_saved, join_artists, long_date,
-                                       strip_fence, track_link)
+                                       long_date_of, strip_fence, track_link)
 
 
 def test_long_date_english_and_french(spark):
@@ -35,3 +35,10 @@ def test_fence_strip_only_when_fenced(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.s for r in df.select(strip_fence(F.col("t")).alias("s")).collect()]
     assert got == ['{"a": 1}', "[1]", '{"s": "```x```"}', "text ```json"]
+
+
+def test_long_date_of_a_text(spark):
+    rows = ["2026-03-05T14:23:00", "2026-03-05", "soon", "2026", "2026-13-05", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "d string").coalesce(1)
+    got = [tuple(r) for r in df.select(long_date_of(F.col("d")), long_date_of(F.col("d"), french=True)).collect()]
+    assert got == [("5 March 2026", "5 mars 2026")] * 2 + [(r, r) for r in rows[2:]]
