@@ -158,8 +158,10 @@ class Parser:
 
 def learned_texts(docs: DataFrame) -> dict[str, str]:
     """Some labelled text per language, from whole documents, the first by a
-    hash of doc_id; bounded by LEARN_DOCS documents a language."""
-    known = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
+    hash of doc_id; bounded by LEARN_DOCS documents a language.  Only documents
+    that can be learned from count: with a letter and of LEARN_BYTES at most."""
+    known = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", "text") \
+        .filter((F.octet_length("text") <= LEARN_BYTES) & F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64(F.col("doc_id"))
     counts = known.groupBy("lang").count()
     # about 4 * LEARN_DOCS of each language by the hash's size, then the first of them
@@ -168,8 +170,7 @@ def learned_texts(docs: DataFrame) -> dict[str, str]:
            .filter(F.abs(F.col("h") / F.lit(float(1 << 63))) <= share))
     first = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))) \
         .filter(F.col("n") <= LEARN_DOCS).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "n")
-    rows = (known.filter(F.octet_length("text") <= LEARN_BYTES)
-            .join(F.broadcast(first), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))
+    rows = (known.join(F.broadcast(first), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))
             .groupBy("of", "n").agg(F.min("text").alias("text")).collect())
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["of"], r["n"])):

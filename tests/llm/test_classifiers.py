@@ -144,3 +144,15 @@ def test_windows_cover_every_word(n):
     assert covered == list(range(1, n + 1))
     firsts = np.sort(words.first[mine])
     assert (np.diff(firsts) < toxicity.WINDOW).all()
+
+
+def test_languages_whose_first_documents_teach_nothing_are_learned(spark):
+    from pyspark.sql import Window
+    texts = {"aa": "the cat sat on the mat", "bb": "der hund lief durch den wald"}
+    docs = spark.range(400).selectExpr("id AS doc_id", "if(id % 2 = 0, 'aa', 'bb') AS lang").withColumn(
+        "n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"))))
+    for low, bad in ((0, F.lit(None)), (40, F.lit("")), (60, F.repeat(F.lit("xy "), 7000))):
+        docs = docs.withColumn("text", F.when((F.col("n") > low) & (F.col("n") <= 150), bad).otherwise(
+            F.col("text") if "text" in docs.columns else F.when(F.col("lang") == "aa", texts["aa"]).otherwise(texts["bb"])))
+    got = langid.learned_texts(docs.select("doc_id", "lang", "text"))
+    assert set(got) == set(texts) and all(set(got[k].splitlines()) == {t} for k, t in texts.items())
