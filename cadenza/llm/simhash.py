@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing (operator 10).
+"""SimHash near-duplicates by a table of flipped fingerprints (operator 10).
 
 A fingerprint has 64 bits in two segments of 32.  For a limit of k differing
 bits, every distinct fingerprint enters a table under each value got by
@@ -6,9 +6,10 @@ flipping at most ceil(k/2) bits, taken segment by segment (for k = 2: the
 value itself and 32 single flips in each segment).  Two fingerprints within k
 bits meet under at least one value, and all that meet under a value that some
 member reaches with floor(k/2) flips are within k bits of that member.  So
-each table entry yields one link per member (to its smallest such member),
-whose full distance is then verified: linear output, however large a group of
-near copies is.
+each table entry yields one link per member (to its smallest such member):
+linear output, however large a group of near copies is.  The distance filter
+states the bound and drops nothing.  Multi-index hashing, with a table keyed by
+each segment's value, would put all that share a segment into one bucket.
 """
 
 from __future__ import annotations
