@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import worker_cache
+from .common import keep_caches, worker_cache
 from .pretokens import split_many
 
 #: Bytes of a leaf, of the longest stretch kept, entries a worker keeps, tokens
@@ -170,6 +170,7 @@ class Codec:
 
 def load_codec(path: str) -> Codec:
     """The codec of a rank file, one for each worker."""
+    keep_caches("codec", "classes")
     cache = worker_cache("codec")
     if path not in cache:
         with open(path, "rb") as f:
@@ -226,6 +227,27 @@ def decode(ids: F.Column, path: str | None = None) -> F.Column:
     return run(ids)
 
 
+def round_trip(text: F.Column, path: str | None = None) -> F.Column:
+    """Struct of the ids of a text column and the bytes decoded from them, in one
+    pass of Python over each text; a null text gives an empty list and no bytes."""
+    path = path or _default_path()
+
+    @arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def run(texts: pa.Array) -> pa.Array:
+        codec = load_codec(path)
+        sizes, packed, decoded = [0], [], []
+        for first in range(0, len(texts), 64):
+            for group in groups(texts[first:first + 64].to_pylist(), 1 << 20):
+                coded = codec.encode_many([t or "" for t in group])
+                sizes += [len(p) // 4 for p in coded]
+                decoded += [codec.decode(np.frombuffer(p, np.int32).tolist()) for p in coded]
+                packed.append(b"".join(coded))
+        values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(packed))])
+        ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+        return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.binary())], ["ids", "decoded"])
+    return run(text)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded) for each row.
@@ -234,8 +256,8 @@ def encode_decode(docs: DataFrame, path: str | None = None,
     null ids come out as they come in; an empty table gives an empty result;
     other columns are not read.
     """
-    coded = docs.select(F.col(id_col).alias("id"), encode(F.col(text_col), path).alias("ids"))
-    return coded.withColumn("decoded", decode(F.col("ids"), path))
+    coded = docs.select(F.col(id_col).alias("id"), round_trip(F.col(text_col), path).alias("both"))
+    return coded.select("id", "both.ids", "both.decoded")
 
 
 def digests(coded: DataFrame) -> DataFrame:

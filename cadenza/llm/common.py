@@ -3,11 +3,14 @@ and splitting of batches of texts into runs of bytes with numpy."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.session import checkpoint_dir
@@ -45,6 +48,23 @@ def worker_cache(name: str) -> dict:
     return store.__dict__.setdefault(name, {})
 
 
+def keep_caches(*names: str) -> None:
+    """Empty the worker's caches but those named: what an earlier operator's
+    tasks left in a worker that is used again.  The memory goes back to the system."""
+    worker_cache("powers")
+    store = sys.modules["_cadenza_worker"].__dict__
+    stale = [n for n, v in store.items() if isinstance(v, dict) and v and n not in names and not n.startswith("__")]
+    for name in stale:
+        store[name].clear()
+    if stale:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):       # no such call in this C library
+            pass
+
+
 def packs(texts: list[bytes], overlap: int = 0):
     """Yield (buffer, starts, owners): pieces of texts joined with newlines,
     about PACK_BYTES at a time.  starts[i] is where piece i begins and owners[i]

@@ -84,7 +84,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
     for each; the budget is ``portion`` of all tokens.  Adds the levels (those
     that are no columns already), ``epoch`` (from 0), ``n_tokens`` and
     ``take_tokens`` (fewer for the one document that a leaf's cut falls into);
-    columns of the last three names are replaced.
+    columns of the last three names are replaced, all others stay (names that
+    begin with ``__`` are used in between).
 
     With ``natural`` a node's weight is its number of tokens in ``docs`` times
     the weight given, so that equal weights and all tokens as the budget select
@@ -92,8 +93,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
 
     A null level is the node ''.  Texts without a token (null, empty) are never
     selected.  Rows that repeat id and text are each a document of their own;
-    which of them a cut falls between makes no difference.  An empty table, or
-    no budget, gives an empty result.
+    which of them a cut falls between makes no difference.  Texts are counted
+    and cut whole, however long.  An empty table, or no budget, gives an empty
+    result.  The children of one node of the tree are shared out in one task:
+    nodes (sources and their like), not documents.
     """
     names = list(levels)
     columns = others(docs, [*names, "epoch", "n_tokens", "take_tokens"])
@@ -117,32 +120,32 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
     all_tokens, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("cap"), F.lit(0))).first()
     total = min(all_tokens * portion[0] // portion[1], most)
     plan = materialize(allocate(leaves, inner, total).select(
-        *inner, F.expr("budget div tokens").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")), "plan")
+        *inner, F.expr("budget div tokens").alias("__whole"), (F.col("budget") % F.col("tokens")).alias("__short")), "plan")
 
     # the cut: the slice of keys it is in, the slice of that, then the key
-    inside = narrow.join(plan.filter("rest > 0"), inner).withColumn("__key", _key(seed, F.col("whole"))) \
-        .select(*inner, "rest", "__key", "__n", F.lit(0).cast("long").alias("base"))
+    inside = narrow.join(plan.filter("__short > 0"), inner).withColumn("__key", _key(seed, F.col("__whole"))) \
+        .select(*inner, "__short", "__key", "__n", F.lit(0).cast("long").alias("base"))
     upto = Window.partitionBy(*inner).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
     for digits in SLICE_DIGITS:
         cut = inside.withColumn("__slice", F.substring("__key", 1, digits))
-        slices = cut.groupBy(*inner, "__slice", "rest", "base").agg(F.sum("__n").alias("n")).withColumn(
-            "below", F.col("base") + F.sum("n").over(upto) - F.col("n")).filter("below < rest and below + n >= rest")
+        slices = cut.groupBy(*inner, "__slice", "__short", "base").agg(F.sum("__n").alias("n")).withColumn(
+            "below", F.col("base") + F.sum("n").over(upto) - F.col("n")).filter("below < __short and below + n >= __short")
         inside = cut.drop("base").join(slices.select(*inner, "__slice", F.col("below").alias("base")),
                                        [*inner, "__slice"]).drop("__slice")
     peers = Window.partitionBy(*inner).orderBy("__key").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = inside.groupBy(*inner, "rest", "base", "__key").agg(F.sum("__n").alias("n")).withColumn(
-        "upto", F.col("base") + F.sum("n").over(peers)).filter("upto >= rest").groupBy(*inner).agg(
-        F.min("__key").alias("__cut"), F.min_by(F.expr("rest - (upto - n)"), "__key").alias("__room"))
+    cuts = inside.groupBy(*inner, "__short", "base", "__key").agg(F.sum("__n").alias("n")).withColumn(
+        "upto", F.col("base") + F.sum("n").over(peers)).filter("upto >= __short").groupBy(*inner).agg(
+        F.min("__key").alias("__cut"), F.min_by(F.expr("__short - (upto - n)"), "__key").alias("__room"))
     rules = materialize(plan.join(cuts, inner, "left"), "rules")
 
-    ruled = based.join(rules, inner).withColumn("__key", _key(seed, F.col("whole")))
+    ruled = based.join(rules, inner).withColumn("__key", _key(seed, F.col("__whole")))
     tree = [F.col(n) if n in docs.columns else F.col(c).alias(n) for c, n in zip(inner, names)]
 
     def out(rows: DataFrame, epoch: Column, take: Column) -> DataFrame:
         return rows.select(*columns, *tree, epoch.cast("int").alias("epoch"), F.col("__n").alias("n_tokens"),
                            take.cast("long").alias("take_tokens"))
     # whole epochs, and the documents before the cut, need no neighbour
-    last = F.col("whole") - F.when(F.coalesce(F.col("__key") < F.col("__cut"), F.lit(False)), 0).otherwise(1)
+    last = F.col("__whole") - F.when(F.coalesce(F.col("__key") < F.col("__cut"), F.lit(False)), 0).otherwise(1)
     epochs = F.sequence(F.lit(0).cast("long"), last)
     plain = ruled.filter(last >= 0).withColumn("__epoch", F.explode(epochs))
     # rows at the cut share its room one after the other
@@ -150,7 +153,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
         Window.partitionBy(*inner).orderBy("__key")) - 1))
     taken = F.least(F.col("__n"), F.col("__room") - F.col("__before"))
     return out(plain, F.col("__epoch"), F.col("__n")).unionByName(
-        out(at_cut.filter("__before < __room"), F.col("whole"), taken))
+        out(at_cut.filter("__before < __room"), F.col("__whole"), taken))
 
 
 def cut_text(text: Column, n_tokens: Column, take: Column) -> Column:

@@ -8,10 +8,14 @@ about the entity without the key and the same entity has the same surrogate in
 every document, however it is written there (coreference).
 
 Distinct entities stay distinct: a table of all entities of the corpus is
-resolved in rounds.  A surrogate that another entity holds already, that an
-entity of the corpus really has, or that two entities drew, goes to at most one
-of them; the others draw again.  The table is joined back by the digest of the
-texts, so that texts without entities are never shuffled.
+resolved in rounds.  A surrogate that another entity holds already or that two
+entities drew goes to at most one of them, one that an entity of the corpus
+really has to none; the others draw again.  A format may have fewer values than
+the corpus has entities, so every STEP draws a surrogate gets one character more
+than the format has (an IP address becomes one of version 6): what is left over
+then draws from a supply that grows tenfold a step, and the rounds end.  The
+table is joined back by the digest of the texts, so that texts without entities
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -29,9 +33,8 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import materialize, others
 
-#: After so many draws a surrogate may equal some entity of the corpus (never
-#: its own, nor another's surrogate): formats with few values run out.
-STRICT_DRAWS = 16
+#: Draws within a format before surrogates become a character longer.
+STEP = 8
 
 # Titles with the gender they give, and how names are built.
 _TITLES = {
@@ -112,6 +115,26 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+# The country codes of one digit, and those of two.
+_ONE_DIGIT = "1 7".split()
+_TWO_DIGITS = ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+               "81 82 84 86 90 91 92 93 94 95 98").split()
+
+
+def national(phone: str) -> str:
+    """A phone's number within its country, without the trunk's 0: what the ways
+    to write it have in common.  All digits, if hardly any are left."""
+    digits = _digits(phone)
+    rest = digits
+    if phone.startswith("+") or digits.startswith("00"):
+        rest = digits.lstrip("0")
+        rest = rest[1 if rest[:1] in _ONE_DIGIT else 2 if rest[:2] in _TWO_DIGITS else 3:]
+    elif len(digits) == 11 and digits[0] == "1":
+        rest = digits[1:]
+    rest = rest.lstrip("0")
+    return rest if len(rest) >= 4 else digits
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities of a text in order: start, end, type and key.  The key is what
     mentions of one entity have in common."""
@@ -150,9 +173,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "ip":
             spans.append((start, end, kind, found))
         else:
-            digits = _digits(found)
             # the country code is no part of a phone's key
-            spans.append((start, end, kind, digits[-10:] if kind == "phone" else digits))
+            spans.append((start, end, kind, national(found) if kind == "phone" else _digits(found)))
     if names:           # the same names without a title
         taken = sorted(spans)
         starts = [s for s, *_ in taken]
@@ -186,8 +208,9 @@ def _luhn(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for i, c in enumerate(reversed(digits)))
 
 
-def _alike(text: str, draw: _Draw) -> str:
-    """Other letters and digits of the same kinds; the rest as it is."""
+def _alike(text: str, draw: _Draw, more: int = 0) -> str:
+    """Other letters and digits of the same kinds, the rest as it is; then
+    ``more`` others, one at least if nothing in the text can be another."""
     out = []
     hexadecimal = len(text) >= 16 and re.fullmatch("[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*", text)
     for i, c in enumerate(text):
@@ -199,9 +222,14 @@ def _alike(text: str, draw: _Draw) -> str:
         elif c.isalpha():
             d = "abcdefghijklmnopqrstuvwxyz"[draw.below(26)]
             out.append(d.upper() if c.isupper() else d)
+        elif c.isdecimal():         # digits of other scripts
+            out.append(chr(ord(c) - unicodedata.decimal(c) + draw.below(10)))
         else:
             out.append(c)
-    return "".join(out)
+    if not any(c.isalpha() or c.isdecimal() for c in text):
+        more = max(more, 4)
+    letters = "0123456789" if text.isdecimal() else "0123456789abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
+    return "".join(out) + "".join(letters[draw.below(len(letters))] for _ in range(more))
 
 
 def _script(name: str) -> str:
@@ -215,11 +243,11 @@ def _script(name: str) -> str:
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The surrogate key of an entity key."""
-    draw = _Draw(key, kind, entity, attempt)
+    draw, more = _Draw(key, kind, entity, attempt), attempt // STEP
     if kind.startswith("given") or kind == "surname":
         syllables, endings = _SCRIPTS[_script(entity)]
         end = endings["s" if kind == "surname" else kind[-1]]
-        size = min(2 + draw.below(2) + attempt // 4, 12)
+        size = 2 + draw.below(2) + attempt // 4
         return "".join(syllables[draw.below(len(syllables))] for _ in range(size)) + end[draw.below(len(end))]
     if kind == "initial":       # rendered as its first letter, which is another one
         while True:
@@ -229,38 +257,39 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "email":
         name, _, domain = entity.partition("@")
         body, _, top = domain.rpartition(".")
-        return f"{_alike(name, draw)}@{_alike(body, draw)}.{top}"
+        return f"{_alike(name, draw, more)}@{_alike(body, draw) if any(map(str.isalnum, body)) else body}.{top}"
     if kind == "ip":
+        if more:                # of the block for documentation
+            return "2001:db8::" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(min(more + 1, 6)))
         return ".".join(str(1 + draw.below(254) if not i else draw.below(256)) for i in range(4))
     if kind == "card":
-        out = _alike(entity, draw)
+        out = _alike(entity, draw, more)
         if _luhn(entity) % 10 == 0:         # a valid number stays valid
             out = out[:-1] + str(-_luhn(out[:-1] + "0") % 10)
         return out
-    if kind == "phone" and (entity[0] == "0" or len(entity) == 9 and entity[0] in "6789"):
-        # an area's 0 and the digit that makes nine digits a phone stay
-        zeros = len(entity) - len(entity.lstrip("0")) or 1
-        rest = len(entity) - zeros
-        return entity[:zeros] + (str(1 + draw.below(9)) + _alike("0" * (rest - 1), draw) if rest else "")
-    if kind == "phone" and len(entity) == 10:
-        return str(2 + draw.below(8)) + _alike("0" * 9, draw)
+    if kind == "phone":
+        # what makes the digits a phone in their format stays: the first of nine
+        # from 6 on; a number of ten begins with 2 or more
+        kept = entity[:1] if len(entity) == 9 and entity[0] in "6789" else ""
+        first = kept or (str(2 + draw.below(8)) if len(entity) == 10 else str(1 + draw.below(9)))
+        return first + _alike("0" * (len(entity) - 1), draw, more)
     if kind == "iban":
-        body = _alike(entity[4:], draw)
+        body = _alike(entity[4:], draw, more).upper()
         number = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - number % 97:02d}{body}"
-    return _alike(entity, draw)
+    return _alike(entity, draw, more)
 
 
-def render(mention: str, kind: str, chosen: str) -> str:
-    """A surrogate written as the mention is."""
+def render(mention: str, kind: str, chosen: str, entity: str) -> str:
+    """The surrogate of an entity written as the mention is."""
     if kind in ("card", "ssn", "phone"):
-        digits, out = list(chosen), []
+        digits, out = list(chosen[:len(entity)]), []
         for c in reversed(mention):
             out.append(digits.pop() if c in "0123456789" and digits else c)
-        return "".join(reversed(out))
+        return "".join(reversed(out)) + chosen[len(entity):]
     if kind == "iban":
         chars = iter(chosen)
-        return "".join(c if c == " " else next(chars) for c in mention)
+        return "".join([c if c == " " else next(chars) for c in mention]) + "".join(chars)
     if kind == "email":
         return chosen.upper() if mention.isupper() else chosen
     if kind == "initial":
@@ -323,7 +352,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         winner = winner.join(clash, ["family", "surrogate"], "left")
         judged = materialize(drawn.join(winner, ["family", "surrogate"], "left").withColumn("ok", F.coalesce(
             (F.col("winner.kind") == F.col("kind")) & (F.col("winner.entity") == F.col("entity"))
-            & (F.col("real").isNull() | (F.col("attempt") >= STRICT_DRAWS)), F.lit(False))), "judged")
+            & F.col("real").isNull(), F.lit(False))), "judged")
         good = judged.filter("ok").select("family", "kind", "entity", "surrogate")
         done = good if done is None else done.unionByName(good)
         pending = judged.filter("not ok").select("kind", "entity", "family", (F.col("attempt") + 1).alias("attempt"))
@@ -344,7 +373,7 @@ def _rewrite(text: Column, table: Column) -> Column:
             for start, end, what, entity in find(value) if chosen else []:
                 if start < at:
                     continue
-                new = render(value[start:end], what, chosen[what, entity])
+                new = render(value[start:end], what, chosen[what, entity], entity)
                 size += start - at
                 parts += [value[at:start], new]
                 spans.append({"kind": what, "start": size, "end": size + len(new)})

@@ -114,16 +114,30 @@ def hex_fingerprint(fp: F.Column) -> F.Column:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One document of each component: the row with its smallest doc_id.
-
-    Of rows that repeat that doc_id one stays.  Rows with a null doc_id cannot
-    be told apart by id and all stay.
+    """One document of each component: of its rows the smallest by doc_id,
+    fingerprint and text digest.
+
+    A doc_id that repeats with other texts is another document for each of them,
+    so no text goes with another's component.  Rows that repeat doc_id and text
+    are copies: the first by their other columns stays.  Rows with a null doc_id
+    cannot be told apart by id and all stay.  Null, empty and very long texts are
+    documents like any other; an empty table gives an empty result; all columns
+    stay (names that begin with ``__`` are used in between).
     """
     from pyspark.sql import Window
-    found = near_duplicates(docs, shingle, max_bits)
-    chosen = found.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    prints = materialize(docs.filter("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("id"), digest.alias("digest"),
+        fingerprint(F.col("text"), shingle).alias("fp")), "fp")
+    least = prints.groupBy("fp").agg(F.min(F.struct("id", "fp", "digest")).alias("least"))
+    comp = components(links(least.select("fp"), max_bits))
+    chosen = least.join(comp.withColumnRenamed("node", "fp"), "fp", "left").groupBy(
+        F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("least")).select(
+        F.col("least.id").alias("__id"), F.col("least.digest").alias("__kept"))
     columns = docs.columns
-    kept = (docs.join(chosen, F.col("doc_id") == F.col("__id"))
-            .withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("__id")))
+    rest = F.to_json(F.struct(F.col("text").isNull().alias("n"), *[c for c in columns if c != "text"]))
+    kept = (docs.withColumn("__digest", digest)
+            .join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__kept")))
+            .withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__kept").orderBy(rest)))
             .filter("__n = 1").select(*columns))
     return kept.unionByName(docs.filter("doc_id is null"))

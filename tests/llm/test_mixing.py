@@ -86,3 +86,14 @@ def test_cut_text(spark):
     df = spark.createDataFrame([(" a  b\tc\n", 3, 2), ("a b", 2, 2)], "text string, n long, take long")
     got = [r.t for r in df.select(mixing.cut_text(F.col("text"), F.col("n"), F.col("take")).alias("t")).collect()]
     assert got == ["a b", "a b"]
+
+
+def test_columns_with_the_names_used_inside(spark):
+    df = spark.range(40).selectExpr("id AS doc_id", "concat('w ', repeat('x ', int(id % 5))) AS text", "'en' AS lang",
+                                    "concat('src', id % 3) AS source", "1 AS whole", "2 AS rest", "3 AS budget",
+                                    "4 AS tokens", "5 AS base", "6 AS n", "7 AS given", "8 AS cap", "9 AS weight")
+    out = mixing.mix(df, {"source": F.col("source")}, [F.lit(1)], portion=(1, 2))
+    rows = out.collect()
+    assert rows and all((r.whole, r["rest"], r.budget, r.tokens, r.base, r.n, r.given, r.cap, r.weight) ==
+                        (1, 2, 3, 4, 5, 6, 7, 8, 9) for r in rows)
+    assert sum(r.take_tokens for r in rows) > 0

@@ -12,7 +12,7 @@ KEY = b"key"
 def swap(text):
     out, at = "", 0
     for start, end, kind, entity in pii.find(text):
-        out += text[at:start] + pii.render(text[start:end], kind, pii.surrogate(KEY, kind, entity, 0))
+        out += text[at:start] + pii.render(text[start:end], kind, pii.surrogate(KEY, kind, entity, 0), entity)
         at = end
     return out + text[at:]
 
@@ -73,6 +73,44 @@ def test_crowded_formats_end(spark):
     assert len({r.surrogate for r in rows}) == 8 and all(r.surrogate != r.entity for r in rows)
 
 
+@pytest.mark.parametrize("text", ["000-000-0000", "(000) 000-0000", "mail %@-.com", "_@--.de now", 'token: "٠١٢٣٤٥٦٧٨٩٠١"',
+                                  "+49 000 0000000", "0.0.0.0", "0000 0000 0000 0000", "call +0000000000"])
+def test_every_text_has_an_end(text):
+    for start, end, kind, entity in pii.find(text):
+        drawn = {pii.surrogate(KEY, kind, entity, i) for i in range(40)}
+        assert entity not in drawn and len(drawn) > 8
+
+
+def test_entities_that_no_draw_changed(spark):
+    texts = ["call 000-000-0000 or (000) 000-0000", "mail %@-.com", "_@--.de now", 'token: "٠١٢٣٤٥٦٧٨٩٠١"', "0.0.0.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in pii.surrogates(df, "key").collect()}
+    for i, text in enumerate(texts):
+        for start, end, *_ in pii.find(text):
+            assert text[start:end] not in rows[i]
+
+
+def test_all_values_of_a_format_taken(spark):
+    # every address of one digit at one domain body: the format has no free value
+    entities = [("email", f"%{i}@{j}.de") for i in range(10) for j in range(10)] + [("ssn", str(i)) for i in range(10)]
+    rows = pii.assign(spark.createDataFrame(entities, "kind string, entity string"), KEY).collect()
+    assert len({(r.kind, r.surrogate) for r in rows}) == len(entities)
+    assert not {(r.kind, r.surrogate) for r in rows} & set(entities)
+
+
+@pytest.mark.parametrize("long,short", [("+49 30 1234567", "030 1234567"), ("+33 1 23 45 67 89", "01 23 45 67 89"),
+                                        ("0049 (0)30 1234567", "030 1234567"), ("+1 (337) 555-7349", "337-555-7349"),
+                                        ("1-337-555-7349", "(337) 555-7349"), ("+352 621 123 456", "621 123 456")])
+def test_phones_keep_country_and_coreference(long, short):
+    (_, _, _, a), = pii.find(long)
+    (_, _, _, b), = pii.find(short)
+    assert a == b
+    new = swap(long)
+    head = re.match(r"\+\d+ |0049 \(0\)|1-", long).group()
+    assert new.startswith(head) and new != long
+    assert pii.national(new) == pii.national(swap(short)) == pii.surrogate(KEY, "phone", a, 0)
+
+
 def test_query_leaves_nothing_private(spark, sf_small, documents):
     new = {r.doc_id: r for r in op1_surrogates(spark, sf_small).collect()}
     assert len(new) == documents.count()

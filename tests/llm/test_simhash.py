@@ -114,3 +114,18 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 9]
     hexes = simhash.near_duplicates(docs).select(simhash.hex_fingerprint(F.col("fp")).alias("h")).collect()
     assert all(re.fullmatch("[0-9a-f]{16}", r.h) for r in hexes)
+
+
+def test_keep_one_by_id_and_text(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, other, "b"), (2, other, "c"), (2, other, "b"), (None, text, "d"), (None, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").selectExpr("*", "1 AS fp", "2 AS least")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    # one id with two texts keeps both; copies of a text keep the smallest id
+    assert sorted(((r.doc_id, r.text, r.digest) for r in got.collect()), key=str) == sorted(
+        [(1, text, "a"), (1, other, "b"), (None, text, "d"), (None, None, "e")], key=str)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    copies = spark.createDataFrame([(5, text, "z"), (5, text, "y")], "doc_id long, text string, digest string")
+    assert [r.digest for r in simhash.keep_one(copies).collect()] == ["y"]
