@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import ann, bpe, langid, lines, mixing, pii, quality, records, simhash, toxicity
+from . import ann, bpe, langid, lines, mixing, pii, quality, records, simhash, toxicity, whitening
 from .common import shared_path
 from .learn import fold
 
@@ -113,6 +113,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), k=4)
+
+
 def _with_batches(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrow_batches(spark)
@@ -131,6 +135,7 @@ QUERIES = {
     "op8_records": op8_records,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 QUERIES = {name: _with_batches(query) for name, query in QUERIES.items()}
