@@ -103,7 +103,33 @@ SELECT doc_id, l0 AS domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST
        CAST(take AS BIGINT) AS take_tokens FROM out
 """
 
+NEGATIVES = """
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS MATERIALIZED (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS alike,
+         CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score
+  FROM r AS a JOIN r ON a.rid <> r.rid WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT arid, anchor_id, vec_id AS positive_id, score,
+         row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) AS pos
+  FROM s WHERE alike QUALIFY pos <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.arid, p.pos ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.arid = p.arid AND NOT s.alike
+ AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_negatives": NEGATIVES,
     "op2_mixing": MIXING,
     "op5_lines": LINES,
 }
