@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.sources.tables import read_table
 
-from . import ann, bpe, langid, lines, mixing, negatives, pii, quality, records, simhash, toxicity, whitening
+from . import ann, bpe, langid, lines, mixing, negatives, pages, pii, quality, records, simhash, toxicity, whitening
 from .common import shared_path
 from .learn import fold
 
@@ -113,6 +113,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op11_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -141,6 +146,7 @@ QUERIES = {
     "op8_records": op8_records,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_pages": op11_pages,
     "op12_negatives": op12_negatives,
     "op13_whitening": op13_whitening,
 }
