@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialize, others
+from .common import keep_caches, materialize, others
 
 #: Draws within a format before surrogates become a character longer.
 STEP = 8
@@ -314,6 +314,7 @@ def _may_have(text: Column) -> Column:
 def _entities(text: Column) -> Column:
     @arrow_udf("array<struct<kind: string, entity: string>>")
     def run(texts: pa.Array) -> pa.Array:
+        keep_caches()
         rows = [sorted({(kind, entity) for _, _, kind, entity in find(t)}) if t else [] for t in texts.to_pylist()]
         return pa.array([[{"kind": k, "entity": e} for k, e in row] for row in rows],
                         pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())])))
@@ -366,6 +367,7 @@ def _rewrite(text: Column, table: Column) -> Column:
 
     @arrow_udf(kind)
     def run(texts: pa.Array, tables: pa.Array) -> pa.Array:
+        keep_caches()
         out = []
         for value, rows in zip(texts.to_pylist(), tables.to_pylist()):
             chosen = {(r["kind"], r["entity"]): r["surrogate"] for r in rows or []}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import materialize
+from .common import keep_caches, materialize
 from .components import components
 
 BITS = 64
@@ -58,6 +58,7 @@ def fingerprint(text: F.Column, shingle: int = 3) -> F.Column:
     """Column of fingerprints (long; null text: 0)."""
     @pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
+        keep_caches()
         return pd.Series([text_fingerprint(t, shingle) for t in texts], dtype="int64")
     return run(text)
 

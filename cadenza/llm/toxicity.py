@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bucket, encoded, packs, run_hashes, runs
+from .common import bucket, encoded, keep_caches, packs, run_hashes, runs
 from .learn import Adam, labelled_sample, sigmoid
 
 WINDOW = 32
@@ -371,6 +371,7 @@ def score(text: Column, model: dict | None) -> Column:
     """Column of toxicity scores; 0 without a model."""
     @arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
+        keep_caches("powers")
         rows = encoded(texts.to_pylist())
         if model is None:
             return pa.array(np.zeros(len(rows)))
