@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import duration_text, is_saved, join_artists, long_date, track_link
+from cadenza.functions.columns import duration_text, is_saved, join_artists, long_date_of, strip_ws, track_link
 from cadenza.operators import candidates as G1
 from cadenza.operators.profile import collect_ordered
-from cadenza.operators.store import history
+from cadenza.operators.store import history, lookup
+from cadenza.schemas import CRITERIA, PLAYLISTS
 
 
 def build_playlists(hits: DataFrame, crit_table: DataFrame, query_rows: DataFrame,
@@ -41,13 +42,36 @@ def build_playlists(hits: DataFrame, crit_table: DataFrame, query_rows: DataFram
                       tracks.alias("tracks"), F.size(tracks).alias("track_count"))
 
 
+def playlist_records(built: DataFrame, crit_table: DataFrame, requests: DataFrame, times: DataFrame) -> DataFrame:
+    """The record to store for each built playlist: user, trimmed prompt,
+    criteria, title, tracks and their count; no external id yet.  ``times``
+    (request_id, requested_at) dates it, so that a batch built again gives the
+    same record.  Rows stay keyed by ``request_id``."""
+    crit = crit_table.select("request_id", F.struct(*CRITERIA.names).alias("llm_params"))
+    asked = requests.select("request_id", "user_id", strip_ws(F.col("prompt")).alias("user_prompt"))
+    j = built.where(F.col("status") == "ok").join(crit, "request_id").join(asked, "request_id").join(times, "request_id")
+    none = F.lit(None).cast("string")
+    named = j.withColumns({"created_at": F.col("requested_at"), "external_id": none, "external_url": none})
+    return named.select("request_id", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PLAYLISTS
+                                        if f.name != "id"])
+
+
+def relaunch_report(playlists: DataFrame, requests: DataFrame) -> DataFrame:
+    """G5 for a relaunch: the tracks of the stored playlist that a request names
+    (J2), reported like freshly selected ones.  A request that names none, an
+    unknown one or one stored without tracks has no rows."""
+    found = lookup(playlists.select("id", "tracks"), requests)
+    rows = found.select("request_id", F.posexplode("tracks").alias("pos", "t"))
+    return track_report(rows.select("request_id", (F.col("pos") + 1).alias("position"), "t.*"))
+
+
 def history_report(playlists: DataFrame) -> DataFrame:
     """Per user, newest first: position, long date (English as the
-    server printed it, French as the browser did), prompt, title, track
-    count, saved flag (P11) and the id to relaunch."""
+    server printed it, French as the browser did; a text that is no date as it
+    is), prompt, title, track count, saved flag (P11) and the id to relaunch."""
     h = history(playlists)
-    return h.select("user_id", "position", long_date(F.col("created_at")).alias("date_text"),
-                    long_date(F.col("created_at"), french=True).alias("date_fr"),
+    return h.select("user_id", "position", long_date_of(F.col("created_text")).alias("date_text"),
+                    long_date_of(F.col("created_text"), french=True).alias("date_fr"),
                     "user_prompt", "title", "track_count",
                     is_saved(F.col("external_url")).alias("saved"), F.col("id").alias("relaunch_id"))
 

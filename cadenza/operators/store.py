@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions.columns import BATCH_SIZE
 from cadenza.operators.ordering import positions
@@ -78,14 +79,30 @@ def upsert_latest(existing: DataFrame, writes: DataFrame, key: str, seq: str = "
 def new_playlist_rows(built: DataFrame, created_at=None) -> DataFrame:
     """Stored rows for new playlists.  The id is a name-based UUID of
     the request id, so re-running a batch writes the same ids (idempotent
-    append); ``created_at`` defaults to the batch time."""
+    append); ``created_at`` is the rows' own, or the batch time if they have none."""
     h = F.sha2(F.concat(F.lit("playlist:"), F.col("request_id").cast("string")), 256)
     pid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                       F.substring(h, 17, 4), F.substring(h, 21, 12))
-    ts = created_at if created_at is not None else F.current_timestamp()
+    ts = created_at if created_at is not None else \
+        F.col("created_at") if "created_at" in built.columns else F.current_timestamp()
     return built.withColumn("id", pid).withColumn("created_at", ts)
 
 
+def append_batches(rows: DataFrame, path: str, batch: str = "batch_id") -> None:
+    """Append batches of rows to the table at ``path``, a partition folder
+    for each value of ``batch``.  A batch that is there already is replaced
+    (dynamic partition overwrite), so a batch delivered or retried again is
+    stored once and all other batches stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
+
+
+def read_appended(spark: SparkSession, path: str, schema: T.StructType, batch: str = "batch_id") -> DataFrame:
+    """The table that ``append_batches`` wrote; a filter on ``batch`` reads the
+    folders of its values only.  Columns that older batches lack are NULL."""
+    fields = [f for f in schema.fields if f.name != batch]
+    return spark.read.schema(T.StructType([*fields, schema[batch]])).parquet(path)
+
+
 # -- S6 / K2 -----------------------------------------------------------------
 
 def history(playlists: DataFrame) -> DataFrame:
@@ -97,12 +114,14 @@ def history(playlists: DataFrame) -> DataFrame:
 
 # -- S7 ----------------------------------------------------------------------
 
-def apply_link_updates(playlists: DataFrame, updates: DataFrame, seq: str = "update_seq") -> DataFrame:
+def apply_link_updates(playlists: DataFrame, updates: DataFrame, seq: str = "update_seq",
+                       reduced: bool = False) -> DataFrame:
     """Set external id and URL of the playlists named in ``updates``;
     ids not in the table are ignored.  Several updates of one id: the last
-    (highest ``seq``) wins."""
-    last = updates.groupBy("playlist_id").agg(
-        F.max_by(F.struct("external_id", "external_url"), F.col(seq)).alias("_u"))
+    (highest ``seq``) wins.  ``reduced``: there is one update of an id at most."""
+    link = F.struct("external_id", "external_url")
+    last = updates.select("playlist_id", link.alias("_u")) if reduced else updates.groupBy("playlist_id").agg(
+        F.max_by(link, F.col(seq)).alias("_u"))
     j = playlists.join(last, playlists["id"] == last["playlist_id"], "left")
     hit = F.col("playlist_id").isNotNull()
     return j.select(

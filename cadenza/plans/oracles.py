@@ -27,10 +27,13 @@ hits AS (
          CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber
               ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_shipdate, l_quantity,
                        l_discount, l_tax, l_returnflag, l_linestatus) AS INTEGER) AS hit_rank,
-         'ok' AS status, l_partkey AS track_id, CAST(trunc(l_quantity) AS INTEGER) AS popularity,
-         CASE l_suppkey % 3 WHEN 0 THEN strftime(l_shipdate, '%Y')
-                            WHEN 1 THEN strftime(l_shipdate, '%Y-%m')
-                            ELSE strftime(l_shipdate, '%Y-%m-%d') END AS release_date
+         CASE WHEN (l_orderkey * 7 + l_linenumber) % 23 = 0 THEN 'error' ELSE 'ok' END AS status,
+         CASE WHEN l_suppkey % 29 <> 0 THEN l_partkey END AS track_id,
+         CAST(trunc(l_quantity) AS INTEGER) AS popularity,
+         CASE WHEN l_suppkey % 31 = 0 THEN '19xx-' || strftime(l_shipdate, '%m')
+              WHEN l_suppkey % 3 = 0 THEN strftime(l_shipdate, '%Y')
+              WHEN l_suppkey % 3 = 1 THEN strftime(l_shipdate, '%Y-%m')
+              ELSE strftime(l_shipdate, '%Y-%m-%d') END AS release_date
   FROM lineitem)"""
 
 CRITERIA = """
@@ -46,7 +49,7 @@ criteria AS (
 
 CATALOGUE = """
 catalogue AS (
-  SELECT p_partkey AS track_id, 'track:' || p_partkey AS uri, p_name AS name,
+  SELECT p_partkey AS track_id, 'track:' || p_partkey AS uri, CASE WHEN p_size % 25 <> 0 THEN p_name END AS name,
          CASE WHEN p_size % 5 = 0 THEN [p_brand, 'Guest ' || p_size] ELSE [p_brand] END AS artist_names,
          p_type AS album, CAST(p_size + 1975 AS VARCHAR) || '-01-01' AS album_release_date,
          CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'img:' || p_partkey || ':640' END AS image_url,
@@ -105,6 +108,17 @@ SELECT request_id, query_idx, hit_rank, track_id, release_date, year,
        ({YEAR_OK}) AS kept
 FROM capped""")
 
+oracle("s12_skipped", with_(HITS) + """,
+per_query AS (
+  SELECT request_id, query_idx, max(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) AS failed,
+         count(*) FILTER (WHERE status = 'ok' AND track_id IS NULL) AS null_items,
+         count(*) FILTER (WHERE status = 'ok' AND track_id IS NOT NULL
+                          AND TRY_CAST(substr(release_date, 1, 4) AS INTEGER) IS NULL) AS bad_years
+  FROM hits WHERE hit_rank <= 10 AND query_idx <= 6 GROUP BY request_id, query_idx)
+SELECT request_id, CAST(sum(failed) AS BIGINT) AS failed_queries, CAST(sum(null_items) AS BIGINT) AS null_items,
+       CAST(sum(bad_years) AS BIGINT) AS bad_years
+FROM per_query GROUP BY request_id""")
+
 oracle("w4_dedupe_hits", with_(HITS, CRITERIA, CAPPED, TOPN) + """
 SELECT request_id, query_idx, hit_rank, track_id FROM dedup""")
 
@@ -403,6 +417,8 @@ PLAYLISTS = """
 playlists AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS user_id, o_orderdate AS created_at,
          'music for ' || lower(substr(o_orderpriority, 3, 20)) AS user_prompt,
+         CASE WHEN o_orderkey % 13 = 0 THEN 'around ' || year(o_orderdate)
+              ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS created_text,
          'Mix ' || o_orderkey AS title, CAST(o_orderkey % 60 + 1 AS INTEGER) AS track_count,
          CASE WHEN o_orderstatus = 'F' THEN 'ext' || o_orderkey END AS external_id,
          CASE WHEN o_orderstatus = 'F' THEN 'https://lists.example/p/' || o_orderkey
@@ -554,45 +570,51 @@ WHERE c.status = 'ok'""")
 oracle("l3_title_context", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, REQUESTS) + f""",
 lines AS (
   SELECT t.request_id,
-         list('- ' || c.name || ' — ' || array_to_string(c.artist_names, ', ') ORDER BY t.position) AS ls
+         list('- ' || coalesce(c.name, 'Unknown') || ' — ' || array_to_string(c.artist_names, ', ') ORDER BY t.position) AS ls
   FROM topn t JOIN catalogue c USING (track_id) GROUP BY t.request_id)
 SELECT l.request_id,
        array_to_string(list_slice(l.ls, 1, 10), {NL}) || {NL} || 'Request: ' || trim(r.prompt, {_WS}) AS context
 FROM lines l JOIN requests r USING (request_id) WHERE length(trim(r.prompt, {_WS})) BETWEEN 5 AND 500""")
 
+# One row per request: criteria, number of queries that ran, title, user and
+# prompt; then one pass over the hits.
 G3 = f"""
-g3_capped AS MATERIALIZED (
-  SELECT h.*, c.year_min, c.year_max, c.track_limit,
+g3_req AS MATERIALIZED (
+  SELECT c.request_id, c.status, c.error, c.year_min, c.year_max, c.track_limit, c.seed_genres, c.seed_artists,
+         c.target_energy, c.market, coalesce(len(q.qs), 0) AS n_queries, t.title, t.description,
+         r.user_id, trim(r.prompt, {_WS}) AS user_prompt, o.o_orderdate AS created_at
+  FROM crit_table c LEFT JOIN ql q ON q.request_id = c.request_id
+  LEFT JOIN title_rows t ON t.request_id = c.request_id
+  LEFT JOIN requests r ON r.request_id = c.request_id LEFT JOIN orders o ON o.o_orderkey = c.request_id),
+g3_hits AS MATERIALIZED (
+  SELECT h.request_id, h.query_idx, h.hit_rank, h.track_id, coalesce(h.popularity, 0) AS popularity, c.track_limit,
+         c.year_min, c.year_max,
          CASE WHEN length(h.release_date) >= 4 THEN TRY_CAST(substr(h.release_date, 1, 4) AS INTEGER) END AS year
-  FROM hits h JOIN crit_table c ON c.request_id = h.request_id AND c.status = 'ok'
-  WHERE h.hit_rank <= 10 AND h.query_idx <= 6 AND h.status = 'ok' AND h.track_id IS NOT NULL
-    AND EXISTS (SELECT 1 FROM query_rows q WHERE q.request_id = h.request_id AND q.query_idx = h.query_idx)),
-g3_kept AS (SELECT * FROM g3_capped WHERE {YEAR_OK}),
-g3_dedup AS (
-  SELECT * FROM g3_kept
-  QUALIFY row_number() OVER (PARTITION BY request_id, track_id ORDER BY query_idx, hit_rank) = 1),
-g3_top AS (
-  SELECT * FROM g3_dedup
-  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY coalesce(popularity, 0) DESC, query_idx, hit_rank)
-          <= track_limit),
+  FROM hits h JOIN g3_req c ON c.request_id = h.request_id
+  WHERE c.status = 'ok' AND h.hit_rank <= 10 AND h.query_idx <= 6 AND h.query_idx <= c.n_queries
+    AND h.status = 'ok' AND h.track_id IS NOT NULL),
+g3_first AS MATERIALIZED (
+  SELECT request_id, track_id, any_value(track_limit) AS track_limit, any_value(popularity ORDER BY query_idx, hit_rank) AS popularity,
+         min(query_idx * 1000 + hit_rank) AS seen
+  FROM g3_hits WHERE {YEAR_OK} GROUP BY request_id, track_id),
 g3_rank AS (
-  SELECT request_id, track_id,
-         row_number() OVER (PARTITION BY request_id ORDER BY coalesce(popularity, 0) DESC, query_idx, hit_rank) AS pos
-  FROM g3_top),
-g3_lists AS (
+  SELECT request_id, track_id, track_limit,
+         row_number() OVER (PARTITION BY request_id ORDER BY popularity DESC, seen) AS pos FROM g3_first),
+g3_lists AS MATERIALIZED (
   SELECT request_id, count(*) AS n, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY pos) AS ids
-  FROM g3_rank GROUP BY request_id),
+  FROM g3_rank WHERE pos <= track_limit GROUP BY request_id),
 g3 AS (
-  SELECT c.request_id,
+  SELECT c.* EXCLUDE (status, n_queries),
          CASE WHEN c.status <> 'ok' THEN 'failed' WHEN coalesce(l.n, 0) = 0 THEN 'no_tracks' ELSE 'ok' END AS status,
-         c.error, t.title, t.description, CAST(coalesce(l.n, 0) AS INTEGER) AS track_count,
-         coalesce(l.ids, '') AS track_ids
-  FROM crit_table c LEFT JOIN g3_lists l USING (request_id) LEFT JOIN title_rows t USING (request_id))"""
+         CAST(coalesce(l.n, 0) AS INTEGER) AS track_count, coalesce(l.ids, '') AS track_ids
+  FROM g3_req c LEFT JOIN g3_lists l ON l.request_id = c.request_id)"""
+
+G3_ALL = with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, REQUESTS, G3)
 
-oracle("g3_playlists", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, G3) + """
-SELECT * FROM g3""")
+oracle("g3_playlists", G3_ALL + """
+SELECT request_id, user_id, user_prompt, status, error, title, description, track_count, track_ids FROM g3""")
 
-oracle("p12_status", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, G3) + """
+oracle("p12_status", G3_ALL + """
 SELECT request_id, status FROM g3""")
 
 oracle("p11_saved_split", with_(PLAYLISTS) + """
@@ -604,8 +626,10 @@ _FR = "['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août
 
 oracle("g4_history_report", with_(PLAYLISTS) + f"""
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position,
-       strftime(created_at, '%-d %B %Y') AS date_text,
-       day(created_at) || ' ' || {_FR}[month(created_at)] || ' ' || year(created_at) AS date_fr,
+       CASE WHEN starts_with(created_text, 'around') THEN created_text
+            ELSE strftime(created_at, '%-d %B %Y') END AS date_text,
+       CASE WHEN starts_with(created_text, 'around') THEN created_text
+            ELSE day(created_at) || ' ' || {_FR}[month(created_at)] || ' ' || year(created_at) END AS date_fr,
        user_prompt, title, track_count,
        coalesce(external_url IS NOT NULL AND external_url <> '', false) AS saved, id AS relaunch_id
 FROM playlists""")
@@ -621,6 +645,19 @@ SELECT t.request_id, t.position, c.name, array_to_string(c.artist_names, ' · ')
 FROM topn t JOIN catalogue c USING (track_id)""")
 
 
+oracle("g5_relaunch_report", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, PLAYLISTS) + """
+SELECT o_orderkey AS request_id, t.position, c.name, array_to_string(c.artist_names, ' · ') AS artists,
+       CASE WHEN c.duration_ms > 0
+            THEN CAST(floor(floor(c.duration_ms / 1000) / 60) AS BIGINT) || ':' ||
+                 lpad(CAST(CAST(floor(c.duration_ms / 1000) AS BIGINT) % 60 AS VARCHAR), 2, '0')
+            ELSE '-' END AS duration,
+       coalesce(nullif(c.external_url, ''), 'https://open.example.com/track/' || t.track_id) AS link,
+       c.image_url
+FROM orders JOIN topn t ON t.request_id = o_orderkey - 3
+JOIN playlists p ON p.id = CAST(t.request_id AS VARCHAR) JOIN catalogue c USING (track_id)
+WHERE o_orderpriority = '2-HIGH' AND p.created_at >= TIMESTAMP '1998-01-01'""")
+
+
 # --------------------------------------------------------------------------
 # C1 catalogue search, G7, P8
 # --------------------------------------------------------------------------
@@ -643,7 +680,7 @@ c1_cat AS (
   SELECT p_partkey AS track_id, CAST(floor(p_retailprice) % 100 AS INTEGER) AS popularity,
          [lower(p_type), split_part(p_name, ' ', 1)] AS tg,
          CASE WHEN p_size % 5 = 0 THEN [lower(p_brand), 'guest ' || p_size] ELSE [lower(p_brand)] END AS ta,
-         string_split_regex(lower(p_name || ' ' || p_type), '\\s+') AS tw,
+         string_split_regex(lower(CASE WHEN p_size % 25 <> 0 THEN p_name || ' ' ELSE '' END || p_type), '\\s+') AS tw,
          p_size + 1975 AS ty
   FROM part),
 c1_m AS (
@@ -798,15 +835,8 @@ SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tr
 FROM events""")
 
 oracle("x2_refresh", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GENRES, FEATURES, PROFILE) + """
-SELECT user_id, CASE WHEN t THEN top_genres ELSE '' END AS top_genres,
-       CASE WHEN t THEN top_artists ELSE '' END AS top_artists, CASE WHEN t THEN top_tracks ELSE '' END AS top_tracks,
-       CASE WHEN t THEN energy ELSE 0.5 END AS energy, CASE WHEN t THEN valence ELSE 0.5 END AS valence,
-       CASE WHEN t THEN danceability ELSE 0.5 END AS danceability,
-       CASE WHEN t THEN acousticness ELSE 0.5 END AS acousticness, CASE WHEN t THEN tempo ELSE 120.0 END AS tempo
-FROM (SELECT e.user_id AS user_id, p.* EXCLUDE (user_id), e.t AND p.user_id IS NOT NULL AS t FROM (
-        SELECT user_id, bool_or((ts < TIMESTAMP '2024-01-16' AND user_id % 2 = 0)
-                                OR (ts >= TIMESTAMP '2024-01-16' AND user_id % 3 = 0)) AS t
-        FROM events GROUP BY user_id) e LEFT JOIN prof p ON p.user_id = e.user_id)""")
+SELECT user_id, top_genres, top_artists, top_tracks, energy, valence, danceability, acousticness, tempo
+FROM prof WHERE user_id IN (SELECT user_id FROM events)""")
 
 oracle("x3_daily", """
 WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
@@ -834,12 +864,46 @@ SELECT *, session_end <= (SELECT wm FROM wm) AS closed FROM g""")
 # S5 append rows, S13 JSON edge
 # --------------------------------------------------------------------------
 
-oracle("s5_append", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, TITLES, G3) + """,
+oracle("s5_append", G3_ALL + """,
 h AS (SELECT *, sha256('playlist:' || request_id) AS hx FROM g3 WHERE status = 'ok')
 SELECT substr(hx, 1, 8) || '-' || substr(hx, 9, 4) || '-' || substr(hx, 13, 4) || '-' || substr(hx, 17, 4)
-       || '-' || substr(hx, 21, 12) AS id, request_id, title, track_count
+       || '-' || substr(hx, 21, 12) AS id, request_id, CAST(year(created_at) AS INTEGER) AS batch_id, user_id,
+       created_at, user_prompt, title, description, track_count, track_ids,
+       array_to_string(seed_genres, ',') AS seed_genres, array_to_string(seed_artists, ',') AS seed_artists,
+       year_min, year_max, target_energy, market, track_limit
 FROM h""")
 
+oracle("s15_bronze", with_(HITS) + """,
+seen AS (SELECT *, (request_id + query_idx) % 37 = 0 AS cut FROM hits WHERE hit_rank <= 10 AND query_idx <= 6),
+per_query AS (
+  SELECT request_id, query_idx, any_value(cut) AS cut, any_value(status) AS status,
+         count(*) FILTER (WHERE track_id IS NULL) AS nulls, count(track_id) AS usable,
+         count(*) FILTER (WHERE track_id IS NOT NULL AND TRY_CAST(substr(release_date, 1, 4) AS INTEGER) IS NULL) AS bad_years
+  FROM seen GROUP BY request_id, query_idx)
+SELECT request_id, CAST(count(*) FILTER (WHERE cut) AS BIGINT) AS bad_lines,
+       CAST(count(*) FILTER (WHERE NOT cut AND status <> 'ok') AS BIGINT) AS failed_queries,
+       CAST(coalesce(sum(nulls) FILTER (WHERE NOT cut AND status = 'ok'), 0) AS BIGINT) AS null_items,
+       CAST(coalesce(sum(bad_years) FILTER (WHERE NOT cut AND status = 'ok'), 0) AS BIGINT) AS bad_years,
+       CAST(coalesce(sum(usable) FILTER (WHERE NOT cut AND status = 'ok'), 0) AS BIGINT) AS usable
+FROM per_query GROUP BY request_id""")
+
+oracle("s1_tables", with_(HITS, CRITERIA, CATALOGUE, CAPPED, TOPN, PLAYLISTS) + """,
+lists AS (SELECT request_id, count(*) AS n, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY position) AS ids
+          FROM topn GROUP BY request_id)
+SELECT p.id, p.user_id, CAST(year(p.created_at) AS INTEGER) AS year, p.title,
+       CAST(CASE WHEN year(p.created_at) < 1998 THEN 0 ELSE coalesce(l.n, 0) END AS INTEGER) AS n_tracks,
+       CASE WHEN year(p.created_at) < 1998 THEN '' ELSE coalesce(l.ids, '') END AS track_ids
+FROM playlists p LEFT JOIN lists l ON p.id = CAST(l.request_id AS VARCHAR)""")
+
+ORACLES["s3_bucketed"] = ORACLES["s3_upsert"]
+ORACLES["s7_bucketed"] = ORACLES["s7_update"]
+
+oracle("s9_lookup", with_(PLAYLISTS) + """,
+newest AS (SELECT id, user_id, created_at, title FROM playlists
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) = 1),
+asked AS (SELECT min(id) AS asked FROM newest UNION ALL SELECT max(id) FROM newest UNION ALL SELECT 'none')
+SELECT a.asked, n.user_id, n.created_at, n.title FROM asked a LEFT JOIN newest n ON n.id = a.asked""")
+
 oracle("s13_json_edge", with_(HITS, CRITERIA, CAPPED, TOPN) + """
 SELECT request_id, CAST(count(*) AS INTEGER) AS n_tracks, true AS roundtrip_ok FROM topn GROUP BY request_id""")
 

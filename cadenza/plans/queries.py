@@ -8,12 +8,13 @@ SQL oracle (T10).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import year_in_range, year_of
+from cadenza.functions.columns import strip_ws, year_in_range, year_of
 from cadenza.operators import candidates as G1
 from cadenza.operators import profile as P
 from cadenza.operators import responses as R
@@ -29,8 +30,9 @@ from cadenza.operators import recommend as RC
 from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
 from cadenza.sources import bronze as BZ
+from cadenza.operators import catalog as CT
 from cadenza.operators import sessions as SE
-from cadenza.session import written
+from cadenza.session import checkpoint_dir, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -72,6 +74,11 @@ def p4_p5_year_filter(spark, d):
                     year_in_range(year, F.col("year_min"), F.col("year_max")).alias("kept"))
 
 
+@register("s12_skipped")
+def s12_skipped(spark, d):
+    return G1.skipped_hits(G1.cap_hits(S.search_hits(spark, d)))
+
+
 @register("w4_dedupe_hits")
 def w4_dedupe_hits(spark, d):
     kept = G1.filter_years(G1.by_request(_capped(spark, d)), S.criteria(spark, d))
@@ -344,8 +351,10 @@ def _g3(spark, d):
 
 @register("g3_playlists")
 def g3_playlists(spark, d):
-    g = _g3(spark, d)
-    return g.select("request_id", "status", "error", "title", "description", "track_count",
+    # the record with user and prompt (D10), also of the requests that got none
+    asked = S.requests(spark, d).select("request_id", "user_id", strip_ws(F.col("prompt")).alias("user_prompt"))
+    g = _g3(spark, d).join(asked, "request_id", "left")
+    return g.select("request_id", "user_id", "user_prompt", "status", "error", "title", "description", "track_count",
                     F.array_join(F.transform("tracks", lambda t: t["id"]), ",").alias("track_ids"))
 
 
@@ -370,6 +379,11 @@ def g5_track_report(spark, d):
     return RP.track_report(sel)
 
 
+@register("g5_relaunch_report")
+def g5_relaunch_report(spark, d):
+    return RP.relaunch_report(_stored_playlists(spark, d), S.relaunch_requests(spark, d))
+
+
 # --------------------------------------------------------------------------
 # C1 catalogue search, G7 recommendation post-processing, P8 parameters
 # --------------------------------------------------------------------------
@@ -535,9 +549,23 @@ def x4_sessions(spark, d):
 
 @register("s5_append")
 def s5_append(spark, d):
-    built = _g3(spark, d).where(F.col("status") == "ok")
-    rows = ST.new_playlist_rows(built)
-    return rows.select("id", "request_id", "title", "track_count")
+    # the records of each year's requests are a batch; all are appended, then
+    # the first is delivered again
+    att = SR.llm_attempts(spark, d)
+    crit = R.criteria_table(att)
+    built = RP.build_playlists(S.search_hits(spark, d), crit, R.query_rows(att), R.titles(att), S.catalogue(spark, d))
+    rows = ST.new_playlist_rows(RP.playlist_records(built, crit, S.requests(spark, d), S.request_times(spark, d)))
+    rows = written(rows.withColumn("batch_id", F.year("created_at")), "records")
+    path = f"{checkpoint_dir(spark)}/playlists-{uuid.uuid4().hex}"
+    ST.append_batches(rows, path)
+    ST.append_batches(rows.where(F.col("batch_id") == rows.select(F.min("batch_id")).scalar()), path)
+    stored = ST.read_appended(spark, path, rows.schema)
+    return stored.select(
+        "id", "request_id", "batch_id", "user_id", "created_at", "user_prompt", "title", "description", "track_count",
+        F.array_join(F.transform("tracks", lambda t: t["id"]), ",").alias("track_ids"),
+        F.array_join("llm_params.seed_genres", ",").alias("seed_genres"),
+        F.array_join("llm_params.seed_artists", ",").alias("seed_artists"),
+        *[F.col(f"llm_params.{c}").alias(c) for c in ("year_min", "year_max", "target_energy", "market", "track_limit")])
 
 
 @register("s13_json_edge")
@@ -550,6 +578,76 @@ def s13_json_edge(spark, d):
                     (F.col("tracks") == F.col("orig")).alias("roundtrip_ok"))
 
 
+@register("s15_bronze")
+def s15_bronze(spark, d):
+    # responses as JSON lines, some cut off on the way; read back from the files
+    lines = BZ.response_lines(G1.cap_hits(S.search_hits(spark, d)))
+    cut = (F.col("request_id") + F.col("query_idx")) % 37 == 0
+    path = f"{checkpoint_dir(spark)}/responses-{uuid.uuid4().hex}"
+    lines.select(F.when(cut, F.substr("value", F.lit(1), F.floor(F.length("value") / 2).cast("int")))
+                 .otherwise(F.col("value")).alias("value")).write.text(path)
+    responses, bad = BZ.read_responses(spark, path)
+    hits = BZ.response_hits(responses)
+    usable = G1.usable_hits(hits).groupBy("request_id").agg(F.count(F.lit(1)).alias("usable"))
+    counts = G1.skipped_hits(hits).join(usable, "request_id", "left")
+    broken = bad.groupBy("request_id").agg(F.count(F.lit(1)).alias("bad_lines"))
+    zero = F.lit(0).cast("long")
+    return counts.join(broken, "request_id", "full_outer").select(
+        "request_id", *[F.coalesce(c, zero).alias(c) for c in ("bad_lines", "failed_queries", "null_items", "bad_years",
+                                                               "usable")])
+
+
+# --------------------------------------------------------------------------
+# The store in the catalog: S1 S2, bucketed S3 S7, point lookups S4 S9
+# --------------------------------------------------------------------------
+
+@register("s1_tables")
+def s1_tables(spark, d):
+    # create, fill the years before 1998, create again, add a column, fill the rest
+    table = f"{CT.new_database(spark)}.playlists"
+    pl = S.playlists(spark, d).withColumn("year", F.year("created_at"))
+    lists = _candidate_lists(spark, d).select(F.col("request_id").cast("string").alias("id"), "tracks")
+    CT.create_table(spark, table, pl.schema, "year")
+    CT.insert(pl.where(F.col("year") < 1998), table)
+    CT.create_table(spark, table, pl.schema, "year")
+    CT.add_columns(spark, table, lists.schema)
+    CT.insert(pl.where(F.col("year") >= 1998).join(lists, "id", "left"), table)
+    return spark.table(table).select("id", "user_id", "year", "title", F.coalesce(F.size("tracks"), F.lit(0)).alias("n_tracks"),
+                                     F.coalesce(F.array_join(F.transform("tracks", lambda t: t["id"]), ","), F.lit(""))
+                                     .alias("track_ids"))
+
+
+def _buckets(spark):
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@register("s3_bucketed")
+def s3_bucketed(spark, d):
+    existing, writes = S.profile_writes(spark, d)
+    stored = CT.write_bucketed(existing, f"{CT.new_database(spark)}.profiles", "user_id", _buckets(spark))
+    return CT.upsert_bucketed(stored, writes, "user_id", _buckets(spark)).select("user_id", "n_events", "synced_at")
+
+
+@register("s7_bucketed")
+def s7_bucketed(spark, d):
+    stored = CT.write_bucketed(S.playlists(spark, d), f"{CT.new_database(spark)}.playlists", "id", _buckets(spark))
+    out = CT.update_links_bucketed(stored, S.link_updates(spark, d), _buckets(spark))
+    return out.select("id", "external_id", "external_url")
+
+
+@register("s9_lookup")
+def s9_lookup(spark, d):
+    # each user's newest playlist is stored for lookups; the first and the last
+    # of their ids and an unknown one are asked for
+    newest = S.playlists(spark, d).groupBy("user_id").agg(F.max(F.struct("created_at", "id", "title")).alias("p")) \
+        .select("p.id", "user_id", "p.created_at", "p.title")
+    path = f"{checkpoint_dir(spark)}/newest-{uuid.uuid4().hex}"
+    CT.write_for_lookup(newest, path, "id", 1_000_000)
+    table = spark.read.schema(newest.schema).parquet(path)
+    ends = table.agg(F.min("id").alias("first"), F.max("id").alias("last")).first()
+    return CT.point_lookup(table, "id", [ends["first"], ends["last"], "none"]).drop("id")
+
+
 @register("x4_sessions_batch")
 def x4_sessions_batch(spark, d):
     ev = read_table(spark, d, "events", ["user_id", "ts", "event_id"])

@@ -29,7 +29,7 @@ SELECTED_TRACK = _struct(("id", S), ("uri", S), ("name", S), ("artists", T.Array
                          ("preview_url", S), ("external_url", S), ("image_url", S))
 # Criteria.
 CRITERIA = _struct(("seed_genres", T.ArrayType(S)), ("seed_artists", T.ArrayType(S)),
-                   ("year_min", I), ("year_max", I), ("target_energy", D), ("target_valence", D),
+                   ("year_min", L), ("year_max", L), ("target_energy", D), ("target_valence", D),
                    ("target_tempo", D), ("target_danceability", D), ("target_acousticness", D),
                    ("market", S), ("track_limit", I))
 

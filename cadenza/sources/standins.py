@@ -32,6 +32,10 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns so that only fully identical rows tie.  The window is keyed by
     (request, query); a later ``hit_rank <= k`` lets Spark plan a partial
     WindowGroupLimit before the exchange.
+
+    One query in 23 failed (status ``error``, S12), the hits of one supplier in
+    29 are null items (P6), and those of one in 31 have a date whose year is no
+    number (P4).
     """
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -40,10 +44,12 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = li.select(
         F.col("l_orderkey").alias("request_id"),
         F.col("l_linenumber").alias("query_idx"),
-        F.lit("ok").alias("status"),
-        F.col("l_partkey").alias("track_id"),
+        F.when((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 23 == 0, F.lit("error")).otherwise(F.lit("ok"))
+         .alias("status"),
+        F.when(F.col("l_suppkey") % 29 != 0, F.col("l_partkey")).alias("track_id"),
         F.col("l_quantity").cast("int").alias("popularity"),
-        _release_text(F.col("l_shipdate"), F.col("l_suppkey")).alias("release_date"),
+        F.when(F.col("l_suppkey") % 31 == 0, F.concat(F.lit("19xx-"), F.date_format("l_shipdate", "MM")))
+         .otherwise(_release_text(F.col("l_shipdate"), F.col("l_suppkey"))).alias("release_date"),
         "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus")
     # Keyed by the output names, so filters on request/query push through
@@ -83,7 +89,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     artist = brand (plus a guest artist for sizes divisible by 5), album =
     type, genres = lower-case type and the first word of the name, release
     year = 1975 + size, duration and popularity from the retail price.  Some tracks lack a
-    preview, an external URL or cover images.
+    name, a preview, an external URL or cover images.  A track is on sale in
+    all markets but one or two.
     """
     p = read_table(spark, sf_dir, "part",
                    ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
@@ -99,7 +106,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.col("p_partkey").alias("track_id"),
         F.concat(F.lit("track:"), key).alias("uri"),
-        F.col("p_name").alias("name"),
+        F.when(size % 25 != 0, F.col("p_name")).alias("name"),
         artists.alias("artists"),
         F.struct(F.col("p_type").alias("name"),
                  F.concat((size + 1975).cast("string"), F.lit("-01-01")).alias("release_date"),
@@ -109,9 +116,15 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor("p_retailprice") % 100).cast("int").alias("popularity"),
         F.when(size % 4 != 0, F.concat(F.lit("preview:"), key)).alias("preview_url"),
         F.when(size % 7 != 0, F.concat(F.lit("https://tracks.example/t/"), key)).alias("external_url"),
+        F.filter(F.array(*map(F.lit, MARKETS)), lambda m, i: (i != F.col("p_partkey") % 6) & (i != size % 9))
+         .alias("markets"),
     )
 
 
+#: Markets of the catalogue; the model replies ask for some of them.
+MARKETS = ["FR", "US", "DE", "GB", "JP"]
+
+
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +228,8 @@ def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored playlists: one per order.  Status F = saved (external id and
-    URL), P = URL present but empty, O = never saved."""
+    URL), P = URL present but empty, O = never saved.  ``created_text`` is the
+    date as text, one in 13 no ISO date (F7)."""
     o = read_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                     "o_orderpriority", "o_totalprice"])
@@ -226,6 +240,8 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("created_at"),
         F.concat(F.lit("music for "), F.lower(F.substring("o_orderpriority", 3, 20))).alias("user_prompt"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit("around "), F.year("o_orderdate").cast("string")))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("created_text"),
         F.concat(F.lit("Mix "), key).alias("title"),
         (F.col("o_orderkey") % 60 + 1).cast("int").alias("track_count"),
         F.when(status == "F", F.concat(F.lit("ext"), key)).alias("external_id"),
@@ -307,6 +323,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("request_id"), F.col("o_custkey").alias("user_id"), prompt.alias("prompt"))
 
 
+def request_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each request came in ``(request_id, requested_at)``."""
+    return read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]).select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("requested_at"))
+
+
 def synced_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users who ever synced a profile: those present in the event log."""
     return read_table(spark, sf_dir, "events", ["user_id"]).distinct()

@@ -6,7 +6,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import duration_text
-from cadenza.operators import ordering, prompts, store
+from cadenza.operators import candidates, ordering, prompts, reports, store
+from cadenza.plans import inspect
+from cadenza.sources import bronze
 
 PL = "id string, user_id long, created_at timestamp, external_id string, external_url string"
 
@@ -113,3 +115,73 @@ def test_tables_created_once_and_snapshots_never_overwrite(spark):
     a = store.write_snapshot(_playlists(spark), "playlists", root)
     b = store.write_snapshot(_playlists(spark), "playlists", root)
     assert a != b and os.path.isdir(a) and spark.read.parquet(b).count() == 2
+
+
+RECORD = "id string, request_id long, title string"
+
+
+def test_a_batch_appended_twice_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "records")
+    rows = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, "y", 1), ("c", 3, "z", 2)], RECORD + ", batch_id int")
+    store.append_batches(rows, path)
+    store.append_batches(rows.where("batch_id = 1"), path)
+    got = store.read_appended(spark, path, rows.schema)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.collect())
+    # delivered again with other rows: the batch is replaced, the other one stays
+    store.append_batches(spark.createDataFrame([("b", 2, "w", 1)], RECORD + ", batch_id int"), path)
+    assert sorted((r.id, r.title) for r in store.read_appended(spark, path, rows.schema).collect()) == [("b", "w"), ("c", "z")]
+    assert "PartitionFilters: [isnotnull(batch_id" in inspect.plan_text(
+        store.read_appended(spark, path, rows.schema).where("batch_id = 2"))
+
+
+def test_playlist_records_carry_user_prompt_and_criteria(spark):
+    crit = spark.createDataFrame([(1, "ok", ["g"], ["a"], 1990, 2000, 0.5, None, None, None, None, "FR", 30)],
+                                 "request_id long, status string, seed_genres array<string>, seed_artists array<string>, "
+                                 "year_min long, year_max long, target_energy double, target_valence double, target_tempo double, "
+                                 "target_danceability double, target_acousticness double, market string, track_limit int")
+    built = spark.createDataFrame([(1, "ok", "t", "d", 0), (2, "failed", None, None, 0)],
+                                  "request_id long, status string, title string, description string, track_count int") \
+        .withColumn("tracks", F.array().cast(reports.PLAYLISTS["tracks"].dataType))
+    asked = spark.createDataFrame([(1, 7, "  music \n"), (2, 8, "x")], "request_id long, user_id long, prompt string")
+    times = spark.createDataFrame([(i, dt.datetime(2024, 1, i)) for i in (1, 2)], "request_id long, requested_at timestamp")
+    rows = store.new_playlist_rows(reports.playlist_records(built, crit, asked, times)).collect()
+    assert len(rows) == 1 and (rows[0].user_id, rows[0].user_prompt, rows[0].llm_params.market) == (7, "music", "FR")
+    assert rows[0].created_at == dt.datetime(2024, 1, 1) and rows[0].external_url is None
+    again = store.new_playlist_rows(reports.playlist_records(built, crit, asked, times)).collect()
+    assert again == rows        # a batch built again has the same ids
+
+
+def test_relaunch_report(spark):
+    tracks = [("1", "u", "n", ["a", "b"], "al", "1990", 61000, 5, None, "", "img"), ("2", "u", None, ["c"], "al", "1990", 0, 5, None, "l", None)]
+    stored = spark.createDataFrame([("p", tracks), ("q", []), ("r", None)], "id string, tracks array<struct<" + ",".join(
+        f"{f.name}:{f.dataType.simpleString()}" for f in reports.PLAYLISTS["tracks"].dataType.elementType) + ">>")
+    asked = spark.createDataFrame([(1, "p"), (2, "q"), (3, "none"), (4, None), (5, "p"), (6, "r")], "request_id long, playlist_id string")
+    got = sorted(tuple(r) for r in reports.relaunch_report(stored, asked).select(
+        "request_id", "position", "artists", "duration", "link").collect())
+    one = [(1, "a · b", "1:01", "https://open.example.com/track/1"), (2, "c", "-", "l")]
+    assert got == [(i, *t) for i in (1, 5) for t in one]
+
+
+def test_history_keeps_dates_that_are_none(spark):
+    day = dt.datetime(2024, 8, 3)
+    rows = [(1, "a", day, "2024-08-03T10:00:00", "p", "t", 1, None), (1, "b", day, "summer", "p", "t", 1, "u"),
+            (1, "c", day, None, "p", "t", 1, "")]
+    pl = spark.createDataFrame(rows, "user_id long, id string, created_at timestamp, created_text string, user_prompt string, "
+                                     "title string, track_count int, external_url string")
+    got = {r.relaunch_id: (r.date_text, r.date_fr, r.saved) for r in reports.history_report(pl).collect()}
+    assert got == {"a": ("3 August 2024", "3 août 2024", False), "b": ("summer", "summer", True), "c": (None, None, False)}
+
+
+def test_bronze_lines_that_are_no_record(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    lines = ['{"request_id":1,"query_idx":1,"status":"ok","items":[{"track_id":5,"popularity":1,"release_date":"1990"},null]}',
+             '{"request_id":1,"query_idx":2,"status":"error"}', '{"request_id":1,"query_idx":3,"stat', "no json", "[]", "{}",
+             '{"request_id":2,"query_idx":1,"status":"ok","items":[{"track_id":6,"release_date":"19xx-01"},{"track_id":7}]}',
+             '{"request_id":"x","query_idx":1,"status":"ok","items":[]}', "",
+             '{"request_id":3,"query_idx":1,"status":"ok","items":[]}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    responses, bad = bronze.read_responses(spark, path)
+    assert sorted((r.request_id, r.query_idx) for r in responses.collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+    assert [r.request_id for r in bad.collect() if r.request_id is not None] == [1] and bad.count() >= 4
+    counts = {r.request_id: tuple(r)[1:] for r in candidates.skipped_hits(bronze.response_hits(responses)).collect()}
+    assert counts == {1: (1, 1, 0), 2: (0, 0, 1)}
