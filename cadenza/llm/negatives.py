@@ -12,7 +12,8 @@ they can matter to, and only those are sent there.  Below, every block of a cell
 (a large cell is dealt into several) has a cover tree: centres in farthest-first
 order, a level for each halving of the covering radius, so that every row is
 within a level's radius of a centre and centres of a level are further than it
-from each other.  A search descends best first, leaves out nodes whose bounds
+from each other; the last level ends when there is a centre for every LEAF rows,
+as vectors that are all far from each other would be a centre each.  A search descends best first, leaves out nodes whose bounds
 are outside of all windows or below what was found, and scores the rows of
 leaves exactly.
 """
@@ -67,7 +68,7 @@ class CoverTree:
         owner, gap = np.zeros(n, np.int64), ((y - y[0]) ** 2).sum(1)
         radius = 2 * norm
         while True:
-            while gap.max() > radius * radius:
+            while gap.max() > radius * radius and len(centres) * leaf < n:
                 j = int(gap.argmax())
                 d = ((y - y[j]) ** 2).sum(1)
                 near = d < gap
@@ -130,37 +131,36 @@ class CoverTree:
         size = float(np.sqrt((query * query).sum())) * self.norm
         low, high = windows[:, 0], windows[:, 1]
         best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in windows]
-        worst = [(-np.inf, _NONE)] * len(windows)       # the k-th of each window
+        worst = np.full(len(windows), -np.inf)          # the k-th score of each window, and its id
+        after = np.full(len(windows), _NONE)
 
         def wanted(least, most, smallest):
-            for j in range(len(windows)):
-                top = min(most, high[j])
-                if most >= low[j] and least <= high[j] and (
-                        top > worst[j][0] or (top == worst[j][0] and smallest < worst[j][1])):
-                    return True
-            return False
+            """Nodes that some window can take a row of (and a better one than it has)."""
+            least, most, smallest = (np.asarray(v).reshape(-1, 1) for v in (least, most, smallest))
+            top = np.minimum(most, high)
+            return ((most >= low) & (least <= high) & (
+                (top > worst) | ((top == worst) & (smallest < after)))).any(1)
 
         def push(nodes):
-            fits = (self.mixed[nodes] | ((self.label[nodes] == own) == alike))
-            nodes = nodes[fits]
+            nodes = nodes[self.mixed[nodes] | ((self.label[nodes] == own) == alike)]
             least, most = bounds(self.centre[nodes] @ query, self.spread[nodes], size)
-            for node, a, b in zip(nodes.tolist(), least.tolist(), most.tolist()):
-                if wanted(a, b, self.least[node]):
-                    heapq.heappush(heap, (-b, node, a))
+            some = wanted(least, most, self.least[nodes])
+            for entry in zip((-most[some]).tolist(), nodes[some].tolist(), least[some].tolist()):
+                heapq.heappush(heap, entry)
 
         heap, batch = [], 4
         push(np.zeros(1, np.int64))
         while heap:
-            leaves = []
-            while heap and len(leaves) < batch:
-                most, node, least = heapq.heappop(heap)
-                if wanted(least, -most, self.least[node]):
-                    if len(self.children[node]):
-                        push(self.children[node])
-                    else:
-                        leaves.append(node)
+            taken = [heapq.heappop(heap) for _ in range(min(batch, len(heap)))]
+            some = wanted([t[2] for t in taken], [-t[0] for t in taken], [self.least[t[1]] for t in taken])
+            taken, leaves = [t[1] for t, ok in zip(taken, some) if ok], []
+            for node in taken:
+                if len(self.children[node]):
+                    push(self.children[node])
+                else:
+                    leaves.append(node)
             if not leaves:
-                break
+                continue
             batch *= 2
             rows = np.concatenate([np.arange(self.first[i], self.last[i]) for i in leaves])
             keep = (self.labels[rows] == own) == alike
@@ -169,12 +169,14 @@ class CoverTree:
             rows = rows[keep]
             scores, ids = self.x[rows] @ query, self.ids[rows]
             for j in range(len(windows)):
-                inside = (scores >= low[j]) & (scores <= high[j]) & (scores >= worst[j][0])
+                inside = (scores >= max(low[j], worst[j])) & (scores <= high[j])
+                if not inside.any():
+                    continue
                 s, i = np.append(best[j][0], scores[inside]), np.append(best[j][1], ids[inside])
                 first = np.lexsort((i, -s))[:k]
                 best[j] = s[first], i[first]
                 if len(first) == k:
-                    worst[j] = s[first[-1]], i[first[-1]]
+                    worst[j], after[j] = s[first[-1]], i[first[-1]]
         return best
 
 
