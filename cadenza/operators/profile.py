@@ -94,6 +94,11 @@ def collect_ordered(df: DataFrame, key: str, order_cols: list[str], value) -> Da
 def build_profiles(raw: DataFrame, tracks: DataFrame, artists: DataFrame,
                    features: DataFrame, users: DataFrame, synced_at) -> DataFrame:
     """One profile row per user."""
+    return assemble_profiles(raw, tracks, artists, feature_means(features, users), synced_at)
+
+
+def assemble_profiles(raw: DataFrame, tracks: DataFrame, artists: DataFrame, means: DataFrame, synced_at) -> DataFrame:
+    """G2 from ranked lists and feature means (one row for each user)."""
     t = top_tracks(raw, tracks)
     a = top_artists(raw, artists)
     g = genre_ranking(a)
@@ -105,7 +110,6 @@ def build_profiles(raw: DataFrame, tracks: DataFrame, artists: DataFrame,
         F.struct("id", "name", "genres", "uri", "time_range")).withColumnRenamed("items", "top_artists")
     genre_lists = collect_ordered(g, "user_id", ["genre_rank"], F.col("genre")) \
         .withColumnRenamed("items", "top_genres")
-    means = feature_means(features, users)
     empty = lambda t: F.array().cast(t)
     prof = (means.join(genre_lists, "user_id", "left")
             .join(artist_lists, "user_id", "left")

@@ -74,6 +74,13 @@ def upsert_latest(existing: DataFrame, writes: DataFrame, key: str, seq: str = "
     return latest.select(key, "_row.*")
 
 
+def latest(versions: DataFrame, key: str, seq: str = "load_seq") -> DataFrame:
+    """The last version of each key's row, by ``seq`` (as in S3)."""
+    values = [c for c in versions.columns if c not in (key, seq)]
+    return versions.groupBy(key).agg(F.max_by(F.struct(*values), F.col(seq)).alias("_row"), F.max(seq).alias(seq)) \
+        .select(key, "_row.*", seq)
+
+
 # -- S5 ----------------------------------------------------------------------
 
 def new_playlist_rows(built: DataFrame, created_at=None) -> DataFrame:

@@ -31,6 +31,7 @@ from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
 from cadenza.sources import bronze as BZ
 from cadenza.operators import catalog as CT
+from cadenza.operators import profile_state as PS
 from cadenza.operators import sessions as SE
 from cadenza.session import checkpoint_dir, written
 
@@ -499,29 +500,51 @@ def _g2_flat(p):
         *_flat_features())
 
 
+def _top_events(spark, d, ev):
+    term = S.term_of(F.col("event_type"))
+    return ev.select("user_id", term.alias("term_ord"), "value", "event_id", F.col("track_id").alias("item_key"))
+
+
+def _refresh(spark, d, root):
+    """Take in what was delivered below ``root``: listens into the sums, events
+    into the lists; profiles of the users with new events are made of both."""
+    lines = spark.readStream.schema(S.line_features(spark, d).schema).parquet(f"{root}/listens")
+    X.advance_state(lines, PS.sums_of, PS.SUMS, PS.merge_sums, root, "sums")
+
+    def profiles(users, batch_id):
+        tops = PS.stored(spark, PS.state_path(root, "tops"), PS.TOPS, users, batch_id + 1)
+        known = S.users(spark, d).join(users, "user_id", "left_semi")
+        means = PS.means_of(PS.stored(spark, PS.state_path(root, "sums"), PS.SUMS, users), known)
+        return _g2_flat(P.assemble_profiles(PS.ranked_lists(tops), S.track_items(spark, d), S.artist_items(spark, d), means,
+                                            F.current_timestamp()))
+    return X.advance_state(X.event_stream(spark, f"{root}/in", "*.parquet"),
+                           lambda batch: PS.tops_of(_top_events(spark, d, batch)), PS.TOPS, PS.merge_tops, root, "tops", profiles)
+
+
 @register("x2_refresh")
 def x2_refresh(spark, d):
-    def build(touched, until=None):
-        # Only the touched users' inputs are read into the rebuild.
-        def only(df):
-            return df.join(touched, "user_id", "left_semi")
-        prof = P.build_profiles(only(S.top_items_raw(spark, d, until)), S.track_items(spark, d),
-                                S.artist_items(spark, d), only(S.line_features(spark, d)),
-                                only(S.users(spark, d)), F.current_timestamp())
-        return _g2_flat(prof)
-    # The store has the profiles as of the first half of the log.  Both halves
-    # are delivered whole, the first again and then the second, which rebuilds
-    # its users from all of the log; users without events in it keep theirs.
+    # Two deliveries, each half of the listens and half of the events; a few
+    # events of the first come again with the second.
     root = X.new_root(spark)
     first, second = _halves(spark, d)
-    stored = written(build(first.select("user_id").distinct(), MID_LOG), "profiles")
-    for part, until in ((first, MID_LOG), (second, None)):
-        part.write.mode("append").parquet(f"{root}/in")
-        out = X.refresh_profiles(X.event_stream(spark, f"{root}/in", "*.parquet"),
-                                 lambda touched, until=until: build(touched, until), root)
+    listens = S.line_features(spark, d)
+    early = F.coalesce(F.col("played_at") < F.lit("1998-01-01").cast("timestamp"), F.lit(True))
+    for events, heard in ((first, listens.where(early)),
+                          (second.unionByName(first.where(F.col("event_id") % 10 == 3)), listens.where(~early))):
+        events.write.mode("append").parquet(f"{root}/in")
+        heard.write.mode("append").parquet(f"{root}/listens")
+        out = _refresh(spark, d, root)
     rebuilt = spark.read.parquet(out).drop("batch")
-    latest = ST.upsert_latest(stored.select(*[c for c in rebuilt.columns if c != "load_seq"]), rebuilt, "user_id")
-    return latest.drop("load_seq")
+    # users with new listens only: their profiles are of the first delivery
+    return _with_means(spark, d, root, ST.latest(rebuilt, "user_id"))
+
+
+def _with_means(spark, d, root, profiles):
+    """Profiles with the means as the sums are now: listens of users without new
+    events change nothing else."""
+    users = profiles.select("user_id")
+    means = PS.means_of(PS.stored(spark, PS.state_path(root, "sums"), PS.SUMS), users)
+    return profiles.drop("load_seq", *P.FEATURES).join(means, "user_id")
 
 
 @register("x3_daily")

@@ -133,6 +133,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.withColumn("item_key", F.get_json_object("props", "$.k").cast("bigint"))
 
 
+def term_of(event_type):
+    """The time range that an event type stands for (1 to 3)."""
+    return F.when(event_type.isin("view", "signup"), 1).when(event_type.isin("click", "error"), 2).otherwise(3)
+
+
 def top_items_raw(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """Bronze ranked lists ``(user_id, term_ord, time_range, rank, item_key)``.
 
@@ -145,9 +150,7 @@ def top_items_raw(spark: SparkSession, sf_dir: str, until: str | None = None) ->
     ev = _events(spark, sf_dir)
     if until is not None:
         ev = ev.where(F.col("ts") < F.lit(until).cast("timestamp"))
-    term = F.when(F.col("event_type").isin("view", "signup"), 1) \
-        .when(F.col("event_type").isin("click", "error"), 2).otherwise(3)
-    ev = ev.withColumn("term_ord", term)
+    ev = ev.withColumn("term_ord", term_of(F.col("event_type")))
     w = Window.partitionBy("user_id", "term_ord").orderBy(F.desc("value"), "event_id")
     names = F.array(*[F.lit(t) for t in ("short_term", "medium_term", "long_term")])
     return ev.select(

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.operators import profile_state as PS
 from cadenza.session import checkpoint_dir, written
 
 EVENTS_SCHEMA = T.StructType([
@@ -108,7 +109,31 @@ def refresh_profiles(stream: DataFrame, build, root: str, name: str = "x2_refres
         rows = build(touched).withColumn("load_seq", F.lit(batch_id))
         rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt) \
+    _run_batches(stream, per_batch, ckpt)
+    return out
+
+
+def _run_batches(stream: DataFrame, per_batch, checkpoint: str) -> None:
+    q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def advance_state(stream: DataFrame, partial, schema, merge, root: str, name: str, then=None,
+                  buckets: int = PS.BUCKETS) -> str:
+    """X2 as an increment: each micro-batch becomes a state of its own rows
+    (``partial(batch)``), merged into the state of its users and stored as
+    version <batch id> (``profile_state.advance``).  ``then(users, batch_id)``
+    gives rows made of the new state for the touched users, written to
+    ``out/batch=<id>``.  A retried batch writes the same version and rows."""
+    out, ckpt = _paths(root, name)
+    path = PS.state_path(root, name)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        state = written(partial(batch), "partial")
+        users = PS.advance(state, path, schema, merge, batch_id, buckets)
+        if then is not None:
+            then(users, batch_id).withColumn("load_seq", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(os.path.join(out, f"batch={batch_id}"))
+    _run_batches(stream, per_batch, ckpt)
     return out
