@@ -95,7 +95,7 @@ def stored(spark: SparkSession, path: str, schema: T.StructType, users: DataFram
            before: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The newest row of each user, of the versions before ``before``.  With
     ``users`` theirs only: their buckets' folders are the ones that are read."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.IntegerType())])
     rows = spark.read.schema(full).parquet(path)
@@ -108,7 +108,8 @@ def stored(spark: SparkSession, path: str, schema: T.StructType, users: DataFram
     return rows.groupBy("user_id").agg(F.max_by(F.struct(*values), "version").alias("_s")).select("user_id", "_s.*")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder, in whatever store the path names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 

@@ -11,44 +11,56 @@ is therefore ours and stated here.  A query is split on whitespace
   track name or album name.
 
 Hits are ordered by popularity descending, then track id; the first 10 are
-kept (W5).  A query without any token finds nothing.
+kept (W5).  A query without any token finds nothing.  A query that names a
+market finds tracks that are on sale there only; one without (NULL) finds all.
 
 A value with spaces is quoted: ``artist:"b c"``, ``genre:"b c"``.
 
 Plan (no cross join, no cap on candidates, no switch by size):
 
-0. Hits depend on the query text only: each distinct text is searched
+0. Hits depend on the query text and market only: each distinct pair is searched
    once and its <= 10 hits are joined back to the query rows.
 1. A track is posted under *keys*: the empty key, each of its tokens
    (``g:``/``a:``/``w:``) and each pair of its tokens; only keys that some
    query asks for are kept.
 2. A query of at most two tokens is one key.  Its hits are the first ten of
-   the key's tracks, or with a year range the first ten of each year of the
-   range, merged: exact from heads of ten rows, which a map-side
+   the key's tracks in its market, or with a year range the first ten of each
+   year of the range, merged: exact from heads of ten rows, which a map-side
    WindowGroupLimit cuts before the exchange, however popular the key is.
-3. A query of more tokens is anchored on its rarest pair; the pair's tracks
-   are joined to their token lists and tested for the other tokens and the
-   year.  Postings carry no token list, so a popular pair costs two numbers a
-   track.
+3. A query of more tokens is anchored on its rarest pair and reads that pair's
+   postings in the order of the ranking, a block at a time: the tracks are
+   numbered in it, and block b holds four times as many of them as the one
+   before.  Every track of a later block ranks below every one of an earlier
+   block, so a query that has ten hits is answered, and one whose pair has no
+   posting further on as well; only the others go on.  The postings are written
+   by block, and a block that nobody needs is not read.
 
 Every test is a codegen-able expression (no lambdas per pair of rows).
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import HITS_PER_QUERY
+from cadenza.operators.ordering import positions
+from cadenza.session import checkpoint_dir, written
 
 YEAR_RE = r"^year:([0-9]{4})(-([0-9]{4}))?$"
 TOKEN_RE = r'((?:genre|artist):"[^"]*"|\S+)'
 SEP = "\u0001"
-QKEY = ["query"]   # results depend on the query text only
+QKEY = ["query", "market"]   # results depend on these only
+#: Tracks of the first block, and how much more the next one holds.
+FIRST_BLOCK, GROWTH = 1024, 4
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """``(query)`` -> required tokens in order and year range."""
+    """``(query, market)`` -> required tokens in order and year range; no market
+    is ''."""
     toks = F.regexp_extract_all(F.lower(F.col("query")), F.lit(TOKEN_RE), F.lit(1))
     is_year = lambda t: t.rlike(YEAR_RE)
 
@@ -62,14 +74,14 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     hi = F.transform(years, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, YEAR_RE, 3), F.lit("")),
                                                  F.regexp_extract(t, YEAR_RE, 1)).cast("int"))
     required = F.concat(values("genre:", "g:"), values("artist:", "a:"), words)
-    return queries.select(*QKEY, F.array_sort(F.array_distinct(required)).alias("required"),
+    return queries.select("query", F.coalesce("market", F.lit("")).alias("market"), F.array_sort(F.array_distinct(required)).alias("required"),
                           F.array_max(lo).alias("y_lo"), F.array_min(hi).alias("y_hi"),
                           F.size(toks).alias("n_tokens"))
 
 
 def track_tokens(catalogue: DataFrame) -> DataFrame:
-    """``(track_id, popularity, t_tokens, t_year)``: the distinct tokens of a
-    track in order."""
+    """``(track_id, popularity, t_tokens, t_year, t_markets)``: the distinct
+    tokens of a track in order; its markets and '' for any."""
     names = F.transform("artists", lambda a: F.concat(F.lit("a:"), F.lower(a["name"])))
     words = F.transform(F.filter(F.split(F.lower(F.concat_ws(" ", F.col("name"), F.col("album.name"))), r"\s+"),
                                  lambda w: F.length(w) > 0), lambda w: F.concat(F.lit("w:"), w))
@@ -77,7 +89,8 @@ def track_tokens(catalogue: DataFrame) -> DataFrame:
     year = F.col("album.release_date").substr(1, 4).try_cast("int")
     return catalogue.select("track_id", "popularity",
                             F.array_sort(F.array_distinct(F.concat(genres, names, words))).alias("t_tokens"),
-                            year.alias("t_year"))
+                            year.alias("t_year"), F.array_append(F.coalesce("markets", F.array().cast("array<string>")),
+                                                                 "").alias("t_markets"))
 
 
 def _pairs(tokens):
@@ -98,45 +111,90 @@ def _heads(posted: DataFrame, *keys: str) -> DataFrame:
 
 
 def search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``(request_id, query_idx, hit_rank, track_id, popularity)``.
+    """``(request_id, query_idx, hit_rank, track_id, popularity)`` of
+    ``queries(request_id, query_idx, query, market)``.
 
-    The hits of a query depend on its text only, and texts repeat (popular
-    searches), so each distinct text is searched once and its <= 10 hits
-    are joined back to the query rows."""
-    texts = queries.select("query").distinct()
-    hits = search_texts(texts, catalogue)
-    return queries.select("request_id", "query_idx", "query").join(hits, "query") \
-        .select("request_id", "query_idx", "hit_rank", "track_id", "popularity")
+    The hits of a query depend on its text and market only, and both repeat
+    (popular searches), so each distinct pair is searched once and its <= 10
+    hits are joined back to the query rows."""
+    rows = written(queries.select("request_id", "query_idx", "query", F.coalesce("market", F.lit("")).alias("market")),
+                   "queries")
+    hits = search_texts(rows.select(*QKEY).distinct(), catalogue)
+    return rows.join(hits, QKEY).select("request_id", "query_idx", "hit_rank", "track_id", "popularity")
 
 
 def search_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Top-10 hits per distinct query text ``(query, hit_rank, track_id, popularity)``."""
+    """Top-10 hits per distinct query text and market ``(query, market, hit_rank,
+    track_id, popularity)``."""
     tracks = track_tokens(catalogue)
-    parsed = parse_queries(texts).where("n_tokens > 0")
+    parsed = written(parse_queries(texts).where("n_tokens > 0"), "parsed")
     few = parsed.where(F.size("required") <= 2).withColumn("key", F.array_join("required", SEP))
-    many = parsed.where(F.size("required") > 2).withColumn("key", F.explode(_pairs(F.col("required"))))
-    asked = few.select("key").unionByName(many.select("key")).distinct()
-    keys = F.concat(F.array(F.lit("")), F.col("t_tokens"), _pairs(F.col("t_tokens")))
-    posted = tracks.select("track_id", "popularity", "t_year", F.explode(keys).alias("key")) \
-        .join(asked, "key", "left_semi")
+    return _top(_few_tokens(few, tracks).unionByName(_many_tokens(parsed.where(F.size("required") > 2), tracks)))
+
 
-    # at most two tokens: heads of the key, or of the key in each year
-    open_years = few.where(F.col("y_lo").isNull()).select(*QKEY, "key").join(_heads(posted, "key"), "key")
+def _post(tracks: DataFrame, asked: DataFrame, keys, *columns: str) -> DataFrame:
+    """Postings (key, columns) of the keys that are asked for."""
+    return tracks.select(*columns, F.explode(keys).alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
+
+
+def _few_tokens(few: DataFrame, tracks: DataFrame) -> DataFrame:
+    """At most two tokens: heads of the key in a market, or in each year too."""
+    keys = F.concat(F.array(F.lit("")), F.col("t_tokens"), _pairs(F.col("t_tokens")))
+    posted = _post(tracks, few, keys, "track_id", "popularity", "t_year", "t_markets") \
+        .withColumn("market", F.explode("t_markets")).drop("t_markets")
+    open_years = few.where(F.col("y_lo").isNull()).select(*QKEY, "key") \
+        .join(_heads(posted, "key", "market"), ["key", "market"])
     span = tracks.agg(F.min("t_year").alias("first"), F.max("t_year").alias("last"))
     first, last = span.select("first").scalar(), span.select("last").scalar()
     dated = few.where(F.col("y_lo").isNotNull()).withColumns(
         {"_lo": F.greatest("y_lo", first), "_hi": F.least("y_hi", last)}).where("_lo <= _hi")
     by_year = dated.select(*QKEY, "key", F.explode(F.sequence("_lo", "_hi")).alias("t_year")) \
-        .join(_heads(posted.where(F.col("t_year").isNotNull()), "key", "t_year"), ["key", "t_year"])
-
-    # more tokens: the rarest pair's tracks, tested for the rest
-    stats = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    anchor = many.join(stats, "key", "left").groupBy(*QKEY).agg(
-        F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("key"))
-    found = many.select(*QKEY, "required", "y_lo", "y_hi").distinct().join(anchor, QKEY) \
-        .join(posted.select("key", "track_id"), "key").join(tracks, "track_id")
-    rest = found.where((F.size(F.array_except("required", "t_tokens")) == 0)
-                       & (F.col("y_lo").isNull() | ((F.col("t_year") >= F.col("y_lo"))
-                                                    & (F.col("t_year") <= F.col("y_hi")))))
+        .join(_heads(posted.where(F.col("t_year").isNotNull()), "key", "market", "t_year"), ["key", "market", "t_year"])
     cols = [*QKEY, "track_id", "popularity"]
-    return _top(open_years.select(*cols).unionByName(by_year.select(*cols)).unionByName(rest.select(*cols)))
+    return open_years.select(*cols).unionByName(by_year.select(*cols))
+
+
+def postings(tracks: DataFrame, asked: DataFrame) -> tuple[DataFrame, str]:
+    """Pairs asked for, in blocks of the ranking: the tracks with their block,
+    and the folder of the postings (key, track_id), written by block."""
+    ranked = positions(tracks, [], [F.desc("popularity"), F.col("track_id")], name="_at")
+    over = (F.col("_at") - 1) / FIRST_BLOCK
+    block = F.when(over < 1, 0).otherwise(F.floor(F.log(float(GROWTH), over)) + 1).cast("int")
+    placed = written(ranked.withColumn("block", block).drop("_at"), "tracks")
+    path = f"{checkpoint_dir(tracks.sparkSession)}/postings-{uuid.uuid4().hex}"
+    _post(placed, asked, _pairs(F.col("t_tokens")), "track_id", "block") \
+        .repartition("block", "key").write.partitionBy("block").parquet(path)
+    return placed, path
+
+
+def _many_tokens(many: DataFrame, tracks: DataFrame) -> DataFrame:
+    """More tokens: the rarest pair's postings in order of the ranking, tested
+    for the rest, until ten are found."""
+    spark, cols = tracks.sparkSession, [*QKEY, "track_id", "popularity"]
+    pairs = many.select(*QKEY, F.explode(_pairs(F.col("required"))).alias("key"))
+    placed, path = postings(tracks, pairs)
+    posted = spark.read.schema("key string, track_id " + tracks.schema["track_id"].dataType.simpleString()
+                               + ", block int").parquet(path)
+    stats = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("last"))
+    # a pair without postings answers its queries: they find nothing
+    none = pairs.join(stats, "key", "left_anti").select(*QKEY).distinct()
+    anchor = pairs.join(stats, "key").join(none, QKEY, "left_anti").groupBy(*QKEY).agg(
+        F.min_by(F.struct("key", "last"), F.struct("n", "key")).alias("_a")).select(*QKEY, "_a.key", "_a.last")
+    waiting = written(many.drop("n_tokens").join(anchor, QKEY), "waiting")
+    end = waiting.agg(F.max("last")).first()[0]
+    found = []
+    for block in range(0 if end is None else end + 1):      # their number is a logarithm of the catalogue's size
+        here = waiting.select(*QKEY, "required", "y_lo", "y_hi", "key") \
+            .join(posted.where(F.col("block") == block).select("key", "track_id"), "key") \
+            .join(placed.where(F.col("block") == block).drop("block"), "track_id")
+        fits = ((F.size(F.array_except("required", "t_tokens")) == 0) & F.array_contains("t_markets", F.col("market"))
+                & (F.col("y_lo").isNull() | ((F.col("t_year") >= F.col("y_lo")) & (F.col("t_year") <= F.col("y_hi")))))
+        found.append(written(_top(here.where(fits).select(*cols)).select(*cols), "hits"))
+        full = reduce(DataFrame.unionByName, found).groupBy(*QKEY).agg(F.count(F.lit(1)).alias("_n")) \
+            .where(F.col("_n") >= HITS_PER_QUERY)
+        waiting = written(waiting.where(F.col("last") > block).join(full, QKEY, "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found) if found else many.select(
+        *QKEY, F.lit(None).cast(tracks.schema["track_id"].dataType).alias("track_id"),
+        F.lit(None).cast(tracks.schema["popularity"].dataType).alias("popularity")).limit(0)

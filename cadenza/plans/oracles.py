@@ -228,6 +228,16 @@ top100 AS (
 SELECT * FROM top100
 QUALIFY row_number() OVER (PARTITION BY user_id, track_id ORDER BY played_at DESC, event_id DESC) = 1""")
 
+oracle("s11_cursor", """
+WITH pl AS (
+  SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id, ts AS played_at, event_id,
+         CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS poll
+  FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY poll, user_id ORDER BY played_at DESC, event_id DESC) AS rn FROM pl)
+SELECT CAST(poll AS INTEGER) AS poll, user_id, CAST((rn - 1) // 50 + 1 AS INTEGER) AS page,
+       CAST(rn AS INTEGER) AS position, track_id, played_at, event_id
+FROM r WHERE rn <= 100""")
+
 oracle("a1_k3_genres", with_(ARTIST_ITEMS, TOP_RAW, W2, GENRES) + """
 SELECT user_id, genre, n_artists, genre_rank FROM genres""")
 
@@ -665,11 +675,11 @@ WHERE o_orderpriority = '2-HIGH' AND p.created_at >= TIMESTAMP '1998-01-01'""")
 _YR = "year:[0-9]{4}(-[0-9]{4})?"
 C1_SQL = f"""
 c1_q AS (
-  SELECT request_id, query_idx,
+  SELECT q.request_id, query_idx, coalesce(k.market, 'FR') AS market,
          regexp_extract_all(lower(query), '(genre|artist):"[^"]*"|\\S+') AS toks
-  FROM query_rows),
+  FROM query_rows q LEFT JOIN crit_table k ON k.request_id = q.request_id),
 c1_qp AS (
-  SELECT request_id, query_idx, len(toks) AS nt,
+  SELECT request_id, query_idx, market, len(toks) AS nt,
          list_transform(list_filter(toks, lambda t: starts_with(t, 'genre:')), lambda t: replace(substr(t, 7), '"', '')) AS qg,
          list_transform(list_filter(toks, lambda t: starts_with(t, 'artist:')), lambda t: replace(substr(t, 8), '"', '')) AS qa,
          list_filter(toks, lambda t: regexp_full_match(t, '{_YR}')) AS qy,
@@ -681,12 +691,13 @@ c1_cat AS (
          [lower(p_type), split_part(p_name, ' ', 1)] AS tg,
          CASE WHEN p_size % 5 = 0 THEN [lower(p_brand), 'guest ' || p_size] ELSE [lower(p_brand)] END AS ta,
          string_split_regex(lower(CASE WHEN p_size % 25 <> 0 THEN p_name || ' ' ELSE '' END || p_type), '\\s+') AS tw,
-         p_size + 1975 AS ty
+         p_size + 1975 AS ty,
+         list_filter(['FR', 'US', 'DE', 'GB', 'JP'], lambda m, i: i - 1 <> p_partkey % 6 AND i - 1 <> p_size % 9) AS tm
   FROM part),
 c1_m AS (
   SELECT q.request_id, q.query_idx, c.track_id, c.popularity
   FROM c1_qp q, c1_cat c
-  WHERE q.nt > 0 AND list_has_all(c.tg, q.qg) AND list_has_all(c.ta, q.qa) AND list_has_all(c.tw, q.qw)
+  WHERE q.nt > 0 AND list_contains(c.tm, q.market) AND list_has_all(c.tg, q.qg) AND list_has_all(c.ta, q.qa) AND list_has_all(c.tw, q.qw)
     AND coalesce(list_bool_and(list_transform(q.qy, lambda y:
           c.ty BETWEEN CAST(substr(y, 6, 4) AS INTEGER)
                    AND CAST(coalesce(nullif(substr(y, 11, 4), ''), substr(y, 6, 4)) AS INTEGER))), true)),
@@ -695,7 +706,7 @@ c1 AS (
                  AS INTEGER) AS hit_rank
   FROM c1_m QUALIFY hit_rank <= 10)"""
 
-oracle("c1_search", with_(ATTEMPTS, QUERY_ROWS, C1_SQL) + """
+oracle("c1_search", with_(ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, C1_SQL) + """
 SELECT request_id, query_idx, hit_rank, track_id, popularity FROM c1""")
 
 oracle("g7_recommend_post", with_(ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, CATALOGUE, C1_SQL) + f""",
@@ -834,6 +845,28 @@ oracle("x1_ingest", """
 SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id, ts AS played_at
 FROM events""")
 
+oracle("x1_counts", """
+WITH e AS (
+  SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track_id, ts,
+         ts < TIMESTAMP '2024-01-16' AS early, event_id % 97 = 5 AS held FROM events),
+sent AS (
+  SELECT *, 0 AS batch FROM e WHERE early AND NOT held
+  UNION ALL SELECT *, 0 FROM e WHERE early AND NOT held AND event_id % 10 = 0
+  UNION ALL SELECT *, 1 FROM e WHERE NOT early
+  UNION ALL SELECT *, 1 FROM e WHERE NOT early AND event_id % 10 = 0
+  UNION ALL SELECT *, 1 FROM e WHERE early AND NOT held AND event_id % 10 = 1
+  UNION ALL SELECT *, 2 FROM e WHERE early AND held
+  UNION ALL SELECT *, 2 FROM e WHERE early AND held AND event_id % 10 = 0
+  UNION ALL SELECT *, 2 FROM e WHERE early AND NOT held AND event_id % 10 = 2),
+newest AS (SELECT batch, max(ts) AS m FROM sent GROUP BY batch),
+mark AS (SELECT a.batch, max(b.m) - INTERVAL 1 HOUR AS mark FROM newest a LEFT JOIN newest b ON b.batch < a.batch GROUP BY a.batch),
+firsts AS (SELECT min(batch) AS batch FROM sent GROUP BY user_id, track_id, ts),
+new AS (SELECT batch, count(*) AS n_new FROM firsts GROUP BY batch)
+SELECT CAST(s.batch AS BIGINT) AS batch, count(*) AS n_rows, count(*) FILTER (WHERE s.ts < m.mark) AS n_late,
+       CAST(coalesce(any_value(n.n_new), 0) AS BIGINT) AS n_new,
+       CAST(count(*) - coalesce(any_value(n.n_new), 0) AS BIGINT) AS n_repeats
+FROM sent s JOIN mark m ON m.batch = s.batch LEFT JOIN new n ON n.batch = s.batch GROUP BY s.batch""")
+
 oracle("x2_refresh", with_(CATALOGUE, ARTIST_ITEMS, TOP_RAW, W1, W2, GENRES, FEATURES, PROFILE) + """
 SELECT user_id, top_genres, top_artists, top_tracks, energy, valence, danceability, acousticness, tempo
 FROM prof WHERE user_id IN (SELECT user_id FROM events)""")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import strip_ws, year_in_range, year_of
+from cadenza.functions.columns import DEFAULT_MARKET, strip_ws, year_in_range, year_of
 from cadenza.operators import candidates as G1
 from cadenza.operators import profile as P
 from cadenza.operators import responses as R
@@ -31,6 +31,7 @@ from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
 from cadenza.sources import bronze as BZ
 from cadenza.operators import catalog as CT
+from cadenza.operators import cursor as CU
 from cadenza.operators import profile_state as PS
 from cadenza.operators import sessions as SE
 from cadenza.session import checkpoint_dir, written
@@ -124,6 +125,21 @@ def w3_recent_plays(spark, d):
     return P.recent_plays(S.plays(spark, d)).select("user_id", "track_id", "played_at", "event_id")
 
 
+#: Times at which the plays so far are polled.
+POLLS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00", "2100-01-01 00:00:00")
+
+
+@register("s11_cursor")
+def s11_cursor(spark, d):
+    path = f"{checkpoint_dir(spark)}/cursors-{uuid.uuid4().hex}"
+    out = None
+    for number, until in enumerate(POLLS):
+        so_far = S.plays(spark, d).where(F.col("played_at") < F.lit(until).cast("timestamp"))
+        pages = CU.poll(so_far, path, number).withColumn("poll", F.lit(number))
+        out = pages if out is None else out.unionByName(pages)
+    return out.select("poll", "user_id", "page", "position", "track_id", "played_at", "event_id")
+
+
 @register("a1_k3_genres")
 def a1_k3_genres(spark, d):
     return P.genre_ranking(_artists(spark, d)).select("user_id", "genre", "n_artists", "genre_rank")
@@ -390,7 +406,11 @@ def g5_relaunch_report(spark, d):
 # --------------------------------------------------------------------------
 
 def _c1(spark, d):
-    return C1.search(R.query_rows(SR.llm_attempts(spark, d)), S.catalogue(spark, d))
+    att = SR.llm_attempts(spark, d)
+    market = R.criteria_table(att).select("request_id", "market")
+    rows = R.query_rows(att).join(market, "request_id", "left") \
+        .withColumn("market", F.coalesce("market", F.lit(DEFAULT_MARKET)))
+    return C1.search(rows, S.catalogue(spark, d))
 
 
 @register("c1_search")
@@ -466,19 +486,31 @@ def r7_dna(spark, d):
 # X1-X4 streaming (run with availableNow into a sink, then read back)
 # --------------------------------------------------------------------------
 
-@register("x1_ingest")
-def x1_ingest(spark, d):
-    # Two deliveries: the first half of the log with some rows twice; then the
-    # second half likewise with some rows of the first again.  The second run
-    # goes on from the first one's offsets and state.
+def _ingest(spark, d):
+    # Three deliveries: the first half of the log but some plays, some rows twice;
+    # the second half, some rows of both halves again; the plays left out at
+    # first, long after the watermark.  Each run goes on from the one before.
     root = X.new_root(spark)
     first, second = _halves(spark, d)
+    held = F.col("event_id") % 97 == 5
     again = F.col("event_id") % 10 == 0
-    for part in (first.unionByName(first.where(again)),
-                 second.unionByName(second.where(again)).unionByName(first.where(F.col("event_id") % 10 == 1))):
+    early, behind = first.where(~held), first.where(held)
+    for part in (early.unionByName(early.where(again)),
+                 second.unionByName(second.where(again)).unionByName(early.where(F.col("event_id") % 10 == 1)),
+                 behind.unionByName(behind.where(again)).unionByName(early.where(F.col("event_id") % 10 == 2))):
         part.write.mode("append").parquet(f"{root}/in")
-        out = X.run_available(X.ingest_plays(X.event_stream(spark, f"{root}/in", "*.parquet")), "x1_ingest", root)
-    return spark.read.parquet(out)
+        base = X.ingest_all(X.event_stream(spark, f"{root}/in", "*.parquet"), root)
+    return base
+
+
+@register("x1_ingest")
+def x1_ingest(spark, d):
+    return X.ingested(spark, _ingest(spark, d))
+
+
+@register("x1_counts")
+def x1_counts(spark, d):
+    return X.ingest_counts(spark, _ingest(spark, d))
 
 
 MID_LOG = "2024-01-16 00:00:00"
@@ -550,8 +582,10 @@ def _with_means(spark, d, root, profiles):
 @register("x3_daily")
 def x3_daily(spark, d):
     out = X.run_available(X.daily_counts(X.event_stream(spark, d)), "x3_daily", X.new_root(spark))
-    ev = read_table(spark, d, "events", ["ts", "event_type", "value"])
-    rest = X.still_open(X.daily_counts(ev), "window_end", ev)
+    ev = spark.read.schema(X.EVENTS_SCHEMA).parquet(table_path(d, "events")).select("ts", "event_type", "value")
+    mark = X.mark_of(ev)
+    recent = X.since(ev, mark, "day").withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = X.still_open(X.daily_counts(recent), "window_end", mark)
     both = spark.read.parquet(out).withColumn("closed", F.lit(True)) \
         .unionByName(rest.withColumn("closed", F.lit(False)))
     return both.withColumn("total_value", F.col("total_value").cast("double"))
@@ -559,11 +593,12 @@ def x3_daily(spark, d):
 
 @register("x4_sessions")
 def x4_sessions(spark, d):
-    out = X.run_available(X.sessions(X.event_stream(spark, d)), "x4_sessions", X.new_root(spark))
-    ev = read_table(spark, d, "events", ["user_id", "ts", "event_id"])
-    rest = X.still_open(SE.sessions(ev), "session_end", ev)
-    return spark.read.parquet(out).withColumn("closed", F.lit(True)) \
-        .unionByName(rest.withColumn("closed", F.lit(False)))
+    parts, out = X.run_sessions(X.event_stream(spark, d), X.new_root(spark))
+    closed = spark.read.parquet(out)
+    ev = spark.read.schema(X.EVENTS_SCHEMA).parquet(table_path(d, "events")).select("user_id", "ts", "event_id")
+    mark = X.mark_of(ev)
+    rest = X.open_sessions(ev, mark, spark.read.schema(X.PARTS_SCHEMA).parquet(parts), closed)
+    return closed.unionByName(rest).withColumn("closed", F.col("session_end") <= F.lit(mark))
 
 
 # --------------------------------------------------------------------------

@@ -8,8 +8,8 @@ goes on where it stopped, with its offsets and state, and reads new files only.
 ``run_available`` drives a query with ``trigger(availableNow=True)``: every
 file present at start is processed, then the query stops.  Append-mode
 outputs contain only what the watermark has closed; ``still_open`` gives the
-rest of a table's windows from the table itself, so that a reader of both has
-every window.
+rest of a table's windows from the table's last events (``since``), so that a
+reader of both has every window.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 WATERMARK = "1 hour"
-SESSION_GAP = "30 minutes"
+#: A gap of 30 minutes or more ends a session.  A session window also joins
+#: windows that only touch, so it gets a microsecond less, added to its end again.
+SESSION_GAP = "1799999999 microseconds"
+_TICK = "INTERVAL 1 MICROSECOND"
 
 
 def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet",
@@ -64,13 +67,80 @@ def run_available(df: DataFrame, name: str, root: str, mode: str = "append", fmt
 
 
 def ingest_plays(stream: DataFrame) -> DataFrame:
-    """Plays with repeats of (user, track, played_at) dropped; state is
-    kept only within the watermark."""
+    """X1 within the watermark: plays with repeats of (user, track, played_at)
+    dropped; state is kept only within the watermark, and a play that comes
+    later is dropped.  ``ingest_all`` keeps those too."""
     plays = stream.select("user_id", "track_id", F.col("ts").alias("played_at"))
     return plays.withWatermark("played_at", WATERMARK) \
         .dropDuplicatesWithinWatermark(["user_id", "track_id", "played_at"])
 
 
+PLAY = ["user_id", "track_id", "played_at"]
+PLAYS_SCHEMA = T.StructType().add("user_id", T.LongType()).add("track_id", T.LongType()).add(
+    "played_at", T.TimestampType()).add("day", T.StringType()).add("batch", T.LongType())
+
+
+def ingest_all(stream: DataFrame, root: str, name: str = "x1_ingest") -> str:
+    """X1 with plays of any lateness: returns the folder of three tables.
+
+    ``plays``: every (user, track, played_at) once, by day and batch; ``late``:
+    those that came after the watermark of the batches before; ``counts``: rows,
+    late rows, new plays and repeats of each batch.
+
+    A batch drops its own repeats and those that the table has (anti join); the
+    join reads the folders of the days in the batch only, so an on-time batch
+    opens the last days and a late play opens its own.  No state grows with the
+    log.  A batch that runs again is compared with the batches before it and
+    replaces its own rows."""
+    base, ckpt = _paths(root, name)
+    spark = stream.sparkSession
+
+    def table(part: str, schema: T.StructType) -> DataFrame:
+        path = os.path.join(base, part)
+        return spark.read.schema(schema).parquet(path) if PS.exists(spark, path) else spark.createDataFrame([], schema)
+
+    def store(rows: DataFrame, part: str, *by: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by) \
+            .parquet(os.path.join(base, part))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        seen = table("counts", COUNTS_SCHEMA).where(F.col("batch") < batch_id)
+        mark = seen.agg((F.max("newest") - F.expr(f"INTERVAL {WATERMARK}")).alias("m")).first()["m"]
+        late = F.coalesce(F.col("played_at") < F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
+        rows = written(batch.select("user_id", "track_id", F.col("ts").alias("played_at")).groupBy(*PLAY)
+                       .agg(F.count(F.lit(1)).alias("copies")).withColumns({
+                           "late": late, "day": F.coalesce(F.date_format("played_at", "yyyy-MM-dd"), F.lit("none"))}), "plays")
+        days = [r[0] for r in rows.select("day").distinct().collect()]      # a few: the calendar's
+        known = table("plays", PLAYS_SCHEMA).where(F.col("day").isin(days) & (F.col("batch") < batch_id)).drop("batch")
+        same = [rows[c].eqNullSafe(known[c]) for c in PLAY]
+        new = rows.join(known, [rows["day"] == known["day"], *same], "left_anti").withColumn("batch", F.lit(batch_id))
+        store(new.select(*PLAY, "day", "batch").repartition("day"), "plays", "day", "batch")
+        store(rows.where("late").select(*PLAY, "copies").withColumn("batch", F.lit(batch_id)), "late", "batch")
+        kept = table("plays", PLAYS_SCHEMA).where(F.col("day").isin(days) & (F.col("batch") == batch_id)) \
+            .agg(F.count(F.lit(1))).first()[0]
+        total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
+                         F.coalesce(F.sum(F.when(F.col("late"), F.col("copies"))), F.lit(0)).alias("n_late"),
+                         F.lit(kept).cast("long").alias("n_new"), F.max("played_at").alias("newest"))
+        store(total.withColumn("batch", F.lit(batch_id).cast("long")), "counts", "batch")
+    _run_batches(stream, per_batch, ckpt)
+    return base
+
+
+COUNTS_SCHEMA = T.StructType().add("n_rows", T.LongType()).add("n_late", T.LongType()).add("n_new", T.LongType()).add(
+    "newest", T.TimestampType()).add("batch", T.LongType())
+
+
+def ingested(spark: SparkSession, base: str) -> DataFrame:
+    """The plays that ``ingest_all`` stored."""
+    return spark.read.schema(PLAYS_SCHEMA).parquet(os.path.join(base, "plays")).select(*PLAY)
+
+
+def ingest_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Rows, late rows, new plays and repeats of each batch."""
+    c = spark.read.schema(COUNTS_SCHEMA).parquet(os.path.join(base, "counts"))
+    return c.select("batch", "n_rows", "n_late", "n_new", (F.col("n_rows") - F.col("n_new")).alias("n_repeats"))
+
+
 def daily_counts(stream: DataFrame) -> DataFrame:
     """Tumbling one-day counts and value sums per event type; windows
     are emitted once the watermark passes their end."""
@@ -85,15 +155,93 @@ def sessions(stream: DataFrame) -> DataFrame:
     """Listening sessions per user, a gap of 30 minutes closing one."""
     s = stream.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", SESSION_GAP), "user_id").agg(
         F.count(F.lit(1)).alias("n_events"))
+    return _ended(s)
+
+
+def _ended(s: DataFrame) -> DataFrame:
     return s.select("user_id", F.col("session_window.start").alias("session_start"),
-                    F.col("session_window.end").alias("session_end"), "n_events")
+                    (F.col("session_window.end") + F.expr(_TICK)).alias("session_end"), "n_events")
+
+
+#: X4 in two stages: a user's events are dealt by the hour and SALTS ways, each
+#: part of a session being closed on its own; the parts are stitched afterwards.
+SLICE, SALTS = "hour", 8
+#: How much later than its start a part may come: the slice and the gap after it.
+STITCH_LAG = "90 minutes"
+
+PARTS_SCHEMA = T.StructType().add("user_id", T.LongType()).add("part_start", T.TimestampType()).add(
+    "part_end", T.TimestampType()).add("n_events", T.LongType())
+
+
+def _parts(events: DataFrame, salts: int) -> DataFrame:
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt")
+    s = events.groupBy(F.session_window("ts", SESSION_GAP), "user_id", F.date_trunc(SLICE, "ts").alias("slice"), salt).agg(
+        F.count(F.lit(1)).alias("n_events"))
+    return s.select("user_id", F.col("session_window.start").alias("part_start"),
+                    F.col("session_window.end").alias("part_end"), "n_events")
+
+
+def session_parts(stream: DataFrame, salts: int = SALTS) -> DataFrame:
+    """X4, first stage: what a user does in one hour, dealt ``salts`` ways, is a
+    key of its own, so a user with a third of the log is spread over tasks, in a
+    micro-batch of one hour as in one of many.  A session's events make parts
+    that overlap each other; the sessions are their unions."""
+    return _parts(stream.withWatermark("ts", WATERMARK), salts)
+
+
+def _stitch(parts: DataFrame) -> DataFrame:
+    length = F.concat((F.unix_micros("part_end") - F.unix_micros("part_start")).cast("string"), F.lit(" microseconds"))
+    return _ended(parts.groupBy(F.session_window("part_start", length), "user_id").agg(F.sum("n_events").alias("n_events")))
+
+
+def stitched_sessions(parts: DataFrame) -> DataFrame:
+    """X4, second stage: the unions of a user's overlapping parts.  A part is an
+    hour and a gap long at most, so behind a watermark of that lag no part can
+    come that would still reach a closed session."""
+    return _stitch(parts.withWatermark("part_start", STITCH_LAG))
+
+
+def run_sessions(stream: DataFrame, root: str, name: str = "x4_sessions") -> tuple[str, str]:
+    """Both stages over all input not seen yet; the paths of parts and sessions."""
+    spark = stream.sparkSession
+    parts = run_available(session_parts(stream), f"{name}_parts", root)
+    again = spark.readStream.schema(PARTS_SCHEMA).parquet(parts)
+    return parts, run_available(stitched_sessions(again), name, root)
+
+
+def mark_of(events: DataFrame):
+    """The watermark after a table's events (a timestamp; None for an empty table)."""
+    return events.agg((F.max("ts") - F.expr(f"INTERVAL {WATERMARK}")).alias("mark")).first()["mark"]
+
+
+def since(events: DataFrame, mark, unit: str, back: str = "0 seconds") -> DataFrame:
+    """The events from the start of the ``unit`` (day, hour) that ``mark`` less
+    ``back`` lies in: all that windows of that unit can hold which the mark has
+    not closed.  The bound is a literal of the column's own type, so that it is
+    a filter of the scan."""
+    if mark is None:
+        return events.limit(0)
+    kind = events.schema["ts"].dataType.simpleString()
+    first = events.sparkSession.range(1).select(F.date_trunc(unit, F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {back}"))
+                                                .cast("string")).first()[0]
+    return events.where(F.col("ts") >= F.lit(first).cast(kind))
+
+
+def still_open(windows: DataFrame, end: str, mark) -> DataFrame:
+    """Of a table's windows those that the watermark of its events has not
+    closed: the complement of an append-mode sink."""
+    return windows.where(F.col(end) > F.lit(mark)) if mark is not None else windows
 
 
-def still_open(windows: DataFrame, end: str, events: DataFrame) -> DataFrame:
-    """Of a table's windows (in batch) those that the watermark of its events
-    has not closed: the complement of an append-mode sink."""
-    mark = events.select(F.max("ts") - F.expr(f"INTERVAL {WATERMARK}")).scalar()
-    return windows.where(F.col(end) > mark)
+def open_sessions(events: DataFrame, mark, parts: DataFrame, closed: DataFrame) -> DataFrame:
+    """The sessions that ``closed`` lacks: of the parts behind each user's last
+    closed session, and of the events whose parts the mark has not closed (the
+    last hours of the log; nothing else of it is read)."""
+    recent = since(events, mark, SLICE, SESSION_GAP).withColumn("ts", F.col("ts").cast("timestamp"))
+    fresh = still_open(_parts(recent, 1), "part_end", mark)
+    last = closed.groupBy("user_id").agg(F.max("session_end").alias("_last"))
+    waiting = parts.join(last, "user_id", "left").where(F.col("_last").isNull() | (F.col("part_start") >= F.col("_last")))
+    return _stitch(waiting.select(*PARTS_SCHEMA.names).unionByName(fresh))
 
 
 def refresh_profiles(stream: DataFrame, build, root: str, name: str = "x2_refresh") -> str:

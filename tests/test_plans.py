@@ -1,5 +1,7 @@
 """Plan properties the scale design relies on (checked through explain)."""
 
+import re
+
 import pytest
 
 from cadenza.plans import inspect
@@ -66,10 +68,11 @@ def test_search_keeps_ten_rows_of_a_key(spark):
     from cadenza.operators import search
     cat = spark.range(400).selectExpr(
         "id AS track_id", "id % 7 AS popularity", "'same name' AS name", "array(named_struct('name', 'b c')) AS artists",
-        "named_struct('name', 'x', 'release_date', cast(1990 + id % 3 AS string)) AS album", "array('g') AS genres")
+        "named_struct('name', 'x', 'release_date', cast(1990 + id % 3 AS string)) AS album", "array('g') AS genres",
+        "array('FR') AS markets")
     texts = ['genre:g', 'artist:"b c"', 'genre:g year:1991', 'year:0000-9999', 'genre:g same name',
              'artist:"b c" same year:1990-1991', 'artist:b c', 'genre:none same', 'genre:"g" name x year:1992']
-    hits = search.search_texts(spark.createDataFrame([(t,) for t in texts], "query string"), cat).collect()
+    hits = search.search_texts(spark.createDataFrame([(t, None) for t in texts], "query string, market string"), cat).collect()
     rows = [(i, i % 7, 1990 + i % 3) for i in range(400)]
 
     def want(lo, hi):
@@ -81,6 +84,55 @@ def test_search_keeps_ten_rows_of_a_key(spark):
                      'genre:"g" name x year:1992': want(1992, 1992)}
 
 
+def _many_token_catalogue(spark, n):
+    return spark.range(n).selectExpr(
+        "id AS track_id", "cast(id % 100 AS int) AS popularity",
+        "concat('common song ', CASE WHEN id % 5 = 0 THEN 'loud' ELSE 'low' END, CASE WHEN id = 17 THEN ' single' ELSE '' END) AS name",
+        "array(named_struct('name', concat('b', id % 3))) AS artists",
+        "named_struct('name', 'x', 'release_date', cast(1990 + id % 7 AS string)) AS album", "array('g') AS genres",
+        "CASE WHEN id % 4 = 0 THEN array('FR', 'US') WHEN id % 4 = 1 THEN array('US') WHEN id % 4 = 2 THEN cast(array() AS array<string>) END AS markets")
+
+
+def test_search_of_many_tokens_by_blocks(spark, monkeypatch):
+    """The same ten hits as a plain scan, with small blocks; markets; queries of
+    few hits, of none, and without a market."""
+    from cadenza.operators import search
+    monkeypatch.setattr(search, "FIRST_BLOCK", 16)
+    rows = {r.track_id: r for r in search.track_tokens(_many_token_catalogue(spark, 3000)).collect()}
+    texts = [(t, m) for t in ("common song loud", "common song artist:b1 genre:g", "common song single", "loud low common",
+                              "common song x year:1992-1993", "common song none", "common song") for m in ("FR", "US", "ZZ", None)]
+    hits = search.search_texts(spark.createDataFrame(texts, "query string, market string"),
+                               _many_token_catalogue(spark, 3000)).collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: h.hit_rank):
+        got.setdefault((h.query, h.market), []).append(h.track_id)
+    for text, market in texts:
+        words = [t for t in text.split() if not t.startswith("year:")]
+        need = {("g:" + w[6:] if w.startswith("genre:") else "a:" + w[7:] if w.startswith("artist:") else "w:" + w) for w in words}
+        want = [i for i in sorted(rows, key=lambda i: (-rows[i].popularity, i))
+                if need <= set(rows[i].t_tokens) and (market is None or market in rows[i].t_markets)
+                and ("year:" not in text or 1992 <= rows[i].t_year <= 1993)][:10]
+        assert got.get((text, market or ""), []) == want, (text, market)
+
+
+def test_search_stops_at_the_blocks_it_needs(spark, monkeypatch):
+    from cadenza.operators import search
+    monkeypatch.setattr(search, "FIRST_BLOCK", 16)
+    seen, post = [], search.written
+    def watched(df, tag):
+        if tag == "hits":
+            seen.append(inspect.plan_text(df))
+        return post(df, tag)
+    monkeypatch.setattr(search, "written", watched)
+    cat = _many_token_catalogue(spark, 20000)
+    search.search_texts(spark.createDataFrame([("common song g:x loud", None), ("common song loud", "US")],
+                                              "query string, market string"), cat).collect()
+    # of seven blocks the first four answer; each round reads the folder of its block alone
+    assert 1 <= len(seen) <= 4
+    assert all(re.search(rf"PartitionFilters: \[[^\n]*block#[0-9]+ = {i}\)", text) for i, text in enumerate(seen))
+    assert not any("CartesianProduct" in text or "BroadcastNestedLoopJoin" in text for text in seen)
+
+
 def test_relaunch_joins_named_playlists_only(spark, sf_small):
     from cadenza.operators import store
     ids = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, None)], "request_id long, playlist_id string")

@@ -4,7 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from cadenza.operators import cursor
 from cadenza.operators import profile as P
+from cadenza.plans import inspect
+from cadenza.session import checkpoint_dir
 
 RAW = "user_id long, term_ord int, time_range string, rank int, item_key long"
 ARTISTS = "item_key long, id string, name string, genres array<string>, uri string"
@@ -73,3 +76,25 @@ def test_mean_rounds_half_up(spark):
         feats = feats.withColumn(c, F.lit(None).cast("double"))
     out = P.feature_means(feats, spark.createDataFrame([(1,)], "user_id long")).first()
     assert out.energy == 0.503
+
+
+def test_polls_read_behind_the_cursor(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, i, t + dt.timedelta(minutes=i // 2), i) for i in range(130)] + [(2, 5, t, 900), (3, 6, None, 901)]
+    schema = "user_id long, track_id long, played_at timestamp, event_id long"
+    path = f"{checkpoint_dir(spark)}/cursors-{dt.datetime.now().timestamp()}"
+
+    def poll(more, number):
+        pages = cursor.poll(spark.createDataFrame(rows + more, schema), path, number).collect()
+        return {u: [(r.page, r.position, r.event_id) for r in sorted(pages, key=lambda r: r.position) if r.user_id == u]
+                for u in {r.user_id for r in pages}}
+    first = poll([], 0)
+    assert first == {1: [(1 + i // 50, i + 1, 129 - i) for i in range(100)], 2: [(1, 1, 900)]}
+    assert poll([], 1) == {}                                        # nothing new
+    # the second of two plays at the cursor's time, and a later one; user 4 is new
+    more = [(1, 9, t + dt.timedelta(minutes=64), 130), (1, 9, t + dt.timedelta(minutes=70), 131), (4, 1, t, 7)]
+    want = {1: [(1, 1, 131), (1, 2, 130)], 4: [(1, 1, 7)]}
+    assert poll(more, 2) == want and poll(more, 2) == want          # a poll that runs again
+    assert poll(more, 3) == {}
+    assert inspect.has_partial_group_limit(cursor.read_pages(spark.createDataFrame(rows, schema),
+                                                             spark.createDataFrame([], cursor.CURSOR)))
