@@ -73,9 +73,8 @@ def silver_tracks(track_features: DataFrame, spark_lookup: DataFrame) -> DataFra
     cols = [c for c in track_features.columns if c != "track_id"]
     one = track_features.groupBy("track_id").agg(F.max_by(F.struct(*cols), F.struct(*cols)).alias("_t")) \
         .select("track_id", "_t.*")
-    feats = ["energy", "valence", "tempo"]
     normed = []
-    for c in feats:
+    for c in FEATURES:
         lo = one.select(F.min(c)).scalar()
         hi = one.select(F.max(c)).scalar()
         normed.append(F.try_divide(F.col(c) - lo, hi - lo).alias(f"{c}_n"))
@@ -88,25 +87,52 @@ def genre_lookup(spark) -> DataFrame:
     return spark.createDataFrame(sorted(GENRE_FAMILY.items()), "genre string, family string")
 
 
-def quality_checks(playlists: DataFrame, track_features: DataFrame, lineitem: DataFrame,
-                   part: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """Failing-row counts per check: duplicate keys, NULL keys, values
-    out of range, and dangling references (anti joins).  Each table is read
-    once."""
-    per_id = playlists.groupBy("id").agg(F.count(F.lit(1)).alias("n"),
-                                         F.count_if(F.col("user_id").isNull()).alias("nulls"))
-    stored = per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"),
-                        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls")) \
-        .select(F.inline(F.array(F.struct(F.lit("playlists.id unique").alias("check"), F.col("repeats").alias("failed")),
-                                 F.struct(F.lit("playlists.user_id not null").alias("check"),
-                                          F.col("nulls").alias("failed")))))
-    rng = track_features.agg(F.count_if(~F.col("energy").between(0.0, 1.0)).alias("failed")) \
-        .select(F.lit("tracks.energy in [0,1]").alias("check"), "failed")
-    ref1 = lineitem.join(part, lineitem.l_partkey == part.p_partkey, "left_anti") \
-        .agg(F.count(F.lit(1)).alias("failed")).select(F.lit("lineitem.partkey -> part").alias("check"), "failed")
-    ref2 = orders.join(customer, orders.o_custkey == customer.c_custkey, "left_anti") \
-        .agg(F.count(F.lit(1)).alias("failed")).select(F.lit("orders.custkey -> customer").alias("check"), "failed")
-    return stored.unionByName(rng).unionByName(ref1).unionByName(ref2)
+#: The range of each audio feature (D3); no end to the tempo.
+RANGES = {"energy": (0.0, 1.0), "valence": (0.0, 1.0), "danceability": (0.0, 1.0), "acousticness": (0.0, 1.0),
+          "tempo": (0.0, None)}
+
+
+def checks_of(table: DataFrame, name: str, key: str | None, not_null: list[str] = (),
+              ranges: dict[str, tuple] | None = None) -> DataFrame:
+    """(check, failed) for one table, which is read once: rows that repeat a
+    key, NULL keys and columns, values out of range.
+
+    Rows are counted by key with everything else summed map-side, so a key that
+    holds many rows is one row a task."""
+    tests = {f"{name}.{c} not null": F.col(c).isNull() for c in [*([key] if key else []), *not_null]}
+    for c, (lo, hi) in (ranges or {}).items():
+        outside = F.col(c) < lo if hi is None else (F.col(c) < lo) | (F.col(c) > hi)
+        tests[f"{name}.{c} in [{lo:g},{'inf' if hi is None else f'{hi:g}'}]"] = F.coalesce(outside | F.isnan(c), F.lit(False))
+    counts = [F.count_if(t).alias(f"_{i}") for i, t in enumerate(tests.values())]
+    zero = F.lit(0).cast("long")
+    if key:
+        per_key = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *counts)
+        repeats = F.coalesce(F.sum(F.when(F.col(key).isNotNull(), F.col("_n") - 1)), zero)
+        totals = [F.coalesce(F.sum(f"_{i}"), zero) for i in range(len(tests))]
+        one = per_key.agg(repeats.alias("_r"), *[t.alias(f"_{i}") for i, t in enumerate(totals)])
+        rows = [F.struct(F.lit(f"{name}.{key} unique").alias("check"), F.col("_r").alias("failed"))]
+    else:
+        one, rows = table.agg(*counts), []
+    rows += [F.struct(F.lit(t).alias("check"), F.col(f"_{i}").alias("failed")) for i, t in enumerate(tests)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def dangling(table: DataFrame, column: str, other: DataFrame, key: str, name: str) -> DataFrame:
+    """(check, failed): rows whose reference is in no row of the other table
+    (a NULL refers to nothing and is none of them)."""
+    refs = table.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    lost = refs.join(other.select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti")
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("failed")).select(F.lit(name).alias("check"), "failed")
+
+
+def quality_checks(tables: dict[str, tuple], references: list[tuple]) -> DataFrame:
+    """Failing-row counts of all checks.  ``tables``: name -> arguments of
+    ``checks_of`` after the name, table first; ``references``: arguments of
+    ``dangling``."""
+    out = None
+    for part in [checks_of(t, name, *rest) for name, (t, *rest) in tables.items()] + [dangling(*r) for r in references]:
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def score_candidates(hits: DataFrame, crit: DataFrame, track_features: DataFrame) -> DataFrame:
@@ -132,8 +158,8 @@ def score_candidates(hits: DataFrame, crit: DataFrame, track_features: DataFrame
 
 
 def music_dna(genres: DataFrame, means: DataFrame, events: DataFrame) -> DataFrame:
-    """Per user with events: top genre (A1/K3 rank 1), feature means
-    (A2) and the favourite hour (most events, ties to the earlier hour)."""
+    """Per user with events: top genre (A1/K3 rank 1), the five feature
+    means (A2) and the favourite hour (most events, ties to the earlier hour)."""
     top = genres.where(F.col("genre_rank") == 1).select("user_id", F.col("genre").alias("top_genre"))
     per_hour = events.groupBy("user_id", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("user_id").orderBy(F.desc("n"), "hour")
@@ -141,4 +167,4 @@ def music_dna(genres: DataFrame, means: DataFrame, events: DataFrame) -> DataFra
         .select("user_id", F.col("hour").alias("fav_hour"))
     totals = per_hour.groupBy("user_id").agg(F.sum("n").alias("n_events"))
     return totals.join(fav, "user_id").join(top, "user_id", "left") \
-        .join(means.select("user_id", "energy", "valence", "tempo"), "user_id", "left")
+        .join(means.select("user_id", *FEATURES), "user_id", "left")

@@ -781,22 +781,73 @@ SELECT season, weekday, hour, GROUPING(season, weekday, hour) AS level, count(*)
        CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean_value
 FROM e GROUP BY ROLLUP (season, weekday, hour)""")
 
-oracle("r4_silver", with_(TRACK_FEATURES) + """,
-st AS (SELECT min(energy) AS e0, max(energy) AS e1, min(valence) AS v0, max(valence) AS v1,
-              min(tempo) AS t0, max(tempo) AS t1 FROM tfeat),
+_FIVE = ("energy", "valence", "danceability", "acousticness", "tempo")
+
+oracle("r4_silver", with_(TRACK_FEATURES) + f""",
+st AS (SELECT {", ".join(f"min({c}) AS {c}_0, max({c}) AS {c}_1" for c in _FIVE)} FROM tfeat),
 fam AS (SELECT * FROM (VALUES ('economy', 'value'), ('promo', 'value'), ('small', 'compact'),
                               ('medium', 'compact'), ('large', 'full'), ('standard', 'full')) v(genre, family))
-SELECT f.genre, f.track_id, (f.energy - st.e0) / (st.e1 - st.e0) AS energy_n,
-       (f.valence - st.v0) / (st.v1 - st.v0) AS valence_n, (f.tempo - st.t0) / (st.t1 - st.t0) AS tempo_n,
+SELECT f.genre, f.track_id, {", ".join(f"(f.{c} - st.{c}_0) / (st.{c}_1 - st.{c}_0) AS {c}_n" for c in _FIVE)},
        coalesce(fam.family, 'other') AS family
 FROM tfeat f CROSS JOIN st LEFT JOIN fam ON fam.genre = f.genre""")
 
-oracle("r5_quality", with_(PLAYLISTS, TRACK_FEATURES) + """
-SELECT 'playlists.id unique' AS "check", CAST(coalesce((SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM playlists GROUP BY id) WHERE c > 1), 0) AS BIGINT) AS failed
-UNION ALL SELECT 'playlists.user_id not null', count(*) FILTER (WHERE user_id IS NULL) FROM playlists
-UNION ALL SELECT 'tracks.energy in [0,1]', count(*) FILTER (WHERE NOT (energy BETWEEN 0.0 AND 1.0)) FROM tfeat
-UNION ALL SELECT 'lineitem.partkey -> part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
-UNION ALL SELECT 'orders.custkey -> customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+
+def _unique(table: str, key: str, name: str) -> str:
+    return (f"SELECT '{name}.{key} unique' AS \"check\", CAST(count({key}) - count(DISTINCT {key}) AS BIGINT) AS failed FROM {table}")
+
+
+def _not_null(table: str, column: str, name: str) -> str:
+    return f"SELECT '{name}.{column} not null', count(*) FILTER (WHERE {column} IS NULL) FROM {table}"
+
+
+def _range(table: str, column: str, name: str) -> str:
+    if column == "tempo":
+        return f"SELECT '{name}.tempo in [0,inf]', count(*) FILTER (WHERE tempo < 0) FROM {table}"
+    return f"SELECT '{name}.{column} in [0,1]', count(*) FILTER (WHERE NOT ({column} BETWEEN 0 AND 1)) FROM {table}"
+
+
+def _reference(table: str, column: str, other: str, key: str, name: str) -> str:
+    return (f"SELECT '{name}', count(*) FROM {table} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {other})")
+
+
+oracle("r5_quality", with_(PLAYLISTS, TRACK_FEATURES, FEATURES) + "\n" + "\nUNION ALL ".join([
+    _unique("playlists", "id", "playlists"), _unique("tfeat", "track_id", "tracks"), _unique("events", "event_id", "events"),
+    _unique("customer", "c_custkey", "customer"), _unique("supplier", "s_suppkey", "supplier"),
+    *[_not_null("playlists", c, "playlists") for c in ("id", "user_id", "created_at", "title")],
+    *[_not_null("tfeat", c, "tracks") for c in ("track_id", "genre")], _not_null("lf", "user_id", "listens"),
+    *[_not_null("events", c, "events") for c in ("event_id", "ts", "user_id")],
+    *[_not_null("customer", c, "customer") for c in ("c_custkey", "c_nationkey")], _not_null("supplier", "s_suppkey", "supplier"),
+    *[_range(t, c, n) for t, n in (("tfeat", "tracks"), ("lf", "listens")) for c in _FIVE],
+    _reference("lineitem", "l_partkey", "part", "p_partkey", "lineitem.partkey -> part"),
+    _reference("lineitem", "l_suppkey", "supplier", "s_suppkey", "lineitem.suppkey -> supplier"),
+    _reference("lineitem", "l_orderkey", "orders", "o_orderkey", "lineitem.orderkey -> orders"),
+    _reference("orders", "o_custkey", "customer", "c_custkey", "orders.custkey -> customer"),
+    _reference("events", "user_id", "customer", "c_custkey", "events.user_id -> customer"),
+    _reference("customer", "c_nationkey", "nation", "n_nationkey", "customer.nationkey -> nation")]))
+
+oracle("r6_catalogue", with_(ATTEMPTS, TYPED, FIRST_VALID, TRACK_FEATURES) + """,
+pop AS (SELECT p_partkey AS track_id, CAST(floor(p_retailprice) AS BIGINT) % 100 AS popularity FROM part),
+sets AS (SELECT DISTINCT target_energy, target_valence, target_tempo, target_danceability, target_acousticness
+         FROM crit_table WHERE status = 'ok'),
+terms AS (
+  SELECT s.*, f.track_id, p.popularity, pow(s.target_energy - f.energy, 2) AS te, pow(s.target_valence - f.valence, 2) AS tv,
+         pow((s.target_tempo - f.tempo) / 200.0, 2) AS tt, pow(s.target_danceability - f.danceability, 2) AS td,
+         pow(s.target_acousticness - f.acousticness, 2) AS ta
+  FROM sets s, tfeat f JOIN pop p ON p.track_id = f.track_id),
+scored AS (
+  SELECT *, CASE WHEN n > 0 THEN (coalesce(te, 0.0) + coalesce(tv, 0.0) + coalesce(tt, 0.0) + coalesce(td, 0.0)
+                                  + coalesce(ta, 0.0)) / n ELSE 0.0 END AS score
+  FROM (SELECT *, len(list_filter([te, tv, tt, td, ta], lambda x: x IS NOT NULL)) AS n FROM terms)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY target_energy, target_valence, target_tempo, target_danceability,
+                               target_acousticness ORDER BY score, popularity DESC, track_id) AS pos
+  FROM scored QUALIFY pos <= 100)
+SELECT c.request_id, b.track_id, b.score, CAST(b.pos AS INTEGER) AS position
+FROM crit_table c JOIN best b ON b.target_energy IS NOT DISTINCT FROM c.target_energy
+ AND b.target_valence IS NOT DISTINCT FROM c.target_valence AND b.target_tempo IS NOT DISTINCT FROM c.target_tempo
+ AND b.target_danceability IS NOT DISTINCT FROM c.target_danceability
+ AND b.target_acousticness IS NOT DISTINCT FROM c.target_acousticness
+WHERE c.status = 'ok' AND b.pos <= c.track_limit""")
 
 oracle("r6_score", with_(HITS, ATTEMPTS, TYPED, FIRST_VALID, TRACK_FEATURES) + f""",
 r6_capped AS (
@@ -831,7 +882,8 @@ ph AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM eve
 fav AS (SELECT user_id, hour AS fav_hour FROM ph
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, hour) = 1),
 tot AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n_events FROM ph GROUP BY user_id)
-SELECT t.user_id, t.n_events, f.fav_hour, g.genre AS top_genre, ft.energy, ft.valence, ft.tempo
+SELECT t.user_id, t.n_events, f.fav_hour, g.genre AS top_genre, ft.energy, ft.valence, ft.danceability,
+       ft.acousticness, ft.tempo
 FROM tot t JOIN fav f USING (user_id)
 LEFT JOIN (SELECT user_id, genre FROM genres WHERE genre_rank = 1) g USING (user_id)
 LEFT JOIN feat ft USING (user_id)""")

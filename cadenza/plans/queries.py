@@ -31,6 +31,7 @@ from cadenza.operators import marts as M
 from cadenza.streaming import streams as X
 from cadenza.sources import bronze as BZ
 from cadenza.operators import catalog as CT
+from cadenza.operators import similar as SI
 from cadenza.operators import cursor as CU
 from cadenza.operators import profile_state as PS
 from cadenza.operators import sessions as SE
@@ -460,11 +461,30 @@ def r4_silver(spark, d):
 
 @register("r5_quality")
 def r5_quality(spark, d):
-    return M.quality_checks(S.playlists(spark, d), S.track_features(spark, d),
-                            read_table(spark, d, "lineitem", ["l_partkey"]),
-                            read_table(spark, d, "part", ["p_partkey"]),
-                            read_table(spark, d, "orders", ["o_custkey"]),
-                            read_table(spark, d, "customer", ["c_custkey"]))
+    def raw(name, *columns):
+        return read_table(spark, d, name, list(columns))
+    lines = raw("lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    orders, parts = raw("orders", "o_orderkey", "o_custkey"), raw("part", "p_partkey")
+    users = raw("customer", "c_custkey", "c_nationkey")
+    return M.quality_checks(
+        {"playlists": (S.playlists(spark, d), "id", ["user_id", "created_at", "title"]),
+         "tracks": (S.track_features(spark, d), "track_id", ["genre"], M.RANGES),
+         "listens": (S.line_features(spark, d), None, ["user_id"], M.RANGES),
+         "events": (raw("events", "event_id", "ts", "user_id"), "event_id", ["ts", "user_id"]),
+         "customer": (users, "c_custkey", ["c_nationkey"]), "supplier": (raw("supplier", "s_suppkey"), "s_suppkey")},
+        [(lines, "l_partkey", parts, "p_partkey", "lineitem.partkey -> part"),
+         (lines, "l_suppkey", raw("supplier", "s_suppkey"), "s_suppkey", "lineitem.suppkey -> supplier"),
+         (lines, "l_orderkey", orders, "o_orderkey", "lineitem.orderkey -> orders"),
+         (orders, "o_custkey", users, "c_custkey", "orders.custkey -> customer"),
+         (raw("events", "user_id"), "user_id", users, "c_custkey", "events.user_id -> customer"),
+         (users, "c_nationkey", raw("nation", "n_nationkey"), "n_nationkey", "customer.nationkey -> nation")])
+
+
+@register("r6_catalogue")
+def r6_catalogue(spark, d):
+    crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    tracks = S.track_features(spark, d).join(S.catalogue(spark, d).select("track_id", "popularity"), "track_id")
+    return SI.nearest_tracks(written(crit.select("request_id", "track_limit", *SI.TARGETS), "criteria"), written(tracks, "features"))
 
 
 @register("r6_score")
