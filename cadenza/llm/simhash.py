@@ -1,15 +1,18 @@
-"""SimHash near-duplicates by a table of flipped fingerprints (operator 10).
-
-A fingerprint has 64 bits in two segments of 32.  For a limit of k differing
-bits, every distinct fingerprint enters a table under each value got by
-flipping at most ceil(k/2) bits, taken segment by segment (for k = 2: the
-value itself and 32 single flips in each segment).  Two fingerprints within k
-bits meet under at least one value, and all that meet under a value that some
-member reaches with floor(k/2) flips are within k bits of that member.  So
-each table entry yields one link per member (to its smallest such member):
-linear output, however large a group of near copies is.  The distance filter
-states the bound and drops nothing.  Multi-index hashing, with a table keyed by
-each segment's value, would put all that share a segment into one bucket.
+"""SimHash near-duplicates by multi-index hashing (operator 10).
+
+A fingerprint has 64 bits in SEGMENTS segments.  If two differ in at most k bits,
+one of their segments differs in at most k // SEGMENTS: so every segment has a
+table of the fingerprints by its value, a fingerprint looks up all values in the
+small Hamming ball around its own in each table, and what it fetches is verified
+by the whole distance.
+
+Near copies of one text share a segment's value, and a value that many
+fingerprints share would be fetched by each of them.  A bucket of more than HOT
+fingerprints is not fetched: those that look it up, its own members among them,
+are linked by another rule that is linear in them (``dense_links``): each enters
+a table under all its values with at most ceil(k / 2) bits flipped, and under
+each value is linked to the smallest one there.  No link is lost: two
+fingerprints that only a hot bucket brings together both look it up.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from .common import keep_caches, materialize
 from .components import components
 
 BITS = 64
-SEGMENT = 32
+SEGMENTS = 2
+SEGMENT = BITS // SEGMENTS
+#: Fingerprints of a segment's value that are fetched one by one.
+HOT = 32
 HASH_SEED = 42
 #: Shingles hashed before their bits are counted.
 SLAB = 1 << 16
@@ -63,30 +69,56 @@ def fingerprint(text: F.Column, shingle: int = 3) -> F.Column:
     return run(text)
 
 
-def flip_masks(flips: int) -> list[int]:
-    """All masks of at most ``flips`` bits, built segment by segment: a ball of
-    radius r in one segment with a ball of the rest in the other."""
-    def ball(segment, radius):
-        bits = range(segment * SEGMENT, (segment + 1) * SEGMENT)
-        return [sum(1 << b for b in c) for c in combinations(bits, radius)]
-    masks = [a | b for r in range(flips + 1) for s in range(r + 1)
-             for a in ball(0, s) for b in ball(1, r - s)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def ball(bits: int, radius: int) -> list[int]:
+    """All masks of at most ``radius`` of ``bits`` bits, fewest first."""
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def links(prints: DataFrame, max_bits: int) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _segments(fp: F.Column) -> F.Column:
+    """(segment, value) of each segment of a fingerprint."""
+    low = F.lit((1 << SEGMENT) - 1).cast("long")
+    return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftright(fp, i * SEGMENT).bitwiseAND(low).alias("value"))
+                     for i in range(SEGMENTS)])
+
+
+def links(prints: DataFrame, max_bits: int, hot: int = HOT) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that keep every
     chain of links of at most ``max_bits`` bits."""
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = materialize(prints.repartition(spread, "fp").select("fp", F.inline(_segments(F.col("fp")))), "segments")
+    counts = table.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n"))
+    crowded = materialize(counts.filter(F.col("n") > hot).select("seg", "value"), "crowded")
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(SEGMENT, max_bits // SEGMENTS)])
+    probes = table.select("fp", "seg", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    small = table.join(crowded, ["seg", "value"], "left_anti").withColumnRenamed("fp", "other")
+    fetched = probes.join(small, ["seg", "value"]).filter(
+        (F.col("other") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits))
+    # hot buckets, or none: their lookups
+    dense = materialize(probes.join(crowded, ["seg", "value"], "left_semi").select("fp").distinct(), "dense")
+    return fetched.select(F.col("fp").alias("u"), F.col("other").alias("v")).unionByName(
+        dense_links(dense, max_bits)).distinct()
+
+
+def dense_links(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``links`` among fingerprints that are near each other in great numbers.
+
+    Those within k bits meet under a value that both reach by at most ceil(k/2)
+    flips; all that meet where some member needs floor(k/2) flips at most are
+    within k bits of that member: each is linked to the smallest such."""
     near, far = max_bits // 2, (max_bits + 1) // 2
-    masks = F.array(*[F.lit(m).cast("long") for m in flip_masks(far)])
-    own = len(flip_masks(near))      # the first masks are those of at most ``near`` flips
+    flips = ball(BITS, far)
+    own = len(ball(BITS, near))      # the first masks are those of at most ``near`` flips
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in flips])
     table = prints.select("fp", F.posexplode(masks).alias("pos", "mask")).select(
         "fp", (F.col("pos") < own).alias("near"), F.col("fp").bitwiseXOR(F.col("mask")).alias("z"))
-    from pyspark.sql import Window
-    center = F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("z"))
-    return (table.withColumn("center", center).filter("center != fp")
-            .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= max_bits)
-            .select(F.col("fp").alias("u"), F.col("center").alias("v")).distinct())
+    centers = table.filter("near").groupBy("z").agg(F.min("fp").alias("center"))
+    return table.join(centers, "z").filter(
+        (F.col("center") != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= max_bits)) \
+        .select(F.col("fp").alias("u"), F.col("center").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2,

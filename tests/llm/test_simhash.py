@@ -50,8 +50,8 @@ def test_slabs_do_not_change_a_fingerprint(monkeypatch):
     assert simhash.text_fingerprint(text, 3) == whole == brute_print(text)
 
 
-@pytest.mark.parametrize("max_bits", [0, 1, 2, 3])
-def test_links_keep_exactly_the_components(spark, max_bits):
+@pytest.mark.parametrize("max_bits,hot", [(0, 2), (1, 2), (2, 0), (2, 2), (2, 1000), (3, 2)])
+def test_links_keep_exactly_the_components(spark, max_bits, hot):
     rng = random.Random(max_bits)
     prints = set()
     for _ in range(12):         # chains and bundles of near fingerprints, negative ones too
@@ -61,7 +61,7 @@ def test_links_keep_exactly_the_components(spark, max_bits):
             for _ in range(rng.randint(0, 4)):
                 x ^= 1 << rng.randrange(64)
     df = spark.createDataFrame([(x,) for x in prints], "fp long")
-    edges = simhash.links(df, max_bits)
+    edges = simhash.links(df, max_bits, hot)
     for u, v in edges.collect():
         assert distance(u, v) <= max_bits
     got = {r.node: r.component for r in components(edges).collect()}
@@ -73,7 +73,8 @@ def test_links_of_a_large_bundle_are_linear(spark):
     prints = [0] + [1 << i for i in range(63)] + [1 << i | 1 << j for i in range(30) for j in range(i)]
     df = spark.createDataFrame([(x,) for x in prints], "fp long")
     edges = simhash.links(df, 2)
-    assert edges.count() <= 65 * len(prints)
+    assert edges.count() <= (65 + 2 * simhash.HOT * 33) * len(prints)
+    assert simhash.dense_links(df, 2).count() <= 65 * len(prints)
     assert components(edges).select("component").distinct().count() == 1
 
 
@@ -129,3 +130,12 @@ def test_keep_one_by_id_and_text(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
     copies = spark.createDataFrame([(5, text, "z"), (5, text, "y")], "doc_id long, text string, digest string")
     assert [r.digest for r in simhash.keep_one(copies).collect()] == ["y"]
+
+
+def test_a_pair_is_fetched_by_its_segments(spark):
+    """Far fingerprints meet in a segment's table and are turned down by the whole
+    distance; near ones are found on either segment."""
+    a = 0x0123456789ABCDEF
+    rows = [a, a ^ 1 << 40 ^ 1 << 41, a ^ 1 << 3 ^ 1 << 60, a ^ 0xFFFF, a ^ 0xFFFF << 40, a ^ 7 << 20]
+    edges = {tuple(sorted((r.u, r.v))) for r in simhash.links(spark.createDataFrame([(x,) for x in rows], "fp long"), 2).collect()}
+    assert edges == {tuple(sorted(p)) for p in ((a, rows[1]), (a, rows[2]))}
