@@ -8,8 +8,11 @@ describe the text by that language; the language that needs fewest wins, and
 the score is its share of the likelihood.
 
 The parse is a walk through a table: a state and a character give the next
-state, and a mark where a phrase ends.  numpy walks many blocks of texts
-through all languages' tables at once.
+state, and a mark where a phrase ends.  numpy walks many blocks of texts at
+once, each block from the root at first.  Then every block that began in another
+state than the one before it ended in is walked again from there, until its
+states are those of the walk before; this is repeated until nothing changes, so
+that the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bpe import groups
-from .common import others, worker_cache
+from .common import keep_caches, others, worker_cache
 from .pretokens import _LETTER, _classes
 
 UNKNOWN = "und"
@@ -30,10 +33,12 @@ UNKNOWN = "und"
 LEARN_CHARS = 24_000
 LEARN_DOCS = 64
 LEARN_BYTES = 20_000
-#: Letters told apart; others count as one.
-ALPHABET = 250
-#: Characters of a block, parsed by itself.
+#: Characters of a block: a unit of the walk, not of the parse.
 BLOCK = 512
+#: Characters of a group of texts: what a walk keeps, in words of 64 bits.
+KEPT = 1 << 21
+#: Letters of a language up to which its table is an array over them.
+WIDE = 256
 #: Bits beyond the winner's that make a language e times less likely.
 SOFTNESS = 8.0
 PHRASE = 1 << 30
@@ -75,87 +80,123 @@ def _letters(text: str) -> np.ndarray:
     return np.where(_classes()[code] == _LETTER, code, 32)
 
 
-class Parser:
-    """Tables of all languages over a common alphabet."""
-
-    def __init__(self, texts: dict[str, str]):
-        self.langs = sorted(texts)
-        codes = {lang: _letters(texts[lang]) for lang in self.langs}
-        point, count = np.unique(np.concatenate([*codes.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        used = point[(point != 32)][np.argsort(-count[point != 32], kind="stable")][:ALPHABET]
-        self.symbol = np.where(_classes() == _LETTER, _OTHER, _BREAK).astype(np.uint8)
-        self.symbol[used.astype(np.int64)] = np.arange(2, len(used) + 2)
-        width = len(used) + 2
-        tables, self.roots, at = [], [], 0
-        for lang in self.langs:
-            edges = _automaton(self.symbols(codes[lang]).tolist())
-            table = np.full((len(edges), width), -1, np.int64)
-            for state, row in enumerate(edges):
-                for c, to in row.items():
-                    table[state, c] = to
-            fresh = np.maximum(table[0], 0)         # a phrase ends: its successor begins here
-            table = np.where(table < 0, (fresh * width + at) | PHRASE, table * width + at)
-            tables.append(table.ravel().astype(np.int32))
-            self.roots.append(at)
-            at += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(self.roots, np.int32)
-        self.bits = np.log2([max(2, len(codes[lang])) for lang in self.langs])
-
-    def symbols(self, code: np.ndarray) -> np.ndarray:
-        """Symbols of code points, breaks in a row made one."""
-        s = self.symbol[code]
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != _BREAK) | (s[:-1] != _BREAK)
-        return s[keep]
-
-    def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Phrases that each row of symbols needs in each language."""
-        size = np.array([len(r) for r in rows], np.int64)
+class Table:
+    """The walk through one language's automaton.  Its alphabet is the letters of
+    its text; any other letter is in no phrase but one of its own."""
+
+    def __init__(self, code: np.ndarray, wide: int = WIDE):
+        letters = np.unique(code[code != 32]).astype(np.int64)
+        self.symbol = np.where(_classes() == _LETTER, _OTHER, _BREAK).astype(np.uint16)
+        self.symbol[letters] = np.arange(2, len(letters) + 2)
+        self.width = len(letters) + 2
+        edges = _automaton(self.symbol[code].tolist())
+        # a phrase ends where there is no way on: its successor begins here
+        fresh = np.zeros(self.width, np.int64)
+        for c, to in edges[0].items():
+            fresh[c] = to * self.width
+        self.fresh = fresh | PHRASE
+        rows = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+        keys = rows * self.width + np.array([c for e in edges for c in e], np.int64)
+        to = np.array([t for e in edges for t in e.values()], np.int64) * self.width
+        if self.width <= wide:
+            self.table = np.tile(self.fresh, len(edges))
+            self.table[keys] = to
+            self.keys = None
+        else:
+            order = np.argsort(keys)
+            self.keys, self.table = np.append(keys[order], np.iinfo(np.int64).max), to[order]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.table[state + symbol]
+        key = state + symbol
+        at = np.searchsorted(self.keys, key)
+        known = self.keys[at] == key
+        return np.where(known, self.table[np.where(known, at, 0)], self.fresh[symbol])
+
+    def phrases(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases of each of the rows, of ``size`` characters, that code joins."""
+        symbol = self.symbol[code]
         blocks = -(-size // BLOCK)
-        of = np.repeat(np.arange(len(rows)), blocks)
-        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(size)), blocks)
         step = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = start[of] + step * BLOCK
+        begin = (np.cumsum(size) - size)[of] + step * BLOCK
         length = np.minimum(size[of] - step * BLOCK, BLOCK)
+        walked = np.empty(len(code), np.int64)
         order = np.argsort(-length, kind="stable")
-        begin, of = begin[order], of[order]
-        live = np.searchsorted(-length[order], -np.arange(BLOCK), "left")   # blocks longer than t
-        flat = np.concatenate([*rows, np.zeros(0, np.uint8)])
-        state = np.repeat(self.roots[:, None], len(begin), axis=1)
-        count = np.ones(state.shape, np.int32)
+        live = np.searchsorted(-length[order], -np.arange(BLOCK), "left")       # blocks longer than t
+        at, state = begin[order], np.zeros(len(order), np.int64)
         for t in range(BLOCK):
             k = live[t]
             if not k:
                 break
-            to = self.table[state[:, :k] + flat[begin[:k] + t]]
-            count[:, :k] += to >> 30
-            state[:, :k] = to & (PHRASE - 1)
-        return np.stack([np.bincount(of, c, minlength=len(rows)) for c in count], 1)
+            to = self.step(state[:k], symbol[at[:k] + t])
+            walked[at[:k] + t] = to
+            state[:k] = to & (PHRASE - 1)
+        entry = np.zeros(len(of), np.int64)
+        inner = np.flatnonzero(step)            # blocks with one before them
+        while len(inner):
+            ended = walked[begin[inner] - 1] & (PHRASE - 1)
+            inner, ended = inner[(moved := ended != entry[inner])], ended[moved]
+            if not len(inner):
+                break
+            entry[inner] = ended
+            lanes, state = inner, ended
+            for t in range(BLOCK):
+                open_ = length[lanes] > t
+                lanes, state = lanes[open_], state[open_]
+                if not len(lanes):
+                    break
+                to = self.step(state, symbol[begin[lanes] + t])
+                old = walked[begin[lanes] + t]
+                walked[begin[lanes] + t] = to
+                state = to & (PHRASE - 1)
+                other = state != old & (PHRASE - 1)
+                lanes, state = lanes[other], state[other]
+            inner = np.flatnonzero(step)
+        out = np.zeros(len(size), np.int64)
+        some = np.flatnonzero(size)
+        if len(some):
+            out[some] = 1 + np.add.reduceat(walked >> 30, (np.cumsum(size) - size)[some])
+        return out
+
+
+class Parser:
+    """Tables of all languages."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.langs = sorted(texts)
+        codes = [joined(_letters(texts[lang])) for lang in self.langs]
+        self.tables = [Table(code) for code in codes]
+        self.bits = np.log2([max(2, len(code)) for code in codes])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
-        rows, owner, lettered = [], [], np.zeros(len(texts), bool)
-        for i, text in enumerate(texts):
-            for at in range(0, len(text or ""), 1 << 20):
-                code = _letters(text[at:at + (1 << 20)])
-                lettered[i] |= bool((code != 32).any())
-                rows.append(self.symbols(code))
-                owner.append(i)
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if not self.langs or not lettered.any():
+        # letters a part of a text at a time; the parse takes the text whole
+        rows = [joined(np.concatenate([_letters(text[at:at + (1 << 20)]) for at in range(0, len(text), 1 << 20)]))
+                if text else np.zeros(0, np.uint32) for text in texts]
+        lettered = np.flatnonzero([bool((row != 32).any()) for row in rows])
+        if not self.langs or not len(lettered):
             return lang, score
-        need = np.zeros((len(texts), len(self.langs)))
-        np.add.at(need, np.array(owner), self.phrases(rows))
-        bits = need * self.bits
+        code = np.concatenate([rows[i] for i in lettered])
+        size = np.array([len(rows[i]) for i in lettered], np.int64)
+        bits = np.stack([t.phrases(code, size) for t in self.tables], 1) * self.bits
         bits -= bits.min(1, keepdims=True)
         best = bits.argmin(1)                       # ties: the first by name
         share = 1 / np.exp(-bits / SOFTNESS).sum(1)
-        for i in np.flatnonzero(lettered):
-            lang[i], score[i] = self.langs[best[i]], share[i]
+        for i, b, s in zip(lettered.tolist(), best.tolist(), share.tolist()):
+            lang[i], score[i] = self.langs[b], s
         return lang, score
 
 
+def joined(code: np.ndarray) -> np.ndarray:
+    """Code points with one white space for several in a row."""
+    keep = np.ones(len(code), bool)
+    keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
+    return code[keep]
+
+
 def learned_texts(docs: DataFrame) -> dict[str, str]:
     """Some labelled text per language, from whole documents, the first by a
     hash of doc_id; bounded by LEARN_DOCS documents a language.  Only documents
@@ -183,13 +224,14 @@ def language(text: Column, texts: dict[str, str]) -> Column:
     """Column of struct<lang_pred, score>."""
     @arrow_udf("struct<lang_pred: string, score: double>")
     def run(values: pa.Array) -> pa.Array:
+        keep_caches("parser", "classes")
         cache = worker_cache("parser")
         key = tuple(sorted(texts.items()))
         if key not in cache:
             cache.clear()
             cache[key] = Parser(texts)
         langs, scores = [], []
-        for group in groups(values.to_pylist(), 1 << 21):
+        for group in groups(values.to_pylist(), KEPT):
             lang, score = cache[key].predict(group)
             langs += lang
             scores.append(score)
@@ -205,7 +247,8 @@ def identify(docs: DataFrame, learn: DataFrame, text_col: str = "text") -> DataF
     ``learn`` (doc_id, text, lang) are the rows to learn from.  A text that is
     null or has no letter, and every text if nothing was learned, is ``und``
     with score 0.  Rows are judged one by one, so repeats and null ids come out
-    as they come in; an empty table gives an empty result.
+    as they come in; an empty table gives an empty result.  Texts are parsed
+    whole, however long.  Names that begin with ``__`` are used in between.
     """
     texts = learned_texts(learn)
     return docs.withColumn("__lang", language(F.col(text_col), texts)).select(

@@ -96,17 +96,42 @@ def test_temperature():
 
 @pytest.mark.parametrize("learned", ["abracadabra", "aaaa bb a", "the cat the hat"])
 def test_cross_parsing(learned):
-    parser = langid.Parser({"x": learned})
+    table = langid.Table(langid.joined(langid._letters(learned)))
     for text in ("abra", "cadabraabra", "zzz", "a cat", "the the hat bb", ""):
-        # greedy longest matches; a character that isn't there ends a phrase
-        phrases, phrase = 1, ""
-        for c in text:
-            if phrase + c in learned:
-                phrase += c
-            else:
-                phrases, phrase = phrases + 1, c if c in learned else ""
-        got = int(parser.phrases([parser.symbols(langid._letters(text))])[0, 0])
-        assert got == (phrases if text else 0)
+        assert parsed(table, text) == plain_phrases(text, learned)
+
+
+def plain_phrases(text, learned):
+    """Greedy longest matches; a character that isn't there ends a phrase."""
+    phrases, phrase = 1, ""
+    for c in text:
+        if phrase + c in learned:
+            phrase += c
+        else:
+            phrases, phrase = phrases + 1, c if c in learned else ""
+    return phrases if text else 0
+
+
+def parsed(table, *texts):
+    codes = [langid.joined(langid._letters(t)) for t in texts]
+    out = table.phrases(np.concatenate(codes), np.array([len(c) for c in codes], np.int64))
+    return int(out[0]) if len(texts) == 1 else out.tolist()
+
+
+@pytest.mark.parametrize("wide", [0, 256])
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_long_texts_are_parsed_whole(monkeypatch, wide, block):
+    """Over 5,000 characters, as arrays and as sorted keys, in blocks of any size."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeé漢字仮"), rng.integers(1, 7))) for _ in range(60)]
+    learned = " ".join(rng.choice(words, 700))
+    table = langid.Table(langid.joined(langid._letters(learned)), wide)
+    texts = [" ".join(rng.choice(words, 1500)), learned + " ", "", "a" * 3000, "zq" * 40, " ".join(rng.choice(words, 3)), learned[5:900]]
+    assert len(texts[0]) > 5000
+    assert parsed(table, *texts) == [plain_phrases(t, learned) for t in texts]
+    # a stretch of the learned text is one phrase, however many blocks it has
+    assert parsed(table, learned[5:1500]) == 1
 
 
 def test_gradients():
