@@ -35,8 +35,6 @@ HIDDEN = 8
 #: Passes over the training documents, at least so many steps, at most so many passes.
 EPOCHS = 8
 STEPS = 300
-#: With fewer toxic documents held back than this the last pass counts.
-FEW = 20
 MOST_EPOCHS = 30
 #: A bucket in RARE documents counts half of its log odds; one in fewer than
 #: SEEN has no vector.  FOLDS of the training documents see each other's odds.
@@ -320,7 +318,7 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict | None:
                 model[name] *= 1 - DECAY
         z = document_logits(model, [texts[i] for i in held])
         rank = _ranking(z, y[held])
-        if best is None or rank >= best[0] or y[held].sum() < FEW:
+        if best is None or rank >= best[0]:
             best = rank, {k: v.copy() for k, v in model.items()}, z
     model = best[1]
     model["line"] = _calibrated(best[2], y[held], weight[held])
@@ -337,8 +335,7 @@ def _ranking(z: np.ndarray, y: np.ndarray) -> float:
 def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Slope and offset of the log odds: the slope by logistic regression, the
     offset so that CUT falls on the cut of best F1 (the middle of the widest
-    gap of equally good ones); with few toxic documents on the cut that passes
-    as many as there are."""
+    gap of equally good ones), however many documents there are."""
     if len(set(y.tolist())) < 2:
         return np.array([1.0, 0.0])
     a, b = 1.0, 0.0
@@ -351,8 +348,6 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     f1 = 2 * hit[:, 0] / (hit[:, 1] + (weight * y).sum())
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     cut = cuts[best[np.argmax((s[1:] - s[:-1])[best])]]
-    if y.sum() < FEW:
-        cut = np.quantile(z, 1 - y.mean())
     a = max(a, 0.05)
     return np.array([a, np.log(CUT / (1 - CUT)) - a * cut])
 

@@ -80,3 +80,27 @@ def test_query_against_the_library(spark, sf_small, documents):
         tokens = LIBRARY.encode_ordinary(r.text)
         want.append((r.doc_id, len(tokens), sha(",".join(map(str, tokens)).encode()), sha(r.text.encode())))
     assert pairs(op9_bpe(spark, sf_small), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
+
+
+def test_a_text_is_encoded_once(spark, documents):
+    """The plan has one Python evaluation with one call in it, for the query and
+    for the pipeline's stage."""
+    import re
+
+    import corpus_pipeline
+    from cadenza.plans import inspect
+    for df in (bpe.digests(bpe.encode_decode(documents)), corpus_pipeline.tokenize(spark, documents, "")):
+        text = inspect.plan_text(df)
+        assert re.findall(r"Arguments: (\[run\(.*?\)), ", text) or "run(" in text
+        calls = re.findall(r"Arguments: \[(run\([^\n]*)\], \[", text)
+        assert len(calls) == 1 and calls[0].count("run(") == 1, calls
+
+
+def test_caches_of_other_operators_are_emptied():
+    from cadenza.llm import common
+    for name in ("one", "two"):
+        common.worker_cache(name)["x"] = [0] * 1000
+    common.keep_caches("two")
+    assert not common.worker_cache("one") and common.worker_cache("two")
+    common.keep_caches()
+    assert not common.worker_cache("two")
