@@ -36,7 +36,7 @@ from .pretokens import split_many
 #: decoded at a leaf.
 DIRECT = 8
 KEPT = 16
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 DECODE_LEAF = 4096
 REPLACEMENT = "�".encode()
 

@@ -15,9 +15,9 @@ from .learn import fold
 ARROW_ROWS, ARROW_BYTES = "2000", str(32 << 20)
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+def arrow_batches(spark: SparkSession, rows: str = ARROW_ROWS, size: str = ARROW_BYTES) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 #: The key of the surrogates; a deployment passes its own secret.
