@@ -211,7 +211,8 @@ def run_sessions(stream: DataFrame, root: str, name: str = "x4_sessions") -> tup
 
 def mark_of(events: DataFrame):
     """The watermark after a table's events (a timestamp; None for an empty table)."""
-    return events.agg((F.max("ts") - F.expr(f"INTERVAL {WATERMARK}")).alias("mark")).first()["mark"]
+    newest = F.max(F.col("ts").cast("timestamp"))       # an instant, so that it comes back as the same literal
+    return events.agg((newest - F.expr(f"INTERVAL {WATERMARK}")).alias("mark")).first()["mark"]
 
 
 def since(events: DataFrame, mark, unit: str, back: str = "0 seconds") -> DataFrame:
