@@ -22,7 +22,8 @@ JOBS = {
                      "exchange serves the criteria join and both windows; catalogue joined last.",
     "g2_profile": "G2: ranked lists cut map-side (partial WindowGroupLimit) before any per-user shuffle; "
                   "feature means are partial aggregates.",
-    "c1_search": "C1: distinct query texts; postings head cut map-side per token; no Cartesian product. "
+    "c1_search": "C1: distinct query texts and markets; heads of a key cut map-side; the rounds over blocks of the ranking "
+                 "have been written and are scans here; no Cartesian product. "
                  "Shared inputs (query rows, postings) appear once per use in this pre-AQE tree; "
                  "identical exchanges are reused at run time.",
     "s6_history": "S6: the data is range-partitioned on (user, created_at, id); the only user_id hash "
