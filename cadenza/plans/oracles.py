@@ -44,7 +44,8 @@ criteria AS (
               ELSE CAST(year(o_orderdate) AS INTEGER) - 1 END AS year_min,
          CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL
               ELSE CAST(year(o_orderdate) AS INTEGER) + 1 END AS year_max,
-         CAST(o_orderkey % 6 + 1 AS INTEGER) AS track_limit
+         CAST(o_orderkey % 6 + 1 AS INTEGER) AS track_limit,
+         list_extract(['FR', 'US', 'DE', 'GB', 'JP'], CAST(o_orderkey % 7 + 1 AS INTEGER)) AS market
   FROM orders)"""
 
 CATALOGUE = """
@@ -677,7 +678,7 @@ C1_SQL = f"""
 c1_q AS (
   SELECT q.request_id, query_idx, coalesce(k.market, 'FR') AS market,
          regexp_extract_all(lower(query), '(genre|artist):"[^"]*"|\\S+') AS toks
-  FROM query_rows q LEFT JOIN crit_table k ON k.request_id = q.request_id),
+  FROM query_rows q LEFT JOIN criteria k ON k.request_id = q.request_id),
 c1_qp AS (
   SELECT request_id, query_idx, market, len(toks) AS nt,
          list_transform(list_filter(toks, lambda t: starts_with(t, 'genre:')), lambda t: replace(substr(t, 7), '"', '')) AS qg,
@@ -706,10 +707,10 @@ c1 AS (
                  AS INTEGER) AS hit_rank
   FROM c1_m QUALIFY hit_rank <= 10)"""
 
-oracle("c1_search", with_(ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, C1_SQL) + """
+oracle("c1_search", with_(ATTEMPTS, CRITERIA, QUERY_ROWS, C1_SQL) + """
 SELECT request_id, query_idx, hit_rank, track_id, popularity FROM c1""")
 
-oracle("g7_recommend_post", with_(ATTEMPTS, TYPED, FIRST_VALID, QUERY_ROWS, CATALOGUE, C1_SQL) + f""",
+oracle("g7_recommend_post", with_(ATTEMPTS, TYPED, FIRST_VALID, CRITERIA, QUERY_ROWS, CATALOGUE, C1_SQL) + f""",
 g7 AS (
   SELECT h.request_id, h.query_idx, h.hit_rank, h.track_id, k.year_min, k.year_max,
          CAST(substr(c.album_release_date, 1, 4) AS INTEGER) AS year, c.*

@@ -407,9 +407,8 @@ def g5_relaunch_report(spark, d):
 # --------------------------------------------------------------------------
 
 def _c1(spark, d):
-    att = SR.llm_attempts(spark, d)
-    market = R.criteria_table(att).select("request_id", "market")
-    rows = R.query_rows(att).join(market, "request_id", "left") \
+    market = S.criteria(spark, d).select("request_id", "market")
+    rows = R.query_rows(SR.llm_attempts(spark, d)).join(market, "request_id", "left") \
         .withColumn("market", F.coalesce("market", F.lit(DEFAULT_MARKET)))
     return C1.search(rows, S.catalogue(spark, d))
 

@@ -66,7 +66,7 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Years are the order year +-1; priority 5 has no lower bound (NULL),
     priority 4 a zero lower bound (also no bound), priority 3 no upper
-    bound.  The track limit is 1..6.
+    bound.  The track limit is 1..6.  Two requests in seven name no market.
     """
     o = read_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
@@ -80,6 +80,7 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "3-MEDIUM", F.lit(None).cast("int"))
          .otherwise(year + 1).alias("year_max"),
         (F.col("o_orderkey") % 6 + 1).cast("int").alias("track_limit"),
+        F.get(F.array(*map(F.lit, MARKETS)), (F.col("o_orderkey") % 7).cast("int")).alias("market"),
     )
 
 
