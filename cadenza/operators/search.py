@@ -23,12 +23,12 @@ Plan (no cross join, no cap on candidates, no switch by size):
 1. A track is posted under *keys*: the empty key, each of its tokens
    (``g:``/``a:``/``w:``) and each pair of its tokens; only keys that some
    query asks for are kept.
-2. A query of at most two tokens is one key.  Its hits are the first ten of
-   the key's tracks in its market, or with a year range the first ten of each
-   year of the range, merged: exact from heads of ten rows, which a map-side
-   WindowGroupLimit cuts before the exchange, however popular the key is.
-3. A query of more tokens is anchored on its rarest pair and reads that pair's
-   postings in the order of the ranking, a block at a time: the tracks are
+2. A query of at most two tokens is one key.  With a year range its hits are
+   the first ten of each year of the range, merged: exact from heads of ten rows,
+   which a map-side WindowGroupLimit cuts before the exchange, however popular
+   the key is.
+3. Every other query reads the postings of its key, or of its rarest pair if it
+   has more tokens, in the order of the ranking, a block at a time: the tracks are
    numbered in it, and block b holds four times as many of them as the one
    before.  Every track of a later block ranks below every one of an earlier
    block, so a query that has ten hits is answered, and one whose pair has no
@@ -128,8 +128,17 @@ def search_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
     track_id, popularity)``."""
     tracks = track_tokens(catalogue)
     parsed = written(parse_queries(texts).where("n_tokens > 0"), "parsed")
-    few = parsed.where(F.size("required") <= 2).withColumn("key", F.array_join("required", SEP))
-    return _top(_few_tokens(few, tracks).unionByName(_many_tokens(parsed.where(F.size("required") > 2), tracks)))
+    short = F.size("required") <= 2
+    key = F.array_join("required", SEP)
+    dated = parsed.where(short & F.col("y_lo").isNotNull()).withColumn("key", key)
+    others = parsed.where(~short | F.col("y_lo").isNull()).withColumn(
+        "keys", F.when(short, F.array(key)).otherwise(_pairs(F.col("required"))))
+    return _top(_dated(dated, tracks).unionByName(_by_blocks(others, tracks)))
+
+
+def _keys(tokens):
+    """All keys of a track."""
+    return F.concat(F.array(F.lit("")), tokens, _pairs(tokens))
 
 
 def _post(tracks: DataFrame, asked: DataFrame, keys, *columns: str) -> DataFrame:
@@ -137,46 +146,43 @@ def _post(tracks: DataFrame, asked: DataFrame, keys, *columns: str) -> DataFrame
     return tracks.select(*columns, F.explode(keys).alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
 
 
-def _few_tokens(few: DataFrame, tracks: DataFrame) -> DataFrame:
-    """At most two tokens: heads of the key in a market, or in each year too."""
-    keys = F.concat(F.array(F.lit("")), F.col("t_tokens"), _pairs(F.col("t_tokens")))
-    posted = _post(tracks, few, keys, "track_id", "popularity", "t_year", "t_markets") \
-        .withColumn("market", F.explode("t_markets")).drop("t_markets")
-    open_years = few.where(F.col("y_lo").isNull()).select(*QKEY, "key") \
-        .join(_heads(posted, "key", "market"), ["key", "market"])
+def _dated(few: DataFrame, tracks: DataFrame) -> DataFrame:
+    """At most two tokens and years: heads of the key in each market and year."""
+    posted = _post(tracks.where(F.col("t_year").isNotNull()), few, _keys(F.col("t_tokens")), "track_id", "popularity",
+                   "t_year", "t_markets").withColumn("market", F.explode("t_markets")).drop("t_markets")
     span = tracks.agg(F.min("t_year").alias("first"), F.max("t_year").alias("last"))
     first, last = span.select("first").scalar(), span.select("last").scalar()
-    dated = few.where(F.col("y_lo").isNotNull()).withColumns(
+    dated = few.withColumns(
         {"_lo": F.greatest("y_lo", first), "_hi": F.least("y_hi", last)}).where("_lo <= _hi")
     by_year = dated.select(*QKEY, "key", F.explode(F.sequence("_lo", "_hi")).alias("t_year")) \
-        .join(_heads(posted.where(F.col("t_year").isNotNull()), "key", "market", "t_year"), ["key", "market", "t_year"])
-    cols = [*QKEY, "track_id", "popularity"]
-    return open_years.select(*cols).unionByName(by_year.select(*cols))
+        .join(_heads(posted, "key", "market", "t_year"), ["key", "market", "t_year"])
+    return by_year.select(*QKEY, "track_id", "popularity")
 
 
 def postings(tracks: DataFrame, asked: DataFrame) -> tuple[DataFrame, str]:
-    """Pairs asked for, in blocks of the ranking: the tracks with their block,
-    and the folder of the postings (key, track_id), written by block."""
+    """Keys asked for, in blocks of the ranking: the tracks with their block, and
+    the folder of the postings (key, track_id), written by block."""
     ranked = positions(tracks, [], [F.desc("popularity"), F.col("track_id")], name="_at")
     over = (F.col("_at") - 1) / FIRST_BLOCK
     block = F.when(over < 1, 0).otherwise(F.floor(F.log(float(GROWTH), over)) + 1).cast("int")
     placed = written(ranked.withColumn("block", block).drop("_at"), "tracks")
     path = f"{checkpoint_dir(tracks.sparkSession)}/postings-{uuid.uuid4().hex}"
-    _post(placed, asked, _pairs(F.col("t_tokens")), "track_id", "block") \
+    _post(placed, asked, _keys(F.col("t_tokens")), "track_id", "block") \
         .repartition("block", "key").write.partitionBy("block").parquet(path)
     return placed, path
 
 
-def _many_tokens(many: DataFrame, tracks: DataFrame) -> DataFrame:
-    """More tokens: the rarest pair's postings in order of the ranking, tested
-    for the rest, until ten are found."""
+def _by_blocks(many: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The postings of the rarest of each query's ``keys`` in order of the
+    ranking, tested for the rest, until ten are found."""
     spark, cols = tracks.sparkSession, [*QKEY, "track_id", "popularity"]
-    pairs = many.select(*QKEY, F.explode(_pairs(F.col("required"))).alias("key"))
+    pairs = many.select(*QKEY, F.explode("keys").alias("key"))
+    many = many.drop("keys")
     placed, path = postings(tracks, pairs)
     posted = spark.read.schema("key string, track_id " + tracks.schema["track_id"].dataType.simpleString()
                                + ", block int").parquet(path)
     stats = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("last"))
-    # a pair without postings answers its queries: they find nothing
+    # a key without postings answers its queries: they find nothing
     none = pairs.join(stats, "key", "left_anti").select(*QKEY).distinct()
     anchor = pairs.join(stats, "key").join(none, QKEY, "left_anti").groupBy(*QKEY).agg(
         F.min_by(F.struct("key", "last"), F.struct("n", "key")).alias("_a")).select(*QKEY, "_a.key", "_a.last")
