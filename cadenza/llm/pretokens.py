@@ -30,8 +30,9 @@ def _classes() -> np.ndarray:
     cache = worker_cache("classes")
     if "c" not in cache:
         import regex
-        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        every = "".join(map(chr, points))
+        # every character at once: a list of them would be some 120 MB of a worker
+        points = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+        every = points.tobytes().decode("utf-32-le")
         table = np.full(0x110000, _OTHER, np.uint8)
         shift = 0xE000 - 0xD800
         for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):

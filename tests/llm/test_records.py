@@ -91,3 +91,34 @@ def test_query_against_the_library(spark, sf_small, documents):
         want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert pairs(op8_records(spark, sf_small), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
+def test_checksums_of_strings_of_one_size():
+    rng = random.Random(2)
+    for size in (4, 8, 16, 18):
+        rows = [rng.randbytes(size) for _ in range(7)]
+        assert records.crc32c_many(rows).tolist() == [slow_crc32c(r) for r in rows]
+
+
+def test_a_piece_is_merged_once_and_the_cache_is_bounded(monkeypatch):
+    asked = []
+    known = records._Merged(lambda letters: asked.append(letters) or LIBRARY.model.tokenize(letters))
+    monkeypatch.setattr(records, "CACHE_ENTRIES", 3)
+    for piece in (" the", " é\n", " the", "\t", " the"):
+        want = LIBRARY.encode(piece, add_special_tokens=False).ids
+        assert np.frombuffer(known[piece], "<u4").tolist() == want
+    assert len(asked) == 3
+    assert known["x"] and len(known) == 1
+
+
+def test_the_class_table_is_built_without_a_list_of_all_characters(monkeypatch):
+    import tracemalloc
+
+    from cadenza.llm import pretokens
+    monkeypatch.setattr(pretokens, "worker_cache", lambda name: {})
+    tracemalloc.start()
+    table = pretokens._classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20          # 130 MB before
+    assert [table[ord(c)] for c in "  aé1.中"] == [0, 0, 1, 1, 2, 3, 1] and table[0xD800] == 3
