@@ -65,9 +65,9 @@ def keep_caches(*names: str) -> None:
             pass
 
 
-def packs(texts: list[bytes], overlap: int = 0):
+def packs(texts: list[bytes], overlap: int = 0, pack_bytes: int = PACK_BYTES):
     """Yield (buffer, starts, owners): pieces of texts joined with newlines,
-    about PACK_BYTES at a time.  starts[i] is where piece i begins and owners[i]
+    about ``pack_bytes`` at a time.  starts[i] is where piece i begins and owners[i]
     the text it is from.  A text over PIECE_BYTES is cut at white space
     (anywhere, if it has none there); each next piece begins ``overlap`` bytes
     earlier, at white space."""
@@ -83,7 +83,7 @@ def packs(texts: list[bytes], overlap: int = 0):
             starts.append(size)
             owners.append(owner)
             size += end - at + 1
-            if size >= PACK_BYTES:
+            if size >= pack_bytes:
                 yield b"\n".join(parts) + b"\n", np.array(starts), np.array(owners)
                 parts, starts, owners, size = [], [], [], 0
             if end < len(text) and overlap:

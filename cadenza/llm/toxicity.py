@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bucket, encoded, keep_caches, packs, run_hashes, runs
+from .common import PACK_BYTES, bucket, encoded, keep_caches, packs, run_hashes, runs
 from .learn import Adam, labelled_sample, sigmoid
 
 WINDOW = 32
@@ -49,6 +49,9 @@ SEED = 7
 CUT = 0.7
 #: Bytes that a long text's pieces share: more than WINDOW words of usual length.
 OVERLAP = 1024
+#: Bytes of text that a worker's task scores at a time: a byte needs some 100
+#: bytes of hashes and buckets beside it.
+SCORED_BYTES = 1 << 18
 
 _CLASSES = np.array([1 if c >= 128 or chr(c).isalnum() else 0 for c in range(256)], np.uint8)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -352,11 +355,11 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array([a, np.log(CUT / (1 - CUT)) - a * cut])
 
 
-def document_logits(model: dict, texts: list[bytes]) -> np.ndarray:
+def document_logits(model: dict, texts: list[bytes], pack_bytes: int = PACK_BYTES) -> np.ndarray:
     """Logit of the worst window of each text; without a word, that of a text
     below every window seen (-20)."""
     out = np.full(len(texts), -20.0)
-    for pack in packs(texts, OVERLAP):
+    for pack in packs(texts, OVERLAP, pack_bytes):
         words = Words(pack=pack)
         np.maximum.at(out, words.owner, window_logits(model, words))
     return out
@@ -371,7 +374,7 @@ def score(text: Column, model: dict | None) -> Column:
         if model is None:
             return pa.array(np.zeros(len(rows)))
         a, b = model["line"]
-        return pa.array(sigmoid(a * document_logits(model, rows) + b))
+        return pa.array(sigmoid(a * document_logits(model, rows, SCORED_BYTES) + b))
     return run(text)
 
 

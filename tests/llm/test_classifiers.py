@@ -181,3 +181,36 @@ def test_languages_whose_first_documents_teach_nothing_are_learned(spark):
             F.col("text") if "text" in docs.columns else F.when(F.col("lang") == "aa", texts["aa"]).otherwise(texts["bb"])))
     got = langid.learned_texts(docs.select("doc_id", "lang", "text"))
     assert set(got) == set(texts) and all(set(got[k].splitlines()) == {t} for k, t in texts.items())
+
+
+def test_scoring_holds_little_beside_the_texts(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from cadenza.llm import common, toxicity
+    rng = np.random.default_rng(1)
+    f32, h, w = np.float32, toxicity.HIDDEN, toxicity.WIDTH
+    model = {k: rng.normal(0, 0.3, s).astype(f32) for k, s in {
+        "w": (2 * w + 2, 6 * h), "b": 6 * h, "u": (2, h, 3 * h), "att": (2 * h, h), "att_b": h, "att_v": h, "out": 2 * h,
+        "out_b": 1, "word": (50, w), "gram": (50, w), "word_odds": 1 << toxicity.WORD_BITS,
+        "gram_odds": 1 << toxicity.GRAM_BITS}.items()}
+    for name, bits in (("word", toxicity.WORD_BITS), ("gram", toxicity.GRAM_BITS)):
+        model[name + "_row"] = rng.integers(0, 50, 1 << bits).astype(np.int32)
+    texts = [" ".join(f"word{i}" for i in rng.integers(0, 9999, 300)).encode() for _ in range(900)] + [b"", b"x " * 900_000]
+
+    def peak(*size):
+        monkeypatch.setattr(common, "worker_cache", lambda name, store={}: store)
+        common.worker_cache("powers").clear()
+        tracemalloc.start()
+        z = toxicity.document_logits(model, texts, *size)
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return z, used
+    whole, before = peak()
+    packed, now = peak(toxicity.SCORED_BYTES)
+    assert np.abs(whole - packed)[:-1].max() < 1e-4 and now < before
+    assert peak(toxicity.SCORED_BYTES)[1] < 160 << 20       # the long text's piece alone is 1 MB
+    short = texts[:-1]
+    texts = short
+    assert peak(toxicity.SCORED_BYTES)[1] < 80 << 20 < peak()[1]
