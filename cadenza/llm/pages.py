@@ -6,9 +6,11 @@ with it; each page is paired with the pages on both sides, the lines of the two
 are aligned by a longest common subsequence, and shared lines are deleted: what
 two near pages of a host have in common is the site's, not the article's.
 
-Two things the difference alone can't tell, and markup can.  A page that marks
-its article (``article``, ``main``) keeps the lines in it even if a neighbour
-has them too: copies of an article, a licence or a quotation are text of both.
+Two things the difference alone can't tell, and markup can.  A page may mark
+articles (``article``, ``main``): the difference says which of the marked elements
+is the page's own, that with a line no neighbour has, and this one keeps the lines
+that a neighbour has too: copies of an article, a licence or a quotation are text
+of both.  A marked element of shared lines alone (a teaser, a notice) is the site's.
 And what is left outside of it, or in elements that name themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments, goes in a check
 of its own after the difference: a site's variants of a menu or an advert may
@@ -64,8 +66,9 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-#: What a line is in: some element that is no article; the marked article.
-CHROME, ARTICLE = 1, 2
+#: What a line is in: some element that is no article; a marked article, whose
+#: number in the page is in the flags' bits from NUMBER on.
+CHROME, ARTICLE, NUMBER = 1, 2, 2
 
 
 def _kind(name: str, rest: str, inside: int) -> int:
@@ -92,7 +95,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     """Text blocks of a page in order, each with its flags: character references
     decoded, white space as one space."""
     lines, parts = [], []
-    stack = [("", 0)]
+    stack, marks = [("", 0)], 0
 
     def flush():
         if parts:
@@ -139,6 +142,9 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 close(_SIBLINGS[name], _LISTS[name])
         if name not in _VOID and not rest.rstrip().endswith("/"):
             kind = _kind(name, rest, stack[-1][1])
+            if kind & ARTICLE and not kind & CHROME and (name in ("article", "main") or not stack[-1][1] & ARTICLE):
+                marks += 1                  # the innermost marked element counts
+                kind = kind & (CHROME | ARTICLE) | marks << NUMBER
             if not block and kind != stack[-1][1]:
                 flush()
             stack.append((name, kind))
@@ -212,17 +218,22 @@ def _align(a: list[int], b: list[int]) -> list[int]:
 
 def article(lines: list[tuple[str, int]], hashes: list[int], neighbours: list[list[int]]) -> str:
     """The text of a page's lines after the difference with its neighbours'
-    hashes, and the check of what its markup says."""
-    marked = any(f & ARTICLE and not f & CHROME for _, f in lines)
+    hashes, and the check of what its markup says: of a page without marks what
+    the difference left, else the marked elements that it left a line of, whole.
+    If it left none of the marked lines, it does not tell the elements apart."""
     size = sum(len(t) for t, f in lines if not f & CHROME)
     gone = set()
     for other in neighbours:
         shared = common(hashes, other)
         # of a page that is mostly this page's text too, the difference says nothing
         if 2 * sum(len(lines[i][0]) for i in shared if not lines[i][1] & CHROME) <= size:
-            gone.update(i for i in shared if not (marked and lines[i][1] & ARTICLE))
-    left = [(t, f) for i, (t, f) in enumerate(lines) if i not in gone]
-    return "\n".join(t for t, f in left if not f & CHROME and (f & ARTICLE or not marked))
+            gone.update(shared)
+    left = [i for i, (_, f) in enumerate(lines) if i not in gone and not f & CHROME]
+    inside = [i for i, (_, f) in enumerate(lines) if f & ARTICLE and not f & CHROME]
+    if inside:
+        own = {lines[i][1] for i in left if lines[i][1] & ARTICLE}
+        left = [i for i in inside if not own or lines[i][1] in own]
+    return "\n".join(lines[i][0] for i in left)
 
 
 # --- on Spark ---------------------------------------------------------------------

@@ -170,3 +170,21 @@ def test_edges(spark):
     by = {(r.page_id, r.text[:5]) for r in rows}
     assert {(1, ""), (1, "x"), (2, ""), (None, "y"), (3, "z\nz\nz"), (4, "long "), (5, "deep")} <= by
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_the_difference_tells_marked_elements_apart(spark):
+    teaser = "<article class='teaser'><h2>Read this as well</h2><p>every page of the site has it</p></article>"
+    quoted, own = "<p>a paragraph that two articles quote</p>", "words of the story number {} " * 9 + "end"
+    own = own.replace("{}", "{0}")
+    rows = [(i, f"http://a.org/n/{i}", f"<main><h1>News</h1><article><h1>story {i}</h1>{quoted}<p>{own.format(i)}</p></article>"
+                                       f"{teaser}</main>") for i in range(4)]
+    rows.append((9, "http://b.org/1", f"<article><p>alone</p></article>{teaser}"))
+    got = texts(pages.extract(table(spark, rows)))
+    for i in range(4):
+        assert got[i] == f"story {i}\na paragraph that two articles quote\n{own.format(i)}"
+    assert got[9] == "alone\nRead this as well\nevery page of the site has it"      # nothing to compare with
+
+
+def test_an_article_of_shared_lines_alone_stays():
+    lines = pages.page_lines("<article><p>first half of it</p><p>other half of it</p></article><p>menu</p>")
+    assert pages.article(lines, [1, 2, 3], [[1], [2]]) == "first half of it\nother half of it"
