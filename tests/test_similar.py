@@ -52,6 +52,17 @@ def test_few_cells_are_read(spark):
     assert boxes.agg(F.sum("n")).first()[0] == 4000 and boxes.count() <= similar.CUTS ** 5
 
 
+def test_one_target_reads_a_small_part_of_the_catalogue(spark):
+    tracks = spark.range(20000).selectExpr("id AS track_id", "CAST(id % 7 AS INT) AS popularity", "(id * 7919 % 20000) / 20000 AS energy",
+                                           "(id * 31 % 97) / 97 AS valence", "60D + id % 140 AS tempo",
+                                           "(id % 89) / 89 AS danceability", "(id % 83) / 83 AS acousticness")
+    sets = spark.createDataFrame([(0.31, None, None, None, None, 10)], ", ".join(f"{t} double" for t in similar.TARGETS) + ", wanted int")
+    placed, boxes = similar.grid(tracks, ("energy",))
+    assert boxes.count() > 900 and boxes.agg(F.sum("n")).first()[0] == 20000
+    near = similar.cells_of(sets, boxes, ("energy",)).join(placed, "cell")
+    assert 10 <= near.count() < 200            # 4,000 and more in a grid of all five
+
+
 def test_empty_tables(spark):
     _, tracks = _tracks(spark, 50)
     crit = spark.createDataFrame([(1, 5, 0.5, None, None, None, None), (2, 5, None, None, None, None, None)], CRIT)
