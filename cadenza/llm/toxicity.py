@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import PACK_BYTES, bucket, encoded, keep_caches, packs, run_hashes, runs
+from .common import bucket, encoded, keep_caches, packs, run_hashes, runs
 from .learn import Adam, labelled_sample, sigmoid
 
 WINDOW = 32
@@ -49,14 +49,24 @@ SEED = 7
 CUT = 0.7
 #: Bytes that a long text's pieces share: more than WINDOW words of usual length.
 OVERLAP = 1024
-#: Bytes of text that a worker's task scores at a time: a byte needs some 100
-#: bytes of hashes and buckets beside it.
-SCORED_BYTES = 1 << 18
+#: Bytes of a pack that are hashed at a time: a byte needs some 100 bytes beside it.
+HASHED_BYTES = 1 << 18
 
 _CLASSES = np.array([1 if c >= 128 or chr(c).isalnum() else 0 for c in range(256)], np.uint8)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
+def _runs_of_pieces(pack):
+    """A pack (see ``packs``) as smaller ones of about HASHED_BYTES, cut between pieces."""
+    line, starts, owners = pack
+    first = 0
+    while first < len(starts):
+        stop = max(first + 1, int(np.searchsorted(starts, starts[first] + HASHED_BYTES)))
+        end = starts[stop] if stop < len(starts) else len(line)
+        yield line[starts[first]:end], starts[first:stop] - starts[first], owners[first:stop]
+        first = stop
+
+
 class Words:
     """Inputs of some texts: bucket of each word, buckets of its grams (from
     gram_at[i]), and the windows as first word, length and owning text."""
@@ -64,7 +74,8 @@ class Words:
     def __init__(self, texts: list[bytes] | None = None, pack=None):
         self.word, self.gram, self.gram_at, self.first, self.size, self.owner = [], [], [], [], [], []
         n_words = n_grams = 0
-        for line, starts, owners in (packs(texts, OVERLAP) if pack is None else [pack]):
+        whole = packs(texts, OVERLAP) if pack is None else [pack]
+        for line, starts, owners in (part for one in whole for part in _runs_of_pieces(one)):
             buf = _LOWER[np.frombuffer(line, np.uint8)]
             # upper-case letters of the Latin-1 block: C3 80-9E, but for the sign C3 97
             high = np.flatnonzero((buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)) + 1
@@ -355,11 +366,11 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array([a, np.log(CUT / (1 - CUT)) - a * cut])
 
 
-def document_logits(model: dict, texts: list[bytes], pack_bytes: int = PACK_BYTES) -> np.ndarray:
+def document_logits(model: dict, texts: list[bytes]) -> np.ndarray:
     """Logit of the worst window of each text; without a word, that of a text
     below every window seen (-20)."""
     out = np.full(len(texts), -20.0)
-    for pack in packs(texts, OVERLAP, pack_bytes):
+    for pack in packs(texts, OVERLAP):
         words = Words(pack=pack)
         np.maximum.at(out, words.owner, window_logits(model, words))
     return out
@@ -374,7 +385,7 @@ def score(text: Column, model: dict | None) -> Column:
         if model is None:
             return pa.array(np.zeros(len(rows)))
         a, b = model["line"]
-        return pa.array(sigmoid(a * document_logits(model, rows, SCORED_BYTES) + b))
+        return pa.array(sigmoid(a * document_logits(model, rows) + b))
     return run(text)
 
 
