@@ -11,13 +11,29 @@ from pyspark.sql import functions as F
 from cadenza.functions.columns import artist_names, clamp_seeds, first_image_url, year_in_range, year_of
 
 
-def recommend_post(recs: DataFrame, crit: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Year filter (unknown year passes, zero/NULL bound = no bound)
-    and the 10-field projection (no popularity)."""
+BOUNDS = ("year_min", "year_max")
+
+
+def with_bounds(rows: DataFrame, crit: DataFrame) -> DataFrame:
+    """The year bounds of each row's request; rows of requests without criteria go."""
+    return rows.join(crit.select("request_id", *BOUNDS), "request_id")
+
+
+def with_details(hits: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The catalogue's fields of each hit; hits that it does not hold go."""
     cat = catalogue.select("track_id", "uri", "name", "artists", F.col("album.name").alias("album"),
                            F.col("album.release_date").alias("release_date"),
                            F.col("album.images").alias("images"), "duration_ms", "preview_url", "external_url")
-    j = recs.join(crit.select("request_id", "year_min", "year_max"), "request_id").join(cat, "track_id")
+    return hits.join(cat, "track_id")
+
+
+def recommend_post(recs: DataFrame, crit: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Year filter (unknown year passes, zero/NULL bound = no bound)
+    and the 10-field projection (no popularity).  Bounds and catalogue fields
+    that the rows have already (``with_bounds`` of the queries, ``with_details``
+    of the hits before they are joined to these) are not joined again."""
+    j = recs if set(BOUNDS) <= set(recs.columns) else with_bounds(recs, crit)
+    j = j if "images" in j.columns else with_details(j, catalogue)
     kept = j.where(year_in_range(year_of(F.col("release_date")), F.col("year_min"), F.col("year_max")))
     return kept.select("request_id", "query_idx", "hit_rank", F.col("track_id").cast("string").alias("id"),
                        "uri", "name", artist_names(F.col("artists")).alias("artists"), "album", "release_date",

@@ -110,17 +110,21 @@ def _heads(posted: DataFrame, *keys: str) -> DataFrame:
     return posted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= HITS_PER_QUERY).drop("_r")
 
 
-def search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+def search(queries: DataFrame, catalogue: DataFrame, keep: tuple[str, ...] = (), details=None) -> DataFrame:
     """``(request_id, query_idx, hit_rank, track_id, popularity)`` of
     ``queries(request_id, query_idx, query, market)``.
 
     The hits of a query depend on its text and market only, and both repeat
     (popular searches), so each distinct pair is searched once and its <= 10
-    hits are joined back to the query rows."""
-    rows = written(queries.select("request_id", "query_idx", "query", F.coalesce("market", F.lit("")).alias("market")),
+    hits are joined back to the query rows.  What the rows are to have besides goes
+    in before that join, which makes ten rows of one: columns ``keep`` of the
+    queries, and columns that ``details`` adds to the hits of the distinct pairs."""
+    rows = written(queries.select("request_id", "query_idx", "query", F.coalesce("market", F.lit("")).alias("market"), *keep),
                    "queries")
     hits = search_texts(rows.select(*QKEY).distinct(), catalogue)
-    return rows.join(hits, QKEY).select("request_id", "query_idx", "hit_rank", "track_id", "popularity")
+    found = hits if details is None else details(hits)
+    added = [c for c in found.columns if c not in hits.columns]
+    return rows.join(found, QKEY).select("request_id", "query_idx", "hit_rank", "track_id", "popularity", *keep, *added)
 
 
 def search_texts(texts: DataFrame, catalogue: DataFrame) -> DataFrame:

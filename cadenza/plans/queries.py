@@ -406,11 +406,14 @@ def g5_relaunch_report(spark, d):
 # C1 catalogue search, G7 recommendation post-processing, P8 parameters
 # --------------------------------------------------------------------------
 
-def _c1(spark, d):
+def _c1_queries(spark, d):
     market = S.criteria(spark, d).select("request_id", "market")
-    rows = R.query_rows(SR.llm_attempts(spark, d)).join(market, "request_id", "left") \
+    return R.query_rows(SR.llm_attempts(spark, d)).join(market, "request_id", "left") \
         .withColumn("market", F.coalesce("market", F.lit(DEFAULT_MARKET)))
-    return C1.search(rows, S.catalogue(spark, d))
+
+
+def _c1(spark, d):
+    return C1.search(_c1_queries(spark, d), S.catalogue(spark, d))
 
 
 @register("c1_search")
@@ -421,7 +424,10 @@ def c1_search(spark, d):
 @register("g7_recommend_post")
 def g7_recommend_post(spark, d):
     crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
-    out = RC.recommend_post(_c1(spark, d), crit, S.catalogue(spark, d))
+    cat = S.catalogue(spark, d)
+    # a query row becomes up to ten: its bounds and its hits' fields are joined before
+    recs = C1.search(RC.with_bounds(_c1_queries(spark, d), crit), cat, RC.BOUNDS, lambda hits: RC.with_details(hits, cat))
+    out = RC.recommend_post(recs, crit, cat)
     return out.withColumn("artists", F.array_join("artists", ", "))
 
 
