@@ -2,9 +2,10 @@
 
 Input: ``attempts(request_id, kind, attempt, raw_text)``, kind one of
 ``criteria``, ``queries``, ``title``.  All parsing is column expressions
-(``cadenza.functions.replies``); the only shuffle is the per-request
-aggregate of W7, which is a partial aggregate (``min_by``/``max_by``), so
-a request with many attempts costs one row per map task.
+(``cadenza.functions.replies``); the only shuffles are that of the criteria
+texts before they are typed and the per-request aggregate of W7, which is a
+partial aggregate (``min_by``/``max_by``), so a request with many attempts
+costs one row per map task.
 """
 
 from __future__ import annotations
@@ -43,8 +44,13 @@ def first_valid(typed: DataFrame) -> DataFrame:
 
 def criteria_table(attempts: DataFrame) -> DataFrame:
     """L4: one row per request, ``status`` ok/failed.  Attempts past the
-    third are never made, so they are dropped before the typing work."""
-    return first_valid(typed_attempts(attempts.where(F.col("attempt") <= MAX_ATTEMPTS)))
+    third are never made, so they are dropped before the typing work.
+
+    Typing costs far more than reading: the texts are dealt out first, so that
+    it takes as many tasks as a shuffle has, however few files hold them.  They
+    are dealt by request and attempt; the aggregate keeps its map-side half."""
+    made = attempts.where((F.col("kind") == "criteria") & (F.col("attempt") <= MAX_ATTEMPTS))
+    return first_valid(typed_attempts(made.repartition("request_id", "attempt")))
 
 
 def quarantine(attempts: DataFrame) -> DataFrame:

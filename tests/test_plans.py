@@ -140,3 +140,23 @@ def test_relaunch_joins_named_playlists_only(spark, sf_small):
     found = store.lookup(stored, ids)
     assert sorted((r.request_id, r.title) for r in found.collect()) == [(1, None), (2, "t"), (3, None), (4, None)]
     assert "Union" in inspect.plan_text(found) and "isnull(playlist_id" in inspect.plan_text(found)
+
+
+def test_criteria_replies_are_dealt_out_before_typing(spark, sf_small):
+    text = inspect.plan_text(REGISTRY["l4_criteria"](spark, sf_small))
+    assert re.search(r"hashpartitioning\(request_id#[0-9]+L, attempt#[0-9]+", text)
+
+
+@pytest.mark.parametrize("name", ["s5_append"])
+def test_criteria_replies_are_typed_once(monkeypatch, spark, sf_small, name):
+    from cadenza.plans import queries
+    plans, write = {}, queries.written
+
+    def noted(df, tag):
+        plans[tag] = inspect.plan_text(df)
+        return write(df, tag)
+    monkeypatch.setattr(queries, "written", noted)
+    plans["query"] = inspect.plan_text(REGISTRY[name](spark, sf_small))
+    # the table is typed for one write, which all joins read
+    assert "request_id" in plans.pop("criteria")
+    assert not any("invalid:limit" in text or "target_tempo:variant" in text for text in plans.values())
