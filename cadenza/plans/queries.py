@@ -370,8 +370,8 @@ def l3_title_context(spark, d):
 
 def _g3(spark, d):
     att = SR.llm_attempts(spark, d)
-    return RP.build_playlists(S.search_hits(spark, d), R.criteria_table(att), R.query_rows(att),
-                              R.titles(att), S.catalogue(spark, d))
+    crit = _criteria_once(spark, d, "error", "year_min", "year_max", "track_limit")
+    return RP.build_playlists(S.search_hits(spark, d), crit, R.query_rows(att), R.titles(att), S.catalogue(spark, d))
 
 
 @register("g3_playlists")
@@ -501,7 +501,7 @@ def r6_catalogue(spark, d):
 
 @register("r6_score")
 def r6_score(spark, d):
-    crit = R.criteria_table(SR.llm_attempts(spark, d)).where(F.col("status") == "ok")
+    crit = _criteria_once(spark, d).where(F.col("status") == "ok")
     kept = G1.filter_years(G1.by_request(_capped(spark, d)), crit)
     out = M.score_candidates(G1.dedupe_hits(kept), crit, S.track_features(spark, d))
     return out.select("request_id", "track_id", "score", "position")

@@ -147,7 +147,7 @@ def test_criteria_replies_are_dealt_out_before_typing(spark, sf_small):
     assert re.search(r"hashpartitioning\(request_id#[0-9]+L, attempt#[0-9]+", text)
 
 
-@pytest.mark.parametrize("name", ["s5_append"])
+@pytest.mark.parametrize("name", ["s5_append", "g3_playlists", "p12_status", "r6_score"])
 def test_criteria_replies_are_typed_once(monkeypatch, spark, sf_small, name):
     from cadenza.plans import queries
     plans, write = {}, queries.written
