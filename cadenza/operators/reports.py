@@ -83,6 +83,10 @@ def saved_split(playlists: DataFrame) -> DataFrame:
         F.count(F.when(s, 1)).alias("saved"), F.count(F.when(~s, 1)).alias("unsaved"))
 
 
+#: The fields of a track that ``track_report`` reads.
+REPORTED = ("id", "name", "artists", "duration_ms", "external_url", "image_url")
+
+
 def track_report(selected: DataFrame) -> DataFrame:
     """Position, name, artists joined with " · ", m:ss duration, link
     (external URL or one built from the id), cover image."""

@@ -246,26 +246,28 @@ def f5_titles(spark, d):
 # Store jobs: S2 S3 S6 S7 S8 S9/J2 S14 G6
 # --------------------------------------------------------------------------
 
-def _candidate_lists(spark, d):
+def _candidate_lists(spark, d, key="request_id", fields=SC.SELECTED_TRACK.names):
     sel = G1.select_candidates(S.search_hits(spark, d), S.criteria(spark, d), S.catalogue(spark, d))
-    return P.collect_ordered(sel, "request_id", ["position"], F.struct(*SC.SELECTED_TRACK.names)) \
-        .withColumnRenamed("items", "tracks")
+    # by the text of the request's id, where the lists are joined by it: one exchange for both
+    keyed = sel if key == "request_id" else sel.withColumn(key, F.col("request_id").cast("string"))
+    return P.collect_ordered(keyed, key, ["position"], F.struct(*fields)).withColumnRenamed("items", "tracks")
 
 
-def _stored_playlists(spark, d):
-    """The playlists table after S2: old rows without tracks, new ones with theirs."""
+def _stored_playlists(spark, d, *fields):
+    """The playlists table after S2: old rows without tracks, new ones with theirs.
+    ``fields``: those of a track that the query reads, if not all; Spark does not
+    prune a list's elements through the aggregate that makes it."""
     pl = S.playlists(spark, d)
     cut = F.col("created_at") < F.lit("1998-01-01 00:00:00").cast("timestamp")
     old = pl.where(cut)
-    lists = _candidate_lists(spark, d)
-    new = pl.where(~cut).join(lists, F.col("id") == F.col("request_id").cast("string"), "left") \
-        .drop("request_id")
+    lists = _candidate_lists(spark, d, "list_of", fields or SC.SELECTED_TRACK.names)
+    new = pl.where(~cut).join(lists, F.col("id") == F.col("list_of"), "left").drop("list_of")
     return ST.evolve_tracks(old, new)
 
 
 @register("s2_schema_evolution")
 def s2_schema_evolution(spark, d):
-    ev = _stored_playlists(spark, d)
+    ev = _stored_playlists(spark, d, "id")
     return ev.select("id", F.size("tracks").alias("n_tracks"),
                      F.array_join(F.transform("tracks", lambda t: t["id"]), ",").alias("track_ids"))
 
@@ -301,7 +303,7 @@ def g6_delete_counts(spark, d):
 @register("j2_relaunch")
 def j2_relaunch(spark, d):
     req = S.relaunch_requests(spark, d)
-    j = ST.lookup(_stored_playlists(spark, d).select("id", "title", "track_count", "tracks"), req)
+    j = ST.lookup(_stored_playlists(spark, d, "id").select("id", "title", "track_count", "tracks"), req)
     ids = F.array_join(F.transform("tracks", lambda t: t["id"]), ",")
     return j.select("request_id", F.col("title").alias("prior_title"),
                     F.coalesce("track_count", F.lit(0)).alias("prior_track_count"),
@@ -406,7 +408,7 @@ def g5_track_report(spark, d):
 
 @register("g5_relaunch_report")
 def g5_relaunch_report(spark, d):
-    return RP.relaunch_report(_stored_playlists(spark, d), S.relaunch_requests(spark, d))
+    return RP.relaunch_report(_stored_playlists(spark, d, *RP.REPORTED), S.relaunch_requests(spark, d))
 
 
 # --------------------------------------------------------------------------

@@ -160,3 +160,18 @@ def test_criteria_replies_are_typed_once(monkeypatch, spark, sf_small, name):
     # the table is typed for one write, which all joins read
     assert "request_id" in plans.pop("criteria")
     assert not any("invalid:limit" in text or "target_tempo:variant" in text for text in plans.values())
+
+
+def test_hits_are_derived_after_the_rank_exchange(spark, sf_small):
+    text = inspect.plan_text(REGISTRY["s12_skipped"](spark, sf_small))
+    assert inspect.has_partial_group_limit(REGISTRY["s12_skipped"](spark, sf_small))
+    # the details of the plan begin at the scan
+    at = re.search(r"hashpartitioning\(request_id#[0-9]+L, query_idx", text)
+    assert at and at.start() < text.index("19xx-")
+
+
+def test_relaunch_report_shuffles_what_it_reports(spark, sf_small, no_broadcast):
+    text = inspect.plan_text(REGISTRY["g5_relaunch_report"](spark, sf_small))
+    assert "preview_url" not in text and "album" not in text
+    # the lists are made by the text key that joins them: they cross no exchange of their own
+    assert len(re.findall(r"hashpartitioning\((?:list_of|cast\(request_id)", text)) == 1
