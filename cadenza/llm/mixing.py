@@ -76,7 +76,7 @@ def _key(seed: int, epoch: Column) -> Column:
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], portion: tuple[int, int] = (1, 1),
         max_epochs: int = 4, seed: int = 2, id_col: str = "doc_id", text_col: str = "text",
-        natural: bool = False) -> DataFrame:
+        natural: bool = False, min_epochs: int = 0) -> DataFrame:
     """Rows of ``docs`` selected for the mix, once per epoch they are in.
 
     ``levels`` names the tree's levels (root first) with their columns,
@@ -89,7 +89,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
 
     With ``natural`` a node's weight is its number of tokens in ``docs`` times
     the weight given, so that equal weights and all tokens as the budget select
-    every document once.
+    every document once.  A leaf with weights gets ``min_epochs`` whole passes at
+    least, whatever its share: where the shares cover them but for the rounding
+    down on the way to the leaf, that spends what the rounding left over.
 
     A null level is the node ''.  Texts without a token (null, empty) are never
     selected.  Rows that repeat id and text are each a document of their own;
@@ -119,7 +121,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], porti
                                      for i in range(len(names))})
     all_tokens, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("cap"), F.lit(0))).first()
     total = min(all_tokens * portion[0] // portion[1], most)
-    plan = materialize(allocate(leaves, inner, total).select(
+    budget = F.greatest("budget", F.when(F.col("usable"), F.col("tokens") * min_epochs).otherwise(0))
+    plan = materialize(allocate(leaves, inner, total).withColumn("budget", budget).select(
         *inner, F.expr("budget div tokens").alias("__whole"), (F.col("budget") % F.col("tokens")).alias("__short")), "plan")
 
     # the cut: the slice of keys it is in, the slice of that, then the key

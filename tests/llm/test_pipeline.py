@@ -113,3 +113,17 @@ def test_mixing_keeps_every_document_of_the_stage(steps):
     before, after = steps["mixing"]
     with_words = {r.doc_id for r in before.collect() if (r.text or "").split()}
     assert {r.doc_id for r in after.collect()} == with_words
+
+
+@pytest.mark.parametrize("rows", [
+    [("src0", "de", "a b c d e f g h"), ("src5", "fr", "w"), ("src5", "en", "one")],
+    [("src0", "en", "word"), ("src0", "de", "wort")],
+    [("src1", "en", "one two three"), ("src2", "en", "four"), ("src1", "de", "eins"), ("src1", "es", "uno dos")]])
+def test_mixing_keeps_every_document_of_small_leaves(spark, rows):
+    # shares rounded down on their way to the leaf left it less than it has
+    docs = spark.createDataFrame([(i, *r, len(r[2])) for i, r in enumerate(rows)],
+                                 "doc_id long, source string, lang string, text string, n_chars long")
+    out = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, "").select(*docs.columns).collect()]
+    assert {tuple(r) for r in docs.collect()} <= set(out)
+    # and no more than the budget
+    assert sum(len(r[3].split()) for r in out) <= sum(len(r[2].split()) for r in rows) * 5 // 4
