@@ -13,15 +13,20 @@ they can matter to, and only those are sent there.  Below, every block of a cell
 order, a level for each halving of the covering radius, so that every row is
 within a level's radius of a centre and centres of a level are further than it
 from each other; the last level ends when there is a centre for every LEAF rows,
-as vectors that are all far from each other would be a centre each.  A search descends best first, leaves out nodes whose bounds
-are outside of all windows or below what was found, and scores the rows of
-leaves exactly.
+as vectors that are all far from each other would be a centre each.  A search
+goes down level by level for a tile of anchors at once, leaves out nodes whose
+bounds are outside of all windows or below what was found, and scores the rows of
+leaves exactly, those of the best bounds first.
+
+Where vectors are spread evenly every anchor meets every row.  What travels then
+is kept far below that product: blocks are gathered in parts, anchors in chunks,
+a row goes once to each chunk that its part meets, an anchor once to each part,
+and a part returns the first rows of its windows alone.  Both are as large as a
+task holds, so that the copies stay few; a task holds no more at any size.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,13 +35,27 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import is_sound, matrix, whole
 
-#: Rows of a block and anchors that meet it in one task; pivots (that many at
-#: most, fewer if there are fewer blocks of rows); rows of a leaf that is not split.
+#: Rows of a block; pivots (that many at most, fewer if there are fewer blocks of
+#: rows); rows of a leaf that is not split.
 ROWS = 4096
-CHUNK = 1024
 PIVOTS = 256
 LEAF = 32
 
+#: Parts that the blocks are gathered in, so that all executors get some; more
+#: when the rows of one would be over PART_ROWS or their components over
+#: PART_BYTES as 4-byte numbers.  Anchors that meet a part in one task, within the
+#: bounds and by the bytes of their components.
+PARTS = 64
+PART_ROWS, PART_BYTES = 1 << 18, 64 << 20
+CHUNK, CHUNK_BYTES = (1024, 1 << 16), 16 << 20
+
+#: Anchors of a tile, rows that it is scored with at once, and rows of the first
+#: such step while nothing is known of what a tile will find.
+TILE, STEP, FIRST = 512, 1024, 128
+
+#: Anchors that are handed on at a time on their way to the parts.
+SENT_ROWS = 8192
+
 _NONE = np.iinfo(np.int64).max
 
 
@@ -51,10 +70,75 @@ def angle(dot: np.ndarray, size) -> np.ndarray:
 
 
 def bounds(dot: np.ndarray, spread: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest inner product with rows within ``spread`` of centres."""
-    at, slack = angle(dot, size), 1 + 1e-6 * size
-    return (size * np.cos(np.minimum(np.pi, at + spread)) - slack,
-            size * np.cos(np.maximum(0.0, at - spread)) + slack)
+    """Least and largest inner product with rows within ``spread`` of centres:
+    of the angle that ``dot`` stands for, more and less by the spread."""
+    at = np.divide(dot, size, out=np.zeros(np.shape(dot)), where=np.asarray(size) > 0)
+    np.clip(at, -1, 1, out=at)
+    edge, slack = np.cos(spread), 1 + 1e-6 * size
+    along, across = at * edge, np.sqrt(1 - at * at) * np.sin(spread)
+    return (size * np.where(at > -edge, along - across, -1.0) - slack,
+            size * np.where(at < edge, along + across, 1.0) + slack)
+
+
+def exact_type(norm: float) -> type:
+    """Floats that hold every sum of a score exactly: none is over the norm's square."""
+    return np.float32 if norm * norm <= 1 << 24 else np.float64
+
+
+def true_at(flags: np.ndarray) -> np.ndarray:
+    """Positions of what is true in a flat array with little of it, eight at a time."""
+    words = len(flags) // 8
+    some = np.flatnonzero(flags[:words * 8].view(np.uint64))
+    at = (some[:, None] * 8 + np.arange(8)).ravel()
+    return np.append(at[flags[at]], words * 8 + np.flatnonzero(flags[words * 8:]))
+
+
+class Found:
+    """The first k rows (score, id) of each window of each query, by falling
+    score, then id; where there are fewer, -inf and the largest id."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, k: int):
+        """low, high: a row for each query; a window that is none has inf and -inf."""
+        self.low, self.high, self.k = low, high, k
+        self.scores = np.full((*low.shape, k), -np.inf)
+        self.ids = np.full((*low.shape, k), _NONE)
+
+    def open(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the queries ``at``: the least and the largest score that some window
+        still takes, and the largest id."""
+        worst, low, high = self.scores[at, :, -1], self.low[at], self.high[at]
+        # a window full of its largest score takes smaller ids alone
+        upto = np.where(low > high, -_NONE, np.where(worst >= high, self.ids[at, :, -1] - 1, _NONE))
+        return np.maximum(low, worst).min(1), high.max(1), upto.max(1)
+
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Rows for the queries ``at``, which may repeat."""
+        n = self.low.shape[1]
+        keys, rows = [], []
+        for j in range(n):
+            worst, last = self.scores[at, j, -1], self.ids[at, j, -1]
+            some = np.flatnonzero((scores >= self.low[at, j]) & (scores <= self.high[at, j]) & (
+                (scores > worst) | ((scores == worst) & (ids < last))))
+            keys.append(at[some] * n + j)
+            rows.append(some)
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        if not len(key):
+            return
+        order = np.lexsort((ids[row], -scores[row], key))
+        key, row = key[order], row[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        rank = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+        first = rank < self.k
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))[first]
+        new_scores = np.full((len(starts), self.k), -np.inf)
+        new_ids = np.full((len(starts), self.k), _NONE)
+        new_scores[group, rank[first]], new_ids[group, rank[first]] = scores[row[first]], ids[row[first]]
+        own = key[starts]
+        all_scores, all_ids = self.scores.reshape(-1, self.k), self.ids.reshape(-1, self.k)     # views
+        both = np.hstack([all_scores[own], new_scores])
+        both_ids = np.hstack([all_ids[own], new_ids])
+        best = np.lexsort((both_ids, -both))[:, :self.k]
+        all_scores[own], all_ids[own] = np.take_along_axis(both, best, 1), np.take_along_axis(both_ids, best, 1)
 
 
 class CoverTree:
@@ -62,15 +146,20 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, norm: float, leaf: int = LEAF):
         self.norm, n = norm, len(x)
-        y = augmented(x, norm)
+        y = augmented(x.astype(np.float64), norm)
+        square = (y * y).sum(1)
+
+        def distance(j):
+            return np.maximum(0.0, square + square[j] - 2 * (y @ y[j]))
         # farthest-first centres; a level ends when its radius covers all rows
         centres, level_of, owners = [0], [0], []
-        owner, gap = np.zeros(n, np.int64), ((y - y[0]) ** 2).sum(1)
+        owner, gap = np.zeros(n, np.int64), distance(0)
         radius = 2 * norm
         while True:
             while gap.max() > radius * radius and len(centres) * leaf < n:
                 j = int(gap.argmax())
-                d = ((y - y[j]) ** 2).sum(1)
+                d = distance(j)
+                d[j] = 0.0
                 near = d < gap
                 owner[near], gap = j, np.minimum(gap, d)
                 centres.append(j)
@@ -124,96 +213,133 @@ class CoverTree:
         self.label = np.array([0 if v is None else v for v in label])
         self.children = [np.array(c, np.int64) for c in children]
 
+    def search_all(self, queries: np.ndarray, own: np.ndarray, itself: np.ndarray, alike: bool, found: Found,
+                   at: np.ndarray) -> None:
+        """Add to the queries ``at`` of ``found`` the rows of each query's label
+        ``own`` if ``alike``, else of others; ``itself`` is the position of each
+        query among the rows, or -1."""
+        size = np.sqrt((queries.astype(np.float64) ** 2).sum(1))[:, None] * self.norm
+        need, limit, upto = found.open(at)
+
+        def wanted(nodes):
+            """Nodes that some window of each query can take a row of, and their bounds."""
+            least, most = bounds(queries @ self.centre[nodes].T, self.spread[nodes], size)
+            return ((most >= need[:, None]) & (least <= limit[:, None]) & (self.least[nodes] <= upto[:, None])
+                    & (self.mixed[nodes] | ((self.label[nodes] == own[:, None]) == alike))), most
+
+        ok = wanted(np.zeros(1, np.int64))[0][:, 0]
+        if not ok.all():
+            queries, own, itself, at, size, need, limit, upto = (
+                v[ok] for v in (queries, own, itself, at, size, need, limit, upto))
+        if not len(at):
+            return
+        nodes, ok, most = np.zeros(1, np.int64), np.ones((len(at), 1), bool), None
+        while len(self.children[nodes[0]]):             # leaves are all on the last level
+            below = [self.children[i] for i in nodes]
+            parent = np.repeat(np.arange(len(nodes)), [len(c) for c in below])
+            nodes = np.concatenate(below)
+            some, most = wanted(nodes)
+            ok = some & ok[:, parent]
+            there = ok.any(0)
+            nodes, ok, most = nodes[there], ok[:, there], most[:, there]
+            if not len(nodes):
+                return
+        if most is None:
+            most = np.full(ok.shape, np.inf)
+        order = np.argsort(-np.where(ok, most, -np.inf).max(0), kind="stable")
+        step, i = (STEP if (need > -np.inf).all() else FIRST), 0
+        while i < len(order):
+            ends = np.cumsum(self.last[nodes[order[i:]]] - self.first[nodes[order[i:]]])
+            n = max(1, int(np.searchsorted(ends, step, "right")))
+            taken, i, step = order[i:i + n], i + n, min(2 * step, STEP)
+            live = ok[:, taken] & (most[:, taken] >= need[:, None])
+            who, leaves = np.flatnonzero(live.any(1)), nodes[taken[live.any(0)]]
+            if not len(who):
+                continue
+            rows = np.concatenate([np.arange(self.first[j], self.last[j]) for j in leaves])
+            scores = (queries if len(who) == len(at) else queries[who]) @ self.x[rows].T
+            hit = true_at((scores >= need[who].astype(scores.dtype)[:, None]).ravel())
+            who, row = who[hit // len(rows)], rows[hit % len(rows)]
+            scores, ids = scores.ravel()[hit].astype(np.float64), self.ids[row]
+            keep = ((self.labels[row] == own[who]) == alike) & (row != itself[who]) & (scores <= limit[who]) & (
+                ids <= upto[who])
+            if keep.any():
+                found.add(at[who[keep]], scores[keep], ids[keep])
+                need, limit, upto = found.open(at)
+
     def search(self, query: np.ndarray, own: int, windows: np.ndarray, alike: bool, itself: int | None, k: int):
         """For each window (lo, hi) the first k rows (score, id) with lo <= score
         <= hi, of the query's label ``own`` if ``alike``, else of another;
         ``itself`` is the position of the query among the rows."""
-        size = float(np.sqrt((query * query).sum())) * self.norm
-        low, high = windows[:, 0], windows[:, 1]
-        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in windows]
-        worst = np.full(len(windows), -np.inf)          # the k-th score of each window, and its id
-        after = np.full(len(windows), _NONE)
-
-        def wanted(least, most, smallest):
-            """Nodes that some window can take a row of (and a better one than it has)."""
-            least, most, smallest = (np.asarray(v).reshape(-1, 1) for v in (least, most, smallest))
-            top = np.minimum(most, high)
-            return ((most >= low) & (least <= high) & (
-                (top > worst) | ((top == worst) & (smallest < after)))).any(1)
-
-        def push(nodes):
-            nodes = nodes[self.mixed[nodes] | ((self.label[nodes] == own) == alike)]
-            least, most = bounds(self.centre[nodes] @ query, self.spread[nodes], size)
-            some = wanted(least, most, self.least[nodes])
-            for entry in zip((-most[some]).tolist(), nodes[some].tolist(), least[some].tolist()):
-                heapq.heappush(heap, entry)
-
-        heap, batch = [], 4
-        push(np.zeros(1, np.int64))
-        while heap:
-            taken = [heapq.heappop(heap) for _ in range(min(batch, len(heap)))]
-            some = wanted([t[2] for t in taken], [-t[0] for t in taken], [self.least[t[1]] for t in taken])
-            taken, leaves = [t[1] for t, ok in zip(taken, some) if ok], []
-            for node in taken:
-                if len(self.children[node]):
-                    push(self.children[node])
-                else:
-                    leaves.append(node)
-            if not leaves:
-                continue
-            batch *= 2
-            rows = np.concatenate([np.arange(self.first[i], self.last[i]) for i in leaves])
-            keep = (self.labels[rows] == own) == alike
-            if itself is not None:
-                keep &= rows != itself
-            rows = rows[keep]
-            scores, ids = self.x[rows] @ query, self.ids[rows]
-            for j in range(len(windows)):
-                inside = (scores >= max(low[j], worst[j])) & (scores <= high[j])
-                if not inside.any():
-                    continue
-                s, i = np.append(best[j][0], scores[inside]), np.append(best[j][1], ids[inside])
-                first = np.lexsort((i, -s))[:k]
-                best[j] = s[first], i[first]
-                if len(first) == k:
-                    worst[j], after[j] = s[first[-1]], i[first[-1]]
-        return best
+        found = Found(windows[None, :, 0].astype(float), windows[None, :, 1].astype(float), k)
+        self.search_all(query[None], np.array([own]), np.array([-1 if itself is None else itself]), alike, found,
+                        np.zeros(1, np.int64))
+        return [(s[s > -np.inf], i[s > -np.inf]) for s, i in zip(found.scores[0], found.ids[0])]
 
 
 _FOUND = "arow long, pos int, id long, score double"
 
 
-def _search(rows: DataFrame, sent: DataFrame, norm: float, dims: int, alike: bool, k: int, leaf: int) -> DataFrame:
-    """The first k rows of each window in each block that an anchor was sent to.
-    rows: row, id, label, x, cell, sub; sent: arow, label, x, cell, wins
-    (array of pos, lo, hi)."""
-    counts = sent.groupBy("cell").agg(F.count("*").alias("n")).collect()        # a row for each pivot at most
-    chunks = F.create_map(*[F.lit(v) for r in counts for v in (r["cell"], -(-r["n"] // CHUNK))]) if counts else \
-        F.create_map().cast("map<int,int>")
-    blocks = rows.withColumn("chunks", chunks[F.col("cell")]).filter("chunks > 0").select(
-        "row", "id", "label", "x", "cell", "sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    subs = rows.select("cell", "sub").distinct()
-    there = sent.withColumn("chunk", F.pmod(F.xxhash64("arow"), chunks[F.col("cell")]).cast("int")).join(
-        subs, "cell").select("arow", F.col("label").alias("own"), F.col("x").alias("q"), "wins",
-                             *[F.col(c).alias(f"to_{c}") for c in ("cell", "sub", "chunk")])
+def windows_of(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pos, lo and hi of each row's windows; inf and -inf where a row has fewer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = column.offsets.to_numpy()
+    sizes, wins = np.diff(ends), column.values.slice(ends[0], ends[-1] - ends[0])
+    shape = len(sizes), int(sizes.max()) if len(sizes) else 0
+    out = np.zeros(shape, np.int32), np.full(shape, np.inf), np.full(shape, -np.inf)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = row, np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], sizes)
+    for values, name in zip(out, ("pos", "lo", "hi")):
+        values[at] = wins.field(name).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _search(rows: DataFrame, sent: DataFrame, norm: float, dims: int, alike: bool, k: int, leaf: int, rows_per_block: int,
+            chunk: int, at_home: bool = False) -> DataFrame:
+    """The first k rows of each window in each part that an anchor was sent to.
+    rows: row, id, label, x, cell, part; sent: arow, label, x, home, part, wins
+    (array of pos, lo, hi).  An anchor meets the rows of the cell ``home`` if
+    ``at_home``, else those of all other cells."""
+    chunks = F.broadcast(materialize(sent.groupBy("part").agg(
+        F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "chunks"))           # a row for each part
+    blocks = rows.join(chunks, "part").select(
+        "row", "id", "label", "x", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    there = sent.join(chunks, "part").select(
+        "arow", F.col("label").alias("own"), F.col("x").alias("q"), F.coalesce("home", F.lit(-1)).alias("home"), "wins",
+        F.col("part").alias("to_part"), F.pmod(F.xxhash64("arow"), F.col("chunks")).cast("int").alias("to_chunk"))
+    kind = exact_type(norm)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        if left.num_rows and right.num_rows:
-            row, x = left["row"].to_numpy(), matrix(left["x"], dims)
-            tree = CoverTree(x, left["id"].to_numpy(), left["label"].to_numpy(), norm, leaf)
-            # where each row is now
-            found = {r: i for i, r in enumerate(row[tree.order].tolist())}
-            queries = matrix(right["q"], dims)
-            for i, (arow, label, wins) in enumerate(zip(right["arow"].to_pylist(), right["own"].to_pylist(),
-                                                        right["wins"].to_pylist())):
-                windows = np.array([(w["lo"], w["hi"]) for w in wins]).reshape(-1, 2)
-                for w, (s, ids) in zip(wins, tree.search(queries[i], label, windows, alike, found.get(arow), k)):
-                    for column, values in zip(out, ([arow] * len(s), [w["pos"]] * len(s), ids, s)):
-                        column.extend(values)
-        return pa.table({"arow": pa.array(out[0], pa.int64()), "pos": pa.array(out[1], pa.int32()),
-                         "id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
-    key = ["cell", "sub", "chunk"]
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"arow": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()),
+                             "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        right = right.sort_by([("own", "ascending"), ("home", "ascending")])
+        arow, own, home = (right[c].to_numpy() for c in ("arow", "own", "home"))
+        queries, (pos, low, high) = matrix(right["q"], dims).astype(kind), windows_of(right["wins"])
+        found = Found(low, high, k)
+        row, ids, labels, cell = (left[c].to_numpy() for c in ("row", "id", "label", "cell"))
+        x, order = matrix(left["x"], dims), np.lexsort((labels, cell))
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)), len(order))
+        for a, b in zip(edges[:-1], edges[1:]):
+            here = cell[order[a]]
+            meets = (home == here) == at_home
+            if not meets.any():
+                continue
+            for block in np.array_split(order[a:b], -(-(b - a) // rows_per_block)):
+                tree = CoverTree(x[block].astype(kind), ids[block], labels[block], norm, leaf)
+                rows = row[block][tree.order]
+                sorter = np.argsort(rows)
+                for i in range(0, len(arow), TILE):
+                    at = i + np.flatnonzero(meets[i:i + TILE])
+                    if len(at):
+                        itself = sorter[np.searchsorted(rows, arow[at], sorter=sorter).clip(max=len(rows) - 1)]
+                        tree.search_all(queries[at], own[at], np.where(rows[itself] == arow[at], itself, -1), alike,
+                                        found, at)
+        query, window, rank = np.nonzero(found.scores > -np.inf)
+        return pa.table({"arow": arow[query], "pos": pos[query, window], "id": found.ids[query, window, rank],
+                         "score": found.scores[query, window, rank]})
+    key = ["part", "chunk"]
     return blocks.groupBy(*key).cogroup(there.groupBy(*[f"to_{c}" for c in key])).applyInArrow(run, _FOUND)
 
 
@@ -259,47 +385,66 @@ def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives
                              .select("x").collect()], pa.list_(pa.float64())), dims)
     tops = augmented(points, norm)
 
+    # components as short numbers where they are: these are what is shuffled
+    short = norm < 1 << 15
+    stored = pa.int16() if short else pa.float64()
+
     def deal(batches):
         for batch in batches:
-            y = augmented(matrix(batch["x"], dims), norm)
-            at = angle(y @ tops.T, norm * norm)
-            cell = at.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int32()), pa.array(at[np.arange(len(cell)), cell])],
-                [*batch.schema.names, "cell", "spread"])
-    dealt = materialize(base.mapInArrow(deal, "id long, label long, anchor boolean, x array<double>, row long, "
+            x = matrix(batch["x"], dims)
+            dot = augmented(x, norm) @ tops.T
+            cell = dot.argmax(1)
+            spread = angle(dot[np.arange(len(cell)), cell], norm * norm)
+            columns = dict(zip(batch.schema.names, batch.columns)) | {
+                "x": batch["x"].cast(pa.list_(stored)), "cell": pa.array(cell, pa.int32()), "spread": pa.array(spread)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    numbers = "array<short>" if short else "array<double>"
+    dealt = materialize(base.mapInArrow(deal, f"id long, label long, anchor boolean, x {numbers}, row long, "
                                               "cell int, spread double"), "cells")
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("spread").alias("spread")).collect()
-    subs = F.create_map(*[F.lit(v) for r in cells for v in (r["cell"], -(-r["n"] // rows_per_block))])
-    rows = dealt.select("row", "id", "label", "x", "cell", F.pmod(F.xxhash64("row"), subs[F.col("cell")])
-                        .cast("int").alias("sub"))
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("spread").alias("spread")).orderBy("cell").collect()
     known = np.array([r["cell"] for r in cells])
     centres, spreads = points[known], np.array([r["spread"] for r in cells])
+    # blocks of all cells in a row, and so many of them to a part
+    n_blocks = np.array([-(-r["n"] // rows_per_block) for r in cells])
+    offsets = np.cumsum(n_blocks) - n_blocks
+    most = max(1, min(PART_ROWS, PART_BYTES // (4 * dims)) // rows_per_block)
+    per = min(most, -(-int(n_blocks.sum()) // PARTS))
+    first_part, last_part = offsets // per, (offsets + n_blocks - 1) // per
+    holds = np.zeros((len(known), int(last_part.max()) + 1), np.float32)
+    for i, (a, b) in enumerate(zip(first_part, last_part)):
+        holds[i, a:b + 1] = 1
+    chunk = min(max(CHUNK[0], CHUNK_BYTES // (4 * dims)), CHUNK[1])
+
+    def of_cell(values) -> Column:
+        return F.create_map(*[F.lit(int(v)) for pair in zip(known, values) for v in pair])[F.col("cell")]
+    sub = F.pmod(F.xxhash64("row"), of_cell(n_blocks))
+    rows = dealt.select("row", "id", "label", "x", "cell", F.floor((of_cell(offsets) + sub) / per).cast("int").alias("part"))
 
     def reach(batches):
-        """Send each anchor to the cells that can hold a row of one of its windows."""
+        """Send each anchor to the parts with cells that can hold a row of one of its windows."""
         for batch in batches:
-            x, wins, home = matrix(batch["x"], dims), batch["wins"].to_pylist(), batch["home"].to_pylist()
-            size = np.sqrt((x * x).sum(1)) * norm
-            take, to, kept = [], [], []
-            for i in range(len(x)):
-                least, most = bounds(centres @ x[i], spreads, size[i])
-                for j in range(len(known)):
-                    inside = [w for w in wins[i] if most[j] >= w["lo"] and least[j] <= w["hi"]]
-                    if inside and known[j] != home[i]:
-                        take.append(i)
-                        to.append(int(known[j]))
-                        kept.append(inside)
-            some = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["arow"].take(some), batch["label"].take(some), batch["x"].take(some), pa.array(to, pa.int32()),
-                 pa.array(kept, pa.list_(pa.struct([("pos", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())])))],
-                ["arow", "label", "x", "cell", "wins"])
-    sent_schema = "arow long, label long, x array<double>, cell int, wins array<struct<pos: int, lo: double, hi: double>>"
+            x, (_, low, high) = matrix(batch["x"], dims).astype(np.float64), windows_of(batch["wins"])
+            home = batch["home"].fill_null(-1).to_numpy()
+            least, most = bounds(x @ centres.T, spreads, np.sqrt((x * x).sum(1))[:, None] * norm)
+            can = np.zeros(least.shape, bool)
+            for j in range(low.shape[1]):
+                can |= (most >= low[:, j:j + 1]) & (least <= high[:, j:j + 1])
+            can &= known != home[:, None]
+            take, to = np.nonzero(can.astype(np.float32) @ holds)
+            for i in range(0, len(take), SENT_ROWS):
+                some = pa.array(take[i:i + SENT_ROWS])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[c].take(some) for c in ("arow", "label", "x", "home", "wins")),
+                     pa.array(to[i:i + SENT_ROWS], pa.int32())], ["arow", "label", "x", "home", "wins", "part"])
+    sent_schema = (f"arow long, label long, x {numbers}, home int, "
+                   "wins array<struct<pos: int, lo: double, hi: double>>, part int")
 
     def send(anchors: DataFrame) -> DataFrame:
         return materialize(anchors.mapInArrow(reach, sent_schema), "sent")
 
+    def search(sent: DataFrame, alike: bool, k: int, at_home: bool = False) -> DataFrame:
+        return _search(rows, sent, norm, dims, alike, k, leaf, rows_per_block, chunk, at_home)
+
     def window(pos, lo, hi) -> Column:
         return F.struct(pos.cast("int").alias("pos"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
     inf = float("inf")
@@ -307,13 +452,14 @@ def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives
 
     # positives: first in the anchor's own cell, then where a better one can be
     everything = F.array(window(F.lit(0), F.lit(-inf), F.lit(inf)))
-    home = anchors.select("arow", "label", "x", "cell", everything.alias("wins"))
-    near = materialize(_first(_search(rows, home, norm, dims, True, positives, leaf), positives), "near")
+    home = anchors.select("arow", "label", "x", F.col("cell").alias("home"), everything.alias("wins"), F.explode(
+        F.sequence(of_cell(first_part), of_cell(last_part))).alias("part"))
+    near = materialize(_first(search(home, True, positives, at_home=True), positives), "near")
     floor = near.filter(F.col("rank") == positives).select("arow", F.col("score").alias("floor"))
     further = anchors.join(floor, "arow", "left").select(
         "arow", "label", "x", F.col("cell").alias("home"),
         F.array(window(F.lit(0), F.coalesce("floor", F.lit(-inf)), F.lit(inf))).alias("wins"))
-    better = _search(rows, send(further), norm, dims, True, positives, leaf)
+    better = search(send(further), True, positives)
     best = materialize(_first(near.drop("rank").unionByName(better), positives).select(
         "arow", F.col("rank").alias("pos"), F.col("id").alias("positive_id"), F.col("score").alias("top")), "positives")
 
@@ -321,7 +467,7 @@ def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives
     wins = best.filter("top >= 0").groupBy("arow").agg(F.collect_list(window(
         F.col("pos"), F.ceil(F.col("top") * share / 100), F.col("top"))).alias("wins"))
     looking = anchors.join(wins, "arow").select("arow", "label", "x", F.lit(None).cast("int").alias("home"), "wins")
-    found = _first(_search(rows, send(looking), norm, dims, False, negatives, leaf), negatives)
+    found = _first(search(send(looking), False, negatives), negatives)
     return (found.join(best, ["arow", "pos"]).join(anchors.select("arow", "aid"), "arow").select(
         F.col("aid").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"),
         F.col("top").cast("long").alias("positive_score"), F.col("score").cast("long").alias("negative_score")))

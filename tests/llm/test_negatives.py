@@ -122,3 +122,49 @@ def test_edges(spark, tmp_path):
     assert negatives.hard_negatives(odd, F.lit(False), F.col("label")).count() == 0
     short = df.unionByName(spark.createDataFrame([(300, [2.0], 2), (301, [], 3)], df.schema))
     assert negatives.hard_negatives(short, F.col("vec_id") == 0, F.col("label")).count() > 0
+
+
+def test_a_search_of_many_at_once():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-60, 60, (900, 6)).astype(np.float32)
+    x[300:500], x[500:600] = x[0], x[600:700]
+    ids, labels = rng.permutation(900) - 450, rng.integers(0, 3, 900)
+    ids[7], ids[8] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    tree = negatives.CoverTree(x, ids, labels, float(np.sqrt((x * x).sum(1).max())), leaf=4)
+    at = np.arange(900)
+    scores = tree.x @ tree.x.T
+    top = np.sort(scores, 1)[:, -3:].astype(float)
+    low, high = np.ceil(top * 0.8), top
+    low[::7, 1], high[::7, 1] = np.inf, -np.inf         # no window
+    for alike in (True, False):
+        found = negatives.Found(low, high, 5)
+        tree.search_all(tree.x, tree.labels, at, alike, found, at)
+        for q in at:
+            for j in range(3):
+                ok = ((tree.labels == tree.labels[q]) == alike) & (at != q) & (scores[q] >= low[q, j]) & (scores[q] <= high[q, j])
+                want = [(scores[q, r], tree.ids[r]) for r in np.lexsort((tree.ids, -scores[q])) if ok[r]][:5]
+                assert [(s, i) for s, i in zip(found.scores[q, j], found.ids[q, j]) if s > -np.inf] == want
+
+
+def test_bounds_cover_what_is_within_the_spread():
+    at, spread = np.meshgrid(np.linspace(0, np.pi, 60), np.linspace(0, np.pi, 60))
+    least, most = negatives.bounds(9.0 * np.cos(at), spread, np.full_like(at, 9.0))
+    for turn in np.linspace(-1, 1, 21):
+        score = 9.0 * np.cos(np.clip(at + turn * spread, 0, np.pi))
+        assert (least <= score).all() and (score <= most).all()
+
+
+@pytest.mark.parametrize("scale", [1, 50, 5000])
+def test_copies_of_anchors_and_rows_stay_few(spark, monkeypatch, scale):
+    """An anchor goes once to each of 64 parts at most, however many blocks and
+    cells there are, and the rows are as before, also in floats of 8 bytes."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-50, 51, (700, 6)).astype(float) * scale
+    ids, labels = rng.permutation(700), rng.integers(0, 4, 700)
+    sent, write = [], negatives.materialize
+    monkeypatch.setattr(negatives, "materialize", lambda df, tag: sent.append(df.count()) or write(df, tag)
+                        if tag == "sent" else write(df, tag))
+    got = negatives.hard_negatives(table(spark, ids, labels, x), F.col("vec_id") % 10 == 0, F.col("label"),
+                                   rows_per_block=4, leaf=4)
+    assert rows(got) == brute(ids, labels, x, ids % 10 == 0)
+    assert len(sent) == 2 and max(sent) <= 70 * 64
