@@ -51,7 +51,7 @@ CHUNK, CHUNK_BYTES = (1024, 1 << 16), 16 << 20
 
 #: Anchors of a tile, rows that it is scored with at once, and rows of the first
 #: such step while nothing is known of what a tile will find.
-TILE, STEP, FIRST = 512, 1024, 128
+TILE, STEP, FIRST = 512, 4096, 128
 
 #: Anchors that are handed on at a time on their way to the parts.
 SENT_ROWS = 8192
@@ -102,6 +102,18 @@ class Found:
         self.low, self.high, self.k = low, high, k
         self.scores = np.full((*low.shape, k), -np.inf)
         self.ids = np.full((*low.shape, k), _NONE)
+        self.room = np.empty(0), np.empty(0, bool)
+
+    def scored(self, queries: np.ndarray, rows: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each query and row, and where they are as high as the
+        query needs, both flat and good until the next call."""
+        n = len(queries) * len(rows)
+        if len(self.room[0]) < n or self.room[0].dtype != queries.dtype:
+            self.room = np.empty(n, queries.dtype), np.empty(n, bool)
+        scores, high = (v[:n].reshape(len(queries), len(rows)) for v in self.room)
+        np.matmul(queries, rows.T, out=scores)
+        np.greater_equal(scores, need.astype(scores.dtype)[:, None], out=high)
+        return scores.ravel(), high.ravel()
 
     def open(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the queries ``at``: the least and the largest score that some window
@@ -246,6 +258,7 @@ class CoverTree:
                 return
         if most is None:
             most = np.full(ok.shape, np.inf)
+        labels = np.unique(own)
         order = np.argsort(-np.where(ok, most, -np.inf).max(0), kind="stable")
         step, i = (STEP if (need > -np.inf).all() else FIRST), 0
         while i < len(order):
@@ -257,10 +270,15 @@ class CoverTree:
             if not len(who):
                 continue
             rows = np.concatenate([np.arange(self.first[j], self.last[j]) for j in leaves])
-            scores = (queries if len(who) == len(at) else queries[who]) @ self.x[rows].T
-            hit = true_at((scores >= need[who].astype(scores.dtype)[:, None]).ravel())
+            if alike or len(labels) == 1:               # of few labels the others' rows need no score
+                same = (self.labels[rows][:, None] == labels).any(1) if len(labels) < 8 else np.isin(self.labels[rows], labels)
+                rows = rows[same == alike]
+                if not len(rows):
+                    continue
+            scores, high = found.scored(queries if len(who) == len(at) else queries[who], self.x[rows], need[who])
+            hit = true_at(high)
             who, row = who[hit // len(rows)], rows[hit % len(rows)]
-            scores, ids = scores.ravel()[hit].astype(np.float64), self.ids[row]
+            scores, ids = scores[hit].astype(np.float64), self.ids[row]
             keep = ((self.labels[row] == own[who]) == alike) & (row != itself[who]) & (scores <= limit[who]) & (
                 ids <= upto[who])
             if keep.any():
