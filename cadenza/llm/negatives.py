@@ -53,6 +53,10 @@ CHUNK, CHUNK_BYTES = (1024, 1 << 16), 16 << 20
 #: such step while nothing is known of what a tile will find.
 TILE, STEP, FIRST = 512, 4096, 128
 
+#: Partitions for each part and chunk of a search, so that few have two, and at
+#: most: tasks cost time rather than bytes, by which Spark would gather them.
+SPREAD, TASKS = 4, 2000
+
 #: Anchors that are handed on at a time on their way to the parts.
 SENT_ROWS = 8192
 
@@ -314,7 +318,7 @@ def windows_of(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.n
 
 
 def _search(rows: DataFrame, sent: DataFrame, norm: float, dims: int, alike: bool, k: int, leaf: int, rows_per_block: int,
-            chunk: int, at_home: bool = False) -> DataFrame:
+            chunk: int, tasks: int, at_home: bool = False) -> DataFrame:
     """The first k rows of each window in each part that an anchor was sent to.
     rows: row, id, label, x, cell, part; sent: arow, label, x, home, part, wins
     (array of pos, lo, hi).  An anchor meets the rows of the cell ``home`` if
@@ -357,8 +361,9 @@ def _search(rows: DataFrame, sent: DataFrame, norm: float, dims: int, alike: boo
         query, window, rank = np.nonzero(found.scores > -np.inf)
         return pa.table({"arow": arow[query], "pos": pos[query, window], "id": found.ids[query, window, rank],
                          "score": found.scores[query, window, rank]})
-    key = ["part", "chunk"]
-    return blocks.groupBy(*key).cogroup(there.groupBy(*[f"to_{c}" for c in key])).applyInArrow(run, _FOUND)
+    key, to = ["part", "chunk"], ["to_part", "to_chunk"]
+    return blocks.repartition(tasks, *key).groupBy(*key).cogroup(
+        there.repartition(tasks, *to).groupBy(*to)).applyInArrow(run, _FOUND)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -391,7 +396,7 @@ def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives
         F.col("id").isNotNull() & F.col("label").isNotNull() & is_sound(F.col("v")))
     base = materialize(sound.select("id", "label", "anchor", whole(F.col("v")).alias("x"))
                        .withColumn("row", F.monotonically_increasing_id()), "vectors")
-    head = base.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d"),
+    head = base.agg(F.count("*").alias("n"), F.count_if("anchor").alias("anchors"), F.max(F.size("x")).alias("d"),
                     F.max(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
     schema = ("anchor_id long, positive_id long, rank int, negative_id long, positive_score long, "
               "negative_score long")
@@ -432,6 +437,7 @@ def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives
     for i, (a, b) in enumerate(zip(first_part, last_part)):
         holds[i, a:b + 1] = 1
     chunk = min(max(CHUNK[0], CHUNK_BYTES // (4 * dims)), CHUNK[1])
+    tasks = max(1, min(TASKS, SPREAD * holds.shape[1] * -(-head["anchors"] // chunk)))
 
     def of_cell(values) -> Column:
         return F.create_map(*[F.lit(int(v)) for pair in zip(known, values) for v in pair])[F.col("cell")]
@@ -461,7 +467,7 @@ def hard_negatives(table: DataFrame, is_anchor: Column, label: Column, positives
         return materialize(anchors.mapInArrow(reach, sent_schema), "sent")
 
     def search(sent: DataFrame, alike: bool, k: int, at_home: bool = False) -> DataFrame:
-        return _search(rows, sent, norm, dims, alike, k, leaf, rows_per_block, chunk, at_home)
+        return _search(rows, sent, norm, dims, alike, k, leaf, rows_per_block, chunk, tasks, at_home)
 
     def window(pos, lo, hi) -> Column:
         return F.struct(pos.cast("int").alias("pos"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
